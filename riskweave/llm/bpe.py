@@ -149,9 +149,8 @@ def _add(df: DataFrame, source: str, columns: dict[str, str], make) -> DataFrame
     clash = [c for c in columns if c.lower() in {x.lower() for x in df.columns}]
     if clash:
         raise ValueError(f"columns exist already: {clash}")
-    schema = T.StructType(list(df.schema.fields))
-    for name, kind in columns.items():
-        schema = schema.add(name, kind)
+    added = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in columns.items()))
+    schema = T.StructType([*df.schema.fields, *added.fields])
     at = df.columns.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
