@@ -26,13 +26,14 @@ def utf8_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return body, at - at[0]
 
 
-def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges [i, j) of rows with about ``most`` bytes; one larger row stands alone."""
+def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES, most_rows: int = 1 << 14) -> Iterator[tuple[int, int]]:
+    """Ranges [i, j) of at most ``most_rows`` rows with about ``most`` bytes; one larger row stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, n, i + most_rows)
+        yield i, j
+        i = j
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -97,6 +98,3 @@ SPACES = b" \t\n\x0b\x0c\r"
 #: Everything in ASCII that is neither a letter nor a digit.
 NON_WORDS = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 
-
-def column_or_null(batch: pa.RecordBatch, name: str) -> pa.Array:
-    return batch.column(batch.schema.get_field_index(name))

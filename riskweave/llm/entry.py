@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe, licenses, lm, mixing, neardup, urls
+from riskweave.llm import bpe, langid, licenses, lm, mixing, neardup, pii, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("found")
 
@@ -38,6 +43,10 @@ def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.detect(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, urls.RULES, urls.canonical_on_hosts(pages, urls.LABELS)).select("page_id", "host", "path", "rule", "verdict", "listed")
@@ -46,9 +55,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_near_duplicates": op3_near_duplicates,
+    "op5_language_id": op5_language_id,
     "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
     "op8_lm_scores": op8_lm_scores,
+    "op9_pii": op9_pii,
     "op10_url_filter": op10_url_filter,
 }
 
