@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import bpe, langid, licenses, lm, mixing, neardup, pii, urls
+from riskweave.llm import ann, bpe, langid, licenses, lm, mixing, neardup, pii, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,18 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0, 5, 256.0)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
@@ -54,7 +62,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_exact_top_k": op2_exact_top_k,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_nearest": op4_nearest,
     "op5_language_id": op5_language_id,
     "op6_license_scan": op6_license_scan,
     "op7_mixing": op7_mixing,
@@ -64,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_exact_top_k": topk.SQL,
     "op6_license_scan": licenses.SQL,
     "op7_mixing": mixing.SQL,
     "op10_url_filter": urls.SQL,
