@@ -6,7 +6,7 @@ word that is a token as a whole is taken at once. Decoding reverses the characte
 come together again because bytes are joined before they are read as UTF-8.
 
 Defined results: a null text counts as empty (no ids, empty bytes); null ids decode to null; an id
-outside the vocabulary raises ValueError; rows keep all their other columns; repeated rows stay. Long texts are cut
+outside the vocabulary raises ValueError; rows keep all their other columns, but a result replaces a column of its name; repeated rows and empty tables stay. Long texts are cut
 only where white space follows another character, where no match of the pattern can span.
 """
 
@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskweave.llm._columns import without
+
 #: Characters split into words at once, and distinct words kept encoded in a process; both bound memory only.
 CHUNK_CHARS = 1 << 20
 KEPT_WORDS = 300_000
@@ -145,10 +147,8 @@ def codec(path: str, pattern: str) -> BytePairCodec:
 
 
 def _add(df: DataFrame, source: str, columns: dict[str, str], make) -> DataFrame:
-    """df with columns from ``make(source column) -> list of Arrow arrays``; the source stays. New names must be free."""
-    clash = [c for c in columns if c.lower() in {x.lower() for x in df.columns}]
-    if clash:
-        raise ValueError(f"columns exist already: {clash}")
+    """df with columns from ``make(source column) -> list of Arrow arrays``; they replace columns of their names."""
+    df = without(df, list(columns))
     added = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in columns.items()))
     schema = T.StructType([*df.schema.fields, *added.fields])
     at = df.columns.index(source)

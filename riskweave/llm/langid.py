@@ -7,7 +7,7 @@ Training takes a bounded sample: of each language the ``per_language`` rows with
 of rows outside the held-out fold are read for it. Prediction sees the text alone.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; so is everything if no row can be learned from;
-one learned language is predicted for all other texts with score 1; repeated rows each give a row; further columns stay.
+one learned language is predicted for all other texts with score 1; repeated rows each give a row; further columns stay, but a result replaces a column of its name.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.llm import _text
+from riskweave.llm._columns import without
 from riskweave.llm.lm import held_out
 
 #: Rows that a classifier is fitted on at most: of each language, of all, and languages (the most frequent).
@@ -178,8 +179,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
-    if clash := {"lang_pred", "score"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    docs = without(docs, ["lang_pred", "score"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
@@ -201,4 +201,4 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     out = held_out(doc_id, folds, fold)
     labelled = docs.where(~out).select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     model = fit(labelled, per_language=per_language)
-    return predict(docs.drop(lang) if lang != "lang" else docs, model, text).withColumn("held_out", out)
+    return predict(without(docs, ["held_out"]), model, text).withColumn("held_out", out)

@@ -8,7 +8,7 @@ with fewer than ``need`` template words are out (length filter); and a common wo
 ``1 + min(size - i, n - j)`` common words (positional filter). What passes is verified on the whole sets. No Python runs on executors.
 
 Defined results: a null text counts as empty; empty texts have no words, null first_word and last_word, empty labels
-and score 0; repeated rows each give a row; an empty table gives an empty result.
+and score 0; repeated rows each give a row; an empty table gives an empty result; further columns stay, but a result replaces a column of its name.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.llm._columns import guarded
+
 # fixed values: phrases and labels of the base, and statements of common licenses
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 TEMPLATES = [
@@ -48,6 +50,12 @@ def _split(text: Column) -> Column:
     return F.filter(F.split(text, _SEPARATORS), lambda w: w != "")
 
 
+def _held(text: Column, known: Column, least: int) -> Column:
+    """(line, its template words) of the lines that the length filter leaves: those with as many template words as some template needs."""
+    blocks = F.transform(F.split(_lowered(text), _LINE), lambda line, i: F.struct(i.alias("line"), F.array_intersect(_split(line), known).alias("_held")))
+    return F.filter(blocks, lambda b: F.size(b["_held"]) >= least)
+
+
 def places(words: Column, phrase: list[str]) -> Column:
     """Starts, from 0, at which the phrase's words stand one after another."""
 
@@ -76,13 +84,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     vocabulary = sorted({w for _, _, words in sets for w in words})
     known = F.array(*map(F.lit, vocabulary))
 
-    lowered = _lowered(F.col(text))
-    # the length filter: lines with fewer template words than any template needs are out
-    held = F.filter(
-        F.transform(F.split(lowered, _LINE), lambda line, i: F.struct(i.alias("line"), F.array_intersect(_split(line), known).alias("_held"))),
-        lambda b: F.size(b["_held"]) >= least,
-    )
-    order = order_words(docs.select(F.explode(held).alias("b")).select("b._held"), vocabulary)
+    order = order_words(docs.select(F.explode(_held(F.col(text), known, least)).alias("b")).select("b._held"), vocabulary)
     place = {w: i for i, w in enumerate(order)}
 
     ordered = F.array(*map(F.lit, order))
@@ -93,16 +95,17 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     # one row for each prefix word of each template: bounded by the templates, which are given
     index = F.broadcast(spark.createDataFrame(prefixes, "word string, template int, label string, size int, need int, at_template int, words array<string>"))
 
+    work, restore = guarded(docs, {"_text": text})
+    lowered, held = _lowered(F.col("_text")), _held(F.col("_text"), known, least)
     words = _split(lowered)
     starts = F.flatten(F.array(*[places(F.col("_words"), p.split(" ")) for p, _ in phrases]))
-    kept = [c for c in docs.columns if c != text]
     base = (
-        docs.withColumn("_row", F.monotonically_increasing_id())
+        work.withColumn("_row", F.monotonically_increasing_id())
         .withColumn("_words", words)
         .withColumn("_blocks", held)
         .withColumn("_starts", starts)
         .select(
-            *kept,
+            "_rest",
             "_row",
             F.size("_words").cast("bigint").alias("n_words"),
             F.size("_starts").cast("bigint").alias("n_base"),
@@ -112,7 +115,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
             "_blocks",
         )
     )
-    keys = ["_row", *kept, "n_words", "n_base", "first_word", "last_word", "_base"]
+    keys = ["_row", "_rest", "n_words", "n_base", "first_word", "last_word", "_base"]
     # rarest first: array_intersect keeps the order of its first argument
     block = base.select(*keys, F.explode_outer("_blocks").alias("_b")).select(*keys, F.col("_b.line").alias("line"), F.array_intersect(ordered, F.col("_b._held")).alias("_held"))
     prefix = F.slice(F.col("_held"), 1, F.greatest(F.lit(1), F.size("_held") - least + 1))
@@ -122,19 +125,15 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     passes = (j <= n - F.col("need") + 1) & (n >= F.col("need")) & (1 + F.least(F.col("size") - F.col("at_template"), n - j) >= F.col("need"))
     common = F.size(F.array_intersect("words", "_held"))
     verified = F.when(passes & (common >= F.col("need")), F.struct("label", "line", (common / F.col("size")).alias("score")))
-    out = pairs.groupBy(*keys).agg(F.array_sort(F.collect_set(verified)).alias("found")).drop("_row")
-    labels = F.array_sort(F.array_union("_base", F.col("found.label")))
-    return out.select(
-        *kept,
-        "n_words",
-        "n_base",
-        "first_word",
-        "last_word",
-        F.array_join("_base", ",").alias("base_labels"),
-        F.array_join(labels, ",").alias("labels"),
-        F.coalesce(F.array_max(F.col("found.score")), F.lit(0.0)).alias("score"),
-        "found",
+    rests = [c for c in keys if c not in ("_row", "_rest")]
+    out = pairs.groupBy("_row", *rests).agg(F.first("_rest").alias("_rest"), F.array_sort(F.collect_set(verified)).alias("found"))
+    out = (
+        out.withColumn("base_labels", F.array_join("_base", ","))
+        .withColumn("labels", F.array_join(F.array_sort(F.array_union("_base", F.col("found.label"))), ","))
+        .withColumn("score", F.coalesce(F.array_max(F.col("found.score")), F.lit(0.0)))
+        .withColumn("_text", F.lit(None))
     )
+    return restore(out, ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "found"]).drop(text)
 
 
 def _sql() -> str:

@@ -12,7 +12,7 @@ documents, and every n-gram is in one slice only, so the result does not depend
 A token's probability is ``mixing * min(1, count(h, w) / count(h)) + (1 - mixing) * (count(w) + 1) / (N + V + 1)``.
 
 Defined results: a null text counts as empty (one end token); rows with a null id count as id '' for the fold; with no
-training rows N = V = 0; repeated rows count each time; further columns stay.
+training rows N = V = 0; repeated rows count each time; an empty table gives an empty result; further columns stay, but a result replaces a column of its name.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.llm import _text
+from riskweave.llm._columns import guarded
 from riskweave.session import stage
 
 #: N-grams that a task counts together, bytes of text for each part, bytes of a broadcast slice.
@@ -246,10 +247,10 @@ def _slices(model: DataFrame) -> list[tuple[int, int]]:
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2, min_count: int = MIN_COUNT, mixing: float = MIXING) -> DataFrame:
     """docs with held_out, n_tokens, n_known, train_tokens, base_score (unigrams alone) and score; trained on the rows outside the fold."""
-    added = {"held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "_c", "_h", "_q"}
-    if clash := added & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
     spark = docs.sparkSession
+    results = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    docs, restore = guarded(docs, {"_doc": doc_id, "text": text})
+    doc_id, text = "_doc", "text"
     model, bits = train(docs.where(~held_out(doc_id, folds, fold)).select(F.col(text).alias("text")), min_count)
     sums = model.where("ngram = 1").agg(F.sum("total"), F.sum("n")).first()
     n_train, n_words = sums[0] or 0, sums[1] or 0
@@ -295,8 +296,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
         rows = model.where((F.col("part") >= low) & (F.col("part") < high)).select("ngram", "part", "first", "second").toArrow().to_pylist()
         value = spark.sparkContext.broadcast((rows, bits))
         last = k == len(slices) - 1
-        results = T.StructType.fromDDL("n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double").fields if last else inner
-        out = out.mapInArrow(adding(value, last), T.StructType([*docs.schema.fields, *results]))
+        made = T.StructType.fromDDL("n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double").fields if last else inner
+        out = out.mapInArrow(adding(value, last), T.StructType([*docs.schema.fields, *made]))
         if not last:
             out = stage(out, "lm-slice")
-    return out.withColumn("held_out", held_out(doc_id, folds, fold))
+    return restore(out.withColumn("held_out", held_out(doc_id, folds, fold)), results)

@@ -6,7 +6,7 @@ more) are its context. Over the whole corpus, with mentions of entity e, occurre
 seen with the entity in ``SUPPORT`` contexts or more and disclosing ``GENERALISE`` or more are generalised to a placeholder, those at ``REMOVE`` or more removed.
 Terms are taken only from the context of the entity itself, so texts without personal data stay as they are.
 
-Defined results: null texts count as empty, and stay null when sanitised; repeated rows count each time; an empty table gives an empty result; further columns stay.
+Defined results: null texts count as empty, and stay null when sanitised; repeated rows count each time; an empty table gives an empty result; further columns stay, but a result replaces a column of its name.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskweave.llm._columns import guarded
 from riskweave.session import stage
 
 # fixed values: kinds and their patterns, in the order in which equal starts are listed
@@ -156,8 +157,8 @@ def revealing(near: DataFrame, texts: DataFrame, support: int = SUPPORT, general
 
 def detect(docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """docs without the text, with spans (start, end, kind) of the patterns and terms (start, end, disclosure), both by start."""
-    if clash := {"spans", "near", "terms", "_uid"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    docs, restore = guarded(docs, {"_text": text})
+    name, text = text, "_text"
     found = stage(_scanned(docs, text).withColumn("_uid", F.monotonically_increasing_id()), "pii-found")
     near = found.where(F.size("near") > 0).select("_uid", F.explode("near").alias("x")).select("_uid", "x.*")
     listed = revealing(near.select("entity", "term"), docs.select(text), support, generalise)
@@ -166,7 +167,8 @@ def detect(docs: DataFrame, text: str = "text", support: int = SUPPORT, generali
     none = F.array().cast("array<struct<start:int,end:int,disclosure:double>>")
     # only documents with contexts can have terms: the others need no join
     some = found.where(F.size("near") > 0).join(terms, "_uid", "left").withColumn("terms", F.coalesce("terms", none))
-    return some.unionByName(found.where(F.size("near") == 0).withColumn("terms", none)).drop("near", "_uid")
+    every = some.unionByName(found.where(F.size("near") == 0).withColumn("terms", none))
+    return restore(every.withColumn("_text", F.lit(None)), ["spans", "terms"]).drop(name)
 
 
 def _joined(items: str) -> F.Column:
@@ -228,19 +230,18 @@ def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, genera
 
 def _sanitised_by_join(docs: DataFrame, text: str, listed: DataFrame) -> DataFrame:
     """As :func:`sanitise` where the listed pairs are too many to broadcast."""
-    both = docs.withColumn("_text", F.col(text))
-    found = stage(_scanned(both, "_text").withColumn("_uid", F.monotonically_increasing_id()), "pii-found")
+    work, restore = guarded(docs.withColumn("_read", F.col(text)), {"_read": "_read", "text": text})
+    found = stage(_scanned(work, "_read").withColumn("_uid", F.monotonically_increasing_id()), "pii-found")
     near = found.where(F.size("near") > 0).select("_uid", F.explode("near").alias("x")).select("_uid", "x.*")
     flagged = near.join(listed, ["entity", "term"]).groupBy("_uid", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     terms = flagged.groupBy("_uid").agg(F.collect_list(F.struct("start", "end", "disclosure")).alias("terms"))
-    rows = found.where(F.size("spans") > 0).join(terms, "_uid", "left").select(*docs.columns, "spans", "terms")
-    names, at = docs.columns, docs.columns.index(text)
+    rows = found.where(F.size("spans") > 0).join(terms, "_uid", "left").select("text", "_rest", "spans", "terms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, marked = (batch.column(len(names) + k).to_pylist() for k in (0, 1))
-            texts = [cleaned(x, [tuple(s.values()) for s in a], [tuple(t.values()) for t in b or []]) for x, a, b in zip(batch.column(at).to_pylist(), spans, marked, strict=True)]
-            batch = batch.select(names)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            spans, marked = (batch.column(k).to_pylist() for k in (2, 3))
+            texts = [cleaned(x, [tuple(s.values()) for s in a], [tuple(t.values()) for t in b or []]) for x, a, b in zip(batch.column(0).to_pylist(), spans, marked, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(0).type), batch.column(1)], names=["text", "_rest"])
 
-    return rows.mapInArrow(run, docs.schema).unionByName(found.where(F.size("spans") == 0).select(*docs.columns))
+    out = rows.mapInArrow(run, found.select("text", "_rest").schema).unionByName(found.where(F.size("spans") == 0).select("text", "_rest"))
+    return restore(out.withColumn("_read", F.lit(None)), []).drop("_read")

@@ -4,7 +4,7 @@ The filter is a table of blocks of 512 bits in eight words; a URL's hash names i
 in each word. URLs that pass it are joined by value with the list, which removes false positives.
 
 Defined results: a null URL, or one without ``://``, has empty host, path and canonical form, fits no rule and is
-never listed; an empty list allows everything; repeated rows each get their verdict; further columns stay.
+never listed; an empty list allows everything; repeated rows each get their verdict; an empty table gives an empty result; further columns stay, but a result replaces a column of its name.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.llm._columns import guarded
 from riskweave.session import stage
 
 #: Blocks up to which the filter (80 bytes a block) is broadcast; beyond, it is joined by block.
@@ -89,11 +90,13 @@ def flag_listed(df: DataFrame, listed: DataFrame, key: str = "canonical") -> Dat
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, url: str = "url") -> DataFrame:
     """pages with host, path, canonical, rule, maybe, listed and verdict: the longest rule's, else block if listed."""
-    parts = pages.withColumn("host", host(F.col(url))).withColumn("path", path(F.col(url))).withColumn("canonical", canonical(F.col(url)))
+    work, restore = guarded(pages, {"_url": url})
+    parts = work.withColumn("host", host(F.col("_url"))).withColumn("path", path(F.col("_url"))).withColumn("canonical", canonical(F.col("_url")))
     flagged = flag_listed(parts, listed)
     found = longest_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
-    return flagged.withColumn("_found", found).select("*", F.col("_found.rule").alias("rule"), F.coalesce(F.col("_found.verdict"), method).alias("verdict")).drop("_found")
+    judged = flagged.withColumn("_found", found).withColumn("rule", F.col("_found.rule")).withColumn("verdict", F.coalesce(F.col("_found.verdict"), method))
+    return restore(judged, ["host", "path", "canonical", "rule", "maybe", "listed", "verdict"])
 
 
 def canonical_on_hosts(pages: DataFrame, labels: list[str], url: str = "url") -> DataFrame:
