@@ -62,13 +62,14 @@ def catalogue_hits(texts: DataFrame, key: str, column: str, vocabulary: DataFram
 def mentioned(texts: DataFrame, key: str, column: str, terms: DataFrame, least: int = 4) -> DataFrame:
     """texts whose lower-case text holds a term of ``least`` characters or more anywhere, within words too.
 
-    Every run of ``least`` characters of a text is dealt out as a row and met with the terms' first ``least`` characters; what meets is tested.
+    The distinct runs of ``least`` characters of a text are dealt out as rows, without the text, and met with the terms' first ``least`` characters; the few
+    pairs that meet are tested on the text.
     """
     lowered = F.lower(F.coalesce(F.col(column), F.lit("")))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(lowered) - least + 1)), lambda i: F.substring(lowered, i, F.lit(least))))
+    grams = F.array_distinct(F.regexp_extract_all(lowered, F.lit(f"(?s)(?=(.{{{least}}}))"), 1))
     wanted = terms.where(F.length("term") >= least).select(F.lower("term").alias("_t"), F.substring(F.lower("term"), 1, least).alias("_g")).distinct()
-    rows = texts.select(key, lowered.alias("_x"), F.explode(grams).alias("_g"))
-    hits = rows.join(wanted, "_g").where(F.col("_x").contains(F.col("_t"))).select(key).distinct()
+    pairs = texts.select(key, F.explode(grams).alias("_g")).join(wanted, "_g").select(key, "_t").distinct()
+    hits = texts.select(key, lowered.alias("_x")).join(pairs, key).where(F.col("_x").contains(F.col("_t"))).select(key).distinct()
     return texts.join(hits, key, "left_semi")
 
 

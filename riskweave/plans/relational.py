@@ -150,10 +150,10 @@ def joi_13_group_pairs(spark, sf):
     return named.groupBy("cwe_a", "cwe_b").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH m AS (SELECT model, week, round(avg(score), 6) AS v FROM scores GROUP BY 1, 2)
+@query("""WITH m AS (SELECT model, week, round(avg(score), 9) AS v FROM scores GROUP BY 1, 2)
 SELECT a.week, a.model AS model_a, b.model AS model_b, a.v AS a, b.v AS b FROM m a JOIN m b ON a.week = b.week AND a.model < b.model""", ("records", "scores"))
 def joi_14_paired(spark, sf):
-    m = P.long_scores(spark, sf).groupBy("model", "week").agg(F.round(F.avg("score"), 6).alias("v"))
+    m = P.long_scores(spark, sf).groupBy("model", "week").agg(F.round(F.avg("score"), 9).alias("v"))
     return J.paired(m, ["week"], "model", "v")
 
 
@@ -253,7 +253,7 @@ def agg_14_weak_features(spark, sf):
     return A.weak_features(P.records(spark, sf), ["cvss", "kev_flag", "attack_technique_count"])
 
 
-@query(_each(NUMERIC, "round(corr($, label), 6) AS r"))
+@query(_each(NUMERIC, "round(corr($, label), 6) + 0.0 AS r"))
 def agg_15_correlation(spark, sf):
     return A.correlations(P.records(spark, sf), NUMERIC, "label")
 
