@@ -1,9 +1,9 @@
 """Personal data: patterns, and information-theoretic sanitisation of terms that reveal what they match.
 
 Every value that the patterns find (email, ip, card, phone) is a protected entity. Words near an entity (``WINDOW`` on each side, four letters or
-more) are its context. Over the whole corpus, with mentions of entity e, occurrences of term t and their co-occurrences counted, the disclosure of e by t is
-``PMI(e, t) / IC(e) = 1 + log p(e | t) / -log p(e)``: 1 if t stands only near e, 0 if independent. Terms
-seen with the entity in ``SUPPORT`` contexts or more and disclosing ``GENERALISE`` or more are generalised to a placeholder, those at ``REMOVE`` or more removed.
+more) are its context. Over the whole corpus, with contexts of entity e, occurrences of term t, their co-occurrences and all words counted, the disclosure of e by t is
+``PMI(e, t) / IC(e) = 1 + log p(e | t) / -log p(e)``: 1 if t stands only near e, 0 if independent. Terms seen with the entity in ``SUPPORT`` contexts or more that
+point to it more often than not (``p(e | t) >= 1/2``) and disclose ``GENERALISE`` or more are generalised to a placeholder, those at ``REMOVE`` or more removed.
 Terms are taken only from the context of the entity itself, so texts without personal data stay as they are.
 
 Defined results: null texts count as empty, and stay null when sanitised; repeated rows count each time; an empty table gives an empty result; further columns stay, but a result replaces a column of its name.
@@ -117,7 +117,7 @@ def _scanned(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): occurrences in the corpus of the terms, counted over all texts; task by task, words are counted before they are dealt out."""
+    """(term, n): occurrences in the corpus of the terms, and of all words under the null term, counted over all texts; task by task, words are counted before they are dealt out."""
     few = terms.count() <= BROADCAST_TERMS
     known = texts.sparkSession.sparkContext.broadcast(frozenset(terms.toArrow()["term"].to_pylist()) if few else None)
 
@@ -125,9 +125,10 @@ def _term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
         counts: Counter[str] = Counter()
 
         def out():
+            total = counts.total()
             rows = [(h, n) for h, n in ((_hash(w), n) for w, n in counts.items()) if known.value is None or h in known.value]
             counts.clear()
-            return pa.RecordBatch.from_pydict({"term": pa.array([h for h, _ in rows], pa.int64()), "n": pa.array([n for _, n in rows], pa.int64())})
+            return pa.RecordBatch.from_pydict({"term": pa.array([None, *(h for h, _ in rows)], pa.int64()), "n": pa.array([total, *(n for _, n in rows)], pa.int64())})
 
         for batch in batches:
             for value in batch.column(0).to_pylist():
@@ -137,7 +138,9 @@ def _term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
         yield out()
 
     counted = texts.mapInArrow(run, "term bigint, n bigint")
-    return (counted if few else counted.join(terms, "term", "left_semi")).groupBy("term").agg(F.sum("n").alias("n"))
+    if not few:
+        counted = counted.join(terms, "term", "left_semi").unionByName(counted.where("term IS NULL"))
+    return counted.groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def revealing(near: DataFrame, texts: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
@@ -145,14 +148,14 @@ def revealing(near: DataFrame, texts: DataFrame, support: int = SUPPORT, general
     joint = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_joint"))
     joint = stage(joint, "pii-joint")
     entities = joint.groupBy("entity").agg(F.sum("n_joint").alias("n_entity"))
-    total = F.broadcast(joint.agg(F.sum("n_joint").alias("n_all")))  # one row
     often = joint.where(F.col("n_joint") >= support)
-    terms = _term_counts(texts, stage(often.select("term").distinct(), "pii-terms"))
+    terms = stage(_term_counts(texts, stage(often.select("term").distinct(), "pii-terms")), "pii-counts")
+    total = F.broadcast(terms.where("term IS NULL").select(F.col("n").alias("n_all")))  # one row
     rated = often.join(entities, "entity").join(terms, "term").join(total)
-    information = -F.log(F.col("n_entity") / F.col("n_all"))
+    information = -F.log(F.least(F.lit(1.0), F.col("n_entity") / F.greatest("n_all", F.lit(1))))
     given = F.least(F.lit(1.0), F.col("n_joint") / F.greatest("n", "n_joint"))
     disclosure = F.when(information > 0, F.greatest(F.lit(0.0), 1 + F.log(given) / information)).otherwise(F.lit(0.0))
-    return rated.select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise)
+    return rated.where(given >= 0.5).select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
 def detect(docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:

@@ -1,0 +1,345 @@
+"""Each operator against a brute-force version on a small fixture: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
+
+import base64
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from riskweave.llm import ann, bpe, langid, licenses, lm, mixing, neardup, pii, topk, urls
+
+PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, size string, near string, word string, label string"
+WORDS = "the quick brown fox jumps over lazy dogs while seven wizards mix potent brews near old stone bridges".split()
+
+
+def sentence(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) + str(r.randrange(40)) for _ in range(n))
+
+
+def rows():
+    base = sentence(1, 120)
+    words = base.split()
+    near = " ".join(words[:60] + ["changed"] + words[61:])
+    long = sentence(9, 30_000) + " Released under the MIT License."
+    texts = [
+        base, base, near, sentence(2, 80), None, "", "   \n\t", "é漢字🙂 naïve", "!!!", long,
+        "Contact a.b@x.example.com or +1 (555) 123-4567 from 10.0.0.1\nReleased under the MIT License.\ncard 4111 1111 1111 1111",
+        "This work is licensed under the GNU General Public License, version 3.", "one two", "one two",
+    ]
+    out = [(i, t, ["en", "de", None][i % 3], ["a", "b", None][i % 3], len(t or ""), "x", "y", "z", "w", "v") for i, t in enumerate(texts)]
+    return [*out, out[0], (None, "no id here at all today", None, "a", 3, "x", "y", "z", "w", "v")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_bpe_equals_the_reference_library_and_round_trips(docs, none):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = bpe.decode(bpe.encode(docs, PATH, public_tokenizers.PATTERN, offsets=True), PATH, public_tokenizers.PATTERN).collect()
+    assert len(got) == len(rows())
+    for r in got:
+        text = r["text"] or ""
+        assert r["ids"] == own.encode_ordinary(text) and bytes(r["decoded"]) == text.encode() and r["decoded_text"] == text
+        assert r["n_tokens"] == len(r["ids"]) == len(r["starts"])
+        assert not r["ids"] or (r["starts"][0] == 0 and r["ends"][-1] == len(text))
+    digests = {r["doc_id"]: r for r in bpe.digests(bpe.round_trip(docs, PATH, public_tokenizers.PATTERN)).collect()}
+    for i, text, *_ in rows():
+        packed = np.array(own.encode_ordinary(text or ""), "<u4").tobytes()
+        assert digests[i]["ids_sha256"] == hashlib.sha256(packed).hexdigest() and digests[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+    assert bpe.round_trip(none, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_bpe_on_odd_strings():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r, model = random.Random(4), bpe.codec(PATH, public_tokenizers.PATTERN)
+    for _ in range(3000):
+        text = "".join(r.choice(r.choice(["ab ", "a \n", "=-_ ", "01", "\n\t ", "é漢字🙂 ", "*#'s"])) for _ in range(r.randrange(60)))
+        assert model.encode(text).tolist() == own.encode_ordinary(text)
+    with pytest.raises(ValueError):
+        model.decode(np.array([10**6]))
+
+
+def brute_classes(records, similarity=0.8, floor=neardup.FLOOR):
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, text in records:
+        w = pattern.findall((text or "").translate(low))
+        sets.append(collections.Counter([tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []))
+    n = sum(map(bool, sets))
+    df = collections.Counter(k for s in sets for k in s)
+    idf = {k: 1 + math.log((1 + n) / (1 + max(v, floor * n))) for k, v in df.items()}
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j]:
+                common = sum(min(sets[i][k], sets[j][k]) * idf[k] for k in sets[i].keys() & sets[j].keys())
+                total = sum(v * idf[k] for s in (sets[i], sets[j]) for k, v in s.items())
+                if common / (total - common) >= similarity:
+                    parent[root(i)] = root(j)
+    out = collections.defaultdict(list)
+    for i in range(len(sets)):
+        out[root(i)].append(i)
+    return out
+
+
+@pytest.mark.parametrize("small", [neardup.SMALL_BUCKET, 1])
+def test_near_duplicates_equal_all_pairs(spark, docs, none, small, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", small)
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 2 if small == 1 else 256)
+    base = sentence(50, 100).split()
+    chain = [(200 + i, " ".join(base[: 100 - 4 * i] + sentence(60 + i, 4 * i).split())) for i in range(6)]
+    more = spark.createDataFrame(chain, "doc_id long, text string")
+    table = docs.select("doc_id", "text").where("doc_id IS NOT NULL").unionByName(more)
+    records = [(r[0], r[1]) for r in rows() if r[0] is not None] + chain
+    want = {records[i][0]: min(records[k][0] for k in group) for group in brute_classes(records).values() for i in group}
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(table).collect()}
+    assert got == want
+    if small > 1:
+        kept = neardup.deduplicate(docs)
+        assert kept.columns == docs.columns
+        ids = sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None)
+        assert ids == [0, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12]
+        assert neardup.classes(none).count() == 0 and neardup.deduplicate(none).count() == 0
+
+
+def test_consistent_samples_agree_as_often_as_texts_are_similar():
+    r = np.random.default_rng(3)
+    a = np.sort(r.integers(0, 1 << 63, 400).astype(np.uint64))
+    b = np.sort(np.concatenate([a[:300], r.integers(0, 1 << 63, 100).astype(np.uint64)]))
+    w = lambda x: np.ones(len(x), np.float32) * 2
+    sampler = neardup.Sampler(2000)
+    x, y = (sampler.sign(np.zeros(len(s), np.int64), s, w(s), 1)[0] for s in (a, b))
+    assert abs((x == y).mean() - 300 / 500) < 0.05
+
+
+def test_language_of_held_out_texts(spark, none):
+    vocab = {"en": "the and of to in that with", "de": "der die und das nicht ein mit", "fr": "le la les des est une dans", "es": "el los una por que con para"}
+    data = []
+    for i in range(400):
+        lang = list(vocab)[i % 4]
+        r = random.Random(i)
+        data.append((i, " ".join(r.choice(vocab[lang].split()) for _ in range(40)), lang, "s", "k"))
+    data += [(1000, None, "en", "s", "k"), (1001, "12 !?", "en", "s", "k"), (1002, "", None, "s", "k")]
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, score string")
+    got = langid.identify(table).collect()
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1
+        assert r["lang_pred"] == ("und" if r["doc_id"] >= 1000 else r["lang"])
+    assert langid.identify(none).count() == 0
+    alone = langid.identify(table.withColumn("lang", F.lit(None).cast("string"))).select("lang_pred").distinct().collect()
+    assert [r[0] for r in alone] == ["und"]
+
+
+def test_licenses_keep_all_cases(docs, none):
+    got = {r["doc_id"]: r for r in licenses.scan(docs.where("doc_id IS NOT NULL")).collect()}
+    assert got[4]["n_words"] == 0 and got[4]["first_word"] is None and got[4]["labels"] == "" and got[4]["score"] == 0
+    assert got[9]["base_labels"] == "mit" and got[9]["first_word"] == 30_003
+    assert got[11]["base_labels"] == got[11]["labels"] == "gpl" and got[11]["score"] == 1.0
+    assert licenses.scan(docs).count() == len(rows()) and licenses.scan(none).count() == 0
+    assert "word" in licenses.scan(docs).columns
+
+
+def test_license_filters_lose_nothing(spark):
+    words = sorted({w for _, body in licenses.TEMPLATES for w in licenses._tokens(body)}) + ["x", "y", "z"]
+    r = random.Random(5)
+    lines = [" ".join(r.sample(licenses._tokens(body), r.randint(1, len(set(licenses._tokens(body))))) + r.sample(words, 3)) for _, body in licenses.TEMPLATES for _ in range(40)]
+    table = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: (set(filter(None, r["labels"].split(","))) - set(filter(None, r["base_labels"].split(","))), r["score"]) for r in licenses.scan(table).collect()}
+    for i, line in enumerate(lines):
+        held = set(licenses._tokens(line))
+        found = [(label, len(held & set(t)) / len(set(t))) for label, body in licenses.TEMPLATES for t in [licenses._tokens(body)] if len(held & set(t)) >= math.ceil(0.8 * len(set(t)) - 1e-9)]
+        base = {label for p, label in licenses.PHRASES if f" {p} " in " " + " ".join(licenses._tokens(line)) + " "}
+        assert got[i] == ({x for x, _ in found} - base, max([s for _, s in found], default=0.0))
+
+
+def test_mixture_meets_its_targets(docs, none):
+    mixed = mixing.mix(docs).collect()
+    assert len(mixed) == len(rows())
+    by = collections.defaultdict(list)
+    for r in mixed:
+        by[r["source"]].append(r)
+        assert 0 <= r["taken"] <= 2 * len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    for rs in by.values():
+        assert abs(sum(r["taken"] for r in rs) - rs[0]["target"]) <= 1 and rs[0]["target"] <= 2 * rs[0]["source_size"]
+    total = sum(rs[0]["source_size"] for rs in by.values())
+    assert abs(sum(rs[0]["target"] for rs in by.values()) - 1.5 * total) < 1e-6
+    again = sorted(map(str, mixing.mix(docs).select("doc_id", "taken", "starts").collect()))
+    assert again == sorted(str(r) for r in mixing.mix(docs).select("doc_id", "taken", "starts").collect())
+    assert mixing.mix(none).count() == 0
+    order = mixing.training_order(mixing.mix(docs), ["doc_id"]).collect()
+    assert [r["position"] for r in order] == sorted(r["position"] for r in order) and all(0 <= r["position"] <= 1 for r in order)
+
+
+def test_inverted_schedule(spark):
+    t = spark.range(0, 11).select((F.col("id") / 10).alias("y"))
+    for g in (-1.0, -0.5, 0.0, 0.5, 1.0):
+        for r in t.withColumn("t", mixing.inverted(F.col("y"), F.lit(g))).collect():
+            assert abs(r["t"] + g * (r["t"] ** 2 - r["t"]) - r["y"]) < 1e-9
+
+
+@pytest.mark.parametrize("slice_bytes", [lm.SLICE_BYTES, 20_000])
+def test_lm_scores(docs, none, slice_bytes, monkeypatch):
+    monkeypatch.setattr(lm, "SLICE_BYTES", slice_bytes)
+    got = lm.score(docs).collect()
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = [([*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), "\0"], zlib.crc32((str(i) if i is not None else "").encode()) % 7 == 2, i) for i, t, *_ in rows()]
+    ones, twos = collections.Counter(), collections.Counter()
+    for t, out, _ in tokens:
+        if not out:
+            ones.update(t)
+            twos.update(zip(["\0", *t[:-1]], t))
+    n, v = sum(ones.values()), len(ones)
+    want = {}
+    for t, out, i in tokens:
+        base = sum(math.log10((ones[w] + 1) / (n + v + 1)) for w in t)
+        model = 0.0
+        for h, w in zip(["\0", *t[:-1]], t):
+            c = twos[h, w]
+            q = 0 if c < 2 else 1 + int(math.log2(c))
+            k = (2 ** (q - 1) + 2**q - 1) / 2 if q else 0
+            model += math.log10(0.4 * min(1, k / max(1, ones[h])) + 0.6 * (ones[w] + 1) / (n + v + 1))
+        want[i] = (out, len(t), sum(ones[w] > 0 for w in t), n, base, model)
+    assert len(got) == len(rows())
+    for r in got:
+        out, size, known, total, base, model = want[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out, size, known, total)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(model, rel=0.05)
+    assert lm.score(none).count() == 0
+
+
+def test_pii_spans_and_sanitised_texts(docs, none, spark):
+    got = {r["doc_id"]: r for r in pii.digests(pii.detect(docs)).collect()}
+    r = got[10]
+    assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == (1, 1, 1, 1)
+    base = ",".join(f"{k}:{a}:{b}" for a, b, k in pii.find(rows()[10][1]))
+    assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+    assert got[4]["spans"] == "" and got[4]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert len(got) == len({x[0] for x in rows()}) and pii.detect(none).count() == 0
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    for i, text, *_ in rows():
+        assert clean[i] == text or i == 10
+    assert "[EMAIL]" in clean[10] and "[CARD]" in clean[10] and "4111" not in clean[10]
+    assert pii.sanitise(none).count() == 0
+    # a word that stands only near one address gives it away; a word that is everywhere does not
+    texts = [f"zanzibar boss@corp.example.com common word{i}" for i in range(6)] + ["common words only here"] * 30
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cleaned = [r["text"] for r in pii.sanitise(table).where("doc_id < 6").collect()]
+    assert all("zanzibar" not in t and "common" in t for t in cleaned)
+    assert pii.sanitise(table).where("text = 'common words only here'").count() == 30
+
+
+def test_pii_patterns():
+    assert pii.find("x 256.1.1.1 y 1.2.3.4") == [(14, 21, "ip")]
+    assert pii.find("n 4111 1111 1111 1112") == []
+    assert pii.find("call +12345 or +44 (20) 7946-0958") == [(15, 33, "phone")]
+    assert pii.cleaned("ab cd", [(0, 2, "ip")], [(1, 5, 0.9)]) == "[IP]"
+
+
+def vectors(spark, n=260, d=8, seed=2):
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, d)).astype(np.float32) * r.uniform(0.2, 3, (n, 1)).astype(np.float32)
+    x[40:60] = x[40]
+    data = [(i, [float(v) for v in x[i]], 1) for i in range(n)]
+    data += [(9000, None, 1), (9050, [1.0, None] * (d // 2), 1), (9100, [float("nan")] * d, 1), (9150, [float("inf")] * d, 1), (9200, [0.0] * d, 1), (9250, [], 1), data[5]]
+    return spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").repartition(3), data
+
+
+def test_exact_top_k(spark):
+    table, data = vectors(spark)
+    sound = [(i, np.floor(np.array(v, np.float64) * 256)) for i, v, _ in data if v and all(a is not None and math.isfinite(a) for a in v)]
+    got = collections.defaultdict(list)
+    for r in topk.top_k(table, F.col("vec_id") % 50 == 0, 5, 256.0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for i, q in sound:
+        if i % 50 == 0:
+            scores = sorted(((int(q @ v), j) for j, v in sound if j != i), key=lambda s: (-s[0], s[1]))[:5]
+            assert got.pop(i) == [(j, s) for s, j in scores]
+    assert not got
+    assert topk.top_k(table.where("vec_id < 0"), F.col("vec_id") % 50 == 0, 5, 256.0).count() == 0
+    few = topk.top_k(table.where("vec_id IN (0, 1, 2)"), F.col("vec_id") % 50 == 0, 5, 256.0)
+    assert few.count() == 2
+
+
+def test_coordinate_ranges_hold():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        a, b = (x / np.sqrt(x @ x) for x in r.normal(size=(2, 6)))
+        low, high = topk.allowed(a, float(a @ b))
+        assert (b >= low - 1e-9).all() and (b <= high + 1e-9).all()
+
+
+def test_nearest_recall(spark):
+    table, data = vectors(spark, 900, 16)
+    sound = [(i, np.array(v, np.float64)) for i, v, _ in data if v and all(a is not None and math.isfinite(a) for a in v) and any(v)]
+    got = collections.defaultdict(list)
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, 20).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = total = 0
+    for i, q in sound:
+        if i % 20 == 0:
+            scores = {j: float((np.float64(q) * v).sum()) for j, v in sound if j != i}
+            best = sorted(scores, key=lambda j: (-scores[j], j))[:20]
+            hits += len(set(best) & {j for j, _ in got[i]})
+            total += 20
+            assert [s for _, s in got[i]] == sorted((s for _, s in got[i]), reverse=True)
+            assert all(abs(scores[j] - s) < 1e-9 for j, s in got[i])
+    assert hits / total >= 0.9
+    assert ann.nearest(table.where("vec_id < 0"), F.col("vec_id") % 20 == 0, 20).count() == 0
+
+
+def test_walk_visits_pairs_by_sum_of_distances():
+    r = np.random.default_rng(8)
+    a, b = r.random(7), r.random(5)
+    sums = (a[:, None] + b[None]).reshape(-1)
+    order = ann.walk(a, b, np.ones((7, 5), np.int64), 35)
+    assert sorted(order.tolist()) == list(range(35)) and (np.diff(sums[order]) >= -1e-12).all()
+
+
+def test_url_rules_and_list(spark):
+    data = [
+        (1, "https://EXAMPLE.com/en/a"), (2, "https://www.example.com/en/a"), (3, "http://a.b.net/es/x?utm_source=f"), (4, None), (5, "no scheme"), (6, "https://spam-farm.org/p/?ref=x#y"),
+        (7, "http://www.spam-farm.org/p"), (8, "https://x.org/q?b=2&a=1"), (9, "https://com"), (10, "https://com/"), (10, "https://com/"), (11, "https://other.org/p?q=://z"),
+    ]
+    table = spark.createDataFrame([(*r, "h", "r") for r in data], "page_id long, url string, host string, rule string")
+    got = {r["page_id"]: r for r in urls.judge(table, urls.RULES, urls.canonical_on_hosts(table, urls.LABELS)).collect()}
+    want = {1: ("example.com/en/", "block"), 2: ("www.example.com/en/", "allow"), 3: ("net/es/", "block"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "block"), 7: (None, "block"), 8: (None, "allow"), 9: (None, "allow"), 10: ("com/", "allow"), 11: (None, "allow")}
+    assert {i: (r["rule"], r["verdict"]) for i, r in got.items()} == want
+    assert got[8]["canonical"] == "x.org/q?a=1&b=2" and got[4]["host"] == got[4]["path"] == ""
+    judged = urls.judge(table, urls.RULES, urls.canonical_on_hosts(table, urls.LABELS))
+    assert judged.count() == len(data)
+    assert urls.judge(table, urls.RULES, urls.canonical_on_hosts(table.limit(0), urls.LABELS)).where("listed").count() == 0
+    assert urls.judge(table.limit(0), urls.RULES, urls.canonical_on_hosts(table, urls.LABELS)).count() == 0
+
+
+def test_filter_passes_all_listed(spark):
+    listed = spark.range(3000).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("canonical"))
+    asked = spark.range(2000, 8000).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("canonical"))
+    out = urls.flag_listed(asked, listed)
+    row = out.agg(F.count_if("listed"), F.count_if("maybe"), F.count(F.lit(1))).first()
+    assert row[0] == 1000 and 1000 <= row[1] < 1100 and row[2] == 6000
