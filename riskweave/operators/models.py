@@ -46,8 +46,8 @@ def preference_pairs(rows: DataFrame, features: list[str], per_row: int = 8, key
 
 def fit_pairwise(rows: DataFrame, features: list[str], per_row: int = 8, regular: float = 0.01, rounds: int = 30) -> DataFrame:
     """(feature, weight) of a linear ranker fitted on preference pairs."""
-    pairs = VectorAssembler(inputCols=features, outputCol="x").transform(preference_pairs(rows, features, per_row))
-    model = LogisticRegression(featuresCol="x", labelCol="first", weightCol="pair_weight", fitIntercept=False, regParam=regular, maxIter=rounds).fit(pairs)
+    pairs = VectorAssembler(inputCols=features, outputCol="_vector").transform(preference_pairs(rows, features, per_row))
+    model = LogisticRegression(featuresCol="_vector", labelCol="first", weightCol="pair_weight", fitIntercept=False, regParam=regular, maxIter=rounds).fit(pairs)
     return rows.sparkSession.createDataFrame(list(zip(features, map(float, model.coefficients))), "feature string, weight double")
 
 
@@ -59,12 +59,12 @@ def linear_scores(rows: DataFrame, weights: DataFrame, key: str = "cve_id") -> D
 
 def fit_trees(rows: DataFrame, features: list[str], depth: int = 4, rounds: int = 20, step: float = 0.1, seed: int = 7) -> PipelineModel:
     """Boosted regression trees on the label, weighted by confidence."""
-    trees = GBTRegressor(featuresCol="x", labelCol="label", weightCol="weight", predictionCol="score", maxDepth=depth, maxIter=rounds, stepSize=step, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="x"), trees]).fit(rows)
+    trees = GBTRegressor(featuresCol="_vector", labelCol="label", weightCol="weight", predictionCol="score", maxDepth=depth, maxIter=rounds, stepSize=step, seed=seed)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_vector"), trees]).fit(rows)
 
 
 def scored(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).drop("x")
+    return model.transform(rows).drop("_vector")
 
 
 def quality(rows: DataFrame, k: int = 10) -> float:
@@ -104,16 +104,16 @@ def ensemble(train: DataFrame, test: DataFrame, features: list[str], replicas: i
 
 def stacking(wide: DataFrame, models: list[str], kind: str = "ridge", label: str = "label") -> tuple[DataFrame, DataFrame]:
     """Scores of a second-stage model over the models' score columns, and its (model, weight) table."""
-    x = VectorAssembler(inputCols=models, outputCol="x", handleInvalid="skip").transform(wide)
+    x = VectorAssembler(inputCols=models, outputCol="_vector", handleInvalid="skip").transform(wide)
     if kind == "ridge":
-        fitted = LinearRegression(featuresCol="x", labelCol=label, predictionCol="score", regParam=1.0, elasticNetParam=0.0).fit(x)
+        fitted = LinearRegression(featuresCol="_vector", labelCol=label, predictionCol="score", regParam=1.0, elasticNetParam=0.0).fit(x)
         out, weights = fitted.transform(x), fitted.coefficients
     elif kind == "logistic":
         relevant = x.withColumn("_y", (F.col(label) >= 2).cast("double"))
-        fitted = LogisticRegression(featuresCol="x", labelCol="_y").fit(relevant)
+        fitted = LogisticRegression(featuresCol="_vector", labelCol="_y").fit(relevant)
         out, weights = fitted.transform(relevant).withColumn("score", vector_to_array("probability")[1]), fitted.coefficients
     else:
-        fitted = RandomForestRegressor(featuresCol="x", labelCol=label, predictionCol="score", numTrees=100, maxDepth=5, seed=7).fit(x)
+        fitted = RandomForestRegressor(featuresCol="_vector", labelCol=label, predictionCol="score", numTrees=100, maxDepth=5, seed=7).fit(x)
         out, weights = fitted.transform(x), fitted.featureImportances.toArray()
     return out.select("cve_id", "score"), wide.sparkSession.createDataFrame(list(zip(models, map(float, weights))), "model string, weight double")
 

@@ -51,11 +51,11 @@ def exploited_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def exploited_json(spark: SparkSession, path: str) -> DataFrame:
     """(cve_id, date_added) of a dict with ``vulnerabilities`` or a list of entries, in any of three spellings."""
-    entry = "cveID:string,cve_id:string,cveId:string,dateAdded:string,date_added:string"
+    entry = "cveID:string,cve_id:string,cve:string,dateAdded:string,date_added:string"
     raw = spark.read.schema(f"vulnerabilities array<struct<{entry}>>, {entry.replace(':', ' ')}").json(path, multiLine=True)
-    own = F.struct("cveID", "cve_id", "cveId", "dateAdded", "date_added")
+    own = F.struct("cveID", "cve_id", "cve", "dateAdded", "date_added")
     rows = raw.select(F.explode(F.coalesce("vulnerabilities", F.array(own))).alias("v"))
-    return rows.select(F.coalesce("v.cveID", "v.cve_id", "v.cveId").alias("cve_id"), F.to_date(F.coalesce("v.dateAdded", "v.date_added").try_cast("timestamp")).alias("date_added")).where("cve_id IS NOT NULL")
+    return rows.select(F.coalesce("v.cveID", "v.cve_id", "v.cve").alias("cve_id"), F.to_date(F.coalesce("v.dateAdded", "v.date_added").try_cast("timestamp")).alias("date_added")).where("cve_id IS NOT NULL")
 
 
 def techniques(spark: SparkSession, path: str) -> DataFrame:
