@@ -12,18 +12,23 @@ CHUNK_BYTES = 1 << 20
 
 
 def utf8_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts in a row and the n + 1 offsets of the texts; null counts as empty."""
+    """Bytes of all texts in a row and the n + 1 offsets of the texts; null counts as empty. Without a copy where nulls hold no bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string())
-    if column.null_count:
-        column = column.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
-    body = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
-    return body, at - at[0]
+
+    def parts(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        _, offsets, data = array.buffers()
+        at = np.frombuffer(offsets, kind, len(array) + 1, array.offset * np.dtype(kind).itemsize).astype(np.int64)
+        body = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+        return body, at - at[0]
+
+    body, at = parts(column)
+    if column.null_count and np.diff(at)[column.is_null().to_numpy(zero_copy_only=False)].any():
+        body, at = parts(column.fill_null(""))
+    return body, at
 
 
 def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES, most_rows: int = 1 << 14) -> Iterator[tuple[int, int]]:

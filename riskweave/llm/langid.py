@@ -54,7 +54,7 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     fold[list(_text.NON_WORDS)] = np.uint64(32)
     fold[48:58] = np.uint64(32)
     body, offsets = _text.utf8_parts(column)
-    for i, j in _text.chunks(offsets, most_rows=1024):
+    for i, j in _text.chunks(offsets, most=1 << 19, most_rows=256):
         n = j - i
         part = fold[body[offsets[i] : offsets[j]]]
         rows = np.repeat(np.arange(n), np.diff(offsets[i : j + 1]))
@@ -68,7 +68,7 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
             cell = (_text.mix(code[inside], k) % np.uint64(DIMENSIONS)).astype(np.int64)
             at = rows[: len(code)][inside]
             # rows ascend, so a block of rows is a run of cells: no array of all rows times all cells of counts is kept twice
-            step = max(1, (1 << 22) // DIMENSIONS)
+            step = max(1, (1 << 20) // DIMENSIONS)
             for a in range(0, n, step):
                 b = min(n, a + step)
                 low, high = np.searchsorted(at, [a, b])
