@@ -1,10 +1,11 @@
 """Personal data: patterns, and information-theoretic sanitisation of terms that reveal what they match.
 
-Every value that the patterns find (email, ip, card, phone) is a protected entity. Words near an entity (``WINDOW`` on each side, four letters or
-more) are its context. Over the whole corpus, with contexts of entity e, occurrences of term t, their co-occurrences and all words counted, the disclosure of e by t is
-``PMI(e, t) / IC(e) = 1 + log p(e | t) / -log p(e)``: 1 if t stands only near e, 0 if independent. Terms seen with the entity in ``SUPPORT`` contexts or more that
-point to it more often than not (``p(e | t) >= 1/2``) and disclose ``GENERALISE`` or more are generalised to a placeholder, those at ``REMOVE`` or more removed.
-Terms are taken only from the context of the entity itself, so texts without personal data stay as they are.
+Every value that the patterns find (email, ip, card, phone) is a protected entity. Its context is taken twice, over the whole corpus: the words (two letters or
+more) among the ``WINDOW`` on each side of it, and all words of the documents that hold it. With contexts of entity e, occurrences of term t, their co-occurrences and all words counted (by
+document: documents of each, and all documents), the disclosure of e by t is ``PMI(e, t) / IC(e) = 1 + log p(e | t) / -log p(e)``: 1 if t stands only near e, 0 if independent.
+Terms seen with the entity in ``SUPPORT`` contexts or more that point to it more often than not (``p(e | t) >= 1/2``) and disclose ``GENERALISE`` or more by either count are listed. A listed
+term is generalised to a placeholder, at ``REMOVE`` or more removed, wherever it stands, also in texts that do not hold the entity; words that a span covers go with it.
+Texts with neither personal data nor a listed term stay as they are.
 
 Defined results: null texts count as empty, and stay null when sanitised; repeated rows count each time; an empty table gives an empty result; further columns stay, but a result replaces a column of its name.
 """
@@ -12,8 +13,9 @@ Defined results: null texts count as empty, and stay null when sanitised; repeat
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -36,10 +38,10 @@ SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.98
 #: Distinct words that a task counts together.
 GROUP_WORDS = 400_000
-#: Terms, and pairs of entity and term, up to which they are broadcast; more are joined by shuffling.
+#: Terms up to which they are broadcast; more are joined by shuffling.
 BROADCAST_TERMS = 2_000_000
 
-_WORD = re.compile(r"[^\W\d_]{4,}")
+_WORD = re.compile(r"[^\W\d_]{2,}")
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -74,104 +76,173 @@ def _hash(value: str) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def contexts(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the words near each entity that no span covers."""
-    out = []
-    covered = [(a, b) for a, b, _ in spans]
-    for a, b, kind in spans:
-        entity = kind + ":" + re.sub(r"[\s().-]", "", text[a:b].lower())
-        low, high = max(0, a - 40 * WINDOW), min(len(text), b + 40 * WINDOW)
-        before = [m for m in _RUN.finditer(text, low, a)]
-        after = [m for m in _RUN.finditer(text, b, high)]
-        if before and low > 0 and before[0].start() == low:
-            before = before[1:]  # the window may cut this word
-        if after and high < len(text) and after[-1].end() == high:
-            after = after[:-1]
-        for m in [*before[-WINDOW:], *after[:WINDOW]]:
-            if m.end() - m.start() >= 4 and not any(p < m.end() and m.start() < q for p, q in covered):
-                out.append((entity, m[0].lower(), m.start(), m.end()))
-    return out
+def words(text: str) -> list[str]:
+    """The words of two letters or more, lower case."""
+    return _WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in _WORD.findall(text)]
+
+
+def _free(spans: list[tuple[int, int, str]]) -> Callable[[int, int], bool]:
+    """Whether no span covers a part of [start, end)."""
+    starts, ends = [], []
+    for a, b, _ in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
 
+    def free(a: int, b: int) -> bool:
+        i = bisect_left(starts, b)
+        return i == 0 or ends[i - 1] <= a
 
-_FOUND = "spans array<struct<start:int,end:int,kind:string>>, near array<struct<entity:bigint,term:bigint,start:int,end:int>>"
+    return free
+
+
+def contexts(text: str, spans: list[tuple[int, int, str]]) -> tuple[list[tuple[str, str]], set[str], set[str]]:
+    """(entity, term) of the words near each entity, the entities, and the words of the text; without words that a span covers."""
+    near, entities, free = [], set(), _free(spans)
+    runs = [m.span() for m in _RUN.finditer(text)]
+    starts, ends = [a for a, _ in runs], [b for _, b in runs]
+    terms = [text[a:b].lower() if b - a >= 2 and free(a, b) else None for a, b in runs]
+    for a, b, kind in spans:
+        entity = kind + ":" + re.sub(r"[\s().-]", "", text[a:b].lower())
+        entities.add(entity)
+        i, j = bisect_right(ends, a), bisect_left(starts, b)
+        near += [(entity, t) for t in [*terms[max(0, i - WINDOW) : i], *terms[j : j + WINDOW]] if t is not None]
+    return near, entities, {t for t in terms if t is not None}
 
 
-def _scanned(docs: DataFrame, text: str) -> DataFrame:
-    """docs without the text, with spans, near (contexts) and _uid."""
-    at = docs.columns.index(text)
-    kept = [i for i in range(len(docs.columns)) if i != at]
-    schema = T.StructType([docs.schema.fields[i] for i in kept] + T.StructType.fromDDL(_FOUND).fields)
+def _found(texts: DataFrame) -> DataFrame:
+    """(near, entities, words) of the texts that hold an entity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-        nears = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+        pairs = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string())]))
         for batch in batches:
-            spans, near = [], []
-            for value in batch.column(at).to_pylist():
-                found = find(value or "")
-                spans.append([{"start": a, "end": b, "kind": k} for a, b, k in found])
-                near.append([{"entity": _hash(e), "term": _hash(t), "start": a, "end": b} for e, t, a, b in contexts(value, found)] if found else [])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(spans, kinds), pa.array(near, nears)], names=[*(batch.schema.names[i] for i in kept), "spans", "near"])
+            near, entities, held = [], [], []
+            for value in batch.column(0).to_pylist():
+                if spans := find(value or ""):
+                    beside, known, terms = contexts(value, spans)
+                    near.append([{"entity": _hash(e), "term": t} for e, t in beside])
+                    entities.append([_hash(e) for e in known])
+                    held.append(list(terms))
+            yield pa.RecordBatch.from_arrays([pa.array(near, pairs), pa.array(entities, pa.list_(pa.int64())), pa.array(held, pa.list_(pa.string()))], names=["near", "entities", "words"])
 
-    return docs.mapInArrow(run, schema)
+    return texts.mapInArrow(run, "near array<struct<entity:bigint,term:string>>, entities array<bigint>, words array<string>")
 
 
 def _term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): occurrences in the corpus of the terms, and of all words under the null term, counted over all texts; task by task, words are counted before they are dealt out."""
+    """(term, n, docs): occurrences of the terms and documents that hold them, and of all words and all documents under the null term, counted over all texts."""
     few = terms.count() <= BROADCAST_TERMS
     known = texts.sparkSession.sparkContext.broadcast(frozenset(terms.toArrow()["term"].to_pylist()) if few else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
+        docs: Counter[str] = Counter()
+        total, rows, wanted = 0, 0, known.value
 
         def out():
-            total = counts.total()
-            rows = [(h, n) for h, n in ((_hash(w), n) for w, n in counts.items()) if known.value is None or h in known.value]
+            made = pa.RecordBatch.from_pydict({"term": pa.array([None, *counts], pa.string()), "n": pa.array([total, *counts.values()], pa.int64()), "docs": pa.array([rows, *(docs[w] for w in counts)], pa.int64())})
             counts.clear()
-            return pa.RecordBatch.from_pydict({"term": pa.array([None, *(h for h, _ in rows)], pa.int64()), "n": pa.array([total, *(n for _, n in rows)], pa.int64())})
+            docs.clear()
+            return made
 
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                counts.update(_WORD.findall((value or "").lower()))
+                found = words(value or "")
+                total, rows = total + len(found), rows + 1
+                held = set(found) if wanted is None else wanted.intersection(found)
+                if held:
+                    docs.update(held)
+                    counts.update(found if wanted is None else [w for w in found if w in held])
                 if len(counts) > GROUP_WORDS:
                     yield out()
+                    total = rows = 0
         yield out()
 
-    counted = texts.mapInArrow(run, "term bigint, n bigint")
+    counted = texts.mapInArrow(run, "term string, n bigint, docs bigint")
     if not few:
         counted = counted.join(terms, "term", "left_semi").unionByName(counted.where("term IS NULL"))
-    return counted.groupBy("term").agg(F.sum("n").alias("n"))
-
-
-def revealing(near: DataFrame, texts: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, disclosure) of the terms that reveal an entity, from (entity, term) co-occurrences and all texts."""
-    joint = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_joint"))
-    joint = stage(joint, "pii-joint")
-    entities = joint.groupBy("entity").agg(F.sum("n_joint").alias("n_entity"))
-    often = joint.where(F.col("n_joint") >= support)
-    terms = stage(_term_counts(texts, stage(often.select("term").distinct(), "pii-terms")), "pii-counts")
-    total = F.broadcast(terms.where("term IS NULL").select(F.col("n").alias("n_all")))  # one row
-    rated = often.join(entities, "entity").join(terms, "term").join(total)
-    information = -F.log(F.least(F.lit(1.0), F.col("n_entity") / F.greatest("n_all", F.lit(1))))
-    given = F.least(F.lit(1.0), F.col("n_joint") / F.greatest("n", "n_joint"))
+    return counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def revealing(texts: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """(term, disclosure) of the terms of all texts (one column) that reveal an entity."""
+    found = stage(_found(texts), "pii-found")
+    near = stage(found.select(F.explode("near").alias("x")).select("x.*").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint")), "pii-near")
+    beside = near.groupBy("entity").agg(F.sum("joint").alias("n_entity"))
+    # a pair in that many documents needs an entity in as many: the others' documents are not spread out
+    holding = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
+    within = found.select("words", F.explode("entities").alias("entity")).join(holding, "entity", "left_semi").select("entity", F.explode("words").alias("term"))
+    within = within.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint")).where(F.col("joint") >= support)
+    often = near.where(F.col("joint") >= support).join(beside, "entity").withColumn("by", F.lit("n")).unionByName(within.join(holding, "entity").withColumn("by", F.lit("docs")))
+    often = stage(often, "pii-joint")
+    counts = stage(_term_counts(texts, stage(often.select("term").distinct(), "pii-terms")), "pii-counts")
+    total = F.broadcast(counts.where("term IS NULL").select(F.col("n").alias("n_all"), F.col("docs").alias("docs_all")))  # one row
+    rated = often.join(counts, "term").join(total)
+    by_words = F.col("by") == "n"
+    of, whole = F.when(by_words, F.col("n")).otherwise(F.col("docs")), F.when(by_words, F.col("n_all")).otherwise(F.col("docs_all"))
+    information = -F.log(F.least(F.lit(1.0), F.col("n_entity") / F.greatest(whole, F.lit(1))))
+    given = F.least(F.lit(1.0), F.col("joint") / F.greatest(of, "joint"))
     disclosure = F.when(information > 0, F.greatest(F.lit(0.0), 1 + F.log(given) / information)).otherwise(F.lit(0.0))
-    return rated.where(given >= 0.5).select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise)
+    return rated.where(given >= 0.5).select("term", disclosure.alias("disclosure")).where(F.col("disclosure") >= generalise).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def marked(text: str, spans: list[tuple[int, int, str]], known: dict[str, float]) -> list[tuple[int, int, float]]:
+    """(start, end, disclosure) of the listed terms wherever they stand in the text, but not where a span covers them."""
+    if not known or known.keys().isdisjoint(words(text)):
+        return []
+    free = _free(spans)
+    return [(m.start(), m.end(), known[w]) for m in _WORD.finditer(text) if (w := m[0].lower()) in known and free(*m.span())]
+
+
+def _with_known(work: DataFrame, listed: DataFrame) -> DataFrame:
+    """work (_text, ...) with _known, the listed terms that its text holds; for lists that are too long to broadcast."""
+    rows = stage(work.withColumn("_uid", F.monotonically_increasing_id()), "pii-rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held := list(set(words(value or ""))):
+                    yield pa.RecordBatch.from_pydict({"_uid": pa.array([uid] * len(held), pa.int64()), "term": pa.array(held, pa.string())})
+
+    held = rows.select("_uid", "_text").mapInArrow(run, "_uid bigint, term string").join(listed, "term")
+    known = held.groupBy("_uid").agg(F.collect_list(F.struct("term", "disclosure")).alias("_known"))
+    return rows.join(known, "_uid", "left").drop("_uid")
+
+
+def _applied(work: DataFrame, support: int, generalise: float, make: Callable[[list[tuple]], list[pa.Array]], fields: list[T.StructField]) -> DataFrame:
+    """_rest, and ``fields``: what ``make`` gives of (text, spans, terms) of a batch of work (_text, _rest)."""
+    texts = work.select("_text")
+    listed = stage(revealing(texts, support, generalise), "pii-listed")
+    few = listed.count() <= BROADCAST_TERMS
+    pairs = listed.toArrow() if few else None
+    known = work.sparkSession.sparkContext.broadcast(dict(zip(pairs["term"].to_pylist(), pairs["disclosure"].to_pylist())) if few else None)
+    rows = work.select("_text", "_rest") if few else _with_known(work, listed).select("_text", "_rest", "_known")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(0).to_pylist()
+            lists = [known.value] * len(values) if few else [{x["term"]: x["disclosure"] for x in k or []} for k in batch.column(2).to_pylist()]
+            spans = [find(x or "") for x in values]
+            terms = [marked(x or "", a, k) for x, a, k in zip(values, spans, lists, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *make(list(zip(values, spans, terms)))], names=["_rest", *(f.name for f in fields)])
+
+    return rows.mapInArrow(run, T.StructType([work.schema["_rest"], *fields]))
 
 
 def detect(docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """docs without the text, with spans (start, end, kind) of the patterns and terms (start, end, disclosure), both by start."""
-    docs, restore = guarded(docs, {"_text": text})
-    name, text = text, "_text"
-    found = stage(_scanned(docs, text).withColumn("_uid", F.monotonically_increasing_id()), "pii-found")
-    near = found.where(F.size("near") > 0).select("_uid", F.explode("near").alias("x")).select("_uid", "x.*")
-    listed = revealing(near.select("entity", "term"), docs.select(text), support, generalise)
-    flagged = near.join(listed, ["entity", "term"]).groupBy("_uid", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    terms = flagged.groupBy("_uid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
-    none = F.array().cast("array<struct<start:int,end:int,disclosure:double>>")
-    # only documents with contexts can have terms: the others need no join
-    some = found.where(F.size("near") > 0).join(terms, "_uid", "left").withColumn("terms", F.coalesce("terms", none))
-    every = some.unionByName(found.where(F.size("near") == 0).withColumn("terms", none))
-    return restore(every.withColumn("_text", F.lit(None)), ["spans", "terms"]).drop(name)
+    work, restore = guarded(docs, {"_text": text})
+
+    def make(rows: list[tuple]) -> list[pa.Array]:
+        spans = [[{"start": a, "end": b, "kind": k} for a, b, k in s] for _, s, _ in rows]
+        terms = [[{"start": a, "end": b, "disclosure": d} for a, b, d in t] for _, _, t in rows]
+        place = [("start", pa.int32()), ("end", pa.int32())]
+        return [pa.array(spans, pa.list_(pa.struct([*place, ("kind", pa.string())]))), pa.array(terms, pa.list_(pa.struct([*place, ("disclosure", pa.float64())])))]
+
+    fields = T.StructType.fromDDL("spans array<struct<start:int,end:int,kind:string>>, terms array<struct<start:int,end:int,disclosure:double>>").fields
+    found = _applied(work, support, generalise, make, fields)
+    return restore(found.withColumn("_text", F.lit(None)), ["spans", "terms"]).drop(text)
 
 
 def _joined(items: str) -> F.Column:
@@ -205,46 +276,11 @@ def cleaned(text: str, spans: list[tuple[int, int, str]], terms: list[tuple[int,
 
 
 def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """docs with personal data and the terms that reveal it replaced in the text; texts without personal data stay as they are."""
-    at = docs.columns.index(text)
-    near = stage(_scanned(docs.select(text), text).select(F.explode("near").alias("x")).select("x.entity", "x.term"), "pii-near")
-    listed = stage(revealing(near, docs.select(text), support, generalise), "pii-listed")
-    if listed.count() > BROADCAST_TERMS:
-        return _sanitised_by_join(docs, text, listed)
-    pairs = listed.toArrow()
-    known = docs.sparkSession.sparkContext.broadcast(dict(zip(zip(pairs["entity"].to_pylist(), pairs["term"].to_pylist()), pairs["disclosure"].to_pylist())))
-
-    def clean(value: str | None) -> str | None:
-        found = find(value) if value else []
-        if not found:
-            return value
-        hits = {}
-        for e, t, a, b in contexts(value, found):
-            if (d := known.value.get((_hash(e), _hash(t)))) is not None:
-                hits[a, b] = max(d, hits.get((a, b), 0))
-        return cleaned(value, found, [(a, b, d) for (a, b), d in hits.items()])
+    """docs with personal data, and the terms that reveal it in any text, replaced; texts with neither stay as they are."""
+    work, restore = guarded(docs, {"_text": text})
+    field = work.schema["_text"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.set_column(at, batch.schema.field(at), pa.array([clean(x) for x in batch.column(at).to_pylist()], batch.schema.field(at).type))
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def _sanitised_by_join(docs: DataFrame, text: str, listed: DataFrame) -> DataFrame:
-    """As :func:`sanitise` where the listed pairs are too many to broadcast."""
-    work, restore = guarded(docs.withColumn("_read", F.col(text)), {"_read": "_read", "text": text})
-    found = stage(_scanned(work, "_read").withColumn("_uid", F.monotonically_increasing_id()), "pii-found")
-    near = found.where(F.size("near") > 0).select("_uid", F.explode("near").alias("x")).select("_uid", "x.*")
-    flagged = near.join(listed, ["entity", "term"]).groupBy("_uid", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    terms = flagged.groupBy("_uid").agg(F.collect_list(F.struct("start", "end", "disclosure")).alias("terms"))
-    rows = found.where(F.size("spans") > 0).join(terms, "_uid", "left").select("text", "_rest", "spans", "terms")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, marked = (batch.column(k).to_pylist() for k in (2, 3))
-            texts = [cleaned(x, [tuple(s.values()) for s in a], [tuple(t.values()) for t in b or []]) for x, a, b in zip(batch.column(0).to_pylist(), spans, marked, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(0).type), batch.column(1)], names=["text", "_rest"])
+    def make(rows: list[tuple]) -> list[pa.Array]:
+        return [pa.array([cleaned(x, s, t) if s or t else x for x, s, t in rows], pa.string())]
 
-    out = rows.mapInArrow(run, found.select("text", "_rest").schema).unionByName(found.where(F.size("spans") == 0).select("text", "_rest"))
-    return restore(out.withColumn("_read", F.lit(None)), []).drop("_read")
+    return restore(_applied(work, support, generalise, make, [field]), [])

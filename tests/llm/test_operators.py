@@ -254,6 +254,22 @@ def test_pii_spans_and_sanitised_texts(docs, none, spark):
     assert pii.sanitise(table).where("text = 'common words only here'").count() == 30
 
 
+@pytest.mark.parametrize("broadcast", [pii.BROADCAST_TERMS, 0])
+def test_pii_terms_go_wherever_they_stand(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", broadcast)
+    far = " ".join(["filler"] * 10)
+    texts = [f"zanzibar Li boss@corp.example.com {far} and Zanzibar again {far} quokka word{i}" for i in range(6)]
+    texts += ["we met ZANZIBAR, and Li too", "a quokka alone"] + [f"{far} again and word"] * 30 + [None, ""]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(table).collect()}
+    for i in range(6):  # beside the address, far from it, and by document alone
+        assert not re.search("zanzibar|quokka|\\bLi\\b", clean[i], re.I) and clean[i].count("filler") == 20
+    assert not re.search("zanzibar|\\bLi\\b", clean[6], re.I) and clean[6].startswith("we met ") and "quokka" not in clean[7] and clean[7].endswith("alone")
+    assert all(clean[i] == texts[i] for i in range(8, len(texts)))
+    found = {r["doc_id"]: [(t["start"], t["end"]) for t in r["terms"]] for r in pii.detect(table).collect()}
+    assert found[6] == [(7, 15), (21, 23)] and found[7] == [(2, 8)] and not any(found[i] for i in range(8, len(texts)))
+
+
 def test_pii_patterns():
     assert pii.find("x 256.1.1.1 y 1.2.3.4") == [(14, 21, "ip")]
     assert pii.find("n 4111 1111 1111 1112") == []
