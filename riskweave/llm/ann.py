@@ -128,7 +128,8 @@ def _meet(q: dict, x: dict, best: Best) -> None:
         who = np.flatnonzero(asked[:, cells[a]])
         if len(who):
             scores[who, a:b] = queries[who] @ rows[a:b].T
-    k = min(best.k + 1, len(rows))
+    scores[best.ids[:, None] == ids[None]] = -np.inf  # own rows, however many, take no place
+    k = min(best.k, len(rows))
     least = np.maximum(best.score[:, -1], np.partition(scores, -k, axis=1)[:, -k])
     slack = 1e-9 * np.sqrt((queries * queries).sum(1)) * np.sqrt((rows * rows).sum(1).max())
     for i in range(len(queries)):

@@ -329,6 +329,17 @@ def test_nearest_recall(spark):
     assert ann.nearest(table.where("vec_id < 0"), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+@pytest.mark.parametrize("copies", [2, 50])
+def test_nearest_of_repeated_queries(spark, copies):
+    x = np.random.default_rng(6).normal(size=(100, 8))
+    data = [(i, [float(v) for v in x[i]]) for i in range(100)]
+    table = spark.createDataFrame([(0, [float(v) for v in 9 * x[0]])] * copies + data[1:], "vec_id long, embedding array<float>")
+    scores = x @ (9 * x[0])
+    want = sorted(range(1, 100), key=lambda j: -scores[j])[:20]
+    got = collections.Counter(r["vec_id"] for r in ann.nearest(table, F.col("vec_id") == 0, 20, share=1.0).collect())
+    assert got == {j: copies for j in want}
+
+
 def test_walk_visits_pairs_by_sum_of_distances():
     r = np.random.default_rng(8)
     a, b = r.random(7), r.random(5)
