@@ -3,7 +3,7 @@
 A linear one-versus-rest support vector machine on hashed byte n-grams first names the language family; within the family, one-versus-one linear machines
 decide between each pair of its languages by votes, ties by the sum of margins. Families with one language need no second step.
 
-Training takes a bounded sample: of each language the ``per_language`` rows with the least hash of their id (SAMPLE rows in all, the LANGUAGES most frequent), whole texts. Only text and lang
+Training takes a bounded sample: of each language the ``per_language`` rows with the least hash of their id and text (SAMPLE rows in all, the LANGUAGES most frequent), whole texts. Only text and lang
 of rows outside the held-out fold are read for it. Prediction sees the text alone.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; so is everything if no row can be learned from;
@@ -153,16 +153,17 @@ class Model:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "_key", per_language: int = PER_LANGUAGE) -> Model | None:
     """A model of a bounded sample of (key, text, lang): at most per_language rows of each language come together."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.md5(key).alias("_order"))
-    # the least hashes of a language: about twice as many as wanted pass, by a bound from its count, before rows are ranked
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.md5(F.concat(F.length(key).cast("string"), F.lit(":"), F.col(key), F.col(text))).alias("_order"))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return None
     per_language = max(1, min(per_language, SAMPLE // len(counts)))
-    counts = rows.sparkSession.createDataFrame(counts, "lang string, _n bigint")
-    share = F.conv(F.substring("_order", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    some = rows.join(F.broadcast(counts), "lang").where(share * F.col("_n") <= F.lit(2 * per_language + 50))
+    known = rows.sparkSession.createDataFrame([(r["lang"],) for r in counts], "lang string")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_order"))
+    # the last of the least hashes of a language is found without the texts; equal rows have equal hashes, so rows are ranked again
+    hashes = rows.select("lang", "_order").join(F.broadcast(known), "lang").withColumn("_rank", rank).where(F.col("_rank") <= per_language)
+    last = hashes.groupBy("lang").agg(F.max("_order").alias("_last"))
+    some = rows.join(F.broadcast(last), "lang").where(F.col("_order") <= F.col("_last")).select("lang", "text", "_order")
     sample = some.withColumn("_rank", rank).where(F.col("_rank") <= per_language).drop("_rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

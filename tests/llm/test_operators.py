@@ -156,6 +156,15 @@ def test_language_of_held_out_texts(spark, none):
     assert [r[0] for r in alone] == ["und"]
 
 
+def test_languages_are_learned_from_rows_without_ids(spark):
+    vocab = {"en": "the and of to in that with", "de": "der die und das nicht ein mit"}
+    for distinct in (True, False):  # texts apart, and all rows of a language alike
+        data = [(None, vocab[lang] + (f" {vocab[lang].split()[i % 7]} {i}" if distinct else ""), lang) for lang in vocab for i in range(400)]
+        table = spark.createDataFrame(data, "doc_id long, text string, lang string")
+        got = langid.identify(table, folds=7, fold=3, per_language=20).select("lang", "lang_pred", "held_out").collect()
+        assert len(got) == 800 and all(r["lang_pred"] == r["lang"] and not r["held_out"] for r in got)
+
+
 def test_licenses_keep_all_cases(docs, none):
     got = {r["doc_id"]: r for r in licenses.scan(docs.where("doc_id IS NOT NULL")).collect()}
     assert got[4]["n_words"] == 0 and got[4]["first_word"] is None and got[4]["labels"] == "" and got[4]["score"] == 0
