@@ -1,6 +1,8 @@
 """License scan: phrase positions, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line. A template is found in a block when the block holds at least ``threshold`` of the
+A block is a line of up to a window of words, or a window of the text's words, whatever its lines: windows are twice as long as the longest ``SPREAD`` of a template
+(1.5 times its words) and step by half, so that no statement of this spread is cut, wherever lines break. In a window the common words must stand within the template's spread.
+A template is found in a block when the block holds at least ``threshold`` of the
 template's distinct words. Words are ordered by the number of blocks that hold them over the whole corpus, rarest
 first. A template needs ``need = ceil(threshold * size)`` common words, so
 one of its first ``size - need + 1`` words must be among the block's first ``n - need + 1`` template words (prefix filter); blocks
@@ -33,6 +35,8 @@ TEMPLATES = [
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
 ]
+#: Words that a statement may take in a window, by words of its template.
+SPREAD = 1.5
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LINE = r"\n"
 
@@ -50,10 +54,15 @@ def _split(text: Column) -> Column:
     return F.filter(F.split(text, _SEPARATORS), lambda w: w != "")
 
 
-def _held(text: Column, known: Column, least: int) -> Column:
-    """(line, its template words) of the lines that the length filter leaves: those with as many template words as some template needs."""
-    blocks = F.transform(F.split(_lowered(text), _LINE), lambda line, i: F.struct(i.alias("line"), F.array_intersect(_split(line), known).alias("_held")))
-    return F.filter(blocks, lambda b: F.size(b["_held"]) >= least)
+def _held(text: Column, words: Column, known: Column, least: int, spread: int) -> Column:
+    """(line, its template words, null) of the lines, and (null, its template words, all its words) of the windows, that the length filter leaves: those with as many template words as some template needs."""
+    none = F.lit(None).cast("array<string>")
+    lines = F.filter(F.transform(F.split(_lowered(text), _LINE), lambda line, i: F.struct(i.alias("line"), _split(line).alias("run"))), lambda b: F.size(b["run"]) <= 2 * spread)
+    lines = F.transform(lines, lambda b: F.struct(b["line"].alias("line"), F.array_intersect(b["run"], known).alias("_held"), none.alias("run")))
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words)), F.lit(spread)), lambda i: F.slice(words, i, 2 * spread))
+    windows = F.transform(windows, lambda w: F.struct(F.lit(None).cast("int").alias("line"), F.array_intersect(w, known).alias("_held"), w.alias("run")))
+    blocks = F.filter(F.concat(lines, windows), lambda b: F.size(b["_held"]) >= least)
+    return F.when(F.size(F.array_intersect(words, known)) >= least, blocks).otherwise(F.array().cast("array<struct<line:int,_held:array<string>,run:array<string>>>"))
 
 
 def places(words: Column, phrase: list[str]) -> Column:
@@ -76,27 +85,28 @@ def order_words(blocks: DataFrame, vocabulary: list[str]) -> list[str]:
 
 
 def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, phrases: list[tuple[str, str]] = PHRASES, threshold: float = 0.8) -> DataFrame:
-    """docs without the text, with n_words, n_base, first_word, last_word, base_labels, found (templates: label, line, score), labels, score."""
+    """docs without the text, with n_words, n_base, first_word, last_word, base_labels, found (templates: label, line or null for a window, score), labels, score."""
     spark = docs.sparkSession
     sets = [(k, label, sorted(set(_tokens(body)))) for k, (label, body) in enumerate(templates)]
     needs = [math.ceil(threshold * len(words) - 1e-9) for _, _, words in sets]
     least = min(needs)
+    spreads = [max(len(words), math.ceil(SPREAD * len(_tokens(body)))) for (_, body), (_, _, words) in zip(templates, sets, strict=True)]
     vocabulary = sorted({w for _, _, words in sets for w in words})
     known = F.array(*map(F.lit, vocabulary))
 
-    order = order_words(docs.select(F.explode(_held(F.col(text), known, least)).alias("b")).select("b._held"), vocabulary)
+    order = order_words(docs.select(F.col(text).alias("_text")).withColumn("_words", _split(_lowered(F.col("_text")))).select(F.explode(_held(F.col("_text"), F.col("_words"), known, least, max(spreads))).alias("b")).select("b._held"), vocabulary)
     place = {w: i for i, w in enumerate(order)}
 
     ordered = F.array(*map(F.lit, order))
     prefixes = []
-    for (k, label, words), need in zip(sets, needs, strict=True):
+    for (k, label, words), need, spread in zip(sets, needs, spreads, strict=True):
         mine = sorted(words, key=place.get)
-        prefixes += [(mine[i], k, label, len(mine), need, i + 1, mine) for i in range(len(mine) - need + 1)]
+        prefixes += [(mine[i], k, label, len(mine), need, i + 1, spread, mine) for i in range(len(mine) - need + 1)]
     # one row for each prefix word of each template: bounded by the templates, which are given
-    index = F.broadcast(spark.createDataFrame(prefixes, "word string, template int, label string, size int, need int, at_template int, words array<string>"))
+    index = F.broadcast(spark.createDataFrame(prefixes, "word string, template int, label string, size int, need int, at_template int, spread int, words array<string>"))
 
     work, restore = guarded(docs, {"_text": text})
-    lowered, held = _lowered(F.col("_text")), _held(F.col("_text"), known, least)
+    lowered, held = _lowered(F.col("_text")), _held(F.col("_text"), F.col("_words"), known, least, max(spreads))
     words = _split(lowered)
     starts = F.flatten(F.array(*[places(F.col("_words"), p.split(" ")) for p, _ in phrases]))
     base = (
@@ -117,13 +127,15 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     )
     keys = ["_row", "_rest", "n_words", "n_base", "first_word", "last_word", "_base"]
     # rarest first: array_intersect keeps the order of its first argument
-    block = base.select(*keys, F.explode_outer("_blocks").alias("_b")).select(*keys, F.col("_b.line").alias("line"), F.array_intersect(ordered, F.col("_b._held")).alias("_held"))
+    block = base.select(*keys, F.explode_outer("_blocks").alias("_b")).select(*keys, F.col("_b.line").alias("line"), F.array_intersect(ordered, F.col("_b._held")).alias("_held"), F.col("_b.run").alias("run"))
     prefix = F.slice(F.col("_held"), 1, F.greatest(F.lit(1), F.size("_held") - least + 1))
-    probes = block.select(*keys, "line", "_held", F.posexplode_outer(prefix).alias("at_block", "word"))
+    probes = block.select(*keys, "line", "_held", "run", F.posexplode_outer(prefix).alias("at_block", "word"))
     pairs = probes.join(index, "word", "left")
     n, j = F.size("_held"), F.col("at_block") + 1
     passes = (j <= n - F.col("need") + 1) & (n >= F.col("need")) & (1 + F.least(F.col("size") - F.col("at_template"), n - j) >= F.col("need"))
-    common = F.size(F.array_intersect("words", "_held"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("run") - F.col("spread") + 1))
+    within = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.col("words"), F.slice(F.col("run"), i, F.col("spread"))))))
+    common = F.when(F.size(F.array_intersect("words", "_held")) < F.col("need"), F.lit(0)).when(F.col("run").isNull(), F.size(F.array_intersect("words", "_held"))).otherwise(within)
     verified = F.when(passes & (common >= F.col("need")), F.struct("label", "line", (common / F.col("size")).alias("score")))
     rests = [c for c in keys if c not in ("_row", "_rest")]
     out = pairs.groupBy("_row", *rests).agg(F.first("_rest").alias("_rest"), F.array_sort(F.collect_set(verified)).alias("found"))

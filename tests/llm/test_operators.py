@@ -187,6 +187,19 @@ def test_license_filters_lose_nothing(spark):
         assert got[i] == ({x for x, _ in found} - base, max([s for _, s in found], default=0.0))
 
 
+def test_licenses_in_wrapped_and_long_lines(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the Software), to deal"
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions"
+    gap = " ".join(f"w{i}" for i in range(70))
+    scattered = f" {gap} ".join("released under mit notlicense license".split())
+    inside = [f"{' '.join(['x'] * n)} {licenses.TEMPLATES[4][1]} {gap}" for n in range(60, 130)]
+    texts = [mit, bsd, scattered, *inside]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(table).collect()}
+    assert got[0] == ("mit", 1.0) and got[1] == ("bsd", 1.0) and got[2] == ("", 0.0)
+    assert all(got[i] == ("bsd", 1.0) for i in range(3, len(texts)))
+
+
 def test_mixture_meets_its_targets(docs, none):
     mixed = mixing.mix(docs).collect()
     assert len(mixed) == len(rows())
