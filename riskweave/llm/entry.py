@@ -47,7 +47,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    scored = lm.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_count=1)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

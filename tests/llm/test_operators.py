@@ -255,6 +255,25 @@ def test_lm_scores(docs, none, slice_bytes, monkeypatch):
     assert lm.score(none).count() == 0
 
 
+def test_lm_query_knows_bigrams_seen_once(spark, tmp_path):
+    from riskweave.llm import entry
+
+    texts = ["a b c d", "a c b d", "b a d c", "d c b a"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tokens = {i: ([*t.split(), "\0"], zlib.crc32(str(i).encode()) % 7 == 2) for i, t in enumerate(texts)}
+    ones, twos = collections.Counter(), collections.Counter()
+    for t, out in tokens.values():
+        if not out:
+            ones.update(t)
+            twos.update(zip(["\0", *t[:-1]], t))
+    n, v = sum(ones.values()), len(ones)
+    middle = {0: 0, 1: 1, 2: 2.5, 3: 2.5}
+    for r in entry.op8_lm_scores(spark, str(tmp_path)).collect():
+        t = tokens[r["doc_id"]][0]
+        want = sum(math.log10(0.4 * min(1, middle[twos[h, w]] / max(1, ones[h])) + 0.6 * (ones[w] + 1) / (n + v + 1)) for h, w in zip(["\0", *t[:-1]], t))
+        assert r["score"] == pytest.approx(want, rel=0.05)
+
+
 def test_pii_spans_and_sanitised_texts(docs, none, spark):
     got = {r["doc_id"]: r for r in pii.digests(pii.detect(docs)).collect()}
     r = got[10]
