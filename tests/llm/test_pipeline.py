@@ -1,7 +1,7 @@
 """The pipeline's stages on the operators' fixture."""
 
 import corpus_pipeline
-from test_operators import DOCS, rows
+from test_llm_operators import DOCS, rows
 
 from riskweave.session import stage
 
