@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once; bounds the temporary arrays (about 60 bytes for each byte of text).
+#: Bytes of text handled at once, and bytes of words hashed at once. A longer text stands alone; beside its words' arrays (about 60 bytes a word) it takes
+#: a few bytes for each of its own, not the 40 of a piece.
 CHUNK_BYTES = 1 << 20
+PIECE_BYTES = 1 << 20
 
 
 def utf8_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +60,8 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 class WordTable:
     """Which bytes belong to words, their folded value, and the random tables of the word hash."""
 
+    BLOCK = 4096
+
     def __init__(self, separators: bytes):
         fold = np.arange(256, dtype=np.uint8)
         fold[65:91] += 32
@@ -66,7 +70,7 @@ class WordTable:
         random = np.random.default_rng(20240229)
         table = random.integers(0, 1 << 64, 256, dtype=np.uint64)
         self.value = table[fold]
-        powers = random.integers(0, 1 << 64, 4096, dtype=np.uint64) | np.uint64(1)
+        powers = random.integers(0, 1 << 64, self.BLOCK, dtype=np.uint64) | np.uint64(1)
         self.power = powers
 
     def words(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -87,15 +91,37 @@ class WordTable:
         after[:-1] = inside[1:]
         after[edges - 1] = False
         ends = np.flatnonzero(inside & ~after) + 1
+        rows = np.searchsorted(offsets, starts, "right") - 1
+        return self._hashes(body, starts, ends), rows, starts, ends
+
+    def _hashes(self, body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the words, which are sums over their bytes: taken a piece of about PIECE_BYTES at a time, within long words too."""
         length = ends - starts
-        at = np.flatnonzero(inside)
-        first = np.cumsum(length) - length
-        place = np.arange(len(at)) - np.repeat(first, length)
+        upto = np.cumsum(length)
+        out = np.zeros(len(starts), np.uint64)
+        i = 0
         with np.errstate(over="ignore"):
-            parts = self.value[body[at]] * self.power[place & 4095]
-            hashes = _mixed(np.add.reduceat(parts, first) + length.astype(np.uint64))
-        rows = np.searchsorted(offsets, starts, "right") - 1
-        return hashes, rows, starts, ends
+            while i < len(starts):
+                j = max(i + 1, int(np.searchsorted(upto, upto[i] - length[i] + PIECE_BYTES, "right")))
+                if j == i + 1 and length[i] > self.BLOCK:
+                    for a in range(starts[i], ends[i], PIECE_BYTES):
+                        b = min(ends[i], a + PIECE_BYTES)
+                        out[i] += (self.value[body[a:b]] * self._factor(np.arange(a, b) - starts[i])).sum(dtype=np.uint64)
+                else:
+                    size = length[i:j]
+                    first = np.cumsum(size) - size
+                    place = np.arange(int(size.sum())) - np.repeat(first, size)
+                    out[i:j] = np.add.reduceat(self.value[body[place + np.repeat(starts[i:j], size)]] * self._factor(place), first)
+                i = j
+            return _mixed(out + length.astype(np.uint64))
+
+    def _factor(self, place: np.ndarray) -> np.ndarray:
+        """An odd factor for each place in a word: random ones within a block, times a hash of the block's number."""
+        factor = self.power[place & (self.BLOCK - 1)]
+        far = place >= self.BLOCK
+        if far.any():
+            factor[far] *= mix(place[far] // self.BLOCK, 7) | np.uint64(1)
+        return factor
 
 
 #: White space as in [\x20\x09-\x0D].

@@ -25,7 +25,6 @@ BLOCK = 1024
 SHARD_BLOCKS = 4
 
 
-
 def valid(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     """(vec_id, v) of the rows whose vector has components, all of them finite numbers; v as doubles."""
     v = F.col(vector).cast("array<double>")

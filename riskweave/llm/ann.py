@@ -9,7 +9,7 @@ The share is high because it is set for vectors without structure: on isotropic
 finds about 0.96 of the 20 nearest, on clustered ones nearly all.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part; rows with the query's id are its own;
-vectors of other lengths are no candidates; repeated rows count each time.
+vectors of other lengths are no candidates; repeated rows count each time; equal products go to the smaller vec_id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -86,11 +86,15 @@ class Quantiser:
         return a.argmin(1) * len(self.second) + b.argmin(1)
 
 
+#: Numbers of components, the most frequent, that get centroids; vectors of others are in one cell, which every walk visits.
+KINDS = 1000
+
+
 def fit(vectors: DataFrame, n: int, centroids: int = CENTROIDS, sample: int = SAMPLE) -> dict[int, Quantiser]:
-    """A quantiser for each number of components, from at most ``sample`` vectors by hash of their id."""
+    """A quantiser for each of the KINDS most frequent numbers of components, from at most ``sample`` vectors by hash of their id."""
     share = F.conv(F.substring(F.md5(F.col("vec_id").cast("string")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     table = vectors.where(share * n <= sample).orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(sample).select("v").toArrow()
-    longest = {r["d"]: r["l"] for r in vectors.groupBy(F.size("v").alias("d")).agg(F.max("length").alias("l")).orderBy(F.desc(F.count(F.lit(1)))).limit(1000).collect()}
+    longest = {r["d"]: r["l"] for r in vectors.groupBy(F.size("v").alias("d")).agg(F.max("length").alias("l")).orderBy(F.desc(F.count(F.lit(1)))).limit(KINDS).collect()}
     out = {}
     for d, most in longest.items():
         got = [matrices(b, 0, d)[1] for b in table.to_batches()]
@@ -148,15 +152,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id"
     shared = vectors.sparkSession.sparkContext.broadcast(quantisers)
 
     def query(ids: np.ndarray, matrix: np.ndarray) -> Iterator[dict]:
-        quantiser = shared.value[matrix.shape[1]]
-        total = int(quantiser.sizes.sum())
-        asked = np.zeros((len(ids), quantiser.sizes.size), np.uint8)
-        for i, (a, b) in enumerate(zip(*quantiser.both(matrix, query=True))):
+        quantiser = shared.value.get(matrix.shape[1])
+        total = int(quantiser.sizes.sum()) if quantiser else 0
+        asked = np.zeros((len(ids), quantiser.sizes.size), np.uint8) if quantiser else np.ones((len(ids), 1), np.uint8)
+        for i, (a, b) in enumerate(zip(*quantiser.both(matrix, query=True)) if quantiser else ()):
             asked[i, walk(a, b, quantiser.sizes, min(total, max(20 * k, int(np.ceil(share * total)))))] = 1
         yield {"dims": matrix.shape[1], "ids": ids.tobytes(), "v": matrix.tobytes(), "asked": np.packbits(asked, axis=1).tobytes()}
 
     def lists(ids: np.ndarray, matrix: np.ndarray) -> Iterator[dict]:
-        cells = shared.value[matrix.shape[1]].cells(matrix).astype(np.int32)
+        quantiser = shared.value.get(matrix.shape[1])
+        cells = quantiser.cells(matrix).astype(np.int32) if quantiser else np.zeros(len(ids), np.int32)
         order = np.argsort(cells, kind="stable")
         yield {"ids": ids[order].tobytes(), "v": matrix[order].tobytes(), "cells": cells[order].tobytes()}
 

@@ -43,7 +43,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("starts", F.lit(0)), 6).alias("position"))
+    return mixing.by_position(mixed, ["doc_id", "size", "source_size", "target", "taken"])
 
 
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

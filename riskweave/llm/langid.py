@@ -7,7 +7,8 @@ Training takes a bounded sample: of each language the ``per_language`` rows with
 of rows outside the held-out fold are read for it. Prediction sees the text alone.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; so is everything if no row can be learned from;
-one learned language is predicted for all other texts with score 1; repeated rows each give a row; further columns stay, but a result replaces a column of its name.
+one learned language is predicted for all other texts with score 1; texts of any length are read whole, a piece at a time; equal machines' votes go to the first language in order;
+repeated rows each give a row; an empty table gives an empty result; further columns stay, but a result replaces a column of its name.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ LANGUAGES = 1000
 DIMENSIONS = 1 << 12
 ORDERS = (1, 2, 3, 4)
 EPOCHS = 12
+#: Bytes of text counted at once.
+PIECE_BYTES = 1 << 19
 REGULAR = 1e-4
 UNDETERMINED = "und"
 
@@ -54,30 +57,41 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     fold[list(_text.NON_WORDS)] = np.uint64(32)
     fold[48:58] = np.uint64(32)
     body, offsets = _text.utf8_parts(column)
-    for i, j in _text.chunks(offsets, most=1 << 19, most_rows=256):
+    for i, j in _text.chunks(offsets, most=PIECE_BYTES, most_rows=256):
         n = j - i
-        part = fold[body[offsets[i] : offsets[j]]]
-        rows = np.repeat(np.arange(n), np.diff(offsets[i : j + 1]))
         out = np.zeros((n, DIMENSIONS), np.float32)
-        code = np.zeros(len(part), np.uint64)
-        for k in ORDERS:
-            if len(part) < k:
-                break
-            code = code[: len(part) - k + 1] * np.uint64(256) + part[k - 1 :]
-            inside = rows[: len(code)] == rows[k - 1 :]
-            cell = (_text.mix(code[inside], k) % np.uint64(DIMENSIONS)).astype(np.int64)
-            at = rows[: len(code)][inside]
-            # rows ascend, so a block of rows is a run of cells: no array of all rows times all cells of counts is kept twice
-            step = max(1, (1 << 20) // DIMENSIONS)
-            for a in range(0, n, step):
-                b = min(n, a + step)
-                low, high = np.searchsorted(at, [a, b])
-                out[a:b] += np.bincount((at[low:high] - a) * DIMENSIONS + cell[low:high], minlength=(b - a) * DIMENSIONS).reshape(b - a, DIMENSIONS)
+        # a text longer than a piece is counted piece by piece; n-grams that begin in a piece may end in the next one
+        for begin in range(int(offsets[i]), int(offsets[j]), PIECE_BYTES):
+            end = min(int(offsets[j]), begin + PIECE_BYTES)
+            upto = min(int(offsets[j]), end + max(ORDERS) - 1)
+            part = fold[body[begin:upto]]
+            rows = np.searchsorted(offsets[i : j + 1], np.arange(begin, upto), "right") - 1 if n > 1 else np.zeros(upto - begin, np.int64)
+            _count(part, rows, end - begin, out)
         np.log1p(out, out=out)
         norm = np.sqrt((out * out).sum(1, keepdims=True))
         yield i, n, out / np.maximum(norm, 1e-9)
 
 
+def _count(part: np.ndarray, rows: np.ndarray, begins: int, out: np.ndarray) -> None:
+    """Adds the n-grams of the bytes that begin among the first ``begins`` of them to out, by row and cell."""
+    code = np.zeros(len(part), np.uint64)
+    for k in ORDERS:
+        if len(part) < k:
+            break
+        code = code[: len(part) - k + 1] * np.uint64(256) + part[k - 1 :]
+        inside = rows[: len(code)] == rows[k - 1 :]
+        inside[begins:] = False
+        cell = (_text.mix(code[inside], k) % np.uint64(DIMENSIONS)).astype(np.int64)
+        at = rows[: len(code)][inside]
+        # rows ascend, so a block of rows is a run of cells: no array of all rows times all cells of counts is kept twice
+        step = max(1, (1 << 20) // DIMENSIONS)
+        for a in range(0, len(out), step):
+            b = min(len(out), a + step)
+            low, high = np.searchsorted(at, [a, b])
+            if low < high:
+                out[a:b] += np.bincount((at[low:high] - a) * DIMENSIONS + cell[low:high], minlength=(b - a) * DIMENSIONS).reshape(b - a, DIMENSIONS)
+
+
 def train_svm(x: np.ndarray, y: np.ndarray, seed: int = 1) -> np.ndarray:
     """Weights and bias of a linear support vector machine: subgradient steps on hinge loss, averaged; classes weigh alike. y is -1 or 1."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])

@@ -10,7 +10,7 @@ with fewer than ``need`` template words are out (length filter); and a common wo
 ``1 + min(size - i, n - j)`` common words (positional filter). What passes is verified on the whole sets. No Python runs on executors.
 
 Defined results: a null text counts as empty; empty texts have no words, null first_word and last_word, empty labels
-and score 0; repeated rows each give a row; an empty table gives an empty result; further columns stay, but a result replaces a column of its name.
+and score 0; texts of any length are read whole; repeated rows each give a row; an empty table gives an empty result; further columns stay, but a result replaces a column of its name.
 """
 
 from __future__ import annotations

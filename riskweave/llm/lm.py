@@ -12,7 +12,7 @@ documents, and every n-gram is in one slice only, so the result does not depend
 A token's probability is ``mixing * min(1, count(h, w) / count(h)) + (1 - mixing) * (count(w) + 1) / (N + V + 1)``.
 
 Defined results: a null text counts as empty (one end token); rows with a null id count as id '' for the fold; with no
-training rows N = V = 0; repeated rows count each time; an empty table gives an empty result; further columns stay, but a result replaces a column of its name.
+training rows N = V = 0; texts of any length are read whole; repeated rows count each time; an empty table gives an empty result; further columns stay, but a result replaces a column of its name.
 """
 
 from __future__ import annotations

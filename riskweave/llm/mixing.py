@@ -2,11 +2,11 @@
 
 Each source has a weight schedule over training time t in [0, 1]: ``1 + g * (2t - 1)``, whose integral
 ``t + g * (t^2 - t)`` is the share of its target words that are due by t. Documents of a source stand in the
-order of a hash of their id; the words before a document are the cumulative demand at which it is
+order of a hash of their id (of their text where they have none); the words before a document are the cumulative demand at which it is
 due, so inverting the integral gives its training position. A source whose target exceeds its size is passed through again.
 
 Defined results: null texts have size 0; the null source is one source, last in order; empty documents are
-taken 0 words and have no position; documents with equal ids stand by size, then text, and repeated rows each count; an empty table gives an empty result; further columns stay, but a result replaces a column of its name.
+taken 0 words and have no position; documents with equal ids stand together, by size, then text (so a bucket holds all rows of an id: ids are taken to be near unique, null ones apart); texts of any length are read whole; repeated rows each count; an empty table gives an empty result; further columns stay, but a result replaces a column of its name.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), share: float = 1.5, m
         work.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("bigint"))
         # the null source sorts last: every other key starts with a smaller character
         .withColumn("_source", F.coalesce(F.concat(F.lit("0"), F.col("_from")), F.lit("1")))
-        .withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        .withColumn("_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), F.md5("text")), F.lit(""))))
     )
     narrow = sized.select("_source", "size", "_key")
     sources = _bounded(targets(narrow, list(weights), share, most, list(growths)), "mix-sources")
@@ -98,6 +98,13 @@ def inverted(part: Column, growth: Column) -> Column:
     return F.when(growth == 0, part).otherwise((F.sqrt(slope * slope + 4 * growth * part) - slope) / (2 * growth))
 
 
+def by_position(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each document, range-sorted by its first position: passes, position and last_position, to six places; null without a pass."""
+    at = lambda i: F.round(F.get("starts", i), 6)
+    out = mixed.select(*columns, F.size("starts").cast("bigint").alias("passes"), at(F.lit(0)).alias("position"), at(F.size("starts") - 1).alias("last_position"))
+    return out.repartitionByRange("position", columns[0]).sortWithinPartitions("position", columns[0])
+
+
 def training_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """A row for each pass over each document, with its position, range-sorted by position."""
     rows = mixed.select(*columns, F.posexplode("starts").alias("pass", "position"))
@@ -119,11 +126,13 @@ l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER
 c AS (SELECT arg_min(level, (ratio, src)) AS level FROM l WHERE level <= ratio),
 t AS (SELECT src, source_size, g, least(cap, coalesce(c.level * weight, cap)) AS target FROM l LEFT JOIN c ON true),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.g, round(t.target)::BIGINT AS due,
-             coalesce(sum(d.size) OVER (PARTITION BY d.src ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS x
+             coalesce(sum(d.size) OVER (PARTITION BY d.src ORDER BY md5(coalesce(d.doc_id::VARCHAR, ':' || md5(d.text), '')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS x
       FROM d JOIN t USING (src))
 SELECT doc_id, size, source_size, target,
        (greatest(0, least(size, due - x)) + greatest(0, least(size, due - x - source_size)))::BIGINT AS taken,
-       CASE WHEN x < due AND size > 0 THEN 0.0::DOUBLE + round(CASE WHEN g = 0 THEN x / target
-            ELSE (sqrt((1 - g) * (1 - g) + 4 * g * (x / target)) - (1 - g)) / (2 * g) END, 6) END AS position
-FROM p
+       CASE WHEN size = 0 THEN 0 ELSE (x < due)::BIGINT + (x + source_size < due)::BIGINT END::BIGINT AS passes,
+       CASE WHEN x < due AND size > 0 THEN at1 END AS position,
+       CASE WHEN x + source_size < due AND size > 0 THEN at2 WHEN x < due AND size > 0 THEN at1 END AS last_position
+FROM (SELECT *, 0.0::DOUBLE + round(CASE WHEN g = 0 THEN x / target ELSE (sqrt((1 - g) * (1 - g) + 4 * g * (x / target)) - (1 - g)) / (2 * g) END, 6) AS at1,
+             0.0::DOUBLE + round(CASE WHEN g = 0 THEN (x + source_size) / target ELSE (sqrt(greatest(0.0, (1 - g) * (1 - g) + 4 * g * ((x + source_size) / target))) - (1 - g)) / (2 * g) END, 6) AS at2 FROM p)
 """

@@ -7,12 +7,12 @@ least one group of documents, so each task's groups name candidates and a second
 
 Equal word sequences become one node first. Each node draws consistent weighted samples; two nodes agree on a sample with the probability
 of their weighted Jaccard similarity. Bands of samples make buckets. Links of a bucket to its pivot, the node that shares buckets with most others, are verified
-exactly. Then, in buckets whose nodes are still in different components, nodes of different components are compared if 29 of
+exactly. Then, in buckets whose nodes are still in different components, nodes of different components that share a bucket are compared if 29 of
 their 48 samples agree (at similarity 0.8 fewer do with a probability of 2e-4, below that of sharing no bucket): in small buckets as pairs,
 in large ones block by block within tasks, where a block of one component is not compared with another of the same, and only links that join components come out.
-Classes are the connected components.
+The rule for a pair is the same in both. Classes are the connected components.
 
-Defined results: texts without words, null ones too, are alone in their class; ids may repeat; a class is
+Defined results: texts without words, null ones too, are alone in their class; texts of any length are read whole; repeated rows and ids each count; a class is
 named by its least doc_id (null if all are null); an empty table gives an empty result; further columns are ignored by
 :func:`classes` and kept by :func:`deduplicate`.
 """
@@ -331,10 +331,15 @@ def _large(rest: DataFrame, nodes: DataFrame, contents: DataFrame, similarity: f
     number = F.xxhash64("home", F.coalesce("whole", F.lit(b"")), F.pmod(F.xxhash64("node"), F.col("blocks")))
     blocked = numbered.select("node", "component", "whole", number.alias("block"))
     blocked = stage(blocked, "neardup-blocked")
-    in_band = rows.select("band", "node").join(blocked.select("node", "block", "whole"), "node").select("band", "block", "whole").distinct()
+    # a block of one component has its name, a mixed one none; only different names, or none, meet: blocks of one component never pair up, however many there are
+    in_band = rows.select("band", "node").join(blocked.select("node", "block", F.coalesce("whole", F.lit(b"")).alias("whole")), "node").select("band", "block", "whole").distinct()
+    in_band = stage(in_band, "neardup-in-band")
+    names = in_band.select("band", "whole").distinct()
+    other = names.select("band", F.col("whole").alias("_wq"))
+    named = names.select("band", F.col("whole").alias("_wp")).join(other, "band").where((F.col("_wp") != F.col("_wq")) | (F.col("_wp") == F.lit(b"")))
     p = in_band.select("band", F.col("block").alias("p"), F.col("whole").alias("_wp"))
     q = in_band.select("band", F.col("block").alias("q"), F.col("whole").alias("_wq"))
-    meeting = p.join(q, "band").where((F.col("p") <= F.col("q")) & ~F.coalesce(F.col("_wp") == F.col("_wq"), F.lit(False))).select("p", "q").distinct()
+    meeting = named.join(p, ["band", "_wp"]).join(q, ["band", "_wq"]).where(F.col("p") <= F.col("q")).select("p", "q").distinct()
     full = blocked.join(nodes.select("node", "samples"), "node").join(contents, "node")
     packs = stage(full.groupBy("block").agg(F.collect_list(F.struct("node", "component", "samples", "content")).alias("rows")), "neardup-blocks")
     met = meeting.join(packs.select(F.col("block").alias("p"), F.col("rows").alias("x")), "p").join(packs.select(F.col("block").alias("q"), F.col("rows").alias("y")), "q")
@@ -363,9 +368,12 @@ def _joining(x: list[dict], y: list[dict] | None, similarity: float) -> pa.Recor
 
     cx, cy = (np.array([names[r["component"]] for r in rows]) for rows in (x, y))
     agree = np.zeros((len(x), len(y)), np.int16)
-    for k in range(left.shape[1]):
-        agree += left[:, k, None] == right[None, :, k]
-    near = (agree >= AGREEING) & (cx[:, None] != cy[None])
+    share = np.zeros((len(x), len(y)), bool)
+    for band in range(0, left.shape[1], ROWS):
+        same = [left[:, k, None] == right[None, :, k] for k in range(band, band + ROWS)]
+        share |= np.logical_and.reduce(same)
+        agree += sum(s.astype(np.int8) for s in same)
+    near = (agree >= AGREEING) & share & (cx[:, None] != cy[None])
     i, j = np.nonzero(np.triu(near, 1) if own else near)
     links = []
     for k in np.argsort(-agree[i, j], kind="stable"):
@@ -397,6 +405,7 @@ def _linked(docs: DataFrame, doc_id: str, text: str, similarity: float, floor: f
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_rep"]), "left_semi")
     contents = stage(_contents(texts, weights).groupBy("node").agg(F.first("content").alias("content")), "neardup-contents")
 
+
     links = stage(_verified(pairs, contents, similarity), "neardup-links")
     found = components(links)
     # what the pivots leave: buckets with nodes of different components

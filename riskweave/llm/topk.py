@@ -7,7 +7,8 @@ coordinates lie in the range that the cosine allows; below, length pruning keeps
 verified by exact integer products.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part; rows with the query's id are its own; vectors
-of other lengths are no candidates; repeated rows count each time; products beyond 64 bits are cut to the ends of that range.
+of other lengths are no candidates; repeated rows count each time; equal products go to the smaller vec_id;
+an empty table gives an empty result; products beyond 64 bits are cut to the ends of that range.
 """
 
 from __future__ import annotations

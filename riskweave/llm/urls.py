@@ -4,7 +4,7 @@ The filter is a table of blocks of 512 bits in eight words; a URL's hash names i
 in each word. URLs that pass it are joined by value with the list, which removes false positives.
 
 Defined results: a null URL, or one without ``://``, has empty host, path and canonical form, fits no rule and is
-never listed; an empty list allows everything; repeated rows each get their verdict; an empty table gives an empty result; further columns stay, but a result replaces a column of its name.
+never listed; an empty list allows everything; URLs of any length are read whole; repeated rows each get their verdict; an empty table gives an empty result; further columns stay, but a result replaces a column of its name.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from riskweave.llm._columns import guarded
 from riskweave.session import stage
 
-#: Blocks up to which the filter (80 bytes a block) is broadcast; beyond, it is joined by block.
+#: Blocks up to which the filter (80 bytes a block) is broadcast; beyond, it is joined by block. Listed URLs up to which the list is too; beyond, it is
+#: joined by shuffling, and only what the filter lets pass is shuffled.
 BROADCAST_BLOCKS = 1_000_000
+BROADCAST_URLS = 200_000
 BITS_PER_URL = 16
 #: Query parameters that name no page.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "fbclid", "gclid"]
@@ -77,13 +79,18 @@ def bloom(listed: DataFrame, n_blocks: int, url: str = "canonical") -> DataFrame
 def flag_listed(df: DataFrame, listed: DataFrame, key: str = "canonical") -> DataFrame:
     """df with ``maybe`` (the filter lets the key pass) and ``listed`` (the key is in the list, exactly)."""
     urls = stage(listed.where(F.col(key).isNotNull() & (F.col(key) != "")).select(key).distinct(), "url-list")
-    n_blocks = max(1, -(-urls.count() * BITS_PER_URL // 512))
+    n_urls = urls.count()
+    n_blocks = max(1, -(-n_urls * BITS_PER_URL // 512))
     blocks = bloom(urls, n_blocks, key)
     probed = df.withColumn("_block", _block(F.col(key), n_blocks)).join(F.broadcast(blocks) if n_blocks <= BROADCAST_BLOCKS else blocks, "_block", "left")
     hit = F.lit(True)
     for i in range(8):
         hit &= F.call_function("shiftrightunsigned", F.col(f"_w{i}"), _bit(F.col(key), i)).bitwiseAND(F.lit(1)) == 1
     probed = probed.withColumn("maybe", F.coalesce(hit, F.lit(False))).select(*df.columns, "maybe")
+    if n_urls <= BROADCAST_URLS:  # one pass: the key that meets the list is null where the filter says no
+        known = F.broadcast(urls.select(F.col(key).alias("_key")))
+        met = probed.join(known, F.when(F.col("maybe"), F.col(key)) == F.col("_key"), "left")
+        return met.withColumn("listed", F.col("_key").isNotNull()).drop("_key")
     passed = probed.where("maybe").join(urls.withColumn("listed", F.lit(True)), key, "left").select(*df.columns, "maybe", F.coalesce("listed", F.lit(False)).alias("listed"))
     return probed.where("NOT maybe").withColumn("listed", F.lit(False)).unionByName(passed)
 
