@@ -1,7 +1,10 @@
 """From documents to packed training tokens: language, near-duplicates, personal data, mixture, tokens.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns of
-documents; further columns, of any name, stay.
+documents; further columns, of any name, also those of an operator's own results, stay as they are.
+
+Defined results of every stage: an empty table gives an empty one; repeated rows and ids each count (near-duplicates keep one of equal texts, tokens give a row for each row);
+texts of any length are read whole; null texts go with the first stage, and count as empty where a later one is used by itself; a table without n_chars gets none.
 """
 
 from __future__ import annotations
@@ -33,8 +36,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data and the terms that reveal it replaced; n_chars follows the text."""
     clean = pii.sanitise(docs)
-    kind = docs.schema["n_chars"].dataType
-    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars"))).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return clean.select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
