@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from riskweave.llm._memory import lean
 from riskweave.session import stage
 
 BLOCK = 1024
@@ -78,7 +79,7 @@ def packed(vectors: DataFrame, n: int, make: Callable[[np.ndarray, np.ndarray],
                 held, size = [], 0
 
     schema = T.StructType([T.StructField("dims", T.IntegerType()), T.StructField(name, kind), T.StructField("block", T.LongType())])
-    return stage(dealt.select("vec_id", "v").mapInArrow(run, schema), f"blocks-{name}")
+    return stage(dealt.select("vec_id", "v").mapInArrow(lean(run), schema), f"blocks-{name}")
 
 
 def paired(queries: DataFrame, index: DataFrame, n_queries: int, n_index: int) -> DataFrame:
@@ -134,7 +135,7 @@ def searched(pairs: DataFrame, k: int, meet: Callable[[dict, dict, Best], None],
         if best is not None:
             yield best.rows(at[0])
 
-    return pairs.sortWithinPartitions("qb").mapInArrow(run, f"qb bigint, qi int, query_id bigint, vec_id bigint, score {'bigint' if whole else 'double'}")
+    return pairs.sortWithinPartitions("qb").mapInArrow(lean(run), f"qb bigint, qi int, query_id bigint, vec_id bigint, score {'bigint' if whole else 'double'}")
 
 
 def ranked(results: DataFrame, k: int) -> DataFrame:

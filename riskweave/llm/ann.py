@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.llm._memory import lean
 from riskweave.llm._vectors import Best, matrices, packed, paired, ranked, searched, valid
 from riskweave.session import stage
 
@@ -117,7 +118,7 @@ def _counted(vectors: DataFrame, quantisers: dict[int, Quantiser]) -> None:
                     cells, n = np.unique(quantiser.cells(matrix), return_counts=True)
                     yield pa.RecordBatch.from_pydict({"d": pa.array(np.full(len(cells), d), pa.int32()), "cell": pa.array(cells, pa.int32()), "n": n.astype(np.int64)})
 
-    for r in vectors.select("v").mapInArrow(run, "d int, cell int, n bigint").groupBy("d", "cell").agg(F.sum("n").alias("n")).collect():
+    for r in vectors.select("v").mapInArrow(lean(run), "d int, cell int, n bigint").groupBy("d", "cell").agg(F.sum("n").alias("n")).collect():
         quantisers[r["d"]].sizes.reshape(-1)[r["cell"]] = r["n"]
 
 

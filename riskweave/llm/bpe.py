@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.llm._columns import without
+from riskweave.llm._memory import lean
 
 #: Characters split into words at once, and distinct words kept encoded in a process; both bound memory only.
 CHUNK_CHARS = 1 << 20
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 _MODELS: dict[tuple[str, str], BytePairCodec] = {}
 
 
@@ -159,7 +160,7 @@ def _add(df: DataFrame, source: str, columns: dict[str, str], make) -> DataFrame
                 made = make(batch.column(at))
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *columns])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def _slices(batch: pa.RecordBatch, at: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

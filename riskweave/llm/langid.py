@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from riskweave.llm import _text
 from riskweave.llm._columns import without
+from riskweave.llm._memory import lean
 from riskweave.llm.lm import held_out
 
 #: Rows that a classifier is fitted on at most: of each language, of all, and languages (the most frequent).
@@ -185,7 +186,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
             for first, n, x in features(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([*batch.slice(first, n).select([0, 2]).columns, pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())], names=["lang", "_order", "x"])
 
-    got = sample.mapInArrow(run, "lang string, _order string, x binary").toArrow().sort_by([("lang", "ascending"), ("_order", "ascending")])
+    got = sample.mapInArrow(lean(run), "lang string, _order string, x binary").toArrow().sort_by([("lang", "ascending"), ("_order", "ascending")])
     if not len(got):
         return None
     x = np.stack([np.frombuffer(v.as_buffer(), np.float16) for v in got["x"]]).astype(np.float32)
@@ -208,7 +209,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 names = [a if ok else UNDETERMINED for a, ok in zip(names, letters)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 4, fold: int = 2, per_language: int = PER_LANGUAGE) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from riskweave.llm import _text
 from riskweave.llm._columns import guarded
 from riskweave.llm._graph import components
+from riskweave.llm._memory import lean
 from riskweave.session import stage
 
 WIDTH = 5
@@ -194,7 +195,7 @@ def _frequent(docs: DataFrame, text: str, floor: float) -> tuple[Weights, int]:
             yield group()
         yield pa.RecordBatch.from_pydict({"shingle": pa.array([None], pa.int64()), "docs": pa.array([total], pa.int64())})
 
-    found = stage(column.mapInArrow(named, "shingle bigint, docs bigint").groupBy("shingle").agg(F.sum("docs").alias("docs")), "shingle-candidates")
+    found = stage(column.mapInArrow(lean(named), "shingle bigint, docs bigint").groupBy("shingle").agg(F.sum("docs").alias("docs")), "shingle-candidates")
     n_docs = found.where("shingle IS NULL").agg(F.sum("docs")).first()[0] or 0
     candidates = found.where("shingle IS NOT NULL").select("shingle")
     few = candidates.count() <= BROADCAST_CANDIDATES
@@ -215,10 +216,11 @@ def _frequent(docs: DataFrame, text: str, floor: float) -> tuple[Weights, int]:
             seen = np.flatnonzero(totals)
             yield pa.RecordBatch.from_pydict({"shingle": wanted[seen].view(np.int64), "df": totals[seen]})
 
-    counts = column.mapInArrow(counted, "shingle bigint, df bigint")
+    counts = column.mapInArrow(lean(counted), "shingle bigint, df bigint")
     if not few:
         counts = counts.join(candidates, "shingle", "left_semi")
     frequent = counts.groupBy("shingle").agg(F.sum("df").alias("df")).where(F.col("df") >= F.lit(floor * n_docs)).toArrow()
+    known.destroy()
     return Weights(frequent["shingle"].to_numpy().view(np.uint64), frequent["df"].to_numpy(), n_docs, floor), n_docs
 
 
@@ -251,7 +253,7 @@ def _signed(docs: DataFrame, doc_id: str, text: str, weights) -> DataFrame:
                     names=["doc_id", "node", "bands", "samples"],
                 )
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, node binary, bands array<bigint>, samples binary")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), f"doc_id {kind}, node binary, bands array<bigint>, samples binary")
 
 
 def _contents(docs: DataFrame, weights) -> DataFrame:
@@ -267,7 +269,7 @@ def _contents(docs: DataFrame, weights) -> DataFrame:
                 packed = [shingles[e - w : e].tobytes() + weight[e - w : e].tobytes() for w, e in zip(words, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(_keys(keys, words), pa.binary()), pa.array(packed, pa.binary())], names=["node", "content"])
 
-    return docs.select("text").mapInArrow(run, "node binary, content binary").where("node IS NOT NULL")
+    return docs.select("text").mapInArrow(lean(run), "node binary, content binary").where("node IS NOT NULL")
 
 
 def weighted_jaccard(a: bytes, b: bytes) -> float:
@@ -293,7 +295,7 @@ def _verified(pairs: DataFrame, contents: DataFrame, similarity: float) -> DataF
             near = [weighted_jaccard(p.as_py(), q.as_py()) >= similarity - 1e-9 for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(lean(run), "a binary, b binary")
 
 
 def _agreeing(a: str, b: str) -> F.Column:
@@ -349,7 +351,7 @@ def _large(rest: DataFrame, nodes: DataFrame, contents: DataFrame, similarity: f
             for p, q, x, y in zip(*batch.columns, strict=True):
                 yield _joining(x.as_py(), None if p == q else y.as_py(), similarity)
 
-    return met.select("p", "q", "x", "y").mapInArrow(run, "a binary, b binary")
+    return met.select("p", "q", "x", "y").mapInArrow(lean(run), "a binary, b binary")
 
 
 def _joining(x: list[dict], y: list[dict] | None, similarity: float) -> pa.RecordBatch:
@@ -405,6 +407,7 @@ def _linked(docs: DataFrame, doc_id: str, text: str, similarity: float, floor: f
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["_rep"]), "left_semi")
     contents = stage(_contents(texts, weights).groupBy("node").agg(F.first("content").alias("content")), "neardup-contents")
 
+    weights.destroy()  # what was made with them is staged
 
     links = stage(_verified(pairs, contents, similarity), "neardup-links")
     found = components(links)
@@ -445,7 +448,7 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
                 node = pa.array(_keys(keys, np.bincount(rows, minlength=n)), pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, node], names=[*part.schema.names, "_node"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_node", T.BinaryType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("_node", T.BinaryType())]))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, floor: float = FLOOR) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.llm._columns import guarded
+from riskweave.llm._memory import lean
 from riskweave.session import stage
 
 # fixed values: kinds and their patterns, in the order in which equal starts are listed
@@ -151,7 +152,7 @@ def _found(texts: DataFrame) -> DataFrame:
                     held.append(list(terms))
             yield pa.RecordBatch.from_arrays([pa.array(near, pairs), pa.array(entities, pa.list_(pa.int64())), pa.array(held, pa.list_(pa.string()))], names=["near", "entities", "words"])
 
-    return texts.mapInArrow(run, "near array<struct<entity:bigint,term:string>>, entities array<bigint>, words array<string>")
+    return texts.mapInArrow(lean(run), "near array<struct<entity:bigint,term:string>>, entities array<bigint>, words array<string>")
 
 
 def _term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -183,7 +184,7 @@ def _term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
                     total = rows = 0
         yield out()
 
-    counted = texts.mapInArrow(run, "term string, n bigint, docs bigint")
+    counted = texts.mapInArrow(lean(run), "term string, n bigint, docs bigint")
     if not few:
         counted = counted.join(terms, "term", "left_semi").unionByName(counted.where("term IS NULL"))
     return counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
@@ -229,7 +230,7 @@ def _with_known(work: DataFrame, listed: DataFrame) -> DataFrame:
                 if held := list(set(words(value or ""))):
                     yield pa.RecordBatch.from_pydict({"_uid": pa.array([uid] * len(held), pa.int64()), "term": pa.array(held, pa.string())})
 
-    held = rows.select("_uid", "_text").mapInArrow(run, "_uid bigint, term string").join(listed, "term")
+    held = rows.select("_uid", "_text").mapInArrow(lean(run), "_uid bigint, term string").join(listed, "term")
     known = held.groupBy("_uid").agg(F.collect_list(F.struct("term", "disclosure")).alias("_known"))
     return rows.join(known, "_uid", "left").drop("_uid")
 
@@ -251,7 +252,7 @@ def _applied(work: DataFrame, support: int, generalise: float, make: Callable[[l
             terms = [marked(x or "", a, k) for x, a, k in zip(values, spans, lists, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), *make(list(zip(values, spans, terms)))], names=["_rest", *(f.name for f in fields)])
 
-    return rows.mapInArrow(run, T.StructType([work.schema["_rest"], *fields]))
+    return rows.mapInArrow(lean(run), T.StructType([work.schema["_rest"], *fields]))
 
 
 def detect(docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
