@@ -4,10 +4,11 @@ Tokens are the words between white space (A-Z as a-z) and one end per text. Trai
 bigrams (the end token also stands before the first word) by 64-bit hashes: tasks count groups of n-grams, split them by the hash's
 leading bits into packed arrays, and merge each part; parts are small however large the corpus, as it sets the number of bits. Each part
 keeps its unigram counts and a Bloom filter in which a bigram of level ``q = 1 + floor(log2(count))`` is entered q times, once for
-each level up to its own. A reader probes levels 1, 2, ... until one is missing. Bigrams under ``min_count`` are not entered, as in usual n-gram models.
+each level up to its own. A reader probes levels 1, 2, ... until one is missing. Bigrams under ``min_count`` are not entered; all are by default.
 
-Parts are broadcast in slices of bounded size. One slice is the usual case; more are read one after another over staged
-documents, and every n-gram is in one slice only, so the result does not depend on their number.
+A model of up to ``BROADCAST_BYTES`` is broadcast. A larger one stays in its parts: the distinct n-grams of chunks of documents are sent to the parts that
+may hold them, and counts and levels are sent back to the chunks, so that nothing that grows with the corpus comes to the driver or into one task. Both ways probe
+the same filters, so results are the same.
 
 A token's probability is ``mixing * min(1, count(h, w) / count(h)) + (1 - mixing) * (count(w) + 1) / (N + V + 1)``.
 
@@ -21,24 +22,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.llm import _text
 from riskweave.llm._columns import guarded
+from riskweave.llm._memory import lean
 from riskweave.session import stage
 
-#: N-grams that a task counts together, bytes of text for each part, bytes of a broadcast slice.
+#: N-grams that a task counts together, bytes of text for each part, bytes of the largest broadcast model, bytes of text whose n-grams are looked up together.
 GROUP_NGRAMS = 1_500_000
 PART_BYTES = 4 << 20
-SLICE_BYTES = 128 << 20
+BROADCAST_BYTES = 128 << 20
+LOOKUP_BYTES = 4 << 20
 #: Leading bits split at once, bits of the filter for each entry, probes for each level.
-SPLIT_BITS = 8
+SPLIT_BITS = 12
 BITS_PER_ENTRY = 12
 PROBES = 4
 MIXING = 0.4
-MIN_COUNT = 2
+MIN_COUNT = 1
 END = np.uint64(0x5EED0E4DC0FFEE11)
 
 _PACKED = "ngram int, part bigint, hashes binary, counts binary"
@@ -99,7 +103,7 @@ def _counted(texts: DataFrame, bits: int) -> DataFrame:
         def out():
             for ngram, arrays in held.items():
                 values, counts = np.unique(np.concatenate(arrays), return_counts=True)
-                yield _rows(list(_split(ngram, values, counts.astype(np.int64), bits)))
+                yield _rows(list(_split(ngram, values, counts.astype(np.uint32), bits)))  # a group's counts are small
                 arrays.clear()
 
         for batch in batches:
@@ -113,7 +117,7 @@ def _counted(texts: DataFrame, bits: int) -> DataFrame:
         if size:
             yield from out()
 
-    return texts.mapInArrow(run, _PACKED)
+    return texts.mapInArrow(lean(run), _PACKED)
 
 
 def _regrouped(packed: DataFrame, finish=None, bits: int = 0, schema: str = _PACKED) -> DataFrame:
@@ -133,12 +137,12 @@ def _regrouped(packed: DataFrame, finish=None, bits: int = 0, schema: str = _PAC
                     hashes, counts, size = [], [], 0
                 key = ngram, part
                 hashes.append(np.frombuffer(h, np.uint64))
-                counts.append(np.frombuffer(c, np.int64))
+                counts.append(np.frombuffer(c, np.uint32 if 2 * len(c) == len(h) else np.int64).astype(np.int64))
                 size += len(hashes[-1])
         if key is not None:
             yield from out()
 
-    return packed.repartition("ngram", "part").sortWithinPartitions("ngram", "part").mapInArrow(run, schema)
+    return packed.repartition("ngram", "part").sortWithinPartitions("ngram", "part").mapInArrow(lean(run), schema)
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -176,8 +180,8 @@ def _part_model(min_count: int):
     return finish
 
 
-class Slice:
-    """Unigram counts and Bloom filters of a run of parts, in a reader's process."""
+class Parts:
+    """Unigram counts and Bloom filters of some parts, in a reader's process."""
 
     def __init__(self, rows: list[dict], bits: int):
         ones = sorted((r for r in rows if r["ngram"] == 1), key=lambda r: r["part"])
@@ -192,7 +196,7 @@ class Slice:
         self.bits = bits
 
     def unigrams(self, tokens: np.ndarray) -> np.ndarray:
-        """Counts of the tokens; 0 where they are unknown or in another slice."""
+        """Counts of the tokens; 0 where they are unknown or in another part."""
         out = np.zeros(len(tokens), np.int64)
         if len(self.words):
             each, back = np.unique(tokens, return_inverse=True)
@@ -201,7 +205,7 @@ class Slice:
         return out
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """Levels of the bigrams, probed until one is missing; 0 where they are unknown or in another slice."""
+        """Levels of the bigrams, probed until one is missing; 0 where they are unknown or in another part."""
         out = np.zeros(len(hashes), np.uint8)
         if not len(self.parts):
             return out
@@ -234,70 +238,163 @@ def train(texts: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame, int]
     return stage(_regrouped(packed, _part_model(min_count), schema=kinds), "lm-parts"), bits
 
 
-def _slices(model: DataFrame) -> list[tuple[int, int]]:
-    """Runs [first part, end part) of about SLICE_BYTES."""
-    sizes = model.groupBy("part").agg(F.sum(F.octet_length("first") + F.octet_length("second")).alias("size"))
-    totals = sizes.agg(F.sum("size"), F.count(F.lit(1)), F.max("part")).first()
-    if not totals[0]:
-        return [(0, 1)]
-    n = -(-totals[0] // SLICE_BYTES)
-    cuts = [int((totals[2] + 1) * k // n) for k in range(n + 1)]  # hashes are spread evenly over parts
-    return list(zip(cuts, cuts[1:]))
+def _chunked(docs: DataFrame, text: str) -> DataFrame:
+    """docs, staged, with _chunk: rows of about LOOKUP_BYTES of text share one."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            size = np.diff(_text.utf8_parts(batch.column(at))[1])
+            upto = held + np.cumsum(size)
+            number = chunk + np.maximum(upto - 1, 0) // LOOKUP_BYTES
+            if len(number):
+                chunk, held = int(number[-1]), int(upto[-1]) - int(number[-1] - chunk) * LOOKUP_BYTES
+            yield batch.append_column("_chunk", pa.array(number, pa.int64()))
+
+    return stage(docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("_chunk", T.LongType())])), "lm-chunks")
+
+
+def _answers(chunked: DataFrame, text: str, model: DataFrame, bits: int) -> DataFrame:
+    """(_chunk, ngram, hashes, values) of the distinct n-grams of each chunk, from the parts that they belong to; unknown ones are left out."""
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens()
+        for batch in batches:
+            number = batch.column(0).to_numpy()
+            for first, n, found, count in tokens.chunks(batch.column(1)):
+                of = np.repeat(number[first : first + n], count)
+                for chunk in np.unique(of):
+                    mine = of == chunk
+                    for ngram, hashes in ((1, np.append(found[mine], END)), (2, bigrams(found)[mine])):
+                        whole = np.unique(hashes)
+                        rows = list(_split(ngram, whole, np.zeros(len(whole), np.uint8), bits))
+                        yield pa.RecordBatch.from_pydict({"ngram": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int64()), "chunk": pa.array([int(chunk)] * len(rows), pa.int64()), "first": pa.array([r[2] for r in rows], pa.binary()), "second": pa.nulls(len(rows), pa.binary())})
+
+    asked = chunked.select("_chunk", text).mapInArrow(lean(asking), "ngram int, part bigint, chunk bigint, first binary, second binary")
+    held = model.select("ngram", "part", F.lit(None).cast("bigint").alias("chunk"), "first", "second")
+
+    def answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known = None, None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["chunk"] is None:
+                    at, known = (row["ngram"], row["part"]), Parts([row], bits)
+                elif at == (row["ngram"], row["part"]):
+                    hashes = np.frombuffer(row["first"], np.uint64)
+                    values = known.unigrams(hashes) if row["ngram"] == 1 else known.levels(hashes).astype(np.int64)
+                    some = values > 0
+                    out.append((row["chunk"], row["ngram"], hashes[some].tobytes(), values[some].tobytes()))
+            a, b, c, d = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.binary()), pa.array(d, pa.binary())], names=["_chunk", "ngram", "hashes", "values"])
+
+    both = held.unionByName(asked).repartition("ngram", "part").sortWithinPartitions("ngram", "part", F.col("chunk").asc_nulls_first())
+    return both.mapInArrow(lean(answering), "_chunk bigint, ngram int, hashes binary, values binary")
+
+
+class _Found:
+    """Counts and levels of a chunk's n-grams, as answered."""
+
+    def __init__(self, answers: list[tuple[int, bytes, bytes]]):
+        self.known = {}
+        for ngram in (1, 2):
+            hashes = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h, np.uint64) for n, h, _ in answers if n == ngram)])
+            values = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(v, np.int64) for n, _, v in answers if n == ngram)])
+            self.known[ngram] = np.unique(hashes, return_index=True), values
+
+    def _of(self, ngram: int, hashes: np.ndarray) -> np.ndarray:
+        (keys, first), values = self.known[ngram]
+        if not len(keys):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        return np.where(keys[at] == hashes, values[first[at]], 0)
+
+    def unigrams(self, tokens: np.ndarray) -> np.ndarray:
+        return self._of(1, tokens)
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        return self._of(2, hashes)
+
+
+_SCORES = "n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+def _scorer(n_train: int, n_words: int, mixing: float):
+    """A function of (column of texts, model) that gives (first row, rows, Arrow arrays of _SCORES) a chunk at a time."""
+
+    def scored(column: pa.Array, known: Parts | _Found) -> Iterator[tuple[int, int, list[pa.Array]]]:
+        end = known.unigrams(np.array([END]))
+        for first, n, found, count in Tokens().chunks(column):
+            c = known.unigrams(found)
+            h = np.concatenate([end, c[:-1]])
+            plain = (c + 1) / (n_train + n_words + 1)
+            model_p = mixing * np.minimum(1.0, count_of(known.levels(bigrams(found)).astype(np.int64)) / np.maximum(h, 1)) + (1 - mixing) * plain
+            begin = np.cumsum(count) - count
+            sums = [np.add.reduceat(x, begin) for x in ((c > 0).astype(np.int64), np.log10(plain), np.log10(model_p))]
+            yield first, n, [pa.array(x) for x in (count.astype(np.int64), sums[0], np.full(len(count), n_train, np.int64), sums[1], sums[2])]
+
+    return scored
+
+
+def _with_broadcast(docs: DataFrame, text: str, model: DataFrame, bits: int, scored) -> DataFrame:
+    at = docs.columns.index(text)
+    rows = model.select("ngram", "part", "first", "second").toArrow().to_pylist()
+    value = docs.sparkSession.sparkContext.broadcast((rows, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Parts(*value.value)
+        for batch in batches:
+            for first, n, made in scored(batch.column(at), known):
+                part = batch.slice(first, n)
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *_NAMES])
+
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *T.StructType.fromDDL(_SCORES).fields]))
+
+
+def _with_lookups(docs: DataFrame, text: str, model: DataFrame, bits: int, scored) -> DataFrame:
+    """Answers and documents meet by chunk: a task holds the answers of one chunk at a time."""
+    chunked = _chunked(docs, text)
+    answers = _answers(chunked, text, model, bits)
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema]
+    rows = chunked.select("_chunk", F.lit(0).alias("ngram"), F.lit(None).cast("binary").alias("hashes"), F.lit(None).cast("binary").alias("values"), *docs.columns)
+    both = answers.select("_chunk", "ngram", "hashes", "values", *nothing).unionByName(rows)
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, known = None, [], None
+        for batch in batches:
+            chunk, ngram = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((chunk[1:] != chunk[:-1]) | ((ngram[1:] == 0) != (ngram[:-1] == 0))) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(chunk)]):
+                if i == j:
+                    continue
+                if at != chunk[i]:
+                    at, held, known = chunk[i], [], None
+                part = batch.slice(i, j - i)
+                if ngram[i]:
+                    held += zip(*(part.column(k).to_pylist() for k in (1, 2, 3)))
+                    continue
+                if known is None:
+                    known, held = _Found(held), []
+                texts = part.select(columns)
+                for first, n, made in scored(texts.column(columns.index(text)), known):
+                    some = texts.slice(first, n)
+                    yield pa.RecordBatch.from_arrays([*some.columns, *made], names=[*columns, *_NAMES])
+
+    met = both.repartition("_chunk").sortWithinPartitions("_chunk", F.desc("ngram"))
+    return met.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *T.StructType.fromDDL(_SCORES).fields]))
+
+
+_NAMES = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2, min_count: int = MIN_COUNT, mixing: float = MIXING) -> DataFrame:
     """docs with held_out, n_tokens, n_known, train_tokens, base_score (unigrams alone) and score; trained on the rows outside the fold."""
-    spark = docs.sparkSession
-    results = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     docs, restore = guarded(docs, {"_doc": doc_id, "text": text})
-    doc_id, text = "_doc", "text"
-    model, bits = train(docs.where(~held_out(doc_id, folds, fold)).select(F.col(text).alias("text")), min_count)
-    sums = model.where("ngram = 1").agg(F.sum("total"), F.sum("n")).first()
-    n_train, n_words = sums[0] or 0, sums[1] or 0
-    at = docs.columns.index(text)
-    inner = [T.StructField(c, T.BinaryType()) for c in ("_c", "_h", "_q")]
-    slices = _slices(model)
-
-    def arrays(column: pa.Array, part: Slice) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        for first, n, found, count in Tokens().chunks(column):
-            c = part.unigrams(found)
-            yield first, n, count, c, np.concatenate([part.unigrams(np.array([END])), c[:-1]]), part.levels(bigrams(found))
-
-    def scored(count: np.ndarray, c: np.ndarray, h: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
-        plain = (c + 1) / (n_train + n_words + 1)
-        model_p = mixing * np.minimum(1.0, count_of(q.astype(np.int64)) / np.maximum(h, 1)) + (1 - mixing) * plain
-        first = np.cumsum(count) - count
-        total = lambda x: np.add.reduceat(x, first)
-        return [count.astype(np.int64), total((c > 0).astype(np.int64)), np.full(len(count), n_train, np.int64), total(np.log10(plain)), total(np.log10(model_p))]
-
-    def adding(value, last: bool):
-        """One slice's pass: adds what it knows to _c, _h and _q; the last one makes the scores of them."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part = Slice(*value.value)
-            for batch in batches:
-                for first, n, count, c, h, q in arrays(batch.column(at), part):
-                    rows = batch.slice(first, n)
-                    if "_c" in rows.schema.names:
-                        kept = [b"".join(rows.column(k).to_pylist()) for k in ("_c", "_h", "_q")]
-                        c, h, q = c + np.frombuffer(kept[0], np.int64), h + np.frombuffer(kept[1], np.int64), q + np.frombuffer(kept[2], np.uint8)
-                        rows = rows.select([x for x in rows.schema.names if x not in ("_c", "_h", "_q")])
-                    if last:
-                        made, names = scored(count, c, h, q), ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-                    else:
-                        ends = np.cumsum(count)
-                        made, names = [pa.array([x[e - m : e].tobytes() for e, m in zip(ends, count)], pa.binary()) for x in (c, h, q)], ["_c", "_h", "_q"]
-                    yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, made)], names=[*rows.schema.names, *names])
-
-        return run
-
-    out = docs
-    for k, (low, high) in enumerate(slices):
-        rows = model.where((F.col("part") >= low) & (F.col("part") < high)).select("ngram", "part", "first", "second").toArrow().to_pylist()
-        value = spark.sparkContext.broadcast((rows, bits))
-        last = k == len(slices) - 1
-        made = T.StructType.fromDDL("n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double").fields if last else inner
-        out = out.mapInArrow(adding(value, last), T.StructType([*docs.schema.fields, *made]))
-        if not last:
-            out = stage(out, "lm-slice")
-    return restore(out.withColumn("held_out", held_out(doc_id, folds, fold)), results)
+    model, bits = train(docs.where(~held_out("_doc", folds, fold)).select("text"), min_count)
+    sums = model.agg(F.sum(F.when(F.col("ngram") == 1, F.col("total"))), F.sum(F.when(F.col("ngram") == 1, F.col("n"))), F.sum(F.octet_length("first") + F.octet_length("second"))).first()
+    n_train, n_words, size = (x or 0 for x in sums)
+    way = _with_broadcast if size <= BROADCAST_BYTES else _with_lookups
+    out = way(docs, "text", model, bits, _scorer(n_train, n_words, mixing))
+    return restore(out.withColumn("held_out", held_out("_doc", folds, fold)), ["held_out", *_NAMES])

@@ -225,9 +225,11 @@ def test_inverted_schedule(spark):
             assert abs(r["t"] + g * (r["t"] ** 2 - r["t"]) - r["y"]) < 1e-9
 
 
-@pytest.mark.parametrize("slice_bytes", [lm.SLICE_BYTES, 20_000])
-def test_lm_scores(docs, none, slice_bytes, monkeypatch):
-    monkeypatch.setattr(lm, "SLICE_BYTES", slice_bytes)
+@pytest.mark.parametrize("most, chunk, split", [(lm.BROADCAST_BYTES, lm.LOOKUP_BYTES, lm.SPLIT_BITS), (0, 40_000, 2)])
+def test_lm_scores(docs, none, most, chunk, split, monkeypatch):
+    """Broadcast, and looked up in parts by chunks of documents: both score as brute force with exact counts given the same levels."""
+    for name, value in (("BROADCAST_BYTES", most), ("LOOKUP_BYTES", chunk), ("SPLIT_BITS", split)):
+        monkeypatch.setattr(lm, name, value)
     got = lm.score(docs).collect()
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = [([*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), "\0"], zlib.crc32((str(i) if i is not None else "").encode()) % 7 == 2, i) for i, t, *_ in rows()]
@@ -243,7 +245,7 @@ def test_lm_scores(docs, none, slice_bytes, monkeypatch):
         model = 0.0
         for h, w in zip(["\0", *t[:-1]], t):
             c = twos[h, w]
-            q = 0 if c < 2 else 1 + int(math.log2(c))
+            q = 1 + int(math.log2(c)) if c else 0
             k = (2 ** (q - 1) + 2**q - 1) / 2 if q else 0
             model += math.log10(0.4 * min(1, k / max(1, ones[h])) + 0.6 * (ones[w] + 1) / (n + v + 1))
         want[i] = (out, len(t), sum(ones[w] > 0 for w in t), n, base, model)
