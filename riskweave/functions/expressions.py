@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.functions.vocabulary import NO_VENDORS, VENDOR_PATTERNS
+
 DAY_US = 86_400_000_000
 
 
@@ -86,9 +88,8 @@ def hash_bucket(key: str | Column, n: int, salt: str = "") -> Column:
 def vendor_of(description: Column) -> Column:
     """Vendor by four phrasings, else the first word, else ``unknown_vendor``."""
     text = F.lower(F.coalesce(description, F.lit("")))
-    patterns = [r"^([a-z0-9_\-]+)\s+(?:before|through|prior)", r"in\s+([a-z0-9_\-]+)\s+(?:version|v\d)", r"([a-z0-9_\-]+)\s+(?:allows|has|contains)", r"^([a-z0-9_\-]+)\s+\d+\."]
-    found = [F.trim(F.regexp_extract(text, p, 1)) for p in patterns]
-    named = [F.when((F.length(v) >= 2) & ~v.isin("the", "a", "an", "in", "on"), v) for v in found]
+    found = [F.trim(F.regexp_extract(text, p, 1)) for p in VENDOR_PATTERNS]
+    named = [F.when((F.length(v) >= 2) & ~v.isin(NO_VENDORS), v) for v in found]
     first = F.regexp_replace(F.regexp_extract(F.trim(text), r"^\S+", 0), "[^a-z0-9]", "")
     return F.coalesce(*named, F.when(F.length(first) >= 2, first), F.lit("unknown_vendor"))
 

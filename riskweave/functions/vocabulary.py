@@ -118,3 +118,11 @@ HEALTH_KEYWORDS = [
     "ehr", "emr", "pacs", "ris", "lis", "his", "cpoe",
 ]
 LABEL_NAMES = {0: "negligible", 1: "low", 2: "moderate", 3: "high", 4: "critical", 5: "confirmed"}
+
+# fixed values: words that begin no phrase of a term list, and words one of which a fuzzy hit needs
+TERM_STOP_WORDS = ["the", "and", "with", "for", "that", "this", "from", "firm", "initiated", "voluntary", "class", "device", "devices", "product", "report", "initial", "submission", "event", "unknown", "none", "other", "data"]
+ANCHORS = ["healthcare", "hospital", "clinic", "patient", "clinical", "medical", "ehr", "emr", "pacs", "radiology", "dialysis", "catheter", "infusion", "insulin", "ventilator", "medtronic", "philips", "siemens"]
+
+# fixed values: phrasings that name a vendor, in the order in which they are tried, and words that are none
+VENDOR_PATTERNS = [r"^([a-z0-9_\-]+)\s+(?:before|through|prior)", r"in\s+([a-z0-9_\-]+)\s+(?:version|v\d)", r"([a-z0-9_\-]+)\s+(?:allows|has|contains)", r"^([a-z0-9_\-]+)\s+\d+\."]
+NO_VENDORS = ["the", "a", "an", "in", "on"]

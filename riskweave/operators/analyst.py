@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.operators.features import record_features
@@ -19,7 +19,26 @@ def scored(df: DataFrame, reference: str) -> DataFrame:
 def recommendations(df: DataFrame, reference: str, k: int, **conditions) -> DataFrame:
     """The k best records that meet the conditions, with place and a short description. All are scored; none is left out beforehand."""
     best = top(select_records(scored(df.where("cvss IS NOT NULL"), reference), **conditions), [F.desc("score"), F.asc("cve_id")], k)
-    return best.select("cve_id", "score", "cvss", "kev_flag", "is_healthcare", F.substring(F.coalesce("description", F.lit("")), 1, 200).alias("summary"))
+    place = F.row_number().over(Window.orderBy(F.desc("score"), F.asc("cve_id")))  # of k rows
+    return best.select(place.alias("place"), "cve_id", "score", "cvss", "kev_flag", "is_healthcare", F.substring(F.coalesce("description", F.lit("")), 1, 200).alias("summary"))
+
+
+def recent(df: DataFrame, now: str, days_back: int, k: int, min_cvss: float = 0.0) -> DataFrame:
+    """The recommendations among the records published in the ``days_back`` days before ``now``."""
+    start = F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days_back))
+    return recommendations(df.where(F.col("published").between(start, F.lit(now).cast("timestamp"))), now, k, min_cvss=min_cvss)
+
+
+def healthcare_by_severity(df: DataFrame, k: int = 20) -> DataFrame:
+    """The k most severe healthcare records, then by healthcare score, with a short description."""
+    best = top(df.where("is_healthcare = 1"), [F.desc_nulls_last("cvss"), F.desc_nulls_last("healthcare_score"), F.asc("cve_id")], k)
+    return best.select("cve_id", "published", "cvss", "epss_score", "healthcare_score", "chpl_flag", "kev_flag", F.substring("description", 1, 80).alias("summary"))
+
+
+def certified_products(df: DataFrame, k: int = 20) -> DataFrame:
+    """The k most severe records of certified products, then by exploit score, with a short description."""
+    best = top(df.where("chpl_flag = 1"), [F.desc_nulls_last("cvss"), F.desc_nulls_last("epss_score"), F.asc("cve_id")], k)
+    return best.select("cve_id", "published", "cvss", "epss_score", "healthcare_score", "kev_flag", F.substring("description", 1, 80).alias("summary"))
 
 
 def top_records(df: DataFrame, reference: str, k: int, **conditions) -> DataFrame:

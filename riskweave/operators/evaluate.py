@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.expressions import flag
-from riskweave.operators.ranking import average_rank, global_rank
+from riskweave.operators.ranking import average_rank, global_rank, sums_before
 
 
 def placed(scores: DataFrame, by: list[str], key: str = "cve_id") -> DataFrame:
@@ -59,15 +59,14 @@ def linear_ndcg(scores: DataFrame, group: str, k: int, model: str = "model") ->
 def flat_metrics(scores: DataFrame, k: int, model: str = "model", key: str = "cve_id", relevant: float = 2.0) -> DataFrame:
     """(model, precision, recall, ap): over all rows of a model; precision over k; average precision with one threshold for each distinct score.
 
-    Only counts of distinct scores are put in order, not rows.
+    Counts of distinct scores are put in order by range, so a model with as many scores as rows doesn't meet in one task either.
     """
     rows = scores.withColumn("rel", flag(F.col("label") >= relevant))
     top = global_rank(rows.select(model, "score", key, "rel"), [F.col(model).asc(), F.desc("score"), F.asc(key)], "_g")
     first = top.groupBy(model).agg((F.min("_g") - 1).alias("_before"))
     found = top.join(F.broadcast(first), model).where(F.col("_g") - F.col("_before") <= k).groupBy(model).agg(F.sum("rel").alias("found"))
     cuts = rows.groupBy(model, "score").agg(F.sum("rel").alias("r"), F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(model).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = cuts.withColumns({"_r": F.sum("r").over(w), "_c": F.sum("c").over(w)})
+    steps = sums_before(cuts, [model], [F.desc("score")], {"_r": "r", "_c": "c"}).withColumns({"_r": F.col("_r") + F.col("r"), "_c": F.col("_c") + F.col("c")})
     ap = steps.groupBy(model).agg(F.sum(F.col("r") * F.col("_r") / F.col("_c")).alias("s"), F.sum("r").alias("total"))
     return ap.join(found, model).select(model, F.round(F.col("found") / k, 6).alias("precision"), F.round(F.try_divide(F.col("found"), F.col("total")), 6).alias("recall"), F.round(F.coalesce(F.try_divide(F.col("s"), F.col("total")), F.lit(0.0)), 6).alias("ap"))
 
@@ -87,12 +86,11 @@ def lift_table(metrics: DataFrame, model: str, value: str, base: str) -> DataFra
 
 
 def spearman(scores: DataFrame, model: str = "model") -> DataFrame:
-    """(model, rho) of score and label by mean ranks: ranks come from counts of distinct values, so no model's rows meet in one task."""
+    """(model, rho) of score and label by mean ranks: ranks come from counts of values that are put in order by range, so no model's rows meet in one task."""
     out = scores
     for value in ("score", "label"):
-        counts = scores.groupBy(model, value).agg(F.count(F.lit(1)).alias("_c"))
-        before = F.coalesce(F.sum("_c").over(Window.partitionBy(model).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = counts.withColumn(f"_r{value}", before + (F.col("_c") + 1) / 2).drop("_c")
+        counts = sums_before(scores.groupBy(model, value).agg(F.count(F.lit(1)).alias("_c")), [model], [F.desc(value)], {"_b": "_c"})
+        ranks = counts.withColumn(f"_r{value}", F.col("_b") + (F.col("_c") + 1) / 2).drop("_c", "_b")
         out = out.join(ranks, [model, value])
     return out.groupBy(model).agg(F.round(F.corr("_rscore", "_rlabel"), 6).alias("rho"))
 
@@ -103,4 +101,59 @@ def increments(variants: DataFrame, order: str, value: str) -> DataFrame:
     return variants.withColumn("change", F.round(F.col(value) - before, 6)).withColumn("change_pct", F.round(100 * F.try_divide(F.col(value) - before, before), 4))
 
 
-__all__ = ["average_rank", "capture", "flat_metrics", "grouped_metrics", "increments", "lift_table", "linear_ndcg", "macro", "placed", "spearman"]
+def drops(variants: DataFrame, name: str, value: str, full: str) -> DataFrame:
+    """variants with the drop against the full one, absolute and in percent of it."""
+    whole = F.broadcast(variants.where(F.col(name) == full).select(F.col(value).alias("_full")))
+    return variants.join(whole).withColumn("drop", F.round(F.col("_full") - F.col(value), 6)).withColumn("drop_pct", F.round(100 * F.try_divide(F.col("_full") - F.col(value), F.col("_full")), 4)).drop("_full")
+
+
+def slice_metrics(scores: DataFrame, slices: dict, ks: list[int], model: str = "model", key: str = "cve_id", relevant: float = 0.5) -> DataFrame:
+    """(model, slice, n, relevant, and for each k ndcg and precision) over all rows of each slice (name -> condition), exponential gain; precision over k.
+
+    Only the first rows by score and by label are put in order, which Spark limits before it shuffles.
+    """
+    tags = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in slices.items()]))
+    rows = scores.select(model, key, "score", "label", F.explode(tags).alias("slice"))
+    by, most = [model, "slice"], max(ks)
+    gain = F.pow(F.lit(2.0), F.col("label")) - 1
+
+    def firsts(order: str, name: str) -> DataFrame:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order), F.asc(key)))).where(F.col(name) <= most)
+
+    tops, ideals = firsts("score", "_p"), firsts("label", "_i")
+    dcg = [F.sum(F.when(F.col("_p") <= k, gain / F.log2(F.col("_p") + 1)).otherwise(0.0)).alias(f"_d{k}") for k in ks]
+    found = [(F.count_if((F.col("_p") <= k) & (F.col("label") >= relevant)) / k).alias(f"precision_{k}") for k in ks]
+    idcg = [F.sum(F.when(F.col("_i") <= k, gain / F.log2(F.col("_i") + 1)).otherwise(0.0)).alias(f"_b{k}") for k in ks]
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") >= relevant).alias("relevant"))
+    out = counts.join(tops.groupBy(*by).agg(*dcg, *found), by).join(ideals.groupBy(*by).agg(*idcg), by)
+    ndcg = [F.round(F.when(F.col(f"_b{k}") > 0, F.col(f"_d{k}") / F.col(f"_b{k}")).otherwise(0.0), 6).alias(f"ndcg_{k}") for k in ks]
+    return out.select(*by, "n", "relevant", *ndcg, *[F.round(f"precision_{k}", 6).alias(f"precision_{k}") for k in ks])
+
+
+def top_mix(scores: DataFrame, k: int, model: str = "model", key: str = "cve_id") -> DataFrame:
+    """(model, label, n, share) of each model's first k rows."""
+    place = F.row_number().over(Window.partitionBy(model).orderBy(F.desc("score"), F.asc(key)))
+    tops = scores.select(model, key, "score", "label").withColumn("_p", place).where(F.col("_p") <= k)
+    return tops.groupBy(model, "label").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.round(F.col("n") / k, 6))
+
+
+def precision_at(scores: DataFrame, ks: list[int], relevant: float, model: str = "model", key: str = "cve_id") -> DataFrame:
+    """(model, k, found, precision) of each model's first rows over the whole table."""
+    place = F.row_number().over(Window.partitionBy(model).orderBy(F.desc("score"), F.asc(key)))
+    tops = scores.select(model, key, "score", "label").withColumn("_p", place).where(F.col("_p") <= max(ks))
+    long = tops.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where(F.col("_p") <= F.col("k"))
+    return long.groupBy(model, "k").agg(F.count_if(F.col("label") >= relevant).alias("found")).withColumn("precision", F.round(F.col("found") / F.col("k"), 6))
+
+
+def long_table(metrics: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """(strategy, keys, metric, value) of wide metric tables by strategy, as one long table."""
+    out = None
+    for strategy, table in metrics.items():
+        names = [c for c in table.columns if c not in keys]
+        wide = table.select(F.lit(strategy).alias("strategy"), *keys, *[F.col(c).cast("double").alias(c) for c in names])
+        part = wide.unpivot(["strategy", *keys], names, "metric", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+__all__ = ["average_rank", "capture", "drops", "flat_metrics", "grouped_metrics", "increments", "lift_table", "linear_ndcg", "long_table", "macro", "placed", "precision_at", "slice_metrics", "spearman", "top_mix"]

@@ -12,6 +12,7 @@ from riskweave.functions.expressions import contains_any, days_between, flag, nu
 from riskweave.operators.filters import one_row
 
 #: Letters and weights of the parts of a severity vector.
+# fixed values: codes, levels and weights of the vector's parts
 ORDINALS = {
     "cvss_av": ("AV", {"N": 4, "A": 3, "L": 2, "P": 1}, 0.2),
     "cvss_ac": ("AC", {"L": 2, "H": 1}, 0.1),
@@ -84,6 +85,7 @@ def interaction_features(df: DataFrame) -> DataFrame:
     )
 
 
+# fixed values: names and order of the columns
 ENHANCED = [
     *ORDINALS, "cvss_derived_score", "cvss_severity_category", "cwe_is_top25", "cwe_is_injection", "cwe_is_crypto", "cwe_is_access_control", "cwe_is_input_validation", "cwe_is_memory_corruption",
     "cwe_category", "cwe_severity_score", *V.DESCRIPTION_FLAGS, "vendor_is_high_risk", "vendor_is_healthcare", "vendor_risk_score",
@@ -123,6 +125,37 @@ def record_features(df: DataFrame, reference: date | str) -> DataFrame:
     return out.withColumns({"kev_x_cvss": F.col("kev_flag") * F.col("cvss_norm"), "healthcare_x_epss": F.col("is_healthcare") * F.col("epss_score")})
 
 
+def interactions(df: DataFrame) -> DataFrame:
+    """df with the two products of the plain signals; the columns must be there."""
+    return df.withColumns({"cvss_epss_product": F.col("cvss_norm") * F.col("epss_score"), "kev_healthcare_interaction": F.col("kev_flag") * F.col("is_healthcare")})
+
+
+def common_columns(df: DataFrame, reference: date | str, categories: tuple[str, ...] = ("cvss_severity_category", "cwe_category", "curated_severity")) -> DataFrame:
+    """df with the columns that all evaluations share: severity (5 where missing) and its share, recency against the oldest record, has_attack, categories as
+    codes from 0 by sorted value (``nan`` where missing), and label and confidence with their defaults 0 and 0.2. Columns that the table lacks get the default, categories stay away."""
+    have = set(df.columns)
+    or_default = lambda c, v: number(c, v) if c in have else F.lit(float(v))
+    age = F.greatest(F.lit(0), days_between(F.lit(str(reference)).cast("timestamp"), F.col("published")))
+    out = df.withColumns({"cvss": or_default("cvss", 5.0), "_age": age})
+    oldest = one_row(out, F.greatest(F.max("_age").cast("double"), F.lit(1.0)).alias("_oldest"))
+    out = out.join(oldest).withColumns(
+        {
+            "cvss_norm": F.col("cvss") / 10.0,
+            "recency_score": 1.0 - F.col("_age") / F.col("_oldest"),
+            "has_attack": or_default("attack_flag", 0).cast("bigint"),
+            "soft_label": or_default("soft_label", 0).cast("bigint"),
+            "label_confidence": or_default("label_confidence", 0.2),
+        }
+    )
+    for c in [c for c in categories if c in have]:
+        from riskweave.operators.ranking import dense_codes
+
+        named = out.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit("nan")))
+        out = named.join(F.broadcast(dense_codes(named.select(c), c)), c).withColumn(c, F.col("code") - 1).drop("code")
+    return out.drop("_age", "_oldest")
+
+
+# fixed values: names of the columns
 PUBLICATION_TEXT = ["is_high_risk_vendor", "is_healthcare_vendor", "has_exploit_keywords_high", "has_exploit_keywords_med", "has_exploit_keywords_low", "exploit_keyword_count"]
 
 

@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.operators.filters import one_row
 from riskweave.operators.ranking import global_rank
+from riskweave.session import stage
 
 
 def standardised(scores: DataFrame, model: str = "model") -> DataFrame:
@@ -50,21 +52,65 @@ def fitted_weights(scores: DataFrame, label: str = "label", model: str = "model"
     The products of models are sums over rows that Spark takes; only the small system is solved here.
     """
     names = [r[0] for r in scores.select(model).distinct().orderBy(model).collect()]
-    wide = standardised(scores).groupBy("cve_id").pivot(model, names).agg(F.first("z"), F.first(label).alias("y"))
-    z = lambda n: F.coalesce(F.col(f"`{n}_first(z)`"), F.lit(0.0))
-    y = F.coalesce(*[F.col(f"`{n}_y`") for n in names]).cast("double")
-    row = wide.agg(*[F.sum(z(a) * z(b)) for a in names for b in names], *[F.sum(z(a) * y) for a in names]).first()
-    m = len(names)
-    gram, right = np.array(row[: m * m]).reshape(m, m) + alpha * np.eye(m), np.array(row[m * m :])
+    row = _wide(scores, names, label, model).agg(*_products(names)).first()
+    w = _solved(np.array(row, float), len(names), alpha)
+    return scores.sparkSession.createDataFrame(list(zip(names, map(float, w))), f"{model} string, weight double")
+
+
+def _wide(scores: DataFrame, names: list[str], label: str, model: str) -> DataFrame:
+    """cve_id, y and the standardised score of each model as _z0, _z1, ...; missing ones 0."""
+    parts = [F.coalesce(F.max(F.when(F.col(model) == n, F.col("z"))), F.lit(0.0)).alias(f"_z{i}") for i, n in enumerate(names)]
+    return standardised(scores, model).groupBy("cve_id").agg(*parts, F.max(label).cast("double").alias("y"))
+
+
+def _products(names: list[str], times: str | None = None) -> list:
+    m, by = range(len(names)), F.col(times) if times else F.lit(1)
+    return [F.sum(F.col(f"_z{a}") * F.col(f"_z{b}") * by) for a in m for b in m] + [F.sum(F.col(f"_z{a}") * F.col("y") * by) for a in m]
+
+
+def _solved(sums: np.ndarray, m: int, alpha: float) -> np.ndarray:
+    """Weights of the ridge from the sums of products, by coordinate descent on the m x m system."""
+    gram, right = sums[: m * m].reshape(m, m) + alpha * np.eye(m), sums[m * m :]
     w = np.zeros(m)
-    for _ in range(10_000):  # coordinate descent on the m x m system
+    for _ in range(10_000):
         old = w.copy()
         for i in range(m):
             w[i] = max(0.0, (right[i] - gram[i] @ w + gram[i, i] * w[i]) / gram[i, i])
         if np.abs(w - old).max() < 1e-12:
             break
-    w = w / w.sum() if w.sum() > 0 else np.full(m, 1 / m)
-    return scores.sparkSession.createDataFrame(list(zip(names, map(float, w))), f"{model} string, weight double")
+    return w / w.sum() if w.sum() > 0 else np.full(m, 1 / m)
+
+
+def bootstrap_ensemble(scores: DataFrame, replicas: int, label: str = "label", model: str = "model", alpha: float = 1.0, uncertain: float = 0.1) -> DataFrame:
+    """(cve_id, mean, deviation, uncertain) of weighted averages whose weights are fitted on bootstrap draws of the records; uncertain are the ``uncertain`` share with the largest deviations.
+
+    The products of all draws come from one aggregation; a row for each draw is solved on the driver, and the scores of all draws are means over models in one join.
+    """
+    from riskweave.operators.splits import bootstrap
+
+    names = [r[0] for r in scores.select(model).distinct().orderBy(model).collect()]
+    wide = stage(_wide(scores, names, label, model), "ensemble-wide")
+    sums = bootstrap(wide, replicas, "cve_id").groupBy("replica").agg(*_products(names, "times")).orderBy("replica").collect()
+    weights = [_solved(np.array(r[1:], float), len(names), alpha) for r in sums]
+    each = F.array(*[sum((F.col(f"_z{i}") * float(x) for i, x in enumerate(w)), F.lit(0.0)) for w in weights])
+    n = len(weights)
+    mean = F.aggregate("_each", F.lit(0.0), lambda a, x: a + x) / n
+    out = wide.select("cve_id", each.alias("_each")).withColumn("mean", mean)
+    out = out.withColumn("deviation", F.sqrt(F.aggregate("_each", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / n)).drop("_each")
+    rows = one_row(out, F.count(F.lit(1)).alias("_rows"))
+    ranked = global_rank(out, [F.desc("deviation"), F.asc("cve_id")], "_rank").join(rows)
+    return ranked.withColumn("uncertain", F.col("_rank") <= F.floor(F.col("_rows") * F.lit(uncertain))).drop("_rank", "_rows")
+
+
+def common_tops(scores: DataFrame, k: int, key: str = "cve_id", model: str = "model") -> DataFrame:
+    """(model_a, model_b, common, every) of each two models that share keys: keys in both first k, and in either."""
+    place = F.row_number().over(Window.partitionBy(model).orderBy(F.desc("score"), F.asc(key)))
+    tops = scores.select(model, key, "score").withColumn("_p", place).where(F.col("_p") <= k)
+    sizes = F.broadcast(tops.groupBy(model).agg(F.count(F.lit(1)).alias("_n")))  # a row for each model
+    tops = tops.join(sizes, model)
+    a, b = (tops.select(F.col(model).alias(f"model_{s}"), key, F.col("_n").alias(f"_n{s}")) for s in "ab")
+    both = a.join(b, key).where("model_a < model_b").groupBy("model_a", "model_b").agg(F.count(F.lit(1)).alias("common"), F.first("_na").alias("_na"), F.first("_nb").alias("_nb"))
+    return both.select("model_a", "model_b", "common", (F.col("_na") + F.col("_nb") - F.col("common")).alias("every"))
 
 
 def diversity(scores: DataFrame, k: int, key: str = "cve_id", model: str = "model") -> DataFrame:

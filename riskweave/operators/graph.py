@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.functions.expressions import number, vendor_of
 from riskweave.operators.filters import one_row
 from riskweave.session import stage, unstage
 
@@ -19,6 +20,20 @@ def bipartite(df: DataFrame, key: str = "cve_id", listed: str = "cwe", most: int
     return df.select(key, F.explode(items).alias("item")).where(~F.lower("item").isin("", "nan", "none")).distinct()
 
 
+def vendor_graph(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None, key: str = "cve_id", text: str = "description") -> tuple[DataFrame, DataFrame]:
+    """Edges (src, dst) of records to the vendor their text names, and (vendor, n, columns) the means of standardised columns of each vendor's records.
+
+    Vendors, means and deviations come from ``fit_on`` (the records themselves if none is given); a vendor that isn't among these counts as unknown_vendor.
+    """
+    fit = df if fit_on is None else fit_on
+    named = fit.select(vendor_of(F.col(text)).alias("vendor"), *columns)
+    params = one_row(named, *[f(number(c)).alias(f"_{n}{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    scaled = named.join(params).select("vendor", *[((number(c) - F.col(f"_m{c}")) / F.when(F.col(f"_s{c}") == 0, 1.0).otherwise(F.col(f"_s{c}"))).alias(c) for c in columns])
+    means = scaled.groupBy("vendor").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns])
+    edges = df.select(F.col(key).alias("src"), vendor_of(F.col(text)).alias("vendor")).join(means.select("vendor", F.col("vendor").alias("_known")), "vendor", "left")
+    return edges.select("src", F.coalesce("_known", F.lit("unknown_vendor")).alias("dst")), means
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Edges in both directions with the weight's share of the source's sum."""
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
@@ -28,32 +43,35 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 
 def diffusion(edges: DataFrame, seeds: DataFrame, restart: float = 0.85, tolerance: float = 1e-6, rounds: int = 100, batch: str | None = None, every: int = 5) -> DataFrame:
-    """(id, score) of a random walk with restart from the seeds (id, score); uniform where none is in the graph. With ``batch`` one walk for each of its values.
+    """(id, score) of a random walk with restart from the seeds (id, score); uniform where none is in the graph.
 
+    With ``batch`` one walk for each of its values, side by side: (batch, id, score) of the nodes that a walk reaches; a walk without a seed in the graph has none.
     Shares of edges are staged once and dealt out by source; ranks are staged every few rounds, when the change is measured too.
     """
     links = stage(undirected(edges).repartition("src"), "walk-links")
     nodes = stage(links.select(F.col("src").alias("id")).distinct(), "walk-nodes")
     keys = [batch] if batch else []
-    walks = seeds.select(*keys).distinct() if batch else None
-    grid = nodes.join(F.broadcast(walks)) if batch else nodes
     inside = seeds.join(nodes, "id").groupBy(*keys, "id").agg(F.sum("score").cast("double").alias("_s"))
     totals = inside.groupBy(*keys).agg(F.sum("_s").alias("_t"))
-    n = one_row(nodes, F.count(F.lit(1)).alias("_n"))
-    start = grid.join(inside, [*keys, "id"], "left")
-    start = (start.join(F.broadcast(totals), keys, "left") if batch else start.join(F.broadcast(totals))).join(n)
-    seed = F.when(F.coalesce("_t", F.lit(0.0)) > 0, F.coalesce("_s", F.lit(0.0)) / F.col("_t")).otherwise(1.0 / F.col("_n"))
-    base = stage(start.select(*keys, "id", seed.alias("seed")), "walk-seeds")
+    if batch:
+        base = inside.join(totals, keys).where("_t > 0").select(*keys, "id", (F.col("_s") / F.col("_t")).alias("seed"))
+    else:
+        n = one_row(nodes, F.count(F.lit(1)).alias("_n"))
+        start = nodes.join(inside, "id", "left").join(F.broadcast(totals)).join(n)
+        seed = F.when(F.coalesce("_t", F.lit(0.0)) > 0, F.coalesce("_s", F.lit(0.0)) / F.col("_t")).otherwise(1.0 / F.col("_n"))
+        base = start.select("id", seed.alias("seed"))
+    base = stage(base, "walk-seeds")
     ranks, kept = base.withColumnRenamed("seed", "score"), None
     for i in range(1, rounds + 1):
         sent = links.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(*keys, F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("_in"))
-        step = base.join(sent, [*keys, "id"], "left").select(*keys, "id", ((1 - restart) * F.coalesce("_in", F.lit(0.0)) + restart * F.col("seed")).alias("score"))
+        met = base.join(sent, [*keys, "id"], "full_outer" if batch else "left")
+        step = met.select(*keys, "id", ((1 - restart) * F.coalesce("_in", F.lit(0.0)) + restart * F.coalesce("seed", F.lit(0.0))).alias("score"))
         if i % every and i < rounds:
             ranks = step
             continue
         new = stage(step, "walk-ranks")
         old = ranks if kept is None and every == 1 else kept
-        moved = None if old is None else new.join(old.withColumnRenamed("score", "_o"), [*keys, "id"]).agg(F.sum(F.abs(F.col("score") - F.col("_o")))).first()[0]
+        moved = None if old is None else new.join(old.withColumnRenamed("score", "_o"), [*keys, "id"], "left").agg(F.sum(F.abs(F.col("score") - F.coalesce("_o", F.lit(0.0))))).first()[0]
         if kept is not None:
             unstage(kept)
         kept = ranks = new
@@ -105,16 +123,19 @@ def two_hops(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def similar(vectors: DataFrame, key: str, vector: str, k: int = 10, least: float = 0.7, block: int = 512) -> DataFrame:
-    """(src, dst, weight): the k most cosine-similar other rows of each row, of those at ``least`` or more; ties to the smaller key.
+    """(src, dst, weight): the k most cosine-similar other rows of each row, of those at ``least`` or more; ties to the smaller key. Exact: every two rows of
+    the same number of components are compared; vectors that are null, empty, or hold null or non-finite components take no part.
 
     Blocks of rows meet as pairs of blocks, dealt out by pair; a task holds two blocks, and what comes out is at most k rows for each row and block.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_b"))
-    packed = stage(rows.groupBy("_b").agg(F.collect_list(F.struct("id", "v")).alias("rows")), "similar-blocks")  # about ``block`` rows each
-    x, y = packed.select(F.col("_b").alias("p"), F.col("rows").alias("x")), packed.select(F.col("_b").alias("q"), F.col("rows").alias("y"))
-    pairs = x.withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(y, "q")
+    v = F.col(vector).cast("array<double>")
+    sound = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
+    rows = vectors.where(sound).select(F.col(key).cast("bigint").alias("id"), v.alias("v"))
+    blocks = max(1, -(-rows.count() // block))
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    packed = stage(dealt.groupBy("_b", F.size("v").alias("_d")).agg(F.collect_list(F.struct("id", "v")).alias("rows")), "similar-blocks")  # about ``block`` rows each
+    x, y = packed.select(F.col("_b").alias("p"), "_d", F.col("rows").alias("x")), packed.select(F.col("_b").alias("q"), "_d", F.col("rows").alias("y"))
+    pairs = x.withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(y, ["q", "_d"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

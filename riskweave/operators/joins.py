@@ -61,12 +61,33 @@ def coded(df: DataFrame, codes: DataFrame, column: str, unknown: int) -> DataFra
     return df.join(codes, column, "left").withColumn("code", F.coalesce(F.col("code").cast("bigint"), F.lit(unknown)))
 
 
-def matches(texts: DataFrame, key: str, text: Column, vocabulary: DataFrame, longest: int = 4) -> DataFrame:
-    """(key, term, ...) of the vocabulary terms that stand in a text as whole words.
+_OUTSIDE = r"[^a-z0-9_-]+"
 
-    Runs of one to ``longest`` words are dealt out as rows and met with the vocabulary by equality: no test of every term on every text.
+
+def _word_runs(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _OUTSIDE), lambda w: w != "")
+
+
+def matches(texts: DataFrame, key: str, text: Column, vocabulary: DataFrame, first_words: int = 2000) -> DataFrame:
+    """(key, term, ...) of the vocabulary terms that stand in a text as whole words, whatever signs and blanks stand between these.
+
+    Runs of words, of the lengths that the vocabulary has, are dealt out as rows and met with the vocabulary by equality: no test of every term on every text.
+    Only runs that begin with a term's first word are dealt out, where the terms have at most ``first_words`` of these.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_-]+"), lambda w: w != "")
-    tokens = texts.select(key, words.alias("_w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("_w"), F.lit(1))), lambda i: i + n - 1 <= F.size("_w")), lambda i: F.array_join(F.slice("_w", i, n), " "))))
-    return tokens.select(key, F.explode(F.array_distinct(runs)).alias("term")).join(vocabulary, "term")
+    words = _word_runs(F.col("term"))
+    known = vocabulary.withColumn("_run", F.array_join(words, " ")).where(F.col("_run") != "")
+    lengths = [r[0] for r in known.select(F.size(words).alias("n")).distinct().orderBy("n").collect()]  # one row for each length of a term
+    if not lengths:
+        return texts.select(key).join(vocabulary.limit(0))
+    firsts = [r[0] for r in known.select(words[0]).distinct().limit(first_words + 1).collect()]
+    tokens = texts.select(key, _word_runs(text).alias("_w"))
+    at = F.sequence(F.lit(1), F.greatest(F.size("_w"), F.lit(1)))
+    if len(firsts) <= first_words:
+        at = F.filter(at, lambda i: F.get(F.col("_w"), i - 1).isin(firsts))
+    tokens = tokens.select(key, "_w", at.alias("_at")).where(F.size("_at") > 0)
+
+    def of_length(n: int) -> Column:
+        return F.transform(F.filter("_at", lambda i: i + n - 1 <= F.size("_w")), lambda i: F.array_join(F.slice("_w", i, F.lit(n)), " "))
+
+    runs = F.flatten(F.array(*map(of_length, lengths)))
+    return tokens.select(key, F.explode(F.array_distinct(runs)).alias("_run")).join(known, "_run").drop("_run")

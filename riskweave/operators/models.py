@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.expressions import hash_bucket, number
 from riskweave.operators.evaluate import macro
-from riskweave.operators.splits import bootstrap
+from riskweave.operators.filters import by_ids
+from riskweave.operators.ranking import global_rank, top
+from riskweave.operators.splits import bootstrap, hash_sample
+from riskweave.session import stage
 
 
 def training_rows(df: DataFrame, features: list[str], label: str = "label", group: str = "week", weight: str | None = None, key: str = "cve_id") -> DataFrame:
@@ -26,29 +29,41 @@ def group_sizes(rows: DataFrame, group: str = "group") -> DataFrame:
     return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Rows of a group that a task pairs together, besides the few of the next block that theirs meet.
+BLOCK = 1000
+
+
 def preference_pairs(rows: DataFrame, features: list[str], per_row: int = 8, key: str = "cve_id") -> DataFrame:
     """Differences of features of two rows of a group with different labels, better first, weighted by confidence and gain difference.
 
-    Each row meets the ``per_row`` rows that follow it in the group's order by hash: a sampling of pairs, linear in rows. A group is
-    cut into runs of hash order of bounded size, so that a large one does not meet in one task.
+    Each row meets the ``per_row`` rows that follow it in its group's order by hash: a sampling of pairs, linear in rows and the same however large a group is.
+    Rows are numbered by range and paired in blocks of bounded size; a block's first rows are dealt to the block before too.
     """
-    sized = rows.join(group_sizes(rows).withColumnRenamed("n", "_n"), "group")
-    cut = F.ceil(F.col("_n") / 2000)
-    w = Window.partitionBy("group", "_cut").orderBy(F.md5(F.col(key).cast("string")), key)
-    placed = sized.withColumn("_cut", F.pmod(F.xxhash64(key), cut)).withColumn("_next", F.collect_list(F.struct("label", "weight", *features)).over(w.rowsBetween(1, per_row)))
-    met = placed.select("group", "label", "weight", *features, F.explode("_next").alias("o")).where("label <> o.label")
+    order = [F.col("group").asc(), F.md5(F.col(key).cast("string")).asc(), F.col(key).asc()]
+    ranked = global_rank(rows.select(key, "group", "label", "weight", *features), order, "_rank").withColumn("_block", F.floor(F.col("_rank") / BLOCK))
+    ahead = ranked.where(F.col("_rank") % BLOCK < per_row).withColumn("_block", F.col("_block") - 1).withColumn("_own", F.lit(False))
+    dealt = ranked.withColumn("_own", F.lit(True)).unionByName(ahead)
+    w = Window.partitionBy("group", "_block").orderBy("_rank").rowsBetween(1, per_row)
+    placed = dealt.withColumn("_next", F.collect_list(F.struct(key, "label", "weight", *features)).over(w)).where("_own")
+    met = placed.select(key, "group", "label", "weight", *features, F.explode("_next").alias("o")).where("label <> o.label")
     sign = F.when(F.col("label") > F.col("o.label"), 1.0).otherwise(-1.0)
     gain = F.abs(F.pow(F.lit(2.0), F.col("label")) - F.pow(F.lit(2.0), F.col("o.label")))
-    better = F.when(F.xxhash64("group", *features, *[F.col(f"o.{c}") for c in features]) % 2 == 0, 1.0).otherwise(0.0)  # which side is first is no feature
+    # which side is first is no feature: a hash of both keys says
+    better = (hash_bucket(F.concat_ws("#", F.col(key).cast("string"), F.col(f"o.{key}").cast("string")), 2) == 0).cast("double")
     turn = F.when(better == 1.0, sign).otherwise(-sign)
     return met.select("group", better.alias("first"), (F.col("weight") * F.col("o.weight") * gain).alias("pair_weight"), *[((F.col(c) - F.col(f"o.{c}")) * turn).alias(c) for c in features])
 
 
+def fit_pairs(pairs: DataFrame, features: list[str], regular: float = 0.01, rounds: int = 30) -> DataFrame:
+    """(feature, weight) of a linear ranker fitted on the given columns of preference pairs."""
+    x = VectorAssembler(inputCols=features, outputCol="_vector").transform(pairs)
+    model = LogisticRegression(featuresCol="_vector", labelCol="first", weightCol="pair_weight", fitIntercept=False, regParam=regular, maxIter=rounds).fit(x)
+    return pairs.sparkSession.createDataFrame(list(zip(features, map(float, model.coefficients))), "feature string, weight double")
+
+
 def fit_pairwise(rows: DataFrame, features: list[str], per_row: int = 8, regular: float = 0.01, rounds: int = 30) -> DataFrame:
-    """(feature, weight) of a linear ranker fitted on preference pairs."""
-    pairs = VectorAssembler(inputCols=features, outputCol="_vector").transform(preference_pairs(rows, features, per_row))
-    model = LogisticRegression(featuresCol="_vector", labelCol="first", weightCol="pair_weight", fitIntercept=False, regParam=regular, maxIter=rounds).fit(pairs)
-    return rows.sparkSession.createDataFrame(list(zip(features, map(float, model.coefficients))), "feature string, weight double")
+    """(feature, weight) of a linear ranker fitted on preference pairs, which are staged: each round of fitting reads them."""
+    return fit_pairs(stage(preference_pairs(rows, features, per_row), "preference-pairs"), features, regular, rounds)
 
 
 def linear_scores(rows: DataFrame, weights: DataFrame, key: str = "cve_id") -> DataFrame:
@@ -76,23 +91,41 @@ def quality(rows: DataFrame, k: int = 10) -> float:
 
 def grid_search(rows: DataFrame, features: list[str], grid: dict[str, list], folds: int = 3, k: int = 10) -> DataFrame:
     """(params, mean ndcg) of every combination, on folds of whole groups."""
-    dealt = rows.withColumn("_fold", hash_bucket("group", folds)).persist()
+    dealt = stage(rows.withColumn("_fold", hash_bucket("group", folds)), "grid-folds")
     names, out = list(grid), []
     for values in itertools.product(*grid.values()):
         scores = [quality(scored(fit_trees(dealt.where(F.col("_fold") != f), features, **dict(zip(names, values))), dealt.where(F.col("_fold") == f)), k) for f in range(folds)]
         out.append((str(dict(zip(names, values))), sum(scores) / folds))
-    dealt.unpersist()
     return rows.sparkSession.createDataFrame(out, "params string, ndcg double").orderBy(F.desc("ndcg"), "params")
 
 
-def ablation(train: DataFrame, test: DataFrame, variants: dict[str, list[str]], k: int = 10) -> DataFrame:
-    """(place, variant, features, ndcg): a pairwise ranker fitted anew on each column list."""
-    out = [(i, name, len(columns), quality(linear_scores(test, fit_pairwise(train, columns)), k)) for i, (name, columns) in enumerate(variants.items())]
+def ablation(train: DataFrame, test: DataFrame, variants: dict[str, list[str]], k: int = 10, rounds: int = 30) -> DataFrame:
+    """(place, variant, features, ndcg): a pairwise ranker fitted anew on each column list; the pairs of all columns are made once."""
+    every = sorted({c for columns in variants.values() for c in columns})
+    pairs, held = stage(preference_pairs(train, every), "ablation-pairs"), stage(test, "ablation-test")
+    out = [(i, name, len(columns), quality(linear_scores(held, fit_pairs(pairs, columns, rounds=rounds)), k)) for i, (name, columns) in enumerate(variants.items())]
     return train.sparkSession.createDataFrame(out, "place int, variant string, features int, ndcg double")
 
 
+def confidence_scales(train: DataFrame, val: DataFrame, features: list[str], scales: tuple[float, ...] = (0.5, 1.0, 1.5, 2.0), k: int = 10, rounds: int = 30) -> DataFrame:
+    """(scale, ndcg) of rankers fitted with confidences times each scale, kept within 0.05 and 2."""
+    fit, held = stage(train, "scale-train"), stage(val, "scale-val")
+    clipped = lambda s: F.least(F.lit(2.0), F.greatest(F.lit(0.05), F.col("weight") * s))
+    out = [(float(s), quality(linear_scores(held, fit_pairwise(fit.withColumn("weight", clipped(s)), features, rounds=rounds)), k)) for s in scales]
+    return train.sparkSession.createDataFrame(out, "scale double, ndcg double").orderBy(F.desc("ndcg"), "scale")
+
+
+def batch_scores(rows: DataFrame, weights: DataFrame, k: int, ids: DataFrame | None = None, key: str = "cve_id") -> DataFrame:
+    """(key, score) of the k best rows, of those of an id table if one is given; features that the table lacks count as 0."""
+    wanted = rows if ids is None else by_ids(rows, ids, key)
+    missing = [r["feature"] for r in weights.select("feature").collect() if r["feature"] not in rows.columns]
+    scored_rows = linear_scores(wanted.withColumns({c: F.lit(0.0) for c in missing}) if missing else wanted, weights, key)
+    return top(scored_rows.select(key, "score"), [F.desc("score"), F.asc(key)], k)
+
+
 def ensemble(train: DataFrame, test: DataFrame, features: list[str], replicas: int = 5) -> DataFrame:
     """(cve_id, mean, deviation) of rankers fitted on bootstrap draws of whole groups."""
+    train, test = stage(train, "ensemble-train"), stage(test, "ensemble-test")
     groups = bootstrap(train.select("group").distinct(), replicas, "group").select("group", "replica", "times")
     out = None
     for r in range(replicas):
@@ -134,6 +167,25 @@ def permutation_importance(rows: DataFrame, weights: DataFrame, features: list[s
     return rows.sparkSession.createDataFrame(out, "feature string, drop double").orderBy(F.desc("drop"), "feature")
 
 
+def importance_runs(rows: DataFrame, features: list[str], shares: tuple[float, ...], seeds: tuple[str, ...], rounds: int = 20) -> DataFrame:
+    """(run, feature, importance): mean absolute contribution of each feature under rankers fitted on hash samples of several sizes and seeds."""
+    held, out = stage(rows, "runs-rows"), []
+    for share in shares:
+        for seed in seeds:
+            part = hash_sample(held, share, salt=seed)
+            w = {r["feature"]: r["weight"] for r in fit_pairwise(part, features, rounds=rounds).collect()}  # one for each feature
+            means = part.agg(*[F.avg(F.abs(F.col(c) * v)).alias(c) for c, v in w.items()]).first()
+            out += [(f"{share}/{seed}", c, float(means[c] or 0.0)) for c in features]
+    return rows.sparkSession.createDataFrame(out, "run string, feature string, importance double")
+
+
+def importance_table(importance: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` features with their share of the whole importance and place."""
+    whole = F.sum("importance").over(Window.partitionBy())  # over features
+    place = F.row_number().over(Window.orderBy(F.desc("importance"), "feature"))
+    return importance.withColumn("share", F.try_divide(F.col("importance"), whole)).withColumn("place", place).where(F.col("place") <= most)
+
+
 def save(model: PipelineModel, path: str, features: list[str], metrics: dict[str, float], n_train: int) -> None:
     """The model and, beside it, a one-row card of features, metrics and training rows."""
     model.write().overwrite().save(f"{path}/model")

@@ -28,6 +28,25 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitio
     return out.withColumn(name, (F.col("_gr_before") + F.col("_gr_place")).cast("bigint")).drop("_gr_part", "_gr_place", "_gr_before")
 
 
+def sums_before(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """df with, for each name -> column of ``sums``, the sum of the column over the rows of the group that come before the row; 0 for the first.
+
+    Rows are dealt out by range of group and order, as in :func:`global_rank`, so a group's rows needn't meet in one task; sums of each group's ranges are added up.
+    The order must be total within a group, and groups have no null.
+    """
+    kept = stage(df.repartitionByRange(*[F.col(c) for c in group], *order).withColumn("_sb_part", F.spark_partition_id()), "sums-before")
+    parts = kept.groupBy(*group, "_sb_part").agg(*[F.sum(c).alias(f"_sb_{n}") for n, c in sums.items()])
+    earlier = (Window.partitionBy(*group) if group else Window.partitionBy()).orderBy("_sb_part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each range that holds rows of a group: not above ranges plus groups
+    offsets = parts.select(*[F.col(c).alias(f"_sb_{i}") for i, c in enumerate(group)], F.col("_sb_part").alias("_sb_in"), *[F.coalesce(F.sum(f"_sb_{n}").over(earlier), F.lit(0)).alias(f"_sb_{n}") for n in sums])
+    within = Window.partitionBy(*group, "_sb_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = kept.withColumns({n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()})
+    met = F.col("_sb_part") == F.col("_sb_in")
+    for i, c in enumerate(group):
+        met &= F.col(c) == F.col(f"_sb_{i}")
+    return placed.join(offsets, met).select(*df.columns, *[(F.col(n) + F.col(f"_sb_{n}")).alias(n) for n in sums])
+
+
 def average_rank(df: DataFrame, group: list[str], value: Column, name: str = "avg_rank") -> DataFrame:
     """Mean position of equal values, 1 for the largest."""
     ordered = Window.partitionBy(*group).orderBy(value.desc())
@@ -51,6 +70,8 @@ def dense_codes(df: DataFrame, column: str) -> DataFrame:
 
 
 def best_then_fill(df: DataFrame, group: str, score: str, key: str, k: int) -> DataFrame:
-    """The best row of each group, then the best of the other rows, k in all."""
-    first = in_group(df, [group], [F.desc(score), F.asc(key)], "_n")
-    return first.withColumn("_first", (F.col("_n") == 1).cast("int")).orderBy(F.desc("_first"), F.desc(score), F.asc(key)).limit(k).drop("_n", "_first")
+    """The best row of each group, then the best of the other rows, k in all. The best are taken by a partial aggregation, the others by a bounded sort."""
+    worst_first = F.struct(F.col(score).isNull().alias("none"), (-F.col(score)).alias("s"), F.col(key).alias("k"))
+    best = df.groupBy(group).agg(F.min(worst_first).alias("_b")).orderBy("_b").limit(k).select(F.col("_b.k").alias("_best"))
+    first = df.join(F.broadcast(best), F.col(key) == F.col("_best"), "left").withColumn("_first", F.col("_best").isNotNull())
+    return first.orderBy(F.desc("_first"), F.desc_nulls_last(score), F.asc(key)).limit(k).drop("_best", "_first")

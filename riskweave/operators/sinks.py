@@ -43,6 +43,11 @@ def last_fetch(log: DataFrame, kind: str | None = None) -> DataFrame:
     return good.agg(F.max_by("end_date", "fetch_date").alias("end_date"))
 
 
+def last_fetches(log: DataFrame) -> DataFrame:
+    """(fetch_type, end_date) of the latest successful fetch of every kind, in one pass."""
+    return log.where("status = 'success'").groupBy("fetch_type").agg(F.max_by("end_date", "fetch_date").alias("end_date"))
+
+
 def append_log(log: DataFrame, path: str) -> None:
     log.write.mode("append").parquet(path)
 

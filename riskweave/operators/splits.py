@@ -37,6 +37,16 @@ def with_gap(df: DataFrame, train_end: str, days: int, when: str = "published")
     return df.where((day <= end) | (day >= F.date_add(end, days))).withColumn("split", F.when(day <= end, "train").otherwise("test"))
 
 
+def by_cutoff(df: DataFrame, cutoff: str, val_share: float = 0.15, when: str = "published", key: str = "cve_id") -> DataFrame:
+    """split: test after the cutoff; of the rest in time order, ties by key, the last ``int(n * val_share)`` rows, one at least, are val, the others train."""
+    at = F.lit(cutoff).cast("timestamp")
+    early = global_rank(df.where(F.col(when) <= at), [F.col(when).asc(), F.col(key).asc()], "_rank")
+    n = one_row(df.where(F.col(when) <= at), F.count(F.lit(1)).alias("_rows"))
+    val = F.greatest(F.lit(1), F.floor(F.col("_rows") * F.lit(val_share)))
+    earlier = early.join(n).withColumn("split", F.when(F.col("_rank") > F.col("_rows") - val, "val").otherwise("train")).drop("_rank", "_rows")
+    return earlier.unionByName(df.where(F.col(when) > at).withColumn("split", F.lit("test")))
+
+
 def leakage(df: DataFrame, when: str = "published") -> DataFrame:
     """One row: last day of train, first of test, days of overlap, leaks."""
     day = F.to_date(when)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from riskweave.operators.ranking import average_rank
+from riskweave.operators.ranking import average_rank, sums_before
 
 
 def _normal_tail(z: str) -> Column:
@@ -26,8 +26,7 @@ def wilcoxon(pairs: DataFrame, by: list[str], least: int = 5) -> DataFrame:
     d = pairs.withColumn("_d", F.round(F.col("a") - F.col("b"), 12)).where("_d <> 0")
     # mean ranks of |d| from counts of its distinct values
     sizes = d.groupBy(*by, F.abs("_d").alias("_m")).agg(F.count(F.lit(1)).alias("_c"), F.sum(F.when(F.col("_d") > 0, 1).otherwise(0)).alias("_plus"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = sizes.withColumn("_r", before + (F.col("_c") + 1) / 2)
+    ranked = sums_before(sizes, by, [F.asc("_m")], {"_b": "_c"}).withColumn("_r", F.col("_b") + (F.col("_c") + 1) / 2)
     sums = ranked.groupBy(*by).agg(F.sum("_c").alias("n"), F.sum(F.col("_plus") * F.col("_r")).alias("plus"), F.sum((F.col("_c") - F.col("_plus")) * F.col("_r")).alias("minus"), F.sum(F.pow("_c", F.lit(3)) - F.col("_c")).alias("ties"))
     n = F.col("n").cast("double")
     z = (F.least("plus", "minus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
@@ -57,10 +56,9 @@ def holm(tests: DataFrame, alpha: float, key: str, p: str = "p") -> DataFrame:
 
 
 def cliffs_delta(values: DataFrame, side: Column, value: str) -> DataFrame:
-    """One row: delta of the rows where ``side`` holds against the others, by rank sums over counts of distinct values, not over pairs."""
+    """One row: delta of the rows where ``side`` holds against the others, by rank sums over counts of values that are put in order by range, not over pairs."""
     counts = values.groupBy(value).agg(F.count_if(side).alias("_a"), F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = counts.withColumn("_r", before + (F.col("_c") + 1) / 2).agg(F.sum(F.col("_a") * F.col("_r")).alias("r"), F.sum("_a").cast("double").alias("m"), (F.sum("_c") - F.sum("_a")).cast("double").alias("n"))
+    s = sums_before(counts, [], [F.asc(value)], {"_b": "_c"}).withColumn("_r", F.col("_b") + (F.col("_c") + 1) / 2).agg(F.sum(F.col("_a") * F.col("_r")).alias("r"), F.sum("_a").cast("double").alias("m"), (F.sum("_c") - F.sum("_a")).cast("double").alias("n"))
     return s.select(F.round(2 * (F.col("r") - F.col("m") * (F.col("m") + 1) / 2) / (F.col("m") * F.col("n")) - 1, 6).alias("delta"))
 
 
@@ -73,3 +71,21 @@ def stability(runs: DataFrame, run: str, feature: str, importance: str, k: int =
     b = ranked.select(F.col(run).alias("run_b"), feature, F.col("avg_rank").alias("_rb"), F.col("_top").alias("_tb"))
     both = a.join(b, feature).where("run_a < run_b")
     return both.groupBy("run_a", "run_b").agg(F.round(F.corr("_ra", "_rb"), 6).alias("rho"), F.round(100.0 * F.count_if(F.col("_ta") & F.col("_tb")) / k, 4).alias("overlap_pct"))
+
+
+def all_pairs(pairs: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
+    """(by, n, w, p, p_bonferroni, p_holm, reject_bonferroni, reject_holm) of the signed-rank test of each two models, corrected for their number."""
+    tests = wilcoxon(pairs, by).withColumn("_name", F.concat_ws("#", *by))
+    return holm(bonferroni(tests, alpha), alpha, "_name").drop("_name")
+
+
+def stable(pairs: DataFrame, least_rho: float = 0.9, least_overlap: float = 80.0) -> DataFrame:
+    """One row of the table of :func:`stability`: its least correlation and overlap, and whether both reach their bounds."""
+    out = pairs.agg(F.min("rho").alias("least_rho"), F.min("overlap_pct").alias("least_overlap"))
+    return out.withColumn("stable", F.coalesce((F.col("least_rho") >= least_rho) & (F.col("least_overlap") >= least_overlap), F.lit(False)))
+
+
+def interval(drawn: DataFrame, value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """One row: mean, low and high end of the weighted means of bootstrap draws (replica, times, value). A row for each replica is put in order."""
+    each = drawn.groupBy("replica").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("_v"))
+    return each.agg(F.avg("_v").alias("mean"), F.percentile("_v", F.lit(low)).alias("low"), F.percentile("_v", F.lit(high)).alias("high"))

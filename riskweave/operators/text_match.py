@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions import vocabulary as V
-from riskweave.functions.expressions import contains_words, flag, short_or_long, word_pattern
+from riskweave.functions.expressions import contains_any, contains_words, flag, phrases, short_or_long, word_pattern
 from riskweave.operators.joins import matches
 
 
@@ -52,25 +52,76 @@ def techniques(texts: DataFrame, key: str, column: str, vocabulary: DataFrame) -
     return hits.groupBy(key).agg(F.array_sort(F.collect_set("technique")).alias("ids")).withColumn("n", F.size("ids"))
 
 
+def technique_info(hits: DataFrame, info: DataFrame) -> DataFrame:
+    """hits (key, ids, n) with ``names``: the names of the ids in their order, by the table (technique, name); unknown ids are left out."""
+    long = hits.select("*", F.posexplode("ids").alias("_p", "technique")).join(info.select("technique", "name"), "technique", "left")
+    keys = [c for c in hits.columns if c != "ids"]
+    named = F.transform(F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("_p", "name")))), lambda x: x["name"])
+    return long.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "technique"))), lambda x: x["technique"]).alias("ids"), named.alias("names"))
+
+
+def first_names(hits: DataFrame, key: str, most: int) -> DataFrame:
+    """(key, names): the first ``most`` distinct names of the hits (key, name, priority), by priority then name."""
+    best = hits.groupBy(key, "name").agg(F.min("priority").alias("priority"))
+    ordered = F.array_sort(F.collect_list(F.struct("priority", "name")))
+    return best.groupBy(key).agg(F.slice(F.transform(ordered, lambda x: x["name"]), 1, most).alias("names"))
+
+
 def catalogue_hits(texts: DataFrame, key: str, column: str, vocabulary: DataFrame, most: int = 3) -> DataFrame:
     """(key, products): the first ``most`` catalogue names, by priority then name, of the vocabulary (term, name, priority)."""
-    hits = matches(texts, key, F.col(column), vocabulary).groupBy(key, "name").agg(F.min("priority").alias("priority"))
-    ordered = F.array_sort(F.collect_list(F.struct("priority", "name")))
-    return hits.groupBy(key).agg(F.slice(F.transform(ordered, lambda x: x["name"]), 1, most).alias("products"))
+    return first_names(matches(texts, key, F.col(column), vocabulary), key, most).withColumnRenamed("names", "products")
 
 
-def mentioned(texts: DataFrame, key: str, column: str, terms: DataFrame, least: int = 4) -> DataFrame:
-    """texts whose lower-case text holds a term of ``least`` characters or more anywhere, within words too.
+def catalogue_match(texts: DataFrame, key: str, column: str, vendors: DataFrame, products: DataFrame, most: int = 3) -> DataFrame:
+    """(key, flag, matched) of all texts in two stages: vendor names (name, priority) of five characters or more anywhere in the text; where none is, product
+    names (name, priority) as whole words. ``matched`` holds the first ``most`` by priority, marked ``vendor:`` or ``product:``."""
+    rows = texts.select(key, column)
+    named = vendors.select(F.lower("name").alias("name"), "priority").where(F.length("name") > 4)
+    by_vendor = first_names(contained(rows, key, column, named.withColumn("term", F.col("name")), 5), key, most).withColumn("kind", F.lit("vendor:"))
+    others = rows.join(by_vendor, key, "left_anti")
+    by_product = first_names(matches(others, key, F.col(column), products.withColumn("term", F.col("name"))), key, most).withColumn("kind", F.lit("product:"))
+    found = by_vendor.unionByName(by_product)
+    marked = F.transform("names", lambda n: F.concat(F.col("kind"), n))
+    return rows.select(key).join(found, key, "left").select(key, flag(F.col("names").isNotNull()).alias("flag"), F.coalesce(marked, F.array().cast("array<string>")).alias("matched"))
+
+
+def contained(texts: DataFrame, key: str, column: str, terms: DataFrame, least: int = 4) -> DataFrame:
+    """(key, ...) of the terms (term, ...) of ``least`` characters or more that stand anywhere in a lower-case text, within words too; keys are taken to be unique.
 
     The distinct runs of ``least`` characters of a text are dealt out as rows, without the text, and met with the terms' first ``least`` characters; the few
     pairs that meet are tested on the text.
     """
     lowered = F.lower(F.coalesce(F.col(column), F.lit("")))
     grams = F.array_distinct(F.regexp_extract_all(lowered, F.lit(f"(?s)(?=(.{{{least}}}))"), 1))
-    wanted = terms.where(F.length("term") >= least).select(F.lower("term").alias("_t"), F.substring(F.lower("term"), 1, least).alias("_g")).distinct()
-    pairs = texts.select(key, F.explode(grams).alias("_g")).join(wanted, "_g").select(key, "_t").distinct()
-    hits = texts.select(key, lowered.alias("_x")).join(pairs, key).where(F.col("_x").contains(F.col("_t"))).select(key).distinct()
-    return texts.join(hits, key, "left_semi")
+    wanted = terms.where(F.length("term") >= least).withColumn("_t", F.lower("term")).withColumn("_g", F.substring("_t", 1, least))
+    pairs = texts.select(key, F.explode(grams).alias("_g")).join(wanted, "_g").drop("_g")
+    return texts.select(key, lowered.alias("_x")).join(pairs, key).where(F.col("_x").contains(F.col("_t"))).drop("_x", "_t")
+
+
+def mentioned(texts: DataFrame, key: str, column: str, terms: DataFrame, least: int = 4) -> DataFrame:
+    """texts whose lower-case text holds a term of ``least`` characters or more anywhere, within words too."""
+    hits = contained(texts, key, column, terms.select(F.lower("term").alias("term")).distinct(), least)
+    return texts.join(hits.select(key).distinct(), key, "left_semi")
+
+
+def term_list(texts: DataFrame, columns: list[str], stop_words: list[str], low: int = 5, high: int = 80, most: int = 3000) -> DataFrame:
+    """(term): the first ``most``, in order, of the distinct phrases and short texts of the columns with ``low`` to ``high`` characters. The limit is the list's size."""
+    each = [texts.select(F.explode(phrases(F.col(c), stop_words)).alias("term")) for c in columns]
+    every = each[0]
+    for e in each[1:]:
+        every = every.unionByName(e)
+    return every.where(F.length("term").between(low, high)).distinct().orderBy("term").limit(most)
+
+
+def fuzzy_flag(texts: DataFrame, key: str, column: str, terms: DataFrame, anchors: list[str], threshold: float = 0.6) -> DataFrame:
+    """(key, similarity, flag) of all texts: flagged if the best cosine is ``threshold`` or more, or a term stands in the text, and an anchor word stands in it too."""
+    best = fuzzy_scores(texts, key, column, terms)
+    short = terms.agg(F.coalesce(F.min(F.length("term")), F.lit(1))).first()[0]
+    inside = mentioned(texts, key, column, terms, max(1, short)).select(key, F.lit(1).alias("_in"))
+    out = texts.select(key, column).join(best, key, "left").join(inside, key, "left")
+    text = F.lower(F.coalesce(F.col(column), F.lit("")))
+    near = (F.coalesce("best", F.lit(0.0)) >= threshold) | F.col("_in").isNotNull()
+    return out.select(key, F.coalesce("best", F.lit(0.0)).alias("similarity"), flag(near & contains_any(text, anchors)).alias("flag"))
 
 
 def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:

@@ -60,6 +60,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def swept(spark: SparkSession, path: str) -> str:
+    """The path, whose files go when the session's process ends."""
+    _STAGED.append((spark, path))
+    return path
+
+
 def unstage(df: DataFrame) -> None:
     """Deletes what :func:`stage` wrote for this frame; nothing may read it afterwards."""
     path = getattr(df, "_riskweave_path", None)

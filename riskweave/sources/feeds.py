@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskweave.operators.filters import select_records
 from riskweave.operators.ranking import latest
 
 _DATA = "struct<baseScore:double,vectorString:string>"
@@ -127,16 +128,22 @@ def patterns(spark: SparkSession, path: str, built_in: DataFrame) -> DataFrame:
     return latest(every.where("pattern <> ''"), ["pattern"], [F.asc("_o"), F.asc("type"), F.asc("key")]).drop("_o")
 
 
-def with_enrichment(records: DataFrame, enrichments: DataFrame, key: str = "cve_id") -> DataFrame:
-    return records.join(enrichments, key, "left")
+def base_scan(records: DataFrame, enrichments: DataFrame | None = None, key: str = "cve_id", **conditions) -> DataFrame:
+    """Records with readable dates, or null, left-joined with enrichments if given, that meet the conditions of :func:`select_records`; those on records reach their scan."""
+    dated = records.withColumn("published", F.col("published").try_cast("timestamp"))
+    return select_records(dated if enrichments is None else dated.join(enrichments, key, "left"), **conditions)
 
 
 def newest_snapshot(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """Rows of the CSV file of a folder whose name is last; rows without a readable date go."""
-    rows = spark.read.option("header", True).option("pathGlobFilter", pattern).csv(path).withColumn("_file", F.input_file_name())
-    last = F.broadcast(rows.agg(F.max("_file").alias("_last")))
-    out = rows.join(last).where("_file = _last").drop("_file", "_last")
-    return out.withColumn("published", F.col("published").try_cast("timestamp")).where("published IS NOT NULL")
+    """Rows of the CSV file or folder below the path whose name matches the pattern and comes last; rows without a readable date go. Only names are listed, and only the newest is read."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm.org.apache.hadoop.fs.Path(root, pattern))
+    names = sorted(s.getPath().toString() for s in found or [])
+    if not names:
+        raise FileNotFoundError(f"nothing in {path} matches {pattern}")
+    rows = spark.read.option("header", True).csv(names[-1])
+    return rows.withColumn("published", F.col("published").try_cast("timestamp")).where("published IS NOT NULL")
 
 
 def freshness(spark: SparkSession, path: str, stale_days: int, now: str | None = None) -> DataFrame:

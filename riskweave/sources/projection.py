@@ -123,3 +123,29 @@ def long_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SCORES_SQL = """scores AS (SELECT cve_id, year(published) || '-' || lpad(((dayofyear(published) + 6 - dayofweek(published)) // 7)::VARCHAR, 2, '0') AS week, least(label, 3) AS label, model, score
   FROM records, LATERAL (VALUES ('a', (key * 7919 % 1009) / 1009.0::DOUBLE), ('b', (key * 104729 % 997) / 997.0::DOUBLE), ('c', (key * 31 % 50) / 50.0::DOUBLE)) m(model, score))"""
+
+
+def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with planted faults: repeated and badly formed ids, severities and scores out of range, missing dates and values, blank and empty texts."""
+    r, k = records(spark, sf_dir), F.col("key")
+    broken = r.withColumns(
+        {
+            "cve_id": F.when(k % 41 == 0, F.concat(F.lit("BAD-"), k.cast("string"))).otherwise(F.col("cve_id")),
+            "cvss": F.when(k % 29 == 0, F.lit(11.0)).when(k % 37 == 0, F.lit(-1.0)).otherwise(F.col("cvss")),
+            "published": F.when(k % 31 == 0, None).otherwise(F.col("published")),
+            "description": F.when(k % 43 == 0, F.lit("   ")).otherwise(F.col("description")),
+            "epss_date": F.when(k % 19 == 0, None).otherwise(F.col("epss_date")),
+            "epss_score": F.when(k % 23 == 0, F.lit(1.5)).otherwise(F.col("epss_score")),
+            "healthcare_score": F.when(k % 47 == 0, None).otherwise(F.col("healthcare_score")),
+            "curated_severity": F.when(k % 2 == 0, None).otherwise(F.col("curated_severity")),
+            "attack_flag": F.when(k % 53 == 0, F.lit(0).cast("bigint")).otherwise(F.col("attack_flag")),
+        }
+    )
+    return broken.unionByName(broken.where(k % 97 == 0))
+
+
+FAULTY_SQL = """faulty AS (WITH b AS (SELECT key, CASE WHEN key % 41 = 0 THEN 'BAD-' || key ELSE cve_id END AS cve_id, CASE WHEN key % 29 = 0 THEN 11.0 WHEN key % 37 = 0 THEN -1.0 ELSE cvss END AS cvss,
+  CASE WHEN key % 31 = 0 THEN NULL ELSE published END AS published, CASE WHEN key % 43 = 0 THEN '   ' ELSE description END AS description, CASE WHEN key % 19 = 0 THEN NULL ELSE epss_date END AS epss_date,
+  CASE WHEN key % 23 = 0 THEN 1.5 ELSE epss_score END AS epss_score, epss_percentile, CASE WHEN key % 47 = 0 THEN NULL ELSE healthcare_score END AS healthcare_score, is_healthcare, is_curated,
+  CASE WHEN key % 2 = 0 THEN NULL ELSE curated_severity END AS curated_severity, CASE WHEN key % 53 = 0 THEN 0 ELSE attack_flag END AS attack_flag, attack_technique_count FROM records)
+  SELECT * FROM b UNION ALL SELECT * FROM b WHERE key % 97 = 0)"""
