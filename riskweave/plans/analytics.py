@@ -22,6 +22,7 @@ from riskweave.operators import stats as T
 from riskweave.operators import text_match as TM
 from riskweave.operators.joins import matches
 from riskweave.plans.base import REFERENCE, query
+from riskweave.session import stage
 from riskweave.sources import feeds
 from riskweave.sources import projection as P
 from riskweave.streaming import jobs
@@ -309,11 +310,38 @@ def spl_11_sample(spark, sf):
     return SP.hash_sample(P.records(spark, sf), 0.3).agg(F.count(F.lit(1)).alias("n"), F.sum(X.hash_bucket("cve_id", 1_000_000, "sample").cast("bigint")).alias("total"))
 
 
-@query()
+def _draws_sql():
+    """The number of draws by a hash of key and replica, in steps of the Poisson distribution of mean 1."""
+    steps, total, p = [], 0.0, 0.36787944117144233
+    for n in range(8):
+        total += p
+        steps.append(f"WHEN u < {total!r}::DOUBLE THEN {n}")
+        p /= n + 1
+    return f"CASE {' '.join(steps)} ELSE 8 END"
+
+
+def _drawn_sql(source, columns, replicas):
+    return f"(SELECT * FROM (SELECT *, ({_draws_sql()})::BIGINT AS times FROM (SELECT {columns}, replica, (('0x' || substr(md5(cve_id || '#' || replica), 1, 8))::BIGINT % 1000000) / 1000000.0::DOUBLE AS u FROM {source}, (SELECT unnest(range({replicas})) AS replica))) WHERE times > 0)"
+
+
+@query(f'SELECT replica::INTEGER AS replica, sum(times)::BIGINT AS drawn, count(*) AS "rows" FROM {_drawn_sql("records", "cve_id", 10)} GROUP BY 1')
 def spl_09_bootstrap(spark, sf):
     return SP.bootstrap(P.records(spark, sf).select("cve_id"), 10).groupBy("replica").agg(F.sum("times").alias("drawn"), F.count(F.lit(1)).alias("rows"))
 
 
+@query(f"""WITH t AS (SELECT cve_id, (label >= 2)::INTEGER AS hit FROM (SELECT *, row_number() OVER (ORDER BY score DESC, cve_id) AS n FROM scores WHERE model = 'a') WHERE n <= 500),
+e AS (SELECT replica, sum(hit * times)::DOUBLE / sum(times) AS v FROM {_drawn_sql("t", "cve_id, hit", 300)} GROUP BY 1) SELECT round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM e""", ("records", "scores"))
+def spl_10_interval(spark, sf):
+    tops = R.top(P.long_scores(spark, sf).where("model = 'a'"), [F.desc("score"), F.asc("cve_id")], 500).select("cve_id", (F.col("label") >= 2).cast("int").alias("hit"))
+    return _rounded(T.interval(SP.bootstrap(tops, 300), "hit"))
+
+
+@query("""WITH e AS (SELECT cve_id, published, row_number() OVER (ORDER BY published, cve_id) AS n, count(*) OVER () AS c FROM records WHERE published <= TIMESTAMP '1999-06-01')
+SELECT cve_id, CASE WHEN n > c - greatest(1, floor(c * 0.15)) THEN 'val' ELSE 'train' END AS split FROM e UNION ALL SELECT cve_id, 'test' FROM records WHERE published > TIMESTAMP '1999-06-01'""")
+def spl_04_by_cutoff(spark, sf):
+    return SP.by_cutoff(P.records(spark, sf).select("cve_id", "published"), "1999-06-01").select("cve_id", "split")
+
+
 def _metric(k):
     return f"""CASE WHEN sum(CASE WHEN ideal <= {k} THEN (2.0 ** label - 1) / log2(ideal + 1) ELSE 0 END) > 0 THEN sum(CASE WHEN position <= {k} THEN (2.0 ** label - 1) / log2(position + 1) ELSE 0 END) / sum(CASE WHEN ideal <= {k} THEN (2.0 ** label - 1) / log2(ideal + 1) ELSE 0 END) ELSE 0 END AS ndcg_{k},
 sum(CASE WHEN position <= {k} THEN rel ELSE 0 END) / least({k}, count(*)) AS precision_{k}, CASE WHEN sum(rel) > 0 THEN sum(CASE WHEN position <= {k} THEN rel ELSE 0 END) / sum(rel) ELSE 0 END AS recall_{k},
@@ -406,14 +434,22 @@ def sig_05_cliffs_delta(spark, sf):
     return T.cliffs_delta(v, F.col("model") == "a", "ndcg")
 
 
-@query("""WITH m AS (SELECT year(published)::VARCHAR AS run, cwe AS feature, round(avg(epss_score), 6) AS v FROM records WHERE cwe IS NOT NULL AND year(published) IN (1996, 1997, 1998) GROUP BY 1, 2),
-r AS (SELECT *, rank() OVER (PARTITION BY run ORDER BY v DESC) + (count(*) OVER (PARTITION BY run, v) - 1) / 2 AS r, row_number() OVER (PARTITION BY run ORDER BY v DESC, feature) <= 5 AS top FROM m)
-SELECT a.run AS run_a, b.run AS run_b, round(corr(a.r, b.r), 6) AS rho, round(100.0 * count_if(a.top AND b.top) / 5, 4) AS overlap_pct FROM r a JOIN r b ON a.feature = b.feature AND a.run < b.run GROUP BY 1, 2""")
+_STABILITY = """WITH m AS (SELECT year(published)::VARCHAR AS run, cwe AS feature, round(avg(epss_score), 6) AS v FROM records WHERE cwe IS NOT NULL AND year(published) IN (1996, 1997, 1998) GROUP BY 1, 2),
+r AS (SELECT *, rank() OVER (PARTITION BY run ORDER BY v DESC) + (count(*) OVER (PARTITION BY run, v) - 1) / 2 AS r, row_number() OVER (PARTITION BY run ORDER BY v DESC, feature) <= 5 AS top FROM m),
+st AS (SELECT a.run AS run_a, b.run AS run_b, round(corr(a.r, b.r), 6) AS rho, round(100.0 * count_if(a.top AND b.top) / 5, 4) AS overlap_pct FROM r a JOIN r b ON a.feature = b.feature AND a.run < b.run GROUP BY 1, 2)"""
+
+
+@query(_STABILITY + " SELECT * FROM st")
 def sig_06_stability(spark, sf):
     runs = P.records(spark, sf).where("cwe IS NOT NULL AND year(published) IN (1996, 1997, 1998)").groupBy(F.year("published").cast("string").alias("run"), F.col("cwe").alias("feature")).agg(F.round(F.avg("epss_score"), 6).alias("v"))
     return T.stability(runs, "run", "feature", "v", 5)
 
 
+@query(_STABILITY + " SELECT min(rho) AS least_rho, min(overlap_pct) AS least_overlap, min(rho) >= 0.9 AND min(overlap_pct) >= 80 AS stable FROM st")
+def sig_06_rule(spark, sf):
+    return T.stable(sig_06_stability(spark, sf))
+
+
 _Z = "WITH z AS (SELECT cve_id, model, label, (score - avg(score) OVER (PARTITION BY model)) / stddev_pop(score) OVER (PARTITION BY model) AS z FROM scores)"
 
 
@@ -454,33 +490,40 @@ def gra_01_bipartite(spark, sf):
     return G.bipartite(P.records(spark, sf))
 
 
-def _walk_sql(rounds, restart):
-    steps = "r0 AS (SELECT id, s AS score FROM base)"
+def _walk_sql(rounds, restart, base="base", name="r"):
+    steps = f"{name}0 AS (SELECT id, s AS score FROM {base})"
     for i in range(1, rounds + 1):
-        steps += f", r{i} AS (SELECT b.id, (1 - {restart}) * coalesce(sum(r.score * e.share), 0) + {restart} * any_value(b.s) AS score FROM base b LEFT JOIN sh e ON e.dst = b.id LEFT JOIN r{i - 1} r ON r.id = e.src GROUP BY b.id)"
+        steps += f", {name}{i} AS (SELECT b.id, (1 - {restart}) * coalesce(sum(r.score * e.share), 0) + {restart} * any_value(b.s) AS score FROM {base} b LEFT JOIN sh e ON e.dst = b.id LEFT JOIN {name}{i - 1} r ON r.id = e.src GROUP BY b.id)"
     return steps
 
 
-_EDGES = """WITH ed AS (SELECT 'w' || a AS src, 'v' || b AS dst, count(*)::DOUBLE AS weight FROM (SELECT key % 12 AS a, key % 7 AS b FROM records WHERE key % 5 = 0) GROUP BY 1, 2),
-bo AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM ed UNION ALL SELECT dst, src, weight FROM ed) GROUP BY 1, 2), sh AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM bo),
-base AS (SELECT DISTINCT src AS id, CASE WHEN src = 'w1' THEN 1.0 ELSE 0.0 END::DOUBLE AS s FROM sh)"""
+def _base_sql(name, flag):
+    seeds = f"(SELECT cve_id FROM records WHERE {flag} = 1)"
+    return f"{name} AS (SELECT id, CASE WHEN id IN {seeds} THEN 1.0 ELSE 0.0 END::DOUBLE / (SELECT count(DISTINCT src) FROM sh WHERE src IN {seeds}) AS s FROM (SELECT DISTINCT src AS id FROM sh))"
+
+
+_EDGES = """WITH ed AS (SELECT DISTINCT cve_id AS src, trim(x) AS dst, 1.0::DOUBLE AS weight FROM (SELECT cve_id, unnest(string_split(cwe, ',')) AS x FROM records) WHERE lower(trim(x)) NOT IN ('', 'nan', 'none')),
+bo AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM ed UNION ALL SELECT dst, src, weight FROM ed) GROUP BY 1, 2), sh AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS share FROM bo)"""
+_KEV_WALK = f"{_EDGES}, {_base_sql('base', 'kev_flag')}"
 
 
 def _edges(spark, sf):
-    k = F.col("key")
-    return P.records(spark, sf).where(k % 5 == 0).groupBy(F.concat(F.lit("w"), (k % 12).cast("string")).alias("src"), F.concat(F.lit("v"), (k % 7).cast("string")).alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    """Every record with each of its weaknesses."""
+    return G.bipartite(P.records(spark, sf)).select(F.col("cve_id").alias("src"), F.col("item").alias("dst"), F.lit(1.0).alias("weight"))
+
 
+def _seeds(spark, sf, flag):
+    return P.records(spark, sf).where(F.col(flag) == 1).select(F.col("cve_id").alias("id"), F.lit(1.0).alias("score"))
 
-@query(f"{_EDGES}, {_walk_sql(10, 0.5)} SELECT id, round(score, 6) AS score FROM r10", ("records",))
+
+@query(f"{_KEV_WALK}, {_walk_sql(10, 0.4)} SELECT id, round(score, 9) AS score FROM r10")
 def gra_04_diffusion(spark, sf):
-    seeds = spark.createDataFrame([("w1", 1.0)], "id string, score double")
-    return _rounded(G.diffusion(_edges(spark, sf), seeds, restart=0.5, rounds=10, tolerance=0.0), "id")
+    return _rounded(G.diffusion(_edges(spark, sf), _seeds(spark, sf, "kev_flag"), restart=0.4, rounds=10, tolerance=0.0), "id", digits=9)
 
 
-@query(f"{_EDGES}, {_walk_sql(10, 0.15)} SELECT id, round(score, 6) AS score FROM r10", ("records",))
+@query(f"{_KEV_WALK}, {_walk_sql(10, 0.15)} SELECT id, round(score, 9) AS score FROM r10")
 def gra_05_personalised(spark, sf):
-    seeds = spark.createDataFrame([("w1", 1.0)], "id string, score double")
-    return _rounded(G.personalised_rank(_edges(spark, sf), seeds, 0.85, rounds=10, tolerance=0.0), "id")
+    return _rounded(G.personalised_rank(_edges(spark, sf), _seeds(spark, sf, "kev_flag"), 0.85, rounds=10, tolerance=0.0), "id", digits=9)
 
 
 @query("""WITH e AS (SELECT cve_id, coalesce(cwe, 'none') AS c FROM records), m AS (SELECT coalesce(cwe, 'none') AS c, avg(coalesce(cvss, 0)) AS v FROM records GROUP BY 1) SELECT cve_id, round(v, 6) AS mean FROM e JOIN m USING (c)""")
@@ -552,6 +595,35 @@ def joi_11_techniques(spark, sf):
     return out.select("cve_id", F.array_join("ids", ",").alias("ids"), F.col("n").cast("bigint").alias("n"))
 
 
+_INFO = [("T1", "Pump control"), ("T2", "Code injection"), ("T4", "Pump access"), ("T5", "Kernel flaw")]
+_LONG_TERMS = [("buffer overflow allows elevated privileges", "T6"), ("missing validation of commands", "T7"), ("in the dicom viewer", "T8"), ("cross-site scripting in comments", "T9")]
+_INFO_VALUES = ", ".join(f"('{a}', '{b}')" for a, b in _INFO)
+_LONG_VALUES = ", ".join(f"('{t}', '{k}')" for t, k in [*_TERMS, *_LONG_TERMS])
+
+
+@query(f"""WITH v(term, technique) AS (VALUES {_LONG_VALUES}), i(technique, name) AS (VALUES {_INFO_VALUES}), h AS (SELECT DISTINCT cve_id, technique FROM records JOIN v ON contains(' ' || lower(coalesce(description, '')) || ' ', ' ' || term || ' '))
+SELECT cve_id, array_to_string(list(technique ORDER BY technique), ',') AS ids, coalesce(array_to_string(list(name ORDER BY technique) FILTER (name IS NOT NULL), ','), '') AS names, count(*) AS n FROM h LEFT JOIN i USING (technique) GROUP BY 1""")
+def txt_09_technique_info(spark, sf):
+    vocabulary = spark.createDataFrame([*_TERMS, *_LONG_TERMS], "term string, technique string")
+    hits = TM.techniques(P.records(spark, sf).select("cve_id", "description"), "cve_id", "description", vocabulary)
+    out = TM.technique_info(hits, spark.createDataFrame(_INFO, "technique string, name string"))
+    return out.select("cve_id", F.array_join("ids", ",").alias("ids"), F.array_join("names", ",").alias("names"), F.col("n").cast("bigint").alias("n"))
+
+
+_VENDORS = ["medtronic", "philips", "siemens", "epic", "ge healthcare", "cerner"]
+_PRODUCT_NAMES = ["dicom viewer", "database", "linux kernel", "apache server", "exchange remote code execution"]
+
+
+@query(f"""WITH v AS (SELECT unnest(range(1, {len(_VENDORS) + 1})) AS p, unnest({_VENDORS}) AS name), w AS (SELECT unnest(range(1, {len(_PRODUCT_NAMES) + 1})) AS p, unnest({_PRODUCT_NAMES}) AS name), d AS (SELECT cve_id, lower(coalesce(description, '')) AS t FROM records),
+hv AS (SELECT cve_id, list('vendor:' || name ORDER BY p, name)[1:3] AS m FROM d JOIN v ON length(name) > 4 AND contains(t, name) GROUP BY 1),
+hp AS (SELECT cve_id, list('product:' || name ORDER BY p, name)[1:3] AS m FROM d JOIN w ON contains(' ' || t || ' ', ' ' || name || ' ') WHERE cve_id NOT IN (SELECT cve_id FROM hv) GROUP BY 1)
+SELECT cve_id, (x.m IS NOT NULL)::BIGINT AS flag, coalesce(array_to_string(x.m, ','), '') AS matched FROM d LEFT JOIN (SELECT * FROM hv UNION ALL SELECT * FROM hp) x USING (cve_id)""")
+def joi_12_two_stages(spark, sf):
+    named = lambda names: spark.createDataFrame([(n, i) for i, n in enumerate(names, 1)], "name string, priority int")
+    out = TM.catalogue_match(P.records(spark, sf), "cve_id", "description", named(_VENDORS), named(_PRODUCT_NAMES))
+    return out.select("cve_id", F.col("flag").cast("bigint").alias("flag"), F.array_join("matched", ",").alias("matched"))
+
+
 @query(f"""WITH v(term, name) AS (VALUES {_TERM_VALUES}), h AS (SELECT DISTINCT cve_id, name, CASE WHEN name = 'T4' THEN 0 ELSE 1 END AS priority FROM records JOIN v ON contains(' ' || lower(coalesce(description, '')) || ' ', ' ' || term || ' '))
 SELECT cve_id, array_to_string(list(name ORDER BY priority, name)[1:2], ',') AS products FROM h GROUP BY 1""")
 def joi_12_catalogue(spark, sf):
@@ -560,17 +632,54 @@ def joi_12_catalogue(spark, sf):
     return out.select("cve_id", F.array_join("products", ",").alias("products"))
 
 
-@query("WITH b AS (SELECT DISTINCT string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] || ' ' || string_split(text, ' ')[3] AS term FROM benchmark) SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM b WHERE contains(lower(text), lower(term)))", views=())
+@query("WITH b AS (SELECT DISTINCT trim(unnest(string_split(lower(text), '.'))) AS term FROM benchmark) SELECT doc_id FROM documents WHERE EXISTS (SELECT 1 FROM b WHERE length(term) >= 8 AND contains(lower(text), term))", views=())
 def joi_10_mentioned(spark, sf):
-    words = F.split("text", " ")
-    terms = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.concat_ws(" ", words[0], words[1], words[2]).alias("term")).distinct()
+    sentences = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.explode(F.split(F.lower("text"), r"\.")).alias("s"))
+    terms = sentences.select(F.trim("s").alias("term")).distinct()
     return TM.mentioned(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text", terms, 8).select("doc_id")
 
 
-@query()
+def _grams_sql(table, key, text):
+    """(key, g, tf) of the runs of three to five characters of blank-padded words; a longer run only while the padded word is longer than the run before."""
+    parts = " UNION ALL ".join(
+        f"SELECT k, unnest(list_transform(range(1, greatest(1, length(w) - {n} + 1) + 1), lambda i: substr(w, i, {n}))) AS g FROM w{'' if n == 3 else f' WHERE length(w) > {n - 1}'}" for n in (3, 4, 5)
+    )
+    return f"""(WITH w AS (SELECT k, ' ' || x || ' ' AS w FROM (SELECT {key} AS k, unnest(string_split(trim(regexp_replace(lower(coalesce({text}, '')), '\\s+', ' ', 'g')), ' ')) AS x FROM {table}) WHERE x <> '')
+    SELECT k, g, count(*) AS tf FROM ({parts}) GROUP BY 1, 2)"""
+
+
+_FUZZY_TERMS = ", ".join(f"('{t}')" for t, _ in _TERMS)
+_FUZZY = f"""WITH t(term) AS (VALUES {_FUZZY_TERMS}), tg AS {_grams_sql('t', 'term', 'term')}, idf AS (SELECT g, ln((1 + (SELECT count(*) FROM t)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tg GROUP BY 1),
+tw AS (SELECT k, g, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY k)) AS w FROM tg JOIN idf USING (g)), dg AS {_grams_sql('records', 'cve_id', 'description')},
+dv AS (SELECT k, g, tf * idf AS v FROM dg JOIN idf USING (g)), dl AS (SELECT k, sqrt(sum(v * v)) AS l FROM dv GROUP BY 1),
+fz AS (SELECT cve_id, max(dot / l) AS best FROM (SELECT dv.k AS cve_id, tw.k AS term, sum(v * w) AS dot FROM dv JOIN tw USING (g) GROUP BY 1, 2) JOIN dl ON dl.k = cve_id GROUP BY 1)"""
+
+
+def _fuzzy_terms(spark):
+    return spark.createDataFrame([(t,) for t, _ in _TERMS], "term string")
+
+
+@query(_FUZZY + " SELECT cve_id, round(best, 6) AS best FROM fz")
 def txt_07_fuzzy(spark, sf):
-    terms = spark.createDataFrame([(t,) for t, _ in _TERMS], "term string")
-    return _rounded(TM.fuzzy_scores(P.records(spark, sf).select("cve_id", "description"), "cve_id", "description", terms), "cve_id")
+    return _rounded(TM.fuzzy_scores(P.records(spark, sf).select("cve_id", "description"), "cve_id", "description", _fuzzy_terms(spark)), "cve_id")
+
+
+@query(_FUZZY + f""" SELECT r.cve_id, round(coalesce(best, 0.0), 6) AS similarity, ((coalesce(best, 0.0) >= 0.6 OR EXISTS (SELECT 1 FROM t WHERE contains(lower(coalesce(description, '')), term)))
+AND ({" OR ".join(f"contains(lower(coalesce(description, '')), '{a}')" for a in V.ANCHORS)}))::BIGINT AS flag FROM records r LEFT JOIN fz USING (cve_id)""")
+def txt_07_flag(spark, sf):
+    out = TM.fuzzy_flag(P.records(spark, sf).select("cve_id", "description"), "cve_id", "description", _fuzzy_terms(spark), V.ANCHORS)
+    return _rounded(out, "cve_id")
+
+
+_STOPS = ", ".join(f"'{w}'" for w in V.TERM_STOP_WORDS)
+
+
+@query(f"""WITH x AS (SELECT DISTINCT lower(trim(p_name || ' ' || p_type || ' ' || p_brand)) AS t FROM part), k AS (SELECT t, list_filter(regexp_extract_all(t, '[a-z][a-z0-9_-]{{3,}}'), lambda w: NOT list_contains([{_STOPS}], w)) AS k FROM x),
+e AS (SELECT t AS term FROM k WHERE length(t) BETWEEN 1 AND 80 UNION SELECT p FROM (SELECT unnest(list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1])) AS p FROM k WHERE len(k) > 1) WHERE length(p) >= 8)
+SELECT term FROM e WHERE length(term) BETWEEN 5 AND 80 ORDER BY term LIMIT 3000""", views=())
+def txt_08_term_list(spark, sf):
+    parts = spark.read.parquet(f"{sf}/part.parquet").select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    return TM.term_list(parts, ["text"], V.TERM_STOP_WORDS)
 
 
 @query("SELECT cve_id, CASE " + " ".join(f"WHEN contains(lower(coalesce(description, '')), '{v}') THEN '{v}'" for v in sorted({*V.PUBLICATION_HIGH_RISK, *V.PUBLICATION_HEALTHCARE})) + " END AS vendor FROM records")
@@ -578,17 +687,28 @@ def txt_11_listed_vendor(spark, sf):
     return P.records(spark, sf).select("cve_id", B.listed_vendor(F.col("description")).alias("vendor"))
 
 
-@query()
+def _vendor_sql(text="description"):
+    t = f"lower(coalesce({text}, ''))"
+    cases = " ".join(f"WHEN length({v}) >= 2 AND {v} NOT IN ({', '.join(repr(x) for x in V.NO_VENDORS)}) THEN {v}" for v in (f"trim(regexp_extract({t}, '{p}', 1))" for p in V.VENDOR_PATTERNS))
+    first = f"regexp_replace(regexp_extract(trim({t}), '^\\S+'), '[^a-z0-9]', '', 'g')"
+    return f"CASE {cases} WHEN length({first}) >= 2 THEN {first} ELSE 'unknown_vendor' END"
+
+
+@query(f"SELECT cve_id, {_vendor_sql()} AS vendor FROM records")
 def fn_05_vendor(spark, sf):
     return P.records(spark, sf).select("cve_id", X.vendor_of(F.col("description")).alias("vendor"))
 
 
-@query("""WITH x AS (SELECT cve_id AS id, description AS d, cvss AS c, published::DATE AS p FROM records) SELECT 'records' AS feed, s AS severity, i AS issue, n FROM (
-SELECT 'error' AS s, 'repeated_id' AS i, 0::BIGINT AS n UNION ALL SELECT 'error', 'bad_id', 0 UNION ALL SELECT 'warning', 'missing_cvss', count(*) - count(c) FROM x UNION ALL SELECT 'error', 'bad_cvss', 0 UNION ALL SELECT 'error', 'missing_date', 0
-UNION ALL SELECT 'error', 'future_date', count_if(p > DATE '2000-01-01') FROM x UNION ALL SELECT 'info', 'older_than_two_years', count_if(p < DATE '1998-01-01') FROM x UNION ALL SELECT 'warning', 'empty_description', count_if(d IS NULL) FROM x
-UNION ALL SELECT 'info', 'short_description', count_if(length(d) < 50) FROM x)""")
+_ISSUES = """WITH x AS (SELECT cve_id AS id, description AS d, cvss AS c, published::DATE AS p FROM faulty), iss AS (SELECT 'records' AS feed, s AS severity, i AS issue, n FROM (
+SELECT 'error' AS s, 'repeated_id' AS i, count(*) - count(DISTINCT id) AS n FROM x UNION ALL SELECT 'error', 'bad_id', count_if(NOT regexp_matches(id, '^CVE-[0-9]{4}-[0-9]{4,}$')) FROM x UNION ALL SELECT 'warning', 'missing_cvss', count(*) - count(c) FROM x
+UNION ALL SELECT 'error', 'bad_cvss', count_if(c < 0 OR c > 10) FROM x UNION ALL SELECT 'error', 'missing_date', count_if(p IS NULL) FROM x
+UNION ALL SELECT 'error', 'future_date', count_if(p > DATE '2000-01-01') FROM x UNION ALL SELECT 'info', 'older_than_two_years', count_if(p < DATE '1998-01-01') FROM x UNION ALL SELECT 'warning', 'empty_description', count_if(trim(coalesce(d, '')) = '') FROM x
+UNION ALL SELECT 'info', 'short_description', count_if(trim(d) <> '' AND length(d) < 50) FROM x))"""
+
+
+@query(_ISSUES + " SELECT * FROM iss", ("records", "faulty"))
 def dq_01_record_issues(spark, sf):
-    return D.record_issues(P.records(spark, sf), "2000-01-01")
+    return D.record_issues(P.faulty(spark, sf), "2000-01-01")
 
 
 @query("SELECT 'exploited' AS feed, s AS severity, i AS issue, n FROM (SELECT 'warning' AS s, 'repeated' AS i, count(*) - count(DISTINCT l_orderkey) AS n FROM lineitem UNION ALL SELECT 'error', 'missing', 0 UNION ALL SELECT 'error', 'format', 0 UNION ALL SELECT 'info', 'distinct', count(DISTINCT l_orderkey) FROM lineitem)", views=())
@@ -596,10 +716,12 @@ def dq_02_list_issues(spark, sf):
     return D.list_issues(spark.read.parquet(f"{sf}/lineitem.parquet"), "exploited", "l_orderkey", r"^\d+$")
 
 
-@query("""SELECT r AS rule, n AS broken, round(n / (SELECT count(*) FROM records), 6) AS share FROM (SELECT 'score_without_date' AS r, 0::BIGINT AS n UNION ALL SELECT 'score_range', 0 UNION ALL SELECT 'missing_healthcare_score', 0
-UNION ALL SELECT 'flag_against_score', count_if((is_healthcare = 1) <> (healthcare_score > 0.3)) FROM records UNION ALL SELECT 'curated_without_severity', 0 UNION ALL SELECT 'technique_without_flag', 0)""")
+@query("""SELECT r AS rule, n AS broken, round(n / (SELECT count(*) FROM faulty), 6) AS share FROM (SELECT 'score_without_date' AS r, count_if(epss_score > 0 AND epss_date IS NULL) AS n FROM faulty
+UNION ALL SELECT 'score_range', count_if(epss_score NOT BETWEEN 0 AND 1 OR epss_percentile NOT BETWEEN 0 AND 1) FROM faulty UNION ALL SELECT 'missing_healthcare_score', count_if(healthcare_score IS NULL) FROM faulty
+UNION ALL SELECT 'flag_against_score', count_if((is_healthcare = 1) <> (healthcare_score > 0.3)) FROM faulty UNION ALL SELECT 'curated_without_severity', count_if(is_curated = 1 AND curated_severity IS NULL) FROM faulty
+UNION ALL SELECT 'technique_without_flag', count_if((attack_technique_count > 0) <> (attack_flag = 1)) FROM faulty)""", ("records", "faulty"))
 def dq_05_consistency(spark, sf):
-    return D.consistency(P.records(spark, sf))
+    return D.consistency(P.faulty(spark, sf))
 
 
 @query("SELECT count(*) AS records, sum(kev_flag)::BIGINT AS exploited, sum(is_healthcare)::BIGINT AS healthcare, max(published)::DATE::VARCHAR AS last_day, 'healthy' AS status FROM records")
@@ -628,19 +750,57 @@ def qry_04_06_lists(spark, sf):
     return R.top(P.records(spark, sf).where("is_healthcare = 1 AND kev_flag = 1"), [F.desc_nulls_last("cvss"), F.asc("cve_id")], 20).select("cve_id", "cvss")
 
 
-@query()
+def _recommended_sql(k, where, age="age"):
+    features = _FEATURES.replace("FROM records", "FROM records WHERE cvss IS NOT NULL", 1)
+    scored = f"s AS (SELECT *, {'c / 10.0'} AS cvss_norm, e AS epss FROM g), w AS (SELECT cve_id, round({_weights_sql(S.WEIGHTED).replace('epss_score', 'epss')}, 9) AS score, cvss, kev_flag, is_healthcare, published, substr(coalesce(description, ''), 1, 200) AS summary FROM s)"
+    return f"WITH {features}, {scored}, b AS (SELECT * FROM w WHERE {where} ORDER BY score DESC, cve_id LIMIT {k}), rec AS (SELECT row_number() OVER (ORDER BY score DESC, cve_id)::INTEGER AS place, cve_id, score, cvss, kev_flag, is_healthcare, summary FROM b)"
+
+
+def _six(df):
+    return df.withColumn("score", F.round("score", 6))
+
+
+@query(_recommended_sql(50, "cvss >= 5.0") + " SELECT place, cve_id, round(score, 6) AS score, cvss, kev_flag, is_healthcare, summary FROM rec")
 def qry_01_recommendations(spark, sf):
-    return N.recommendations(P.records(spark, sf), REFERENCE, 50, min_cvss=5.0)
+    return _six(N.recommendations(P.records(spark, sf), REFERENCE, 50, min_cvss=5.0))
 
 
-@query()
+_AUDIT_WORD = "regexp_matches(lower(summary), 'patient|hospital|medical|health|clinical')"
+
+
+@query(_recommended_sql(50, "true") + f""", a AS (SELECT *, {_AUDIT_WORD} AS word, CASE WHEN kev_flag = 1 OR cvss >= 9 THEN 'HIGH' WHEN cvss >= 7 OR {_AUDIT_WORD} THEN 'MEDIUM' ELSE 'LOW' END AS r FROM rec)
+SELECT sum(kev_flag)::BIGINT AS exploited, count_if(cvss >= 9) AS critical, count_if(word) AS health_words, count_if(r = 'HIGH') AS review_high, count_if(r = 'MEDIUM') AS review_medium, count_if(r = 'LOW') AS review_low FROM a""")
 def top_06_audit(spark, sf):
     return N.audit(N.recommendations(P.records(spark, sf), REFERENCE, 50))
 
 
-@query("SELECT id, count(*) AS n FROM (SELECT DISTINCT page_id, upper(unnest(regexp_extract_all(html, '(?i)href=\"(/[a-z]+)', 1))) AS id FROM pages) GROUP BY 1", views=())
+@query("""SELECT cve_id, published::DATE::VARCHAR AS published, cvss, epss_score, healthcare_score, chpl_flag, kev_flag, substr(description, 1, 80) AS summary FROM records WHERE is_healthcare = 1
+ORDER BY cvss DESC NULLS LAST, healthcare_score DESC NULLS LAST, cve_id LIMIT 20""")
+def qry_05_healthcare(spark, sf):
+    return N.healthcare_by_severity(P.records(spark, sf)).withColumn("published", F.to_date("published").cast("string"))
+
+
+@query("""SELECT cve_id, published::DATE::VARCHAR AS published, cvss, epss_score, healthcare_score, kev_flag, substr(description, 1, 80) AS summary FROM records WHERE chpl_flag = 1
+ORDER BY cvss DESC NULLS LAST, epss_score DESC NULLS LAST, cve_id LIMIT 20""")
+def qry_06_certified(spark, sf):
+    return N.certified_products(P.records(spark, sf)).withColumn("published", F.to_date("published").cast("string"))
+
+
+_NOW = "2001-07-01"
+_RECENT_FEATURES = _recommended_sql(20, "cvss >= 4.0").replace("DATE '2002-01-01'", f"DATE '{_NOW}'").replace("WHERE cvss IS NOT NULL", f"WHERE cvss IS NOT NULL AND published BETWEEN TIMESTAMP '{_NOW}' - INTERVAL 90 DAY AND TIMESTAMP '{_NOW}'")
+
+
+@query(_RECENT_FEATURES + " SELECT place, cve_id, round(score, 6) AS score, cvss, kev_flag, is_healthcare, summary FROM rec")
+def qry_03_recent(spark, sf):
+    return _six(N.recent(P.records(spark, sf), _NOW, 90, 20, 4.0))
+
+
+@query("""WITH a AS (SELECT key, '<li>Advisory ' || lower(cve_id) || ', see CVE-1999-' || lpad((key % 5000)::VARCHAR, 4, '0') || '</li>' AS html FROM records)
+SELECT id, count(*) AS n FROM (SELECT DISTINCT key, upper(unnest(regexp_extract_all(html, '(?i)(CVE-[0-9]{4}-[0-9]{4,})', 1))) AS id FROM a) GROUP BY 1""")
 def src_10_advisory_ids(spark, sf):
-    return feeds.advisory_ids(spark.read.parquet(f"{sf}/pages.parquet"), "html", r'(?i)href="(/[a-z]+)')
+    r = P.records(spark, sf)
+    older = F.concat(F.lit("CVE-1999-"), F.lpad((F.col("key") % 5000).cast("string"), 4, "0"))
+    return feeds.advisory_ids(r.select(F.concat(F.lit("<li>Advisory "), F.lower("cve_id"), F.lit(", see "), older, F.lit("</li>")).alias("html")), "html")
 
 
 @query("SELECT strftime(time_bucket(INTERVAL 60 MINUTE, ts), '%Y-%m-%d %H:%M') AS start, user_id, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 2", views=())
@@ -682,14 +842,21 @@ def _training(spark, sf):
 
 @query()
 def mod_02_pairwise_ranker(spark, sf):
-    rows = _training(spark, sf)
+    rows = stage(_training(spark, sf), "training-rows")
     scored = M.linear_scores(rows, M.fit_pairwise(rows, _FEATURE_LIST, per_row=4, rounds=10))
     return scored.select("cve_id", F.round("score", 6).alias("score"))
 
 
-@query()
+_SIDE = "CASE WHEN ('0x' || substr(md5(a.cve_id || '#' || b.cve_id), 1, 8))::BIGINT % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE"
+
+
+@query(f"""{_SCORED}, x AS (SELECT s.cve_id, f.week AS "group", least(f.label, 3)::DOUBLE AS label, {", ".join(f"s.{c}::DOUBLE AS {c}" for c in ["kev_flag", "epss_score", "cvss_norm", "is_healthcare", "recency", "has_attack"])} FROM s JOIN f USING (cve_id)),
+p AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY md5(cve_id), cve_id) AS n FROM x)
+SELECT a."group", {_SIDE} AS first, abs(pow(2, a.label) - pow(2, b.label)) AS pair_weight, {", ".join(f"round((a.{c} - b.{c}) * CASE WHEN (a.label > b.label) = ({_SIDE} = 1) THEN 1 ELSE -1 END, 6) + 0.0 AS {c}" for c in ["kev_flag", "epss_score", "cvss_norm", "is_healthcare", "recency", "has_attack"])}
+FROM p a JOIN p b ON a."group" = b."group" AND b.n BETWEEN a.n + 1 AND a.n + 4 AND a.label <> b.label""")
 def mod_03_preference_pairs(spark, sf):
-    return M.preference_pairs(_training(spark, sf), _FEATURE_LIST, 4)
+    pairs = M.preference_pairs(_training(spark, sf), _FEATURE_LIST, 4)
+    return pairs.select("group", "first", "pair_weight", *[(F.round(c, 6) + 0.0).alias(c) for c in _FEATURE_LIST])
 
 
 @query(f"SELECT {_WEEK} AS \"group\", count(*) AS n FROM records GROUP BY 1")

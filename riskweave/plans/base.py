@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskweave.sources.projection import EXPLOITED_SQL, HISTORY_SQL, RECORDS_SQL, SCORES_SQL
+from riskweave.sources.projection import EXPLOITED_SQL, FAULTY_SQL, HISTORY_SQL, RECORDS_SQL, SCORES_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 REFERENCE = "2002-01-01"
-VIEWS = {"records": RECORDS_SQL, "history": HISTORY_SQL, "exploited": EXPLOITED_SQL, "scores": SCORES_SQL}
+VIEWS = {"records": RECORDS_SQL, "history": HISTORY_SQL, "exploited": EXPLOITED_SQL, "scores": SCORES_SQL, "faulty": FAULTY_SQL}
 
 
 def _counted(sql: str) -> str:

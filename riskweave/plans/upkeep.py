@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskweave.operators import evaluate as E
 from riskweave.operators import features as B
 from riskweave.operators import filters as L
 from riskweave.operators import fusion as U
@@ -13,9 +14,11 @@ from riskweave.operators import quality as D
 from riskweave.operators import ranking as R
 from riskweave.operators import sinks as K
 from riskweave.operators import splits as SP
-from riskweave.functions.expressions import contains_any, contains_words, flag, sunday_week, vendor_of
-from riskweave.plans.analytics import _edges, _rounded, _training, _FEATURE_LIST, _EDGES, _walk_sql
+from riskweave.operators import stats as T
+from riskweave.functions.expressions import contains_any, contains_words, flag, sunday_week
+from riskweave.plans.analytics import _EDGES, _FEATURE_LIST, _ISSUES, _KEV_WALK, _PAIRS, _PLACED, _base_sql, _edges, _metric, _pairs, _rounded, _seeds, _training, _vendor_sql, _walk_sql
 from riskweave.plans.base import REFERENCE, query
+from riskweave.session import stage
 from riskweave.sources import feeds
 from riskweave.sources import projection as P
 
@@ -42,12 +45,7 @@ def src_16_merge_forward(spark, sf):
 @query("SELECT event_type AS fetch_type, max_by(event_id, ts) AS end_date FROM events WHERE user_id % 2 = 0 GROUP BY 1", views=())
 def snk_04_last_fetch(spark, sf):
     log = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("fetch_type"), F.col("event_id").alias("end_date"), F.col("ts").alias("fetch_date"), F.when(F.col("user_id") % 2 == 0, "success").otherwise("error").alias("status"))
-    kinds = ["click", "error", "purchase", "view", "login", "logout", "signup", "search"]
-    out = None
-    for kind in kinds:
-        part = K.last_fetch(log, kind).select(F.lit(kind).alias("fetch_type"), "end_date").where("end_date IS NOT NULL")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return K.last_fetches(log)
 
 
 @query("SELECT cve_id, cvss, o_totalprice AS price FROM records LEFT JOIN orders ON o_orderkey = key AND key % 3 = 0")
@@ -81,38 +79,61 @@ def top_03_by_expression(spark, sf):
     return R.top(r, [F.desc("signals"), F.desc_nulls_last("cvss"), F.asc("cve_id")], 25).select("cve_id", "signals", "cvss")
 
 
-@query("SELECT cve_id, coalesce(cvss, 5.0) AS cvss, round(1 - age / (max(age) OVER ()), 6) AS recency FROM (SELECT *, date_diff('day', published::DATE, DATE '2002-01-01') AS age FROM records)")
+@query("""SELECT cve_id, coalesce(cvss, 5.0) AS cvss, round(coalesce(cvss, 5.0) / 10, 6) AS cvss_norm, round(1 - age / (max(age) OVER ()), 6) AS recency_score, attack_flag AS has_attack, dense_rank() OVER (ORDER BY coalesce(curated_severity, 'nan')) - 1 AS curated_severity,
+0::BIGINT AS soft_label, round(coalesce(healthcare_score, 0.2), 6) AS label_confidence FROM (SELECT *, greatest(0, date_diff('day', published::DATE, DATE '2002-01-01')) AS age FROM records)""")
 def fea_15_common(spark, sf):
-    return _rounded(B.record_features(P.records(spark, sf), REFERENCE).select("cve_id", "cvss", "recency"), "cve_id")
+    r = P.records(spark, sf).withColumn("label_confidence", F.col("healthcare_score"))
+    out = B.common_columns(r, REFERENCE)
+    return _rounded(out.select("cve_id", "cvss", "cvss_norm", "recency_score", "has_attack", "curated_severity", "soft_label", "label_confidence"), "cve_id")
 
 
-@query(f"""{_EDGES}, {_walk_sql(10, 0.5)}, lab AS (SELECT 'w' || (key % 12) AS id, max(label) AS label FROM records WHERE key % 12 < 6 GROUP BY 1), t AS (SELECT id, score FROM r10 ORDER BY round(score, 9) DESC, id LIMIT 5)
-SELECT avg((coalesce(label, 0) >= 3)::INTEGER) AS precision, round(avg(label), 6) AS mean_label, avg((label IS NOT NULL)::INTEGER) AS coverage FROM t LEFT JOIN lab USING (id)""")
+@query("SELECT cve_id, round(coalesce(cvss, 5.0) / 10 * coalesce(epss_score, 0.0), 6) AS cvss_epss_product, kev_flag * is_healthcare AS kev_healthcare_interaction FROM records")
+def fea_16_interactions(spark, sf):
+    return _rounded(B.interactions(B.record_features(P.records(spark, sf), REFERENCE)).select("cve_id", "cvss_epss_product", "kev_healthcare_interaction"), "cve_id")
+
+
+_TOPS = f"""{_KEV_WALK}, {_walk_sql(10, 0.4)}, t AS (SELECT id, score FROM r10 ORDER BY round(score, 9) DESC, id LIMIT 100)"""
+
+
+@query(f"{_TOPS} SELECT avg((coalesce(label, 0) >= 3)::INTEGER) AS precision, round(avg(label), 6) AS mean_label, avg((label IS NOT NULL)::INTEGER) AS coverage FROM t LEFT JOIN records ON cve_id = id")
 def gra_07_walk_quality(spark, sf):
-    seeds = spark.createDataFrame([("w1", 1.0)], "id string, score double")
-    ranks = G.diffusion(_edges(spark, sf), seeds, restart=0.5, rounds=10, tolerance=0.0).withColumn("score", F.round("score", 9))
-    labels = P.records(spark, sf).where("key % 12 < 6").groupBy(F.concat(F.lit("w"), (F.col("key") % 12).cast("string")).alias("id")).agg(F.max("label").alias("label"))
-    return G.walk_quality(ranks, labels, 5)
+    ranks = G.diffusion(_edges(spark, sf), _seeds(spark, sf, "kev_flag"), restart=0.4, rounds=10, tolerance=0.0).withColumn("score", F.round("score", 9))
+    return G.walk_quality(ranks, P.records(spark, sf).select(F.col("cve_id").alias("id"), "label"), 100)
 
 
-@query(f"""{_EDGES}, {_walk_sql(10, 0.5)} SELECT cve_id, round(coalesce(score, 0.5), 6) AS score FROM records LEFT JOIN r10 ON r10.id = 'w' || (key % 15)""")
+@query(f"""{_EDGES}, {_base_sql('ba', 'kev_flag')}, {_base_sql('bb', 'chpl_flag')}, {_walk_sql(10, 0.4, 'ba', 'ra')}, {_walk_sql(10, 0.4, 'bb', 'rb')}, w AS (SELECT 'chpl' AS walk, * FROM rb10 UNION ALL SELECT 'kev', * FROM ra10)
+SELECT cve_id, round(coalesce(nullif(k.score, 0), 0.5), 9) AS kev, round(coalesce(nullif(c.score, 0), 0.5), 9) AS chpl FROM records LEFT JOIN w k ON k.id = cve_id AND k.walk = 'kev' LEFT JOIN w c ON c.id = cve_id AND c.walk = 'chpl'""")
 def gra_06_08_filled(spark, sf):
-    seeds = spark.createDataFrame([("walk", "w1", 1.0)], "batch string, id string, score double")
-    ranks = G.diffusion(_edges(spark, sf), seeds, restart=0.5, rounds=10, tolerance=0.0, batch="batch").drop("batch")
-    r = P.records(spark, sf).select("cve_id", F.concat(F.lit("w"), (F.col("key") % 15).cast("string")).alias("node"))
-    return G.filled(r, ranks, "node", 0.5).select("cve_id", F.round("score", 6).alias("score"))
+    seeds = _seeds(spark, sf, "kev_flag").withColumn("walk", F.lit("kev")).unionByName(_seeds(spark, sf, "chpl_flag").withColumn("walk", F.lit("chpl")))
+    ranks = G.diffusion(_edges(spark, sf), seeds, restart=0.4, rounds=10, tolerance=0.0, batch="walk")
+    out = P.records(spark, sf).select("cve_id")
+    for walk in ("kev", "chpl"):
+        out = G.filled(out, ranks.where(F.col("walk") == walk).select("id", "score"), "cve_id", 0.5).withColumnRenamed("score", walk)
+    return out.select("cve_id", F.round("kev", 9).alias("kev"), F.round("chpl", 9).alias("chpl"))
 
 
-@query()
+_VENDOR_COLUMNS = ["cvss", "epss_score", "kev_flag"]
+_VENDOR_MEANS = ", ".join(f"(coalesce({c}, 0) - avg(coalesce({c}, 0)) OVER ()) / stddev_pop(coalesce({c}, 0)) OVER () AS {c}" for c in _VENDOR_COLUMNS)
+
+
+@query(f"SELECT vendor, count(*) AS n, {', '.join(f'round(avg({c}), 6) + 0.0 AS {c}' for c in _VENDOR_COLUMNS)} FROM (SELECT {_vendor_sql()} AS vendor, {_VENDOR_MEANS} FROM records) GROUP BY 1")
 def gra_09_vendor_means(spark, sf):
-    r = P.records(spark, sf).select(vendor_of(F.col("description")).alias("vendor"), "cvss")
-    return r.groupBy("vendor").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cvss"), 6).alias("mean_cvss"))
+    means = G.vendor_graph(P.records(spark, sf), _VENDOR_COLUMNS)[1]
+    return means.select("vendor", "n", *[(F.round(c, 6) + 0.0).alias(c) for c in _VENDOR_COLUMNS])
 
 
-@query("SELECT 'records' AS feed, count_if(cvss IS NULL) AS missing FROM records UNION ALL SELECT 'exploited', 0", ("records",))
+@query(f"""WITH v AS (SELECT cve_id, {_vendor_sql()} AS v, published FROM records) SELECT cve_id AS src, CASE WHEN v IN (SELECT v FROM v WHERE published < TIMESTAMP '1998-01-01') THEN v ELSE 'unknown_vendor' END AS dst FROM v WHERE published >= TIMESTAMP '1998-01-01'""")
+def gra_09_vendor_edges(spark, sf):
+    r = P.records(spark, sf)
+    return G.vendor_graph(r.where("published >= TIMESTAMP '1998-01-01'"), _VENDOR_COLUMNS, r.where("published < TIMESTAMP '1998-01-01'"))[0]
+
+
+@query(_ISSUES + """ SELECT * FROM iss UNION ALL SELECT 'exploited', s, i, n FROM (SELECT 'warning' AS s, 'repeated' AS i, 0::BIGINT AS n UNION ALL SELECT 'error', 'missing', 0 UNION ALL SELECT 'error', 'format', 0 UNION ALL SELECT 'info', 'distinct', count(DISTINCT cve_id) FROM exploited)
+UNION ALL SELECT 'lines', s, i, n FROM (SELECT 'warning' AS s, 'repeated' AS i, count(*) - count(DISTINCT l_orderkey) AS n FROM lineitem UNION ALL SELECT 'error', 'missing', 0 UNION ALL SELECT 'error', 'format', count_if(NOT regexp_matches(l_orderkey::VARCHAR, '^[0-9]{1,4}$')) FROM lineitem
+UNION ALL SELECT 'info', 'distinct', count(DISTINCT l_orderkey) FROM lineitem)""", ("records", "faulty", "exploited"))
 def dq_03_combined(spark, sf):
-    both = D.combined(D.record_issues(P.records(spark, sf), "2000-01-01"), D.list_issues(P.exploited(spark, sf), "exploited", "cve_id"))
-    return both.where("issue IN ('missing_cvss', 'missing')").select("feed", F.col("n").alias("missing"))
+    lines = D.list_issues(spark.read.parquet(f"{sf}/lineitem.parquet"), "lines", "l_orderkey", r"^\d{1,4}$")
+    return D.combined(D.record_issues(P.faulty(spark, sf), "2000-01-01"), D.list_issues(P.exploited(spark, sf), "exploited", "cve_id"), lines)
 
 
 @query()
@@ -123,31 +144,137 @@ def ens_03_stacking(spark, sf):
 
 @query()
 def ens_08_bootstrap(spark, sf):
-    drawn = SP.bootstrap(P.long_scores(spark, sf), 5)
-    each = drawn.groupBy("replica", "model").agg((F.sum(F.col("score") * F.col("times")) / F.sum("times")).alias("v"))
-    return each.groupBy("model").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("deviation"))
+    return _rounded(U.bootstrap_ensemble(P.long_scores(spark, sf), 10), "cve_id", digits=9)
+
+
+# fixed values: columns that the variants add one after another, and those that the removals leave out
+_ADDED = [
+    ("severity", ["cvss", "cvss_high", "cvss_critical"]), ("exploited", ["kev_flag"]), ("exploit score", ["epss_score", "epss_percentile", "epss_high", "kev_x_epss"]),
+    ("healthcare", ["is_healthcare", "healthcare_critical", "kev_healthcare", "healthcare_x_cvss"]), ("curated", ["is_curated"]),
+    ("techniques", ["attack_flag", "attack_technique_count", "attack_healthcare", "attack_multi", "attack_count_x_healthcare"]), ("products", ["chpl_flag", "chpl_healthcare", "chpl_x_attack", "days_since_2018", "is_recent"]),
+]
+_REMOVED = [("no exploited", "kev"), ("no exploit score", "epss"), ("no healthcare", "healthcare"), ("no techniques", "attack"), ("no severity", "cvss")]
+
+
+def _variants():
+    cumulative = {name: [c for _, columns in _ADDED[: i + 1] for c in columns] for i, (name, _) in enumerate(_ADDED)}
+    whole = cumulative[_ADDED[-1][0]]
+    return cumulative | {name: [c for c in whole if part not in c] for name, part in _REMOVED}
+
+
+def _legacy_rows(spark, sf):
+    r = P.records(spark, sf)
+    labels = r.select("cve_id", sunday_week(F.col("published")).alias("week"), F.least(F.col("label"), F.lit(3)).alias("grade"))
+    return M.training_rows(B.legacy_features(r).join(labels, "cve_id"), [c for _, columns in _ADDED for c in columns], "grade")
+
+
+def _halves(rows):
+    parts = SP.random_split(rows, 0.3, "group")
+    return parts.where("split = 'train'").drop("split"), parts.where("split = 'test'").drop("split")
 
 
 @query()
 def mod_06_ablation(spark, sf):
-    rows = _training(spark, sf)
-    parts = SP.random_split(rows, 0.3, "group")
-    train, test = parts.where("split = 'train'").drop("split"), parts.where("split = 'test'").drop("split")
-    return M.ablation(train, test, {"severity": ["cvss_norm"], "all": _FEATURE_LIST})
+    out = M.ablation(*_halves(_legacy_rows(spark, sf)), _variants(), rounds=10)
+    return E.drops(E.increments(out, "place", "ndcg"), "variant", "ndcg", _ADDED[-1][0])
+
+
+@query()
+def mod_05_confidence_scale(spark, sf):
+    return M.confidence_scales(*_halves(_training(spark, sf)), _FEATURE_LIST, rounds=10)
+
+
+@query()
+def mod_05_grid(spark, sf):
+    return M.grid_search(_training(spark, sf), _FEATURE_LIST, {"depth": [2, 3], "rounds": [3], "step": [0.1]}, folds=2)
+
+
+@query()
+def mod_04_batch_scores(spark, sf):
+    rows = stage(_training(spark, sf), "training-rows")
+    weights = M.fit_pairwise(rows, _FEATURE_LIST, per_row=4, rounds=10)
+    return _rounded(M.batch_scores(rows.drop("has_attack"), weights, 100, P.exploited(spark, sf)), "cve_id")
 
 
-@query("SELECT week, model, n FROM (SELECT week, model, count(*) AS n FROM scores GROUP BY 1, 2)", ("records", "scores"))
+@query()
+def mod_07_ensemble(spark, sf):
+    return _rounded(M.ensemble(*_halves(_training(spark, sf)), _FEATURE_LIST, 3), "cve_id")
+
+
+@query()
+def mod_08_importance(spark, sf):
+    rows = stage(_training(spark, sf), "training-rows")
+    model = M.fit_trees(rows, _FEATURE_LIST, depth=3, rounds=3)
+    return _rounded(M.importance_table(M.importances(model, _FEATURE_LIST), 5), "feature")
+
+
+@query()
+def mod_10_stability(spark, sf):
+    runs = M.importance_runs(_training(spark, sf), _FEATURE_LIST, (0.3, 0.6), ("one", "two"), rounds=10)
+    return T.stability(runs, "run", "feature", "importance", 3)
+
+
+_LONG = ", ".join(f"round(avg({m}_{k}), 6) AS {m}_{k}" for k in (5, 10) for m in ("ndcg", "precision", "recall", "ap"))
+_LONG_NAMES = ", ".join(f"{m}_{k}" for k in (5, 10) for m in ("ndcg", "precision", "recall", "ap"))
+
+
+def _long_sql(by):
+    placed = _PLACED.replace("PARTITION BY model, week", f"PARTITION BY model, {by}")
+    return f"({placed}, e AS (SELECT model, {by}, count(*) AS n, {', '.join(_metric(k) for k in (5, 10))} FROM q GROUP BY 1, 2) SELECT model, count(*)::DOUBLE AS groups, {_LONG} FROM e WHERE n >= 2 GROUP BY 1)"
+
+
+@query(f"SELECT strategy, model, metric, value FROM (UNPIVOT (SELECT 'week' AS strategy, * FROM {_long_sql('week')} UNION ALL SELECT 'month', * FROM {_long_sql('month')}) ON groups, {_LONG_NAMES} INTO NAME metric VALUE value)".replace("FROM scores)", "FROM (SELECT *, left(week, 4) AS month FROM scores))"), ("records", "scores"))
 def eva_16_long_table(spark, sf):
-    return P.long_scores(spark, sf).groupBy("week", "model").agg(F.count(F.lit(1)).alias("n"))
+    s = P.long_scores(spark, sf).withColumn("month", F.substring("week", 1, 4))
+    return E.long_table({by: E.macro(s, by, [5, 10]) for by in ("week", "month")}, ["model"])
 
 
-@query("SELECT model_a, model_b, common FROM (SELECT a.model AS model_a, b.model AS model_b, count(*) AS common FROM t a JOIN t b ON a.cve_id = b.cve_id AND a.model < b.model GROUP BY 1, 2)".replace("SELECT model_a, model_b, common FROM", "WITH t AS (SELECT model, cve_id FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, cve_id) AS n FROM scores) WHERE n <= 500) SELECT model_a, model_b, common FROM"), ("records", "scores"))
-def set_03_common_tops(spark, sf):
-    d = U.diversity(P.long_scores(spark, sf), 500)
-    j = F.col("jaccard")
-    return d.select("model_a", "model_b", F.round(2 * 500 * j / (1 + j)).cast("bigint").alias("common")).where("common > 0")
+@query("""WITH s AS (SELECT s.model, s.cve_id, s.score, r.kev_flag AS label, r.is_healthcare FROM scores s JOIN records r USING (cve_id)), x AS (SELECT *, 'overall' AS slice FROM s UNION ALL SELECT *, 'healthcare' FROM s WHERE is_healthcare = 1 UNION ALL SELECT *, 'other' FROM s WHERE is_healthcare = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY model, slice ORDER BY score DESC, cve_id) AS p, row_number() OVER (PARTITION BY model, slice ORDER BY label DESC, cve_id) AS i FROM x)
+SELECT model, slice, count(*) AS n, count_if(label = 1) AS relevant, round(sum(CASE WHEN p <= 10 THEN label / log2(p + 1) ELSE 0 END) / sum(CASE WHEN i <= 10 THEN label / log2(i + 1) ELSE 0 END), 6) AS ndcg_10, round(sum(CASE WHEN p <= 20 THEN label / log2(p + 1) ELSE 0 END) / sum(CASE WHEN i <= 20 THEN label / log2(i + 1) ELSE 0 END), 6) AS ndcg_20,
+round(sum(CASE WHEN p <= 10 THEN label ELSE 0 END) / 10, 6) AS precision_10, round(sum(CASE WHEN p <= 20 THEN label ELSE 0 END) / 20, 6) AS precision_20 FROM p GROUP BY 1, 2""", ("records", "scores"))
+def eva_12_slices(spark, sf):
+    r = P.records(spark, sf).select("cve_id", F.col("kev_flag").alias("label"), "is_healthcare")
+    s = P.long_scores(spark, sf).drop("label").join(r, "cve_id")
+    return E.slice_metrics(s, {"overall": F.lit(True), "healthcare": F.col("is_healthcare") == 1, "other": F.col("is_healthcare") == 0}, [10, 20])
 
 
-@query(f"SELECT week, count(*) AS n FROM (SELECT year(published) || '-' || lpad(((dayofyear(published) + 6 - dayofweek(published)) // 7)::VARCHAR, 2, '0') AS week, published FROM records WHERE published >= TIMESTAMP '2001-06-01') GROUP BY 1")
-def qry_03_recent(spark, sf):
-    return L.select_records(P.records(spark, sf), start="2001-06-01").groupBy(sunday_week(F.col("published")).alias("week")).agg(F.count(F.lit(1)).alias("n"))
+@query("SELECT model, label, count(*) AS n, round(count(*) / 100, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, cve_id) AS p FROM scores) WHERE p <= 100 GROUP BY 1, 2", ("records", "scores"))
+def eva_14_top_mix(spark, sf):
+    return E.top_mix(P.long_scores(spark, sf), 100)
+
+
+@query("""SELECT model, k::INTEGER AS k, count_if(label >= 3) AS found, round(count_if(label >= 3) / k, 6) AS precision FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, cve_id) AS p FROM scores), (SELECT unnest([10, 20, 50, 100]) AS k)
+WHERE p <= k GROUP BY model, k""", ("records", "scores"))
+def eva_14_precision(spark, sf):
+    return E.precision_at(P.long_scores(spark, sf), [10, 20, 50, 100], 3)
+
+
+@query(f"{_PLACED.replace('label >= 2', 'label > 0')}, e AS (SELECT model, week, count(*) AS n, {_metric(10)} FROM q GROUP BY 1, 2) SELECT model, count(*) AS groups, {', '.join(f'round(avg({m}_10), 6) AS {m}_10' for m in ('ndcg', 'precision', 'recall', 'ap'))} FROM e WHERE n >= 2 GROUP BY 1", ("records", "scores"))
+def eva_10_prototype(spark, sf):
+    return E.macro(P.long_scores(spark, sf), "week", [10], relevant=1.0)
+
+
+@query("""WITH m AS (SELECT model, round(avg(score), 6) AS v FROM scores GROUP BY 1) SELECT model, v, round((SELECT v FROM m WHERE model = 'a') - v, 6) AS "drop", round(100 * ((SELECT v FROM m WHERE model = 'a') - v) / (SELECT v FROM m WHERE model = 'a'), 4) AS drop_pct FROM m""", ("records", "scores"))
+def eva_15_drops(spark, sf):
+    return E.drops(P.long_scores(spark, sf).groupBy("model").agg(F.round(F.avg("score"), 6).alias("v")), "model", "v", "a")
+
+
+# the complementary error function by a rational approximation that is right to 1.5e-7
+_ERFC = "((((1.061405429 * q - 1.453152027) * q + 1.421413741) * q - 0.284496736) * q + 0.254829592) * q * exp(-z * z / 2)"
+_TESTS = _PAIRS + f""", d AS (SELECT model_a, model_b, round(a - b, 12) AS d FROM pr WHERE round(a - b, 12) <> 0), r AS (SELECT *, rank() OVER (PARTITION BY model_a, model_b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model_a, model_b, abs(d)) - 1) / 2 AS r FROM d),
+ti AS (SELECT model_a, model_b, sum(c * c * c - c) AS ties FROM (SELECT model_a, model_b, count(*)::DOUBLE AS c FROM d GROUP BY 1, 2, abs(d)) GROUP BY 1, 2),
+wt AS (SELECT model_a, model_b, count(*)::DOUBLE AS n, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END))::DOUBLE AS w FROM r GROUP BY 1, 2),
+zt AS (SELECT model_a, model_b, n, w, abs((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)) AS z FROM wt JOIN ti USING (model_a, model_b)),
+pt AS (SELECT *, {_ERFC} AS p FROM (SELECT *, 1 / (1 + 0.3275911 * z / sqrt(2)) AS q FROM zt)), c AS (SELECT *, least(1.0, p * count(*) OVER ()) AS pb, least(1.0, p * (count(*) OVER () - row_number() OVER (ORDER BY p, model_a || '#' || model_b) + 1)) AS raw FROM pt)"""
+
+
+@query(_TESTS + " SELECT model_a, model_b, n::BIGINT AS n, w, round(p, 4) AS p, round(pb, 4) AS p_bonferroni, round(max(raw) OVER (ORDER BY p, model_a || '#' || model_b ROWS UNBOUNDED PRECEDING), 4) AS p_holm FROM c", ("records", "scores"))
+def sig_04_all_pairs(spark, sf):
+    out = T.all_pairs(_pairs(spark, sf), ["model_a", "model_b"])
+    return out.select("model_a", "model_b", "n", "w", *[F.round(c, 4).alias(c) for c in ("p", "p_bonferroni", "p_holm")])
+
+
+@query("WITH t AS (SELECT model, cve_id FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, cve_id) AS n FROM scores) WHERE n <= 500) SELECT a.model AS model_a, b.model AS model_b, count(*) AS common, 1000 - count(*) AS every FROM t a JOIN t b ON a.cve_id = b.cve_id AND a.model < b.model GROUP BY 1, 2", ("records", "scores"))
+def set_03_common_tops(spark, sf):
+    return U.common_tops(P.long_scores(spark, sf), 500)

@@ -202,3 +202,72 @@ def test_trees_are_saved_with_their_card(spark, tmp_path):
     model = M.fit_trees(rows, ["x"], depth=2, rounds=3)
     M.save(model, str(tmp_path), ["x"], {"ndcg": 1.0}, 60)
     assert M.scored(M.load(str(tmp_path)), rows).count() == 60 and spark.read.json(f"{tmp_path}/card").first()["n_train"] == 60
+
+
+def test_terms_of_any_length_and_signs_match_whole_words(spark):
+    texts = frame(spark, [(1, "A flaw: remote code execution in the wild over HTTP/2."), (2, "remote, code; execution"), (3, "remote-code execution"), (4, None), (5, "C++ parser")], "k int, t string")
+    terms = ["remote code execution in the wild over http 2", "remote code execution", "c++ parser", "http/2", "()"]
+    for first_words in (2000, 0):
+        got = {(r["k"], r["term"]) for r in J.matches(texts, "k", F.col("t"), frame(spark, [(t,) for t in terms], "term string"), first_words).collect()}
+        assert got == {(1, terms[0]), (1, terms[1]), (1, terms[3]), (2, terms[1]), (5, terms[2])}
+    assert J.matches(texts, "k", F.col("t"), frame(spark, [], "term string")).count() == 0
+
+
+def test_sums_before_cross_ranges_and_groups(spark):
+    df = spark.range(500).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"), (F.col("id") % 5).alias("n"))
+    want, upto = {}, {}
+    for i in range(500):
+        want[i] = upto.get(i % 3, 0)
+        upto[i % 3] = want[i] + i % 5
+    assert {r["v"]: r["s"] for r in R.sums_before(df, ["g"], [F.asc("v")], {"s": "n"}).collect()} == want
+    whole = {r["v"]: r["s"] for r in R.sums_before(df, [], [F.desc("v")], {"s": "n"}).collect()}
+    assert whole[499] == 0 and whole[0] == sum(i % 5 for i in range(1, 500))
+
+
+def test_best_then_fill_takes_missing_scores_last(spark):
+    df = frame(spark, [("a", "x", 1.0), ("b", "x", None), ("c", "y", 0.1), ("d", "x", 0.9), ("e", "z", None)], "k string, g string, s double")
+    assert [r["k"] for r in R.best_then_fill(df, "g", "s", "k", 4).collect()] == ["a", "c", "e", "d"]
+
+
+def test_preference_pairs_are_the_same_however_they_are_dealt(spark, monkeypatch):
+    rows = spark.range(60).select(F.col("id").cast("string").alias("cve_id"), F.lit("w").alias("week"), (F.col("id") % 3).alias("label"), F.col("id").cast("double").alias("x"))
+    train = M.training_rows(rows, ["x"])
+    pairs = lambda: sorted((r["first"], r["x"]) for r in M.preference_pairs(train, ["x"], 4).collect())
+    whole = pairs()
+    monkeypatch.setattr(M, "BLOCK", 7)
+    assert pairs() == whole and len(whole) > 100
+
+
+def test_catalogue_in_two_stages_and_technique_names(spark):
+    texts = frame(spark, [("a", "Epic Systems portal and Acme Health viewer"), ("b", "the viewer pro of a vendor"), ("c", "reviewer process"), ("d", None)], "k string, t string")
+    vendors = frame(spark, [("Acme Health", 1), ("epic systems", 2), ("epic", 3)], "name string, priority int")
+    products = frame(spark, [("viewer pro", 1), ("viewer", 2), ("portal", 3)], "name string, priority int")
+    got = {r["k"]: (r["flag"], r["matched"]) for r in TM.catalogue_match(texts, "k", "t", vendors, products).collect()}
+    assert got == {"a": (1, ["vendor:acme health", "vendor:epic systems"]), "b": (1, ["product:viewer pro", "product:viewer"]), "c": (0, []), "d": (0, [])}
+    hits = frame(spark, [("a", ["T1", "T9"], 2)], "k string, ids array<string>, n int")
+    named = TM.technique_info(hits, frame(spark, [("T1", "One")], "technique string, name string")).first()
+    assert named["ids"] == ["T1", "T9"] and named["names"] == ["One"]
+
+
+def test_cutoff_split_slices_and_intervals(spark):
+    days = [(f"CVE-{i:04d}", dt.datetime(2018, 1, 1) + dt.timedelta(days=i)) for i in range(100)]
+    df = frame(spark, days, "cve_id string, published timestamp")
+    got = {r["split"]: r["count"] for r in SP.by_cutoff(df, "2018-03-01").groupBy("split").count().collect()}
+    assert got == {"train": 51, "val": 9, "test": 40}
+    s = frame(spark, [(f"r{i}", "m", float(i), int(i >= 8), i % 2) for i in range(10)], "cve_id string, model string, score double, label int, side int")
+    table = {r["slice"]: r for r in E.slice_metrics(s, {"all": F.lit(True), "odd": F.col("side") == 1}, [2]).collect()}
+    assert table["all"]["ndcg_2"] == 1.0 and table["all"]["relevant"] == 2 and table["odd"]["precision_2"] == 0.5
+    assert {r["k"]: r["precision"] for r in E.precision_at(s, [1, 4], 1).collect()} == {1: 1.0, 4: 0.5}
+    ends = T.interval(SP.bootstrap(s, 50), "label").first()
+    assert ends["low"] < ends["mean"] < ends["high"] and abs(ends["mean"] - 0.2) < 0.1
+
+
+def test_bootstrap_ensemble_flags_a_tenth(spark):
+    rows = [(f"r{i:02d}", m, float((i * p) % 17), i % 4) for i in range(40) for m, p in (("a", 3), ("b", 5))]
+    out = U.bootstrap_ensemble(frame(spark, rows, "cve_id string, model string, score double, label int"), 6).collect()
+    assert len(out) == 40 and sum(r["uncertain"] for r in out) == 4 and all(r["deviation"] >= 0 for r in out)
+
+
+def test_similar_leaves_out_what_is_no_vector(spark):
+    v = frame(spark, [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [])], "id int, v array<double>")
+    assert {(r["src"], r["dst"]) for r in G.similar(v, "id", "v", 3, 0.5).collect()} == {(1, 2), (2, 1)}
