@@ -101,3 +101,31 @@ def phrases(text: Column, stop_words: list[str]) -> Column:
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     whole = F.when((F.length(F.trim(lowered)) > 0) & (F.length(F.trim(lowered)) <= 80), F.array(F.trim(lowered))).otherwise(F.array().cast("array<string>"))
     return F.array_sort(F.array_distinct(F.concat(F.filter(pairs, lambda p: F.length(p) >= 8), whole)))
+
+
+def clipped(column: str | Column, low: float, high: float) -> Column:
+    """The number moved into [low, high]; missing stays missing."""
+    c = number(column, None)
+    return F.when(c.isNotNull(), F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), c)))
+
+
+def any_of(items: Column, wanted: list[str]) -> Column:
+    """1 where the array holds one of the wanted values; 0 for a missing array."""
+    return flag(F.arrays_overlap(items, F.array(*map(F.lit, wanted))))
+
+
+def first_items(items: Column, most: int) -> Column:
+    """The first ``most`` of the array's distinct values, sorted."""
+    return F.slice(F.array_sort(F.array_distinct(items)), 1, most)
+
+
+def looked_up(key: Column, table: dict, default) -> Column:
+    """The table's value of the key, the default for others and for a missing key."""
+    pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.coalesce(F.try_element_at(pairs, key), F.lit(default))
+
+
+def named_values(text: Column, names: list[str]) -> Column:
+    """The texts of the named fields of a printed structure (``'name': 'text'``), in order."""
+    pattern = rf"'(?:{'|'.join(re.escape(n) for n in names)})'\s*:\s*'([^']+)'"
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 1)

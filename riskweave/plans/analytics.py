@@ -569,9 +569,11 @@ def _short_long(terms):
     return f"(regexp_matches(t, '{_regex(short)}') OR {_has(long, 't')})"
 
 
-@query(f"""WITH x AS (SELECT cve_id, lower(coalesce(description, '')) AS t FROM records), y AS (SELECT cve_id, CASE {" ".join(f"WHEN regexp_matches(t, '{_regex(terms)}') THEN '{name}'" for name, terms in V.HEALTH_VENDOR_TERMS.items())} END AS matched_vendor,
-{_short_long(_PRODUCTS)}::BIGINT AS has_product, {_short_long(V.HEALTH_KEYWORDS)}::BIGINT AS has_keyword FROM x), z AS (SELECT *, round(least(1.0, CASE WHEN matched_vendor IS NOT NULL THEN 0.5 ELSE 0.0 END::DOUBLE + has_product * 0.3::DOUBLE + has_keyword * 0.2::DOUBLE), 6) AS health_score FROM y)
-SELECT *, (health_score > 0.3)::BIGINT AS health_flag FROM z""")
+_HEALTH = f"""WITH x AS (SELECT cve_id, lower(coalesce(description, '')) AS t FROM records), y AS (SELECT cve_id, CASE {" ".join(f"WHEN regexp_matches(t, '{_regex(terms)}') THEN '{name}'" for name, terms in V.HEALTH_VENDOR_TERMS.items())} END AS matched_vendor,
+{_short_long(_PRODUCTS)}::BIGINT AS has_product, {_short_long(V.HEALTH_KEYWORDS)}::BIGINT AS has_keyword FROM x), z AS (SELECT *, round(least(1.0, CASE WHEN matched_vendor IS NOT NULL THEN 0.5 ELSE 0.0 END::DOUBLE + has_product * 0.3::DOUBLE + has_keyword * 0.2::DOUBLE), 6) AS health_score FROM y)"""
+
+
+@query(_HEALTH + " SELECT *, (health_score > 0.3)::BIGINT AS health_flag FROM z")
 def txt_01_04_health(spark, sf):
     return _rounded(TM.health_score(P.records(spark, sf).select("cve_id", "description")).drop("description"), "cve_id")
 

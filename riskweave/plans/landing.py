@@ -247,3 +247,11 @@ def str_06_horizon_stream(spark, sf):
     p, s = (jobs.events(spark, f"{root}/{n}", f"cve_id string, {c} timestamp") for n, c in (("published", "published"), ("signals", "at")))
     out = jobs.drained(jobs.within_horizon(p, s, 30), "horizon", f"{root}/checkpoint", sink=f"{root}/out")
     return out.select("cve_id", F.to_date("at").cast("string").alias("at"))
+
+
+@query("SELECT event_type AS stage, arg_max(value, ts) AS status, count(*) AS n FROM events GROUP BY 1", views=())
+def str_07_trace_stream(spark, sf):
+    """Landed trace records as a stream; a row for each stage."""
+    root = _folder(spark, "trace")
+    out = jobs.drained(jobs.latest_status(_stream(spark, sf), "event_type", "value"), "trace_" + uuid.uuid4().hex, f"{root}/checkpoint", mode="complete")
+    return out.select(F.col("event_type").alias("stage"), "status", "n")

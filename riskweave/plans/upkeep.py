@@ -9,14 +9,17 @@ from riskweave.operators import features as B
 from riskweave.operators import filters as L
 from riskweave.operators import fusion as U
 from riskweave.operators import graph as G
+from riskweave.operators import joins as J
 from riskweave.operators import models as M
 from riskweave.operators import quality as D
 from riskweave.operators import ranking as R
 from riskweave.operators import sinks as K
 from riskweave.operators import splits as SP
 from riskweave.operators import stats as T
+from riskweave.operators import text_match as TM
+from riskweave.functions import expressions as X
 from riskweave.functions.expressions import contains_any, contains_words, flag, sunday_week
-from riskweave.plans.analytics import _EDGES, _FEATURE_LIST, _ISSUES, _KEV_WALK, _PAIRS, _PLACED, _base_sql, _edges, _metric, _pairs, _rounded, _seeds, _training, _vendor_sql, _walk_sql
+from riskweave.plans.analytics import _EDGES, _FEATURE_LIST, _HEALTH, _ISSUES, _KEV_WALK, _PAIRS, _PLACED, _base_sql, _edges, _metric, _pairs, _rounded, _seeds, _training, _vendor_sql, _walk_sql
 from riskweave.plans.base import REFERENCE, query
 from riskweave.session import stage
 from riskweave.sources import feeds
@@ -278,3 +281,45 @@ def sig_04_all_pairs(spark, sf):
 @query("WITH t AS (SELECT model, cve_id FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, cve_id) AS n FROM scores) WHERE n <= 500) SELECT a.model AS model_a, b.model AS model_b, count(*) AS common, 1000 - count(*) AS every FROM t a JOIN t b ON a.cve_id = b.cve_id AND a.model < b.model GROUP BY 1, 2", ("records", "scores"))
 def set_03_common_tops(spark, sf):
     return U.common_tops(P.long_scores(spark, sf), 500)
+
+
+@query("SELECT cve_id, CASE WHEN cvss IS NOT NULL THEN least(9.0, greatest(2.0, cvss)) END AS clipped, round(log2(key + 1), 6) AS logarithm, round(pow(coalesce(cvss, 0), 2), 6) AS square, abs(label - 3) AS distance FROM records")
+def fn_07_numeric(spark, sf):
+    return P.records(spark, sf).select("cve_id", X.clipped("cvss", 2, 9).alias("clipped"), F.round(F.log2(F.col("key") + 1), 6).alias("logarithm"), F.round(F.pow(X.number("cvss"), F.lit(2.0)), 6).alias("square"), F.abs(F.col("label") - 3).alias("distance"))
+
+
+@query("""WITH a AS (SELECT cve_id, string_split(cwe, ',') AS x FROM records) SELECT cve_id, coalesce(list_has_any(x, ['CWE-79', 'CWE-89']), false)::BIGINT AS listed, array_to_string(list_sort(list_distinct(x))[1:1], ',') AS first_one, coalesce(len(x), 0) AS n FROM a""")
+def fn_09_arrays(spark, sf):
+    items = F.split("cwe", ",")
+    return P.records(spark, sf).select("cve_id", X.any_of(items, ["CWE-79", "CWE-89"]).cast("bigint").alias("listed"), F.array_join(X.first_items(items, 1), ",").alias("first_one"), F.coalesce(F.size(items), F.lit(0)).cast("bigint").alias("n"))
+
+
+@query("SELECT cve_id, CASE curated_severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 ELSE 1 END::BIGINT AS level FROM records")
+def fn_10_map(spark, sf):
+    return P.records(spark, sf).select("cve_id", X.looked_up(F.col("curated_severity"), {"critical": 5, "high": 4}, 1).cast("bigint").alias("level"))
+
+
+@query("SELECT p_partkey, p_name || '|' || p_type AS names FROM part", views=())
+def fn_11_printed_names(spark, sf):
+    printed = F.concat(F.lit("[{'brand_name': '"), F.col("p_name"), F.lit("', 'maker': 'x', 'device_name' : '"), F.col("p_type"), F.lit("'}]"))
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.array_join(X.named_values(printed, ["brand_name", "generic_name", "device_name"]), "|").alias("names"))
+
+
+@query("""SELECT 'labels' AS "table", 'confidence' AS "column" FROM (SELECT count(*) AS n FROM labels) WHERE n >= 0 UNION ALL SELECT 'nowhere', '' FROM (SELECT count(*) AS n FROM documents) WHERE n >= 0""", views=())
+def dq_04_contract(spark, sf):
+    tables = {t: spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels")}
+    missing = D.contract(tables, {"documents": ["doc_id", "text"], "labels": ["doc_id", "confidence"], "nowhere": []})
+    return spark.createDataFrame(missing, "table string, column string")
+
+
+@query("""WITH c AS (SELECT curated_severity, row_number() OVER (ORDER BY curated_severity) AS code FROM (SELECT DISTINCT curated_severity FROM records WHERE curated_severity IS NOT NULL AND published < TIMESTAMP '1998-01-01'))
+SELECT cve_id, coalesce(code, 0) AS code FROM records LEFT JOIN c USING (curated_severity) WHERE published >= TIMESTAMP '1998-01-01'""")
+def fea_17_fitted_codes(spark, sf):
+    r = P.records(spark, sf)
+    codes = R.dense_codes(r.where("published < TIMESTAMP '1998-01-01'"), "curated_severity")
+    return J.coded(r.where("published >= TIMESTAMP '1998-01-01'"), codes, "curated_severity", 0).select("cve_id", "code")
+
+
+@query(_HEALTH + " SELECT coalesce(matched_vendor, 'none') AS vendor, count(*) AS n, sum((health_score > 0.3)::BIGINT)::BIGINT AS flagged, round(avg(health_score), 6) AS mean_score FROM z GROUP BY 1")
+def txt_05_coverage(spark, sf):
+    return TM.health_coverage(TM.health_score(P.records(spark, sf)))
