@@ -3,10 +3,10 @@
 A block is a line of up to a window of words, or a window of the text's words, whatever its lines: windows are twice as long as the longest ``SPREAD`` of a template
 (1.5 times its words) and step by half, so that no statement of this spread is cut, wherever lines break. In a window the common words must stand within the template's spread.
 A template is found in a block when the block holds at least ``threshold`` of the
-template's distinct words. Words are ordered by the number of blocks that hold them over the whole corpus, rarest
+template's distinct words. Words are ordered by the number of texts that hold them over the whole corpus, rarest
 first. A template needs ``need = ceil(threshold * size)`` common words, so
 one of its first ``size - need + 1`` words must be among the block's first ``n - need + 1`` template words (prefix filter); blocks
-with fewer than ``need`` template words are out (length filter); and a common word at places i and j leaves at most
+with fewer than ``need`` template words are out (length filter); texts that hold none of the templates' first words form no blocks; and a common word at places i and j leaves at most
 ``1 + min(size - i, n - j)`` common words (positional filter). What passes is verified on the whole sets. No Python runs on executors.
 
 Defined results: a null text counts as empty; empty texts have no words, null first_word and last_word, empty labels
@@ -34,6 +34,13 @@ TEMPLATES = [
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
+    ("mit", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 #: Words that a statement may take in a window, by words of its template.
 SPREAD = 1.5
@@ -54,15 +61,15 @@ def _split(text: Column) -> Column:
     return F.filter(F.split(text, _SEPARATORS), lambda w: w != "")
 
 
-def _held(text: Column, words: Column, known: Column, least: int, spread: int) -> Column:
-    """(line, its template words, null) of the lines, and (null, its template words, all its words) of the windows, that the length filter leaves: those with as many template words as some template needs."""
+def _held(text: Column, words: Column, known: Column, rare: Column, least: int, spread: int) -> Column:
+    """(line, its template words, null) of the lines, and (null, its template words, all its words) of the windows, that hold a word of the templates' prefixes and as many template words as some template needs."""
     none = F.lit(None).cast("array<string>")
-    lines = F.filter(F.transform(F.split(_lowered(text), _LINE), lambda line, i: F.struct(i.alias("line"), _split(line).alias("run"))), lambda b: F.size(b["run"]) <= 2 * spread)
+    lines = F.filter(F.transform(F.split(_lowered(text), _LINE), lambda line, i: F.struct(i.alias("line"), _split(line).alias("run"))), lambda b: (F.size(b["run"]) <= 2 * spread) & F.arrays_overlap(b["run"], rare))
     lines = F.transform(lines, lambda b: F.struct(b["line"].alias("line"), F.array_intersect(b["run"], known).alias("_held"), none.alias("run")))
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words)), F.lit(spread)), lambda i: F.slice(words, i, 2 * spread))
-    windows = F.transform(windows, lambda w: F.struct(F.lit(None).cast("int").alias("line"), F.array_intersect(w, known).alias("_held"), w.alias("run")))
+    windows = F.transform(F.filter(windows, lambda w: F.arrays_overlap(w, rare)), lambda w: F.struct(F.lit(None).cast("int").alias("line"), F.array_intersect(w, known).alias("_held"), w.alias("run")))
     blocks = F.filter(F.concat(lines, windows), lambda b: F.size(b["_held"]) >= least)
-    return F.when(F.size(F.array_intersect(words, known)) >= least, blocks).otherwise(F.array().cast("array<struct<line:int,_held:array<string>,run:array<string>>>"))
+    return F.when(F.arrays_overlap(words, rare), blocks).otherwise(F.array().cast("array<struct<line:int,_held:array<string>,run:array<string>>>"))
 
 
 def places(words: Column, phrase: list[str]) -> Column:
@@ -78,9 +85,10 @@ def places(words: Column, phrase: list[str]) -> Column:
     return F.when(F.array_contains(words, phrase[-1]), found).otherwise(F.array().cast("array<int>"))
 
 
-def order_words(blocks: DataFrame, vocabulary: list[str]) -> list[str]:
-    """Template words by the number of blocks that hold them, rarest first, ties by word; at most one row a word comes to the driver."""
-    counts = {r["word"]: r["n"] for r in blocks.select(F.explode("_held").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+def order_words(words: DataFrame, vocabulary: list[str]) -> list[str]:
+    """Template words by the number of texts (words array) that hold them, rarest first, ties by word; at most one row a word comes to the driver."""
+    known = F.array(*map(F.lit, vocabulary))
+    counts = {r["word"]: r["n"] for r in words.select(F.explode(F.array_intersect("words", known)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
@@ -94,7 +102,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     vocabulary = sorted({w for _, _, words in sets for w in words})
     known = F.array(*map(F.lit, vocabulary))
 
-    order = order_words(docs.select(F.col(text).alias("_text")).withColumn("_words", _split(_lowered(F.col("_text")))).select(F.explode(_held(F.col("_text"), F.col("_words"), known, least, max(spreads))).alias("b")).select("b._held"), vocabulary)
+    order = order_words(docs.select(_split(_lowered(F.col(text))).alias("words")), vocabulary)
     place = {w: i for i, w in enumerate(order)}
 
     ordered = F.array(*map(F.lit, order))
@@ -102,11 +110,12 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] =
     for (k, label, words), need, spread in zip(sets, needs, spreads, strict=True):
         mine = sorted(words, key=place.get)
         prefixes += [(mine[i], k, label, len(mine), need, i + 1, spread, mine) for i in range(len(mine) - need + 1)]
+    rare = F.array(*map(F.lit, sorted({p[0] for p in prefixes})))
     # one row for each prefix word of each template: bounded by the templates, which are given
     index = F.broadcast(spark.createDataFrame(prefixes, "word string, template int, label string, size int, need int, at_template int, spread int, words array<string>"))
 
     work, restore = guarded(docs, {"_text": text})
-    lowered, held = _lowered(F.col("_text")), _held(F.col("_text"), F.col("_words"), known, least, max(spreads))
+    lowered, held = _lowered(F.col("_text")), _held(F.col("_text"), F.col("_words"), known, rare, least, max(spreads))
     words = _split(lowered)
     starts = F.flatten(F.array(*[places(F.col("_words"), p.split(" ")) for p, _ in phrases]))
     base = (

@@ -6,15 +6,18 @@ import hashlib
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from riskweave.llm import ann, bpe, langid, licenses, lm, mixing, neardup, pii, topk, urls
+from riskweave.llm import _text, ann, bpe, langid, licenses, lm, mixing, neardup, pii, topk, urls
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, size string, near string, word string, label string"
@@ -165,6 +168,54 @@ def test_languages_are_learned_from_rows_without_ids(spark):
         assert len(got) == 800 and all(r["lang_pred"] == r["lang"] and not r["held_out"] for r in got)
 
 
+def test_language_equals_a_direct_fit(spark, monkeypatch):
+    """Features counted one by one, and a model fitted on them here, predict the same; texts longer than a piece are counted whole."""
+    vocab = {"en": "the and of to in that with", "de": "der die und das nicht ein mit", "fr": "le la les des est une dans"}
+    r = random.Random(4)
+    data = [(i, " ".join(r.choice(vocab[lang].split()) for _ in range(r.randrange(1, 60))), lang) for i in range(120) for lang in [list(vocab)[i % 3]]]
+    data.append((500, " ".join(r.choice(vocab["fr"].split()) for _ in range(4000)), "fr"))
+
+    def direct(text):
+        x = np.zeros(langid.DIMENSIONS, np.float32)
+        body = text.encode()
+        for k in langid.ORDERS:
+            for a in range(len(body) - k + 1):
+                code = np.array([int.from_bytes(body[a : a + k], "big")], np.uint64)
+                x[int(_text.mix(code, k)[0] % np.uint64(langid.DIMENSIONS))] += 1
+        x = np.log1p(x)
+        return x / np.sqrt((x * x).sum())
+
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in langid.identify(table).collect()}
+    xs = {i: direct(t) for i, t, _ in data}
+    learned = sorted(((lang, hashlib.md5(f"{len(str(i))}:{i}{t}".encode()).hexdigest(), i) for i, t, lang in data if zlib.crc32(str(i).encode()) % 4 != 2))
+    model = langid.Model(np.stack([xs[i].astype(np.float16).astype(np.float32) for _, _, i in learned]), [lang for lang, _, _ in learned])
+    names, scores = model.predict(np.stack([xs[i] for i, _, _ in data]))
+    for (i, _, _), name, score in zip(data, names, scores):
+        assert got[i][0] == name and got[i][1] == pytest.approx(score, abs=1e-3)
+    whole = [x for _, _, x in langid.features(pa.array([t for _, t, _ in data]))]
+    monkeypatch.setattr(langid, "PIECE_BYTES", 50)
+    assert np.allclose(np.concatenate(whole), np.concatenate([x for _, _, x in langid.features(pa.array([t for _, t, _ in data]))]), atol=1e-6)
+
+
+def test_long_texts_take_bounded_memory():
+    table = _text.WordTable(_text.SPACES)
+    run = pa.array(["a" * 50_000_000])
+    tracemalloc.start()
+    hashes, *_ = table.words(*_text.utf8_parts(run))
+    upto = tracemalloc.get_traced_memory()[1]
+    for _ in langid.features(pa.array(["ab " * 3_000_000])):
+        pass
+    after = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(hashes) == 1 and upto < 8 * 50_000_000 and after < 8 * 50_000_000
+    swapped = bytearray(b"x" * 4096 + b"y" * 4096)
+    other = bytearray(swapped)
+    other[7], other[7 + 4096] = other[7 + 4096], other[7]
+    one, two = (table.words(np.frombuffer(bytes(x), np.uint8), np.array([0, len(x)]))[0] for x in (swapped, other))
+    assert one != two
+
+
 def test_licenses_keep_all_cases(docs, none):
     got = {r["doc_id"]: r for r in licenses.scan(docs.where("doc_id IS NOT NULL")).collect()}
     assert got[4]["n_words"] == 0 and got[4]["first_word"] is None and got[4]["labels"] == "" and got[4]["score"] == 0
@@ -193,11 +244,12 @@ def test_licenses_in_wrapped_and_long_lines(spark):
     gap = " ".join(f"w{i}" for i in range(70))
     scattered = f" {gap} ".join("released under mit notlicense license".split())
     inside = [f"{' '.join(['x'] * n)} {licenses.TEMPLATES[4][1]} {gap}" for n in range(60, 130)]
-    texts = [mit, bsd, scattered, *inside]
+    gpl = licenses.TEMPLATES[10][1].replace(" modify it", "\n# modify it").replace(" the Free", "\n# the Free")
+    texts = [mit, bsd, scattered, *inside, gpl]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(table).collect()}
     assert got[0] == ("mit", 1.0) and got[1] == ("bsd", 1.0) and got[2] == ("", 0.0)
-    assert all(got[i] == ("bsd", 1.0) for i in range(3, len(texts)))
+    assert all(got[i] == ("bsd", 1.0) for i in range(3, len(texts) - 1)) and got[len(texts) - 1] == ("gpl", 1.0)
 
 
 def test_mixture_meets_its_targets(docs, none):
@@ -257,6 +309,15 @@ def test_lm_scores(docs, none, most, chunk, split, monkeypatch):
     assert lm.score(none).count() == 0
 
 
+def test_lm_counts_of_a_byte_and_more(spark):
+    texts = [" ".join(["often"] * 300 + ["some"] * 255 + ["few"] * 254 + ["once"])] * 3
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    trained = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i in range(3))
+    n = trained * (300 + 255 + 254 + 1 + 1)
+    want = sum(k * math.log10((trained * k + 1) / (n + 6)) for k in (300, 255, 254, 1, 1))
+    assert all(r["base_score"] == pytest.approx(want, rel=1e-12) and r["n_known"] == 811 for r in lm.score(table).collect())
+
+
 def test_lm_query_knows_bigrams_seen_once(spark, tmp_path):
     from riskweave.llm import entry
 
@@ -276,11 +337,94 @@ def test_lm_query_knows_bigrams_seen_once(spark, tmp_path):
         assert r["score"] == pytest.approx(want, rel=0.05)
 
 
+def plain_spans(text):
+    """Spans by the patterns as they are stated, for texts that are short enough for them."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = [int(c) for c in m[0] if c.isdigit()]
+        doubled = [d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))]
+        if 14 <= len(digits) <= 19 and sum(doubled) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return [(a, b, ["email", "ip", "card", "phone"][k]) for a, k, b in sorted(out)]
+
+
+def test_pii_spans_equal_the_stated_patterns(spark):
+    r, cards = random.Random(3), ["4111 1111 1111 1111", "4111-1111-1111-1112", "378282246310005", "6011000990139424"]
+    texts = ["".join(r.choice(a) for _ in range(r.randrange(40))) for a in ("ab@.%- ", "01.2 -", "+1 ().2-", "a@b.c1+ -2.", "@@a.b", "é1.@+") for _ in range(4000)]
+    texts += [" ".join([r.choice(cards), "x", r.choice(["+44 (20) 7946-0958", "10.20.30.256", "me@x.y.z"])]) for _ in range(50)]
+    assert all(pii.find(t) == plain_spans(t) for t in texts)
+    some = texts[:200] + texts[-50:]
+    got = pii.digests(pii.detect(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), support=10**6)).collect()
+    for row in got:
+        spans = plain_spans(some[row["doc_id"]])
+        assert row["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
+        assert [row[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(k == x for *_, x in spans) for k in ("email", "ip", "card", "phone")]
+
+
+def test_pii_takes_time_in_proportion_to_long_runs():
+    n = 5_000_000
+    began = time.process_time()
+    for text in ("a" * n + "@", "1" * n + ".", "1." * (n // 2), "a@" * (n // 2), "+1" * (n // 2), "1 " * (n // 2), "+1" + " " * n):
+        pii.find(text)
+    assert time.process_time() - began < 90
+
+
+def test_pii_disclosure_equals_a_recount(spark):
+    r = random.Random(11)
+    people = [f"p{c}@corp.example.com" for c in "abcdef"]
+    nouns = "zan bor kel mip tuv rax lod fen".split()
+    texts = []
+    for i in range(300):
+        words = [r.choice(WORDS) for _ in range(12)]
+        if i % 3 == 0:
+            k = r.randrange(6)
+            words[5:6] = [nouns[k], people[k]] + ([nouns[6]] if r.random() < 0.5 else [])
+        if r.random() < 0.1:
+            words.append(r.choice(nouns))
+        texts.append(" ".join(words))
+    got = {x["term"]: x["disclosure"] for x in pii.revealing(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    # contexts and documents counted over again
+    n, docs_of, total = collections.Counter(), collections.Counter(), 0
+    near, beside, within, holding = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
+    for t in texts:
+        tokens = t.split()
+        plain = [w for w in tokens if "@" not in w]
+        n.update(plain)
+        n.update(x for w in tokens if "@" in w for x in re.findall("[a-z]{2,}", w))
+        docs_of.update(set(plain) | {x for w in tokens if "@" in w for x in re.findall("[a-z]{2,}", w)})
+        for i, w in enumerate(tokens):
+            if "@" in w:
+                around = tokens[max(0, i - 4) : i] + tokens[i + 1 : i + 5]
+                near.update((w, x) for x in around)
+                beside[w] += len(around)
+                holding[w] += 1
+                within.update((w, x) for x in set(plain))
+    total = sum(n.values())
+    want = {}
+    for joint, of, entity, whole in ((near, n, beside, total), (within, docs_of, holding, len(texts))):
+        for (e, term), j in joint.items():
+            given = min(1, j / max(of[term], j))
+            if j >= pii.SUPPORT and given >= 0.5:
+                d = max(0.0, 1 + math.log(given) / -math.log(entity[e] / whole))
+                if d >= pii.GENERALISE:
+                    want[term] = max(d, want.get(term, 0))
+    assert set(got) == set(want) and len(want) >= 4
+    assert all(got[t] == pytest.approx(want[t], rel=1e-9) for t in want)
+
+
 def test_pii_spans_and_sanitised_texts(docs, none, spark):
     got = {r["doc_id"]: r for r in pii.digests(pii.detect(docs)).collect()}
     r = got[10]
     assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == (1, 1, 1, 1)
-    base = ",".join(f"{k}:{a}:{b}" for a, b, k in pii.find(rows()[10][1]))
+    base = ",".join(f"{k}:{a}:{b}" for a, b, k in plain_spans(rows()[10][1]))
     assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
     assert got[4]["spans"] == "" and got[4]["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert len(got) == len({x[0] for x in rows()}) and pii.detect(none).count() == 0
@@ -372,6 +516,13 @@ def test_nearest_recall(spark):
     assert ann.nearest(table.where("vec_id < 0"), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+def test_nearest_of_more_numbers_of_components_than_are_fitted(spark, monkeypatch):
+    monkeypatch.setattr(ann, "KINDS", 1)
+    data = [(i, [float(i % 7), 1.0, float(i % 5)]) for i in range(60)] + [(100 + i, [1.0, float(i)]) for i in range(30)]
+    found = ann.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 5).where("query_id >= 100").collect()
+    assert {r["query_id"] for r in found} == {100, 120} and [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == 120] == [129, 128, 127, 126, 125]
+
+
 @pytest.mark.parametrize("copies", [2, 50])
 def test_nearest_of_repeated_queries(spark, copies):
     x = np.random.default_rng(6).normal(size=(100, 8))
