@@ -26,6 +26,7 @@ from riskweave.llm import _text
 from riskweave.llm._columns import without
 from riskweave.llm._memory import lean
 from riskweave.llm.lm import held_out
+from riskweave.session import stage
 
 #: Rows that a classifier is fitted on at most: of each language, of all, and languages (the most frequent).
 PER_LANGUAGE = 600
@@ -169,14 +170,20 @@ class Model:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "_key", per_language: int = PER_LANGUAGE) -> Model | None:
     """A model of a bounded sample of (key, text, lang): at most per_language rows of each language come together."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.md5(F.concat(F.length(key).cast("string"), F.lit(":"), F.col(key), F.col(text))).alias("_order"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGUAGES).collect()
+    # rows by language and leading digits of the hash: what lies beyond the digits that hold enough rows is left out before rows are ranked
+    digits = F.conv(F.substring("_order", 1, 3), 16, 10).cast("int").alias("_digits")
+    sizes = stage(rows.groupBy("lang", digits).agg(F.count(F.lit(1)).alias("_n")), "langid-sizes")
+    counts = sizes.groupBy("lang").agg(F.sum("_n").alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return None
     per_language = max(1, min(per_language, SAMPLE // len(counts)))
-    known = rows.sparkSession.createDataFrame([(r["lang"],) for r in counts], "lang string")
+    chosen = rows.sparkSession.createDataFrame([(r["lang"],) for r in counts], "lang string")
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("lang").orderBy("_digits").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = sizes.join(F.broadcast(chosen), "lang").withColumn("_before", before).where(F.col("_before") < per_language).groupBy("lang").agg(F.max("_digits").alias("_upto"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_order"))
     # the last of the least hashes of a language is found without the texts; equal rows have equal hashes, so rows are ranked again
-    hashes = rows.select("lang", "_order").join(F.broadcast(known), "lang").withColumn("_rank", rank).where(F.col("_rank") <= per_language)
+    near = rows.select("lang", "_order", digits).join(F.broadcast(known), "lang").where(F.col("_digits") <= F.col("_upto"))
+    hashes = near.select("lang", "_order").withColumn("_rank", rank).where(F.col("_rank") <= per_language)
     last = hashes.groupBy("lang").agg(F.max("_order").alias("_last"))
     some = rows.join(F.broadcast(last), "lang").where(F.col("_order") <= F.col("_last")).select("lang", "text", "_order")
     sample = some.withColumn("_rank", rank).where(F.col("_rank") <= per_language).drop("_rank")
