@@ -44,8 +44,9 @@ SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.98
 #: Distinct words that a task counts together.
 GROUP_WORDS = 400_000
-#: Terms up to which they are broadcast; more are joined by shuffling.
-BROADCAST_TERMS = 2_000_000
+#: Terms, and bytes of them, up to which they are broadcast; more are joined by shuffling.
+BROADCAST_TERMS = 200_000
+BROADCAST_BYTES = 8 << 20
 
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _RUN = re.compile(r"[^\W\d_]+")
@@ -155,9 +156,15 @@ def _found(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(lean(run), "near array<struct<entity:bigint,term:string>>, entities array<bigint>, words array<string>")
 
 
+def _few(terms: DataFrame) -> bool:
+    """Whether the terms are few and short enough to broadcast."""
+    n, size = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    return n <= BROADCAST_TERMS and size <= BROADCAST_BYTES
+
+
 def _term_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n, docs): occurrences of the terms and documents that hold them, and of all words and all documents under the null term, counted over all texts."""
-    few = terms.count() <= BROADCAST_TERMS
+    few = _few(terms)
     known = texts.sparkSession.sparkContext.broadcast(frozenset(terms.toArrow()["term"].to_pylist()) if few else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +246,7 @@ def _applied(work: DataFrame, support: int, generalise: float, make: Callable[[l
     """_rest, and ``fields``: what ``make`` gives of (text, spans, terms) of a batch of work (_text, _rest)."""
     texts = work.select("_text")
     listed = stage(revealing(texts, support, generalise), "pii-listed")
-    few = listed.count() <= BROADCAST_TERMS
+    few = _few(listed)
     pairs = listed.toArrow() if few else None
     known = work.sparkSession.sparkContext.broadcast(dict(zip(pairs["term"].to_pylist(), pairs["disclosure"].to_pylist())) if few else None)
     rows = work.select("_text", "_rest") if few else _with_known(work, listed).select("_text", "_rest", "_known")
