@@ -19,6 +19,7 @@ training rows N = V = 0; texts of any length are read whole; repeated rows count
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,11 @@ from riskweave.llm._columns import guarded
 from riskweave.llm._memory import lean
 from riskweave.session import stage
 
-#: N-grams that a task counts together, bytes of text for each part, bytes of the largest broadcast model, bytes of text whose n-grams are looked up together.
+#: Bytes of text read at once, n-grams that a task counts together, bytes of text for each part, bytes of the largest broadcast model, bytes of text whose n-grams are looked up together.
+CHUNK_BYTES = 1 << 19
 GROUP_NGRAMS = 1_500_000
 PART_BYTES = 4 << 20
-BROADCAST_BYTES = 128 << 20
+BROADCAST_BYTES = 256 << 20
 LOOKUP_BYTES = 4 << 20
 #: Leading bits split at once, bits of the filter for each entry, probes for each level.
 SPLIT_BITS = 12
@@ -57,7 +59,7 @@ class Tokens:
     def chunks(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, rows, tokens, tokens of each row)."""
         body, offsets = _text.utf8_parts(column)
-        for i, j in _text.chunks(offsets):
+        for i, j in _text.chunks(offsets, CHUNK_BYTES):
             hashes, rows, _, _ = self.table.words(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             count = np.bincount(rows, minlength=j - i) + 1
             ends = np.cumsum(count) - 1
@@ -180,19 +182,31 @@ def _part_model(min_count: int):
     return finish
 
 
+class Packed(NamedTuple):
+    """Parts end to end, so that a reader needs no copy: hashes of unigrams and their counts in a byte each (places and counts of those of 255 and more apart), filters of bigrams, and
+    the filters' parts and bytes."""
+
+    words: bytes | bytearray
+    counts: bytes | bytearray
+    large_at: bytes
+    large: bytes
+    filters: bytes | bytearray
+    parts: list[int]
+    sizes: list[int]
+
+
 class Parts:
     """Unigram counts and Bloom filters of some parts, in a reader's process."""
 
-    def __init__(self, rows: list[dict], bits: int):
-        ones = sorted((r for r in rows if r["ngram"] == 1), key=lambda r: r["part"])
-        self.words = np.frombuffer(b"".join(r["first"] for r in ones), np.uint64)
-        self.counts = np.frombuffer(b"".join(r["second"] for r in ones), np.int64)
-        twos = sorted((r for r in rows if r["ngram"] == 2), key=lambda r: r["part"])
-        self.parts = np.array([r["part"] for r in twos], np.uint64)
-        size = np.array([len(r["first"]) for r in twos], np.int64)
+    def __init__(self, packed: Packed, bits: int):
+        self.words = np.frombuffer(packed.words, np.uint64)
+        self.counts = np.frombuffer(packed.counts, np.uint8)
+        self.large_at, self.large = np.frombuffer(packed.large_at, np.int64), np.frombuffer(packed.large, np.int64)
+        self.parts = np.array(packed.parts, np.uint64)
+        size = np.array(packed.sizes, np.int64)
         self.sizes = (size * 8).astype(np.uint64)
         self.starts = (np.cumsum(size) - size) * 8
-        self.filter = np.frombuffer(b"".join(r["first"] for r in twos), np.uint8)
+        self.filter = np.frombuffer(packed.filters, np.uint8)
         self.bits = bits
 
     def unigrams(self, tokens: np.ndarray) -> np.ndarray:
@@ -201,7 +215,10 @@ class Parts:
         if len(self.words):
             each, back = np.unique(tokens, return_inverse=True)
             at = np.minimum(np.searchsorted(self.words, each), len(self.words) - 1)
-            out = np.where(self.words[at] == each, self.counts[at], 0)[back]
+            found = np.where(self.words[at] == each, self.counts[at], 0).astype(np.int64)
+            large = np.flatnonzero(found == 255)
+            found[large] = self.large[np.searchsorted(self.large_at, at[large])]
+            out = found[back]
         return out
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
@@ -259,17 +276,28 @@ def _answers(chunked: DataFrame, text: str, model: DataFrame, bits: int) -> Data
     """(_chunk, ngram, hashes, values) of the distinct n-grams of each chunk, from the parts that they belong to; unknown ones are left out."""
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens()
+        tokens, at, held = Tokens(), None, {1: [], 2: []}
+
+        def out():
+            for ngram, arrays in held.items():
+                whole = np.unique(np.concatenate(arrays))
+                rows = list(_split(ngram, whole, np.zeros(len(whole), np.uint8), bits))
+                arrays.clear()
+                yield pa.RecordBatch.from_pydict({"ngram": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int64()), "chunk": pa.array([at] * len(rows), pa.int64()), "first": pa.array([r[2] for r in rows], pa.binary()), "second": pa.nulls(len(rows), pa.binary())})
+
         for batch in batches:
             number = batch.column(0).to_numpy()
             for first, n, found, count in tokens.chunks(batch.column(1)):
-                of = np.repeat(number[first : first + n], count)
-                for chunk in np.unique(of):
-                    mine = of == chunk
-                    for ngram, hashes in ((1, np.append(found[mine], END)), (2, bigrams(found)[mine])):
-                        whole = np.unique(hashes)
-                        rows = list(_split(ngram, whole, np.zeros(len(whole), np.uint8), bits))
-                        yield pa.RecordBatch.from_pydict({"ngram": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int64()), "chunk": pa.array([int(chunk)] * len(rows), pa.int64()), "first": pa.array([r[2] for r in rows], pa.binary()), "second": pa.nulls(len(rows), pa.binary())})
+                of, twos = np.repeat(number[first : first + n], count), bigrams(found)
+                cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
+                for i, j in zip([0, *cuts], [*cuts, len(of)]):
+                    if at is not None and at != int(of[i]):
+                        yield from out()
+                    at = int(of[i])
+                    held[1].append(np.append(np.unique(found[i:j]), END))
+                    held[2].append(twos[i:j])
+        if at is not None:
+            yield from out()
 
     asked = chunked.select("_chunk", text).mapInArrow(lean(asking), "ngram int, part bigint, chunk bigint, first binary, second binary")
     held = model.select("ngram", "part", F.lit(None).cast("bigint").alias("chunk"), "first", "second")
@@ -280,10 +308,11 @@ def _answers(chunked: DataFrame, text: str, model: DataFrame, bits: int) -> Data
             out = []
             for row in batch.to_pylist():
                 if row["chunk"] is None:
-                    at, known = (row["ngram"], row["part"]), Parts([row], bits)
+                    ones = row["ngram"] == 1
+                    at, known = (row["ngram"], row["part"]), Parts(Packed(row["first"], *_small(row["second"]), b"", [], []) if ones else Packed(b"", b"", b"", b"", row["first"], [row["part"]], [len(row["first"])]), bits)
                 elif at == (row["ngram"], row["part"]):
                     hashes = np.frombuffer(row["first"], np.uint64)
-                    values = known.unigrams(hashes) if row["ngram"] == 1 else known.levels(hashes).astype(np.int64)
+                    values = known.unigrams(hashes) if row["ngram"] == 1 else known.levels(hashes)
                     some = values > 0
                     out.append((row["chunk"], row["ngram"], hashes[some].tobytes(), values[some].tobytes()))
             a, b, c, d = zip(*out) if out else ((), (), (), ())
@@ -300,7 +329,7 @@ class _Found:
         self.known = {}
         for ngram in (1, 2):
             hashes = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h, np.uint64) for n, h, _ in answers if n == ngram)])
-            values = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(v, np.int64) for n, _, v in answers if n == ngram)])
+            values = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(v, np.int64 if n == 1 else np.uint8) for n, _, v in answers if n == ngram)])
             self.known[ngram] = np.unique(hashes, return_index=True), values
 
     def _of(self, ngram: int, hashes: np.ndarray) -> np.ndarray:
@@ -337,10 +366,39 @@ def _scorer(n_train: int, n_words: int, mixing: float):
     return scored
 
 
+def _small(counts: bytes) -> tuple[bytes, bytes, bytes]:
+    """Counts (64 bits each) in a byte each, at most 255, and the places and counts of those of 255 and more."""
+    n = np.frombuffer(counts, np.int64)
+    large = np.flatnonzero(n >= 255)
+    return np.minimum(n, 255).astype(np.uint8).tobytes(), large.astype(np.int64).tobytes(), n[large].tobytes()
+
+
+def _packed(model: DataFrame) -> Packed:
+    """The whole model on the driver, fetched a partition at a time into place; its size is checked before."""
+    sizes = model.select("ngram", "part", F.octet_length("first").alias("n")).orderBy("ngram", "part").collect()  # a row for each part
+    ends = {1: 0, 2: 0}
+    at = {}
+    for r in sizes:
+        at[r["ngram"], r["part"]] = ends[r["ngram"]]
+        ends[r["ngram"]] += r["n"]
+    twos = [r for r in sizes if r["ngram"] == 2]
+    words, counts, filters, large = bytearray(ends[1]), bytearray(ends[1] // 8), bytearray(ends[2]), []
+    for r in model.select("ngram", "part", "first", "second").toLocalIterator():
+        i = at[r["ngram"], r["part"]]
+        if r["ngram"] == 1:
+            words[i : i + len(r["first"])] = r["first"]
+            small, places, values = _small(r["second"])
+            counts[i // 8 : i // 8 + len(small)] = small
+            large.append((i // 8, np.frombuffer(places, np.int64) + i // 8, values))
+        else:
+            filters[i : i + len(r["first"])] = r["first"]
+    large.sort(key=lambda x: x[0])
+    return Packed(words, counts, b"".join(x[1].tobytes() for x in large), b"".join(x[2] for x in large), filters, [r["part"] for r in twos], [r["n"] for r in twos])
+
+
 def _with_broadcast(docs: DataFrame, text: str, model: DataFrame, bits: int, scored) -> DataFrame:
     at = docs.columns.index(text)
-    rows = model.select("ngram", "part", "first", "second").toArrow().to_pylist()
-    value = docs.sparkSession.sparkContext.broadcast((rows, bits))
+    value = docs.sparkSession.sparkContext.broadcast((_packed(model), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Parts(*value.value)
