@@ -58,23 +58,23 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 class WordTable:
-    """Which bytes belong to words, their folded value, and the random tables of the word hash."""
+    """Which bytes belong to words, their value (of a-z for A-Z, unless ``fold`` is False), and the random tables of the word hash."""
 
     BLOCK = 4096
 
-    def __init__(self, separators: bytes):
-        fold = np.arange(256, dtype=np.uint8)
-        fold[65:91] += 32
+    def __init__(self, separators: bytes, fold: bool = True):
+        folded = np.arange(256, dtype=np.uint8)
+        folded[65:91] += 32 * fold
         self.is_word = np.ones(256, bool)
         self.is_word[list(separators)] = False
         random = np.random.default_rng(20240229)
         table = random.integers(0, 1 << 64, 256, dtype=np.uint64)
-        self.value = table[fold]
+        self.value = table[folded]
         powers = random.integers(0, 1 << 64, self.BLOCK, dtype=np.uint64) | np.uint64(1)
         self.power = powers
 
     def words(self, body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, row, start byte and end byte of each word of the texts, in order. A-Z count as a-z."""
+        """Hash, row, start byte and end byte of each word of the texts, in order."""
         inside = self.is_word[body]
         if not inside.any():
             none = np.zeros(0, np.int64)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import ann, bpe, langid, licenses, lm, mixing, neardup, pii, topk, urls
+from riskweave.llm import ann, bpe, langid, licenses, lm, mixing, neardup, pii, rules, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.RULES, urls.canonical_on_hosts(pages, urls.LABELS)).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged, _ = rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *rules.STATISTICS, "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_top_k": op2_exact_top_k,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scores": op8_lm_scores,
     "op9_pii": op9_pii,
     "op10_url_filter": op10_url_filter,
+    "op11_quality_rules": op11_quality_rules,
 }
 
 SQL: dict[str, str] = {
@@ -78,6 +84,7 @@ SQL: dict[str, str] = {
     "op6_license_scan": licenses.SQL,
     "op7_mixing": mixing.SQL,
     "op10_url_filter": urls.SQL,
+    "op11_quality_rules": rules.SQL,
 }
 
 
