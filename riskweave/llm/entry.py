@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import ann, bpe, langid, licenses, lm, mixing, neardup, pii, rules, topk, urls
+from riskweave.llm import ann, bpe, dialogue, langid, licenses, lm, mixing, neardup, pii, rules, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *rules.STATISTICS, "base_failed", "kept")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.report(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_top_k": op2_exact_top_k,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_url_filter": op10_url_filter,
     "op11_quality_rules": op11_quality_rules,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 SQL: dict[str, str] = {
@@ -85,6 +90,7 @@ SQL: dict[str, str] = {
     "op7_mixing": mixing.SQL,
     "op10_url_filter": urls.SQL,
     "op11_quality_rules": rules.SQL,
+    "op12_conversation_repair": dialogue.SQL,
 }
 
 
