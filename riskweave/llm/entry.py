@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm import ann, bpe, dialogue, langid, licenses, lm, mixing, neardup, pii, rules, topk, urls
+from riskweave.llm import ann, bpe, dialogue, langid, licenses, lm, mixing, neardup, phrases, pii, rules, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.report(_table(spark, sf_dir, "conversations"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_exact_top_k": op2_exact_top_k,
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
     "op11_quality_rules": op11_quality_rules,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_phrases": op13_phrases,
 }
 
 SQL: dict[str, str] = {
@@ -91,6 +96,7 @@ SQL: dict[str, str] = {
     "op10_url_filter": urls.SQL,
     "op11_quality_rules": rules.SQL,
     "op12_conversation_repair": dialogue.SQL,
+    "op13_phrases": phrases.SQL,
 }
 
 
