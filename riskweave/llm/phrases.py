@@ -6,16 +6,18 @@ edges that leave it, and the piece ends that stop there give the count of its fo
 Where a node has one edge in and one out, all occurrences go through both, no piece begins or ends there, and the two edges and the node have one count: such edges are compacted into paths, by pointer doubling in
 rounds of joins. All shorter phrases inside a path that have its count stand only within longer ones, so paths say which candidates are dropped.
 
-Before, one pass over the texts counts all words and pairs of words, by a hash with the language, in a sketch of 2^28 counters; where a counter stays below the support, no word or pair that it counts can be in a candidate, so grams end
-there as at a piece's end. This leaves all counts of candidates and of their parts exact, whatever collides. The sketch has one size for all inputs: its summary of 32 MB is broadcast. Beyond about 10^10 pairs most counters reach the
-support, and grams are cut short less often; results stay the same, but more of them are shuffled.
+Before, two passes over the texts count, by a hash with the language, all words and pairs of words, then the longer grams of which these are frequent, in sketches of 2^28 counters each; where a counter stays below the support,
+no gram that it counts can be in a candidate, so grams end there as at a piece's end. This leaves all counts of candidates and of their parts exact, whatever collides. A sketch has one size for all inputs: its summary
+of 32 MB is broadcast. Beyond about 10^10 pairs most counters reach the support, and grams are cut short less often; results stay the same, but more of them are shuffled.
 
 Defined results: null texts have no pieces; the null language is ``und``; texts of any length are read whole; repeated rows each count; equal scores are ranked by count, then phrase in byte order; an empty table gives an empty result; further columns play no part.
 """
 
 from __future__ import annotations
 
+import collections
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,7 @@ LONGEST, SUPPORT, MOST = 5, 100, 2000
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 #: Bits of a counter's number; its upper 12 name a slice of the sketch, the lower 16 a counter in it.
 SKETCH_BITS, SLICE_BITS = 28, 12
+GRAM_SLICES = 1024
 #: Hashes, grams and bytes of grams that a task holds before it passes their counts on, and bytes of text handled at once.
 HELD_HASHES, HELD_GRAMS, HELD_BYTES, TEXT_BYTES = 1 << 22, 1 << 18, 1 << 25, 1 << 22
 
@@ -79,8 +82,30 @@ def _counters(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32)
 
 
-def frequent(docs: DataFrame, support: int = SUPPORT) -> np.ndarray:
-    """Bits, one for each counter of the sketch, that say whether it reaches the support. docs has (lang, text).
+def _often(sketch: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = _counters(hashes)
+    return (sketch[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _runs(w: _Words, sketch: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each size from 1: places where a gram of that size begins whose words and pairs are all frequent, and a hash of each; the first sketch tells."""
+    alone = _often(sketch, w.hash)
+    on = np.zeros(len(alone) + longest, bool)
+    at = np.flatnonzero(w.joined)
+    on[at] = _often(sketch, w.pairs()) & alone[at] & alone[at + 1]
+    name, goes_on = _text.mix(w.hash, 11), alone.copy()
+    yield np.flatnonzero(alone), name[alone]
+    for step in range(1, longest):
+        goes_on &= on[step - 1 : step - 1 + len(alone)]
+        there = np.flatnonzero(goes_on)
+        with np.errstate(over="ignore"):
+            name[there] += _text.mix(w.hash[there + step], 11 + step)
+        yield there, _text.mix(name[there], step)
+
+
+def frequent(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, pairs=None) -> np.ndarray:
+    """Bits, one for each counter of the sketch, that say whether it reaches the support: of words and pairs, or, given a broadcast of these, of longer grams whose
+    words and pairs are all frequent. docs has (lang, text).
 
     A task passes on, for each slice, the counters that it met and their counts (255 at most, which is above the support or adds up to it), in three bytes each; slices are summed where they meet, one after another.
     """
@@ -100,8 +125,9 @@ def frequent(docs: DataFrame, support: int = SUPPORT) -> np.ndarray:
 
         for batch in batches:
             for words, _ in _chunks(batch):
-                held += [_counters(words.hash), _counters(words.pairs())]
-                size += len(words.hash) + len(held[-1])
+                found = [words.hash, words.pairs()] if pairs is None else [names for size_of, (_, names) in enumerate(_runs(words, pairs.value, longest), 1) if size_of > 2]
+                held += [_counters(x) for x in found]
+                size += sum(map(len, found))
                 if size >= HELD_HASHES:
                     yield flush()
                     held, size = [], 0
@@ -135,42 +161,34 @@ def frequent(docs: DataFrame, support: int = SUPPORT) -> np.ndarray:
     return out
 
 
-def grams(docs: DataFrame, bits, longest: int = LONGEST) -> DataFrame:
-    """(lang, gram, size, c): for each place of a word the gram from there to the ``longest``-th word, the piece's end, or the first word or pair that is rare; counted in parts.
+def grams(docs: DataFrame, pairs, longer, longest: int = LONGEST) -> DataFrame:
+    """(lang, gram, size, c): for each place of a word the gram from there to the ``longest``-th word, the piece's end, or where it would become rare; counted.
 
-    Grams of ``longest`` words are edges, shorter ones piece ends. ``bits`` is a broadcast of :func:`frequent`.
+    Grams of ``longest`` words are edges, shorter ones piece ends. ``pairs`` and ``longer`` are broadcasts of :func:`frequent`. A task packs the grams that it has counted by slices of a hash, a row
+    for each slice; where a slice's rows meet, one after another, their counts are summed, so what is held are the different grams of one slice.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = bits.value
         held: dict[tuple[str, bytes], int] = {}
         weight = 0
 
-        def often(hashes: np.ndarray) -> np.ndarray:
-            at = _counters(hashes)
-            return (sketch[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
         def flush() -> pa.RecordBatch:
-            keys = list(held)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()), pa.array([k[1].count(b" ") + 1 for k in keys], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["lang", "gram", "size", "c"]
-            )
+            keys = sorted(held, key=lambda k: zlib.crc32(k[1]) % GRAM_SLICES)
+            slices = np.array([zlib.crc32(k[1]) % GRAM_SLICES for k in keys], np.int32)
+            cuts = np.flatnonzero(np.diff(slices, prepend=-1)).astype(np.int32)
+            ends = pa.array(np.append(cuts, np.int32(len(keys))), pa.int32())
+            packed = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()), pa.array([held[k] for k in keys], pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(slices[cuts]), *[pa.ListArray.from_arrays(ends, x) for x in packed]], names=["slice", "langs", "grams", "counts"])
 
         for batch in batches:
             langs = batch.column(0)
             for w, first in _chunks(batch):
-                alone = often(w.hash)
-                on = np.zeros(len(alone) + longest, bool)
-                at = np.flatnonzero(w.joined)
-                on[at] = often(w.pairs()) & alone[at] & alone[at + 1]
-                size, goes_on = alone.astype(np.int64), alone.copy()
-                with np.errstate(over="ignore"):
-                    name = _text.mix(w.hash, 11)
-                    for step in range(1, longest):
-                        goes_on &= on[step - 1 : step - 1 + len(alone)]
-                        size += goes_on
-                        there = np.flatnonzero(goes_on)
-                        name[there] += _text.mix(w.hash[there + step], 11 + step)
+                size, name = np.zeros(len(w.hash), np.int64), np.zeros(len(w.hash), np.uint64)
+                for length, (there, names) in enumerate(_runs(w, pairs.value, longest), 1):
+                    on = size[there] == length - 1
+                    if length > 2:
+                        on &= _often(longer.value, names)
+                    size[there[on]], name[there[on]] = length, names[on]
                 places = np.flatnonzero(size)
                 _, one, counts = np.unique(name[places], return_index=True, return_counts=True)
                 one = places[one]
@@ -190,7 +208,27 @@ def grams(docs: DataFrame, bits, longest: int = LONGEST) -> DataFrame:
         held.clear()
         release()
 
-    return docs.mapInArrow(run, "lang string, gram string, size int, c bigint")
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, total = None, collections.Counter()
+
+        def done() -> pa.RecordBatch:
+            keys = list(total)
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[1].count(" ") + 1 for k in keys], pa.int32()), pa.array(list(total.values()), pa.int64())], names=["lang", "gram", "size", "c"])
+
+        for batch in batches:
+            for s, langs, found, counts in zip(*[batch.column(i) for i in range(4)]):
+                if s != current:
+                    if total:
+                        yield done()
+                    current = s
+                    total.clear()
+                for key, c in zip(zip(langs.values.to_pylist(), found.values.to_pylist()), counts.values.to_pylist()):
+                    total[key] += c
+        if total:
+            yield done()
+
+    packed = docs.mapInArrow(run, "slice int, langs array<string>, grams array<string>, counts array<bigint>")
+    return packed.repartition("slice").sortWithinPartitions("slice").mapInArrow(lean(summed), "lang string, gram string, size int, c bigint")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -258,11 +296,12 @@ def _inner(rows: DataFrame, gram: str, sizes: list[int], count: str) -> DataFram
 def collocations(docs: DataFrame, longest: int = LONGEST, support: int = SUPPORT, most: int = MOST, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the best phrases of each language: of its cuts in two the least of floor(1000 a n / (l r)) is a phrase's score."""
     work = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    bits = docs.sparkSession.sparkContext.broadcast(frequent(work, support))
-    parts = stage(grams(work, bits, longest), "phrase-grams")
-    bits.unpersist()
-    counted = stage(parts.groupBy("lang", "gram", "size").agg(F.sum("c").alias("c")), "phrase-edges")
-    unstage(parts)
+    context = docs.sparkSession.sparkContext
+    pairs = context.broadcast(frequent(work, support, longest))
+    longer = context.broadcast(frequent(work, support, longest, pairs))
+    counted = stage(grams(work, pairs, longer, longest), "phrase-edges")
+    pairs.unpersist()
+    longer.unpersist()
     counts = stage(flows(counted, longest).where(F.col("f") >= support), "phrase-counts")
     candidates = counts.where("size >= 2")
     compact = stage(paths(counts, longest, support), "phrase-compact")
