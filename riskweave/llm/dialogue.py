@@ -131,6 +131,10 @@ class Repair:
             other, after = _OTHER[state]
             self._offer(found, after, cost + REROLE + extra, node, "R", turn, other, text)
         self._insertions(found)
+        # whatever may follow nothing or an s may follow an a too, but for an s, which is deleted there: dearer survivors can't win or tie any more, and would hold all edits since the beginning
+        for state, more in ((0, DELETE), (1, 0)):
+            if state in found and 3 in found and found[state][0] > found[3][0] + more:
+                found.pop(state)[1].release()
         for _, node in self.best.values():
             node.release()
         self.best = found
