@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions.expressions import flag
 from riskweave.operators.filters import one_row
+from riskweave.operators.quantiles import medians, quantiles
 
 FLAGS = ["kev_flag", "is_healthcare", "is_curated", "attack_flag", "chpl_flag"]
 
@@ -85,15 +86,17 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each column: n, mean, std, min, quartiles, max, missing_pct, zero_pct; all columns in one pass."""
+    """A row for each column: n, mean, std, min, quartiles, max, missing_pct, zero_pct; quantiles by exact selection, the rest in one pass."""
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "value")
-    quantile = lambda q: F.percentile("value", F.lit(q))
+    shares = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
+    found = quantiles(df, {c: F.col(c) for c in columns}, shares.values())
+    listed = F.create_map(*[x for c in columns for x in (F.lit(c), F.array(*[F.lit(found[c][q]).cast("double") for q in shares.values()]))])
     return long.groupBy("column").agg(
         F.count("value").alias("n"),
         F.round(F.avg("value"), 6).alias("mean"),
         F.round(F.stddev_samp("value"), 6).alias("std"),
         F.min("value").alias("min"),
-        *[F.round(quantile(q), 6).alias(name) for q, name in ((0.05, "q05"), (0.25, "q25"), (0.5, "q50"), (0.75, "q75"), (0.95, "q95"))],
+        *[F.round(F.get(listed[F.col("column")], F.lit(i)), 6).alias(name) for i, name in enumerate(shares)],
         F.max("value").alias("max"),
         F.round(F.avg(flag(F.col("value").isNull()).cast("double")) * 100, 4).alias("missing_pct"),
         F.round(F.avg(flag(F.col("value") == 0).cast("double")) * 100, 4).alias("zero_pct"),
@@ -142,7 +145,8 @@ def monthly(df: DataFrame, last_months: int | None = None) -> DataFrame:
 def kev_comparison(df: DataFrame, value: str = "cvss") -> DataFrame:
     """One row: mean and median of the value with and without exploitation, and their differences."""
     hit, other = F.when(F.col("kev_flag") == 1, F.col(value)), F.when(F.col("kev_flag") != 1, F.col(value))
-    out = df.agg(F.avg(hit).alias("mean_kev"), F.avg(other).alias("mean_other"), F.median(hit).alias("median_kev"), F.median(other).alias("median_other"))
+    middle = medians(df, {"kev": hit, "other": other})
+    out = df.agg(F.avg(hit).alias("mean_kev"), F.avg(other).alias("mean_other")).withColumns({f"median_{c}": F.lit(v).cast("double") for c, v in middle.items()})
     return out.select(*[F.round(F.col(c), 6).alias(c) for c in out.columns], F.round(F.col("mean_kev") - F.col("mean_other"), 6).alias("mean_difference"), F.round(F.col("median_kev") - F.col("median_other"), 6).alias("median_difference"))
 
 

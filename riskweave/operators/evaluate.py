@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.expressions import flag
@@ -16,26 +18,62 @@ def placed(scores: DataFrame, by: list[str], key: str = "cve_id") -> DataFrame:
     return scores.withColumns({"position": F.row_number().over(ranked), "ideal": F.row_number().over(ideal), "n": F.count(F.lit(1)).over(Window.partitionBy(*by))})
 
 
+def ideal_gains(labels: DataFrame, by: list[str], ks: list[int], gain: Column) -> DataFrame:
+    """(by, ideal_{k}): best discounted gains from counts of labels (by, label, c). Rows of one label take consecutive positions, so only the few labels of a group are put in order, not its rows."""
+    above = F.coalesce(F.sum("c").over(Window.partitionBy(*by).orderBy(F.desc("label")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = [0.0]
+    for i in range(1, max(ks) + 1):
+        upto.append(upto[-1] + 1 / math.log2(i + 1))
+    sums = F.array(*[F.lit(x) for x in upto])
+
+    def discounts(k: int) -> Column:
+        end, start = (F.element_at(sums, F.least(c, F.lit(k)).cast("int") + 1) for c in (F.col("_above") + F.col("c"), F.col("_above")))
+        return end - start
+
+    return labels.withColumn("_above", above).groupBy(*by).agg(*[F.sum(gain * discounts(k)).alias(f"ideal_{k}") for k in ks])
+
+
+def _joined(a: DataFrame, b: DataFrame, by: list[str], how: str = "left") -> DataFrame:
+    """Summaries of one row for each group, joined by group; null groups meet."""
+    named = b.select(*[F.col(c).alias(f"_{c}") for c in by], *[c for c in b.columns if c not in by])
+    met = F.lit(True)
+    for c in by:
+        met &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return a.join(named, met, how).drop(*[f"_{c}" for c in by])
+
+
 def grouped_metrics(scores: DataFrame, group: str, ks: list[int], model: str = "model", key: str = "cve_id", relevant: float = 2.0) -> DataFrame:
-    """(model, group, n, and for each k ndcg, precision, recall, ap): exponential gain; precision over min(k, n); average precision over the relevant ones retrieved."""
-    by = [model, group]
-    rows = placed(scores, by, key).withColumn("rel", flag(F.col("label") >= relevant))
-    running = Window.partitionBy(*by).orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("hits", F.sum("rel").over(running))
+    """(model, group, n, and for each k ndcg, precision, recall, ap): exponential gain; precision over min(k, n); average precision over the relevant ones retrieved.
+
+    Of a group only the first rows by score are put in order, which Spark limits before it shuffles; the rest are counts of labels. So a group may hold any share of the rows.
+    """
+    by, most = [model, group], max(ks)
     gain = F.pow(F.lit(2.0), F.col("label")) - 1
+    labels = scores.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("c"))
+    sizes = labels.groupBy(*by).agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("label") >= relevant, F.col("c"))), F.lit(0)).alias("_rel"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.asc(key)))
+    tops = scores.select(*by, key, "score", "label").withColumn("position", place).where(F.col("position") <= most).withColumn("rel", flag(F.col("label") >= relevant))
+    running = Window.partitionBy(*by).orderBy("position").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tops = tops.withColumn("hits", F.sum("rel").over(running))
+    firsts = []
+    for k in ks:
+        top = F.col("position") <= k
+        firsts += [
+            F.sum(F.when(top, gain / F.log2(F.col("position") + 1)).otherwise(0.0)).alias(f"_dcg_{k}"),
+            F.sum(F.when(top, F.col("rel")).otherwise(0)).alias(f"_found_{k}"),
+            F.sum(F.when(top & (F.col("rel") == 1), F.col("hits") / F.col("position")).otherwise(0.0)).alias(f"_ap_{k}"),
+        ]
+    every = _joined(_joined(sizes, ideal_gains(labels, by, ks, gain), by), tops.groupBy(*by).agg(*firsts), by)
     parts = []
     for k in ks:
-        top, best = F.col("position") <= k, F.col("ideal") <= k
-        dcg = F.sum(F.when(top, gain / F.log2(F.col("position") + 1)).otherwise(0.0))
-        idcg = F.sum(F.when(best, gain / F.log2(F.col("ideal") + 1)).otherwise(0.0))
-        found = F.sum(F.when(top, F.col("rel")).otherwise(0))
+        found, ideal = F.col(f"_found_{k}"), F.col(f"ideal_{k}")
         parts += [
-            F.when(idcg > 0, dcg / idcg).otherwise(0.0).alias(f"ndcg_{k}"),
-            (found / F.least(F.lit(k), F.max("n"))).alias(f"precision_{k}"),
-            F.when(F.sum("rel") > 0, found / F.sum("rel")).otherwise(0.0).alias(f"recall_{k}"),
-            F.when(found > 0, F.sum(F.when(top & (F.col("rel") == 1), F.col("hits") / F.col("position")).otherwise(0.0)) / found).otherwise(0.0).alias(f"ap_{k}"),
+            F.when(ideal > 0, F.col(f"_dcg_{k}") / ideal).otherwise(0.0).alias(f"ndcg_{k}"),
+            (found / F.least(F.lit(k), F.col("n"))).alias(f"precision_{k}"),
+            F.when(F.col("_rel") > 0, found / F.col("_rel")).otherwise(0.0).alias(f"recall_{k}"),
+            F.when(found > 0, F.col(f"_ap_{k}") / found).otherwise(0.0).alias(f"ap_{k}"),
         ]
-    return rows.groupBy(*by).agg(F.max("n").alias("n"), *parts)
+    return every.select(*by, "n", *parts)
 
 
 def macro(scores: DataFrame, group: str, ks: list[int], model: str = "model", key: str = "cve_id", relevant: float = 2.0) -> DataFrame:
@@ -46,14 +84,23 @@ def macro(scores: DataFrame, group: str, ks: list[int], model: str = "model", ke
 
 
 def linear_ndcg(scores: DataFrame, group: str, k: int, model: str = "model") -> DataFrame:
-    """(model, group, ndcg) with gain equal to the label; equal scores share the mean gain of their block; groups without gain are left out."""
+    """(model, group, ndcg) with gain equal to the label; equal scores share the mean gain of their block; groups without gain are left out.
+
+    Rows are counted by score and by label; of a group's blocks only the first k are put in order.
+    """
     by = [model, group]
-    discount = lambda c: F.when(F.col(c) <= k, 1 / F.log2(F.col(c) + 1)).otherwise(0.0)
-    ranked = Window.partitionBy(*by).orderBy(F.desc("score"))
-    ideal = Window.partitionBy(*by).orderBy(F.desc("label"))
-    rows = scores.withColumns({"_p": F.row_number().over(ranked), "_i": F.row_number().over(ideal)})
-    blocks = rows.groupBy(*by, "score").agg((F.avg("label") * F.sum(discount("_p"))).alias("dcg"), F.sum(F.col("label") * discount("_i")).alias("idcg"))
-    return blocks.groupBy(*by).agg(F.sum("dcg").alias("dcg"), F.sum("idcg").alias("idcg")).where("idcg > 0").select(*by, (F.col("dcg") / F.col("idcg")).alias("ndcg"))
+    blocks = scores.groupBy(*by, "score").agg(F.avg("label").alias("_gain"), F.count(F.lit(1)).alias("_c"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score")))
+    firsts = blocks.withColumn("_b", place).where(F.col("_b") <= k)
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    upto = [0.0]
+    for i in range(1, k + 1):
+        upto.append(upto[-1] + 1 / math.log2(i + 1))
+    sums = F.array(*[F.lit(x) for x in upto])
+    at = lambda c: F.element_at(sums, F.least(c, F.lit(k)).cast("int") + 1)
+    dcg = firsts.withColumn("_before", before).groupBy(*by).agg(F.sum(F.col("_gain") * (at(F.col("_before") + F.col("_c")) - at(F.col("_before")))).alias("dcg"))
+    ideal = ideal_gains(scores.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("c")), by, [k], F.col("label"))
+    return _joined(dcg, ideal, by).where(F.col(f"ideal_{k}") > 0).select(*by, (F.col("dcg") / F.col(f"ideal_{k}")).alias("ndcg"))
 
 
 def flat_metrics(scores: DataFrame, k: int, model: str = "model", key: str = "cve_id", relevant: float = 2.0) -> DataFrame:
@@ -156,4 +203,4 @@ def long_table(metrics: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     return out
 
 
-__all__ = ["average_rank", "capture", "drops", "flat_metrics", "grouped_metrics", "increments", "lift_table", "linear_ndcg", "long_table", "macro", "placed", "precision_at", "slice_metrics", "spearman", "top_mix"]
+__all__ = ["average_rank", "capture", "drops", "flat_metrics", "grouped_metrics", "ideal_gains", "increments", "lift_table", "linear_ndcg", "long_table", "macro", "placed", "precision_at", "slice_metrics", "spearman", "top_mix"]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.expressions import flag, number
+from riskweave.operators.quantiles import medians
 
 
 def one_row(df: DataFrame, *aggregates) -> DataFrame:
@@ -18,8 +19,8 @@ def one_row(df: DataFrame, *aggregates) -> DataFrame:
 def clean(df: DataFrame, date_col: str = "published") -> DataFrame:
     """Missing severities become the global median, missing exploit scores 0; rows without a readable date go. Nothing is clipped or deduplicated."""
     dated = df.withColumn(date_col, F.col(date_col).try_cast("timestamp")).where(F.col(date_col).isNotNull()) if dict(df.dtypes)[date_col] == "string" else df.where(F.col(date_col).isNotNull())
-    middle = one_row(df, F.median("cvss").alias("_median"))
-    return dated.join(middle).withColumn("cvss", F.coalesce("cvss", "_median")).withColumn("epss_score", F.coalesce("epss_score", F.lit(0.0))).drop("_median")
+    middle = F.lit(medians(df, {"cvss": F.col("cvss")})["cvss"]).cast("double")
+    return dated.withColumn("cvss", F.coalesce("cvss", middle)).withColumn("epss_score", F.coalesce("epss_score", F.lit(0.0)))
 
 
 def select_records(df: DataFrame, min_cvss: float | None = None, max_cvss: float | None = None, start: datetime | str | None = None, end: datetime | str | None = None, kev_only: bool = False, healthcare_only: bool = False) -> DataFrame:

@@ -97,18 +97,23 @@ def filled(df: DataFrame, ranks: DataFrame, key: str, default: float) -> DataFra
 
 
 def neighbour_means(edges: DataFrame, features: DataFrame, columns: list[str], relation: str = "relation", hops: int = 1) -> DataFrame:
-    """features with, for each relation and hop, the mean of the neighbours' columns over edges in both directions; 0 without neighbours."""
+    """features with, for each hop and relation, the means over the neighbours of what they had before that hop, over edges in both directions; 0 without neighbours.
+
+    The first hop has ``{relation}_1_{column}``; hop h has ``{relation}_{h}_`` before each name of hop h - 1, so every order of relations along the way is there. A hop is one exchange: the
+    neighbours' values travel as one array, and the sums of all relations are taken in one aggregation.
+    """
     both = edges.select("src", "dst", relation).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), relation)).distinct()
     names = [r[0] for r in both.select(relation).distinct().orderBy(relation).collect()]  # the few kinds of edges
-    out, current = features, {c: c for c in columns}
+    out, current = features, list(columns)
     for hop in range(1, hops + 1):
-        for name in names:
-            near = both.where(F.col(relation) == name).join(out.select(F.col("id").alias("src"), *{*current.values()}), "src")
-            means = near.groupBy(F.col("dst").alias("id")).agg(*[F.avg(current[c]).alias(f"{name}_{hop}_{c}") for c in columns])
-            out = out.join(means, "id", "left")
-        added = [f"{name}_{hop}_{c}" for name in names for c in columns]
-        out = out.fillna(0.0, added)
-        current = {c: f"{names[0]}_{hop}_{c}" for c in columns} if names else current
+        packed = out.select(F.col("id").alias("src"), F.array(*[number(c) for c in current]).alias("_x"))
+        added = [f"{name}_{hop}_{c}" for name in names for c in current]
+        if not added:
+            break
+        means = [F.avg(F.when(F.col(relation) == name, F.get("_x", F.lit(i)))).alias(f"{name}_{hop}_{c}") for name in names for i, c in enumerate(current)]
+        met = both.join(packed, "src").groupBy(F.col("dst").alias("id")).agg(*means)
+        out = out.join(met, "id", "left").fillna(0.0, added)
+        current = added
     return out
 
 

@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from riskweave.functions.tails import normal_two_sided, signed_rank_two_sided, student_two_sided
 from riskweave.operators.ranking import average_rank, sums_before
 
+#: Differences up to which the signed-rank sum's own distribution is counted out, if no two are of one size.
+EXACT = 50
 
-def _normal_tail(z: str) -> Column:
-    """Two-sided tail of the normal distribution; a value for each model pair."""
 
-    def tail(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if x is None or x != x else math.erfc(abs(x) / math.sqrt(2)))
+def _tail(function: Callable[..., float], *columns: str) -> Column:
+    """A tail of each row of a summary that has a row for each model pair; null where a value is missing."""
 
-    return F.pandas_udf(tail, DoubleType())(z)
+    def tail(*values: pd.Series) -> pd.Series:
+        return pd.Series([None if any(x is None or x != x for x in row) else function(*row) for row in zip(*values)], dtype="float64")
+
+    return F.pandas_udf(tail, DoubleType())(*columns)
+
+
+def _signed_rank(w: float, n: float, ties: float, z: float) -> float:
+    return signed_rank_two_sided(w, int(n)) if n <= EXACT and ties == 0 else normal_two_sided(z)
 
 
 def wilcoxon(pairs: DataFrame, by: list[str], least: int = 5) -> DataFrame:
-    """(by, n, w, p) of pairs (a, b): signed ranks of the differences other than 0, normal approximation with tie correction; p is 1 under ``least`` differences."""
+    """(by, n, w, p) of pairs (a, b): signed ranks of the differences other than 0. The tail is exact up to EXACT differences of different sizes, and the normal one with tie correction beyond; p is 1 under ``least`` differences."""
     d = pairs.withColumn("_d", F.round(F.col("a") - F.col("b"), 12)).where("_d <> 0")
     # mean ranks of |d| from counts of its distinct values
     sizes = d.groupBy(*by, F.abs("_d").alias("_m")).agg(F.count(F.lit(1)).alias("_c"), F.sum(F.when(F.col("_d") > 0, 1).otherwise(0)).alias("_plus"))
@@ -30,15 +38,16 @@ def wilcoxon(pairs: DataFrame, by: list[str], least: int = 5) -> DataFrame:
     sums = ranked.groupBy(*by).agg(F.sum("_c").alias("n"), F.sum(F.col("_plus") * F.col("_r")).alias("plus"), F.sum((F.col("_c") - F.col("_plus")) * F.col("_r")).alias("minus"), F.sum(F.pow("_c", F.lit(3)) - F.col("_c")).alias("ties"))
     n = F.col("n").cast("double")
     z = (F.least("plus", "minus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    return sums.withColumn("z", z).select(*by, "n", F.least("plus", "minus").alias("w"), F.when(F.col("n") < least, 1.0).otherwise(_normal_tail("z")).alias("p"))
+    return sums.withColumns({"z": z, "w": F.least("plus", "minus")}).select(*by, "n", "w", F.when(F.col("n") < least, 1.0).otherwise(_tail(_signed_rank, "w", "n", "ties", "z")).alias("p"))
 
 
 def paired_t(pairs: DataFrame, by: list[str], least: int = 5) -> DataFrame:
-    """(by, n, t, p); the tail is the normal one, to which that of t comes for many pairs; p is 1 under ``least`` pairs."""
+    """(by, n, t, p) by Student's t with n - 1 degrees of freedom; p is 1 under ``least`` pairs or without spread."""
     d = F.col("a") - F.col("b")
     s = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("_m"), F.stddev_samp(d).alias("_s"))
     t = F.try_divide(F.col("_m"), F.col("_s") / F.sqrt("n"))
-    return s.withColumn("t", t).select(*by, "n", "t", F.when((F.col("n") < least) | F.col("t").isNull(), 1.0).otherwise(_normal_tail("t")).alias("p"))
+    tested = s.withColumns({"t": t, "_df": F.col("n") - 1})
+    return tested.select(*by, "n", "t", F.when((F.col("n") < least) | F.col("t").isNull(), 1.0).otherwise(_tail(student_two_sided, "t", "_df")).alias("p"))
 
 
 def bonferroni(tests: DataFrame, alpha: float, p: str = "p") -> DataFrame:

@@ -36,7 +36,9 @@ def query(sql: str | None = None, views: tuple[str, ...] = ("records",)):
         if sql is not None:
             text = _counted(sql.strip())
             head = "WITH " + ", ".join(VIEWS[v].strip() for v in views) if views else ""
-            if text.upper().startswith("WITH ") and views:
+            if text.upper().startswith("WITH RECURSIVE ") and views:
+                head, text = head.replace("WITH ", "WITH RECURSIVE ", 1), ", " + text[15:]
+            elif text.upper().startswith("WITH ") and views:
                 text = ", " + text[5:]
             SQL[name] = f"{head} {text}" if views else text
         return function

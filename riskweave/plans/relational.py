@@ -8,6 +8,7 @@ from riskweave.functions import expressions as X
 from riskweave.operators import aggregates as A
 from riskweave.operators import filters as L
 from riskweave.operators import joins as J
+from riskweave.operators import quantiles as Q
 from riskweave.operators import ranking as R
 from riskweave.plans.base import query
 from riskweave.sources import projection as P
@@ -308,7 +309,9 @@ def agg_24_threshold_sensitivity(spark, sf):
 
 @query("SELECT median(cvss) AS middle, round(avg(length(description)), 6) AS mean_length FROM records")
 def agg_26_imputation(spark, sf):
-    return P.records(spark, sf).agg(F.median("cvss").alias("middle"), F.round(F.avg(F.length("description")), 6).alias("mean_length"))
+    r = P.records(spark, sf)
+    middle = Q.medians(r, {"cvss": F.col("cvss")})["cvss"]
+    return r.agg(F.lit(middle).cast("double").alias("middle"), F.round(F.avg(F.length("description")), 6).alias("mean_length"))
 
 
 @query("SELECT cve_id, model, row_number() OVER (PARTITION BY model, week ORDER BY score DESC, cve_id)::BIGINT AS position, row_number() OVER (PARTITION BY model, week ORDER BY label DESC, cve_id)::BIGINT AS ideal FROM scores", ("records", "scores"))

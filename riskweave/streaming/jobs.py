@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import bisect
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from riskweave.operators.sinks import upserted, write_snapshot
 
@@ -55,6 +58,55 @@ def over_budget(stream: DataFrame, most: int = 80, window: str = "60 seconds", s
     return rows.groupBy(span.alias("w"), user).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(F.col("w.start").alias("start"), user, "n")
 
 
+def sliding_counts(events: DataFrame, seconds: int = 60, user: str = "user_id", when: str = "ts") -> DataFrame:
+    """A table's (user, when, n): events of the user in the ``seconds`` up to each event, both ends, itself and others of its time included; refused events count too."""
+    span = Window.partitionBy(user).orderBy(F.unix_micros(F.col(when).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
+    return events.select(user, when, F.count(F.lit(1)).over(span).alias("n"))
+
+
+def sliding_budget(stream: DataFrame, most: int = 80, seconds: int = 60, late: str = "10 minutes", user: str = "user_id", when: str = "ts", key: str = "event_id") -> DataFrame:
+    """(user, key, when, n) of events of a stream that exceed a budget of ``most`` in the ``seconds`` up to them, counted as :func:`sliding_counts` does, but up to ``most`` + 1 only.
+
+    The state of a user holds the events that the watermark has not passed, since earlier ones may still come, and a ring of the last ``most`` times before it; a timer wakes users whose waiting
+    events the watermark has passed. An event that comes again within the watermark, by key, counts once; one later than the watermark is dropped by Spark.
+    """
+    span = seconds * 1_000_000
+
+    def step(group: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        waiting, ring = (list(zip(state.get[0], state.get[1])), list(state.get[2])) if state.exists else ([], [])
+        known = {k for _, k in waiting}
+        for frame in frames:
+            for at, k in zip(frame["_at"].tolist(), frame[key].tolist()):
+                if k not in known:
+                    known.add(k)
+                    waiting.append((at, k))
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready = sorted(x for x in waiting if x[0] <= passed)
+        waiting = [x for x in waiting if x[0] > passed]
+        out = []
+        times = [at for at, _ in ready]
+        for i, (at, k) in enumerate(ready):
+            ring.append(at)
+            del ring[: -(most + 1)]
+            together = bisect.bisect_right(times, at) - i - 1  # later ones of the same time count too
+            n = sum(x >= at - span for x in ring) + together
+            if n > most:
+                out.append((group[0], k, at, min(n, most + 1)))
+        if waiting:
+            state.update(([a for a, _ in waiting], [k for _, k in waiting], ring[-most:]))
+            state.setTimeoutTimestamp(max(min(a for a, _ in waiting) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif ring and ring[-1] >= passed - span:
+            state.update(([], [], ring[-most:]))
+            state.setTimeoutTimestamp(max((ring[-1] + span) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=[user, key, "_at", "n"])
+
+    rows = stream.withWatermark(when, late).select(user, key, when, F.unix_micros(when).alias("_at"))
+    found = rows.groupBy(user).applyInPandasWithState(step, f"{user} bigint, {key} bigint, _at bigint, n bigint", "times array<bigint>, keys array<bigint>, ring array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(user, key, F.timestamp_micros("_at").alias(when), "n")
+
+
 def progress(stream: DataFrame, by: str, value: str) -> DataFrame:
     """Running count, sum and latest time by kind, for a complete-mode sink."""
     return stream.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 4).alias("total"), F.max("ts").alias("latest"))
