@@ -36,7 +36,7 @@ def mod_02_listwise_ranker(spark, sf):
     return scored.select("cve_id", F.round("score", 6).alias("score"))
 
 
-_YEARS = _PAIRS + ", dy AS (SELECT model_a, model_b, left(week, 4) AS year, a - b AS x, round(a - b, 12) AS d FROM pr)"
+_YEARS = _PAIRS.replace("b.ndcg AS b FROM", "b.ndcg AS b, a.week AS week FROM") + ", dy AS (SELECT model_a, model_b, left(week, 4) AS year, a - b AS x, round(a - b, 12) AS d FROM pr)"
 
 
 @query(
