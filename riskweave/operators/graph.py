@@ -34,22 +34,42 @@ def vendor_graph(df: DataFrame, columns: list[str], fit_on: DataFrame | None = N
     return edges.select("src", F.coalesce("_known", F.lit("unknown_vendor")).alias("dst")), means
 
 
+#: Edges of a node that one task gets; a node of more is cut into replicas that hold its edges in shares. Cut nodes up to which their list is broadcast.
+HUB, BROADCAST_HUBS = 10_000, 100_000
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Edges in both directions with the weight's share of the source's sum."""
-    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    both = both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    both = _both(edges)
     sums = both.groupBy("src").agg(F.sum("weight").alias("_sum"))
     return both.join(sums, "src").select("src", "dst", (F.col("weight") / F.col("_sum")).alias("share"))
 
 
+def cut(edges: DataFrame, hub: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Staged links (src, part, dst, weight) in both directions, and nodes (id, total, parts): the sum of a node's weights and the number of replicas that its links are dealt to, by a hash of the other end."""
+    both = stage(_both(edges), "walk-both")
+    nodes = stage(both.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("total"), F.ceil(F.count(F.lit(1)) / F.lit(hub or HUB)).cast("int").alias("parts")), "walk-nodes")
+    hubs = nodes.where("parts > 1").select(F.col("id").alias("src"), "parts")
+    hubs = F.broadcast(hubs) if hubs.count() <= BROADCAST_HUBS else hubs
+    part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int"), F.lit(0))
+    links = stage(both.join(hubs, "src", "left").select("src", part.alias("part"), "dst", "weight").repartition("src", "part"), "walk-links")
+    unstage(both)
+    return links, nodes
+
+
 def diffusion(edges: DataFrame, seeds: DataFrame, restart: float = 0.85, tolerance: float = 1e-6, rounds: int = 100, batch: str | None = None, every: int = 5) -> DataFrame:
     """(id, score) of a random walk with restart from the seeds (id, score); uniform where none is in the graph.
 
     With ``batch`` one walk for each of its values, side by side: (batch, id, score) of the nodes that a walk reaches; a walk without a seed in the graph has none.
-    Shares of edges are staged once and dealt out by source; ranks are staged every few rounds, when the change is measured too.
+    Links are staged once and dealt out by source and replica: a node sends its score, over its sum of weights, to each of its replicas, which multiply and sum partly before messages meet at their ends. So a hub's links are no task's alone.
+    Ranks are staged every few rounds, when the change since the last time is measured too.
     """
-    links = stage(undirected(edges).repartition("src"), "walk-links")
-    nodes = stage(links.select(F.col("src").alias("id")).distinct(), "walk-nodes")
+    links, nodes = cut(edges)
     keys = [batch] if batch else []
     inside = seeds.join(nodes, "id").groupBy(*keys, "id").agg(F.sum("score").cast("double").alias("_s"))
     totals = inside.groupBy(*keys).agg(F.sum("_s").alias("_t"))
@@ -59,25 +79,27 @@ def diffusion(edges: DataFrame, seeds: DataFrame, restart: float = 0.85, toleran
         n = one_row(nodes, F.count(F.lit(1)).alias("_n"))
         start = nodes.join(inside, "id", "left").join(F.broadcast(totals)).join(n)
         seed = F.when(F.coalesce("_t", F.lit(0.0)) > 0, F.coalesce("_s", F.lit(0.0)) / F.col("_t")).otherwise(1.0 / F.col("_n"))
-        base = start.select("id", seed.alias("seed"))
+        base = start.select("id", seed.alias("seed"), "total", "parts")
     base = stage(base, "walk-seeds")
     ranks, kept = base.withColumnRenamed("seed", "score"), None
     for i in range(1, rounds + 1):
-        sent = links.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(*keys, F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("_in"))
+        known = ranks.join(nodes, "id") if batch else ranks
+        asked = known.select(*keys, F.col("id").alias("src"), (F.col("score") / F.col("total")).alias("_sent"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        sent = links.join(asked, ["src", "part"]).groupBy(*keys, F.col("dst").alias("id")).agg(F.sum(F.col("_sent") * F.col("weight")).alias("_in"))
         met = base.join(sent, [*keys, "id"], "full_outer" if batch else "left")
-        step = met.select(*keys, "id", ((1 - restart) * F.coalesce("_in", F.lit(0.0)) + restart * F.coalesce("seed", F.lit(0.0))).alias("score"))
+        step = met.select(*keys, "id", ((1 - restart) * F.coalesce("_in", F.lit(0.0)) + restart * F.coalesce("seed", F.lit(0.0))).alias("score"), *([] if batch else ["total", "parts"]))
         if i % every and i < rounds:
             ranks = step
             continue
         new = stage(step, "walk-ranks")
         old = ranks if kept is None and every == 1 else kept
-        moved = None if old is None else new.join(old.withColumnRenamed("score", "_o"), [*keys, "id"], "left").agg(F.sum(F.abs(F.col("score") - F.coalesce("_o", F.lit(0.0))))).first()[0]
+        moved = None if old is None else new.join(old.select(*keys, "id", F.col("score").alias("_o")), [*keys, "id"], "left").agg(F.sum(F.abs(F.col("score") - F.coalesce("_o", F.lit(0.0))))).first()[0]
         if kept is not None:
             unstage(kept)
         kept = ranks = new
         if moved is not None and moved < tolerance:
             break
-    return ranks
+    return ranks.select(*keys, "id", "score")
 
 
 def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:

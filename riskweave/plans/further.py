@@ -8,8 +8,9 @@ from riskweave.operators import graph as G
 from riskweave.operators import listwise
 from riskweave.operators import models as M
 from riskweave.operators import similarity
+from riskweave.operators import sinks as K
 from riskweave.operators import stats as T
-from riskweave.plans.analytics import _FEATURE_LIST, _PAIRS, _pairs, _training
+from riskweave.plans.analytics import _FEATURE_LIST, _KEV_WALK, _PAIRS, _edges, _pairs, _rounded, _seeds, _training, _walk_sql
 from riskweave.plans.base import query
 from riskweave.plans.landing import _folder, _stream
 from riskweave.session import stage
@@ -97,3 +98,23 @@ def str_02_sliding_stream(spark, sf):
     root = _folder(spark, "sliding")
     out = jobs.drained(jobs.sliding_budget(_stream(spark, sf), 2, 4 * 3600), "sliding", f"{root}/checkpoint", sink=f"{root}/out")
     return out.select("user_id", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "n")
+
+
+@query(f"{_KEV_WALK}, {_walk_sql(60, 0.4)} SELECT id, round(score, 9) AS score FROM r60")
+def gra_04_converged(spark, sf):
+    """The walk goes on until a stretch of rounds moves less than the tolerance in all."""
+    return _rounded(G.diffusion(_edges(spark, sf), _seeds(spark, sf, "kev_flag"), restart=0.4, tolerance=1e-12), "id", digits=9)
+
+
+@query("SELECT cve_id, CASE WHEN key % 700 = 0 THEN 9.9 ELSE cvss END AS cvss, published::DATE::VARCHAR AS published FROM records")
+def str_01_bucketed(spark, sf):
+    """Two landings, drained into a table in buckets: the second rewrites only the buckets of its few keys."""
+    root = _folder(spark, "bucketed")
+    r = P.records(spark, sf).select("cve_id", F.to_date("published").cast("string").alias("published"), "cvss", "key")
+    table = K.BucketedTable(spark, f"{root}/table", buckets=32)
+    stream = lambda: jobs.events(spark, f"{root}/landing", "cve_id string, published string, cvss double", "json")
+    r.drop("key").write.json(f"{root}/landing")
+    jobs.ingest_buckets(stream(), table, f"{root}/checkpoint").awaitTermination()
+    r.where("key % 700 = 0").select("cve_id", "published", F.lit(9.9).alias("cvss")).write.mode("append").json(f"{root}/landing")
+    jobs.ingest_buckets(stream(), table, f"{root}/checkpoint").awaitTermination()
+    return table.read()

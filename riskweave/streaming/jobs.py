@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from riskweave.operators.sinks import upserted, write_snapshot
+from riskweave.operators.sinks import BucketedTable, upserted, write_snapshot
 
 
 def events(spark: SparkSession, path: str, schema, kind: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -36,6 +36,16 @@ def ingest(landing: DataFrame, root: str, checkpoint: str, key: str = "cve_id")
     return landing.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_buckets(landing: DataFrame, table: BucketedTable, checkpoint: str, keep: int = 2) -> StreamingQuery:
+    """Upserts each batch of landed records into the buckets that its keys fall in; versions are named after batches, so one that runs again changes nothing, and old ones go."""
+
+    def batch(new: DataFrame, number: int) -> None:
+        table.upsert(new, number)
+        table.expire(keep)
+
+    return landing.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _versions(spark: SparkSession, root: str) -> list[int]:
     """Complete versions below the root."""
     jvm = spark._jvm
