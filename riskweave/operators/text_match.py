@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions import vocabulary as V
 from riskweave.functions.expressions import contains_any, contains_words, flag, phrases, short_or_long, word_pattern
 from riskweave.operators.joins import matches
+from riskweave.session import stage
 
 
 def health_vendor(text: Column) -> Column:
@@ -85,16 +86,51 @@ def catalogue_match(texts: DataFrame, key: str, column: str, vendors: DataFrame,
     return rows.select(key).join(found, key, "left").select(key, flag(F.col("names").isNotNull()).alias("flag"), F.coalesce(marked, F.array().cast("array<string>")).alias("matched"))
 
 
+#: Bits of the filter of anchors that is broadcast: 64 KB, whatever the number of terms.
+FILTER_BITS = 1 << 19
+
+
+def _grams(column: Column, least: int) -> Column:
+    return F.array_distinct(F.regexp_extract_all(column, F.lit(f"(?s)(?=(.{{{least}}}))"), 1))
+
+
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int"))
+
+
+def _passing(texts: DataFrame, key: str, column: str, wanted: DataFrame, least: int) -> DataFrame:
+    """(key, _g): the distinct runs of ``least`` characters of each text that a filter of the wanted runs (_g) lets through. The filter is one row of 2^19 bits."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    words = wanted.select(place("_g").alias("_h")).groupBy(F.floor(F.col("_h") / 64).cast("int").alias("_w")).agg(F.bit_or(_bit(F.col("_h"))).alias("_b"))
+    filled = words.agg(F.map_from_entries(F.collect_list(F.struct("_w", "_b"))).alias("_m"))
+    bits = F.broadcast(filled.select(F.transform(F.sequence(F.lit(0), F.lit(FILTER_BITS // 64 - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0).cast("bigint"))).alias("_bits")))
+
+    def let_through(g: Column) -> Column:
+        at = place(g)
+        return F.get("_bits", F.floor(at / 64).cast("int")).bitwiseAND(_bit(at)) != 0
+
+    found = texts.select(key, _grams(F.lower(F.coalesce(F.col(column), F.lit(""))), least).alias("_all")).join(bits)
+    return found.select(key, F.explode(F.filter("_all", let_through)).alias("_g"))
+
+
+def anchored(texts: DataFrame, key: str, column: str, terms: DataFrame, least: int = 4) -> DataFrame:
+    """terms of ``least`` characters or more with _t, the lower-case term, and _g, its anchor: of its runs of ``least`` characters the one in the fewest texts (the first of equals)."""
+    wanted = terms.where(F.length("term") >= least).withColumn("_t", F.lower("term"))
+    runs = wanted.select("_t").distinct().select("_t", F.posexplode(_grams(F.col("_t"), least)).alias("_at", "_g"))
+    counts = _passing(texts, key, column, runs.select("_g").distinct(), least).groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = runs.join(counts, "_g", "left").groupBy("_t").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_at", "_g"))["_g"].alias("_g"))
+    return wanted.join(rarest, "_t")
+
+
 def contained(texts: DataFrame, key: str, column: str, terms: DataFrame, least: int = 4) -> DataFrame:
     """(key, ...) of the terms (term, ...) of ``least`` characters or more that stand anywhere in a lower-case text, within words too; keys are taken to be unique.
 
-    The distinct runs of ``least`` characters of a text are dealt out as rows, without the text, and met with the terms' first ``least`` characters; the few
+    A term is looked for by its anchor, the run of ``least`` characters of it that the fewest texts have. Texts give only runs that a filter of all anchors lets through, as rows without the text, and the few
     pairs that meet are tested on the text.
     """
     lowered = F.lower(F.coalesce(F.col(column), F.lit("")))
-    grams = F.array_distinct(F.regexp_extract_all(lowered, F.lit(f"(?s)(?=(.{{{least}}}))"), 1))
-    wanted = terms.where(F.length("term") >= least).withColumn("_t", F.lower("term")).withColumn("_g", F.substring("_t", 1, least))
-    pairs = texts.select(key, F.explode(grams).alias("_g")).join(wanted, "_g").drop("_g")
+    wanted = stage(anchored(texts, key, column, terms, least), "term-anchors")
+    pairs = _passing(texts, key, column, wanted.select("_g").distinct(), least).join(wanted, "_g").drop("_g")
     return texts.select(key, lowered.alias("_x")).join(pairs, key).where(F.col("_x").contains(F.col("_t"))).drop("_x", "_t")
 
 
@@ -148,6 +184,40 @@ def _runs(padded: Column, size: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - n + 1)), run)
 
 
+def _weighted(texts: DataFrame, key: str, column: str, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Unit vectors (term, g, w, idf) of terms and (key, g, v, idf) of texts over character runs weighted by count and ``ln((1 + N) / (1 + df)) + 1``, both fitted on the terms. Text runs that no term has go before rows meet."""
+    t = terms.select(F.col("term"), F.explode(char_grams(F.col("term"))).alias("g")).groupBy("term", "g").agg(F.count(F.lit(1)).alias("tf"))
+    n = F.broadcast(terms.agg(F.count(F.lit(1)).alias("_n")))
+    idf = t.groupBy("g").agg(F.count(F.lit(1)).alias("df")).join(n).select("g", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+    def unit(rows: DataFrame, name: str, value: str) -> DataFrame:
+        heavy = rows.join(idf, "g").select(name, "g", (F.col("tf") * F.col("idf")).alias("_w"), "idf")
+        norms = heavy.groupBy(name).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+        return heavy.join(norms, name).select(name, "g", (F.col("_w") / F.col("_norm")).alias(value), "idf")
+
+    d = texts.select(key, F.explode(char_grams(F.col(column))).alias("g")).groupBy(key, "g").agg(F.count(F.lit(1)).alias("tf"))
+    return unit(t, "term", "w"), unit(d, key, "v")
+
+
+def _prefix(vectors: DataFrame, name: str, value: str, threshold: float) -> DataFrame:
+    """The runs of each vector, rarest first, without those last ones whose norm stays below the threshold: two vectors that share only such runs cannot reach it."""
+    rest = F.sum(F.col(value) * F.col(value)).over(Window.partitionBy(name).orderBy("idf", F.desc("g")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return vectors.withColumn("_rest", rest).where(F.sqrt("_rest") >= threshold - 1e-9).select(name, "g")
+
+
+def fuzzy_candidates(texts: DataFrame, key: str, column: str, terms: DataFrame, threshold: float = 0.6) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, term) pairs that share a run of both prefixes, and the staged vectors: every pair whose cosine reaches the threshold is among them, since the rarest run that it shares is in both prefixes."""
+    t, d = (stage(x, name) for x, name in zip(_weighted(texts, key, column, terms), ("fuzzy-terms", "fuzzy-texts")))
+    return _prefix(d, key, "v", threshold).join(_prefix(t, "term", "w", threshold), "g").select(key, "term").distinct(), t, d
+
+
+def fuzzy_matches(texts: DataFrame, key: str, column: str, terms: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """(key, term, cosine) of all texts and terms whose cosine is ``threshold`` or more: a similarity join by prefixes, verified on the whole vectors."""
+    pairs, t, d = fuzzy_candidates(texts, key, column, terms, threshold)
+    dots = pairs.join(t, "term").join(d.select(key, "g", "v"), [key, "g"]).groupBy(key, "term").agg(F.sum(F.col("v") * F.col("w")).alias("cosine"))
+    return dots.where(F.round("cosine", 9) >= threshold)
+
+
 def fuzzy_scores(texts: DataFrame, key: str, column: str, terms: DataFrame) -> DataFrame:
     """(key, best): largest cosine of a text with a term, over character runs weighted by count and ``ln((1 + N) / (1 + df)) + 1``, both fitted on the terms.
 

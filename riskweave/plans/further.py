@@ -10,7 +10,8 @@ from riskweave.operators import models as M
 from riskweave.operators import similarity
 from riskweave.operators import sinks as K
 from riskweave.operators import stats as T
-from riskweave.plans.analytics import _FEATURE_LIST, _KEV_WALK, _PAIRS, _edges, _pairs, _rounded, _seeds, _training, _walk_sql
+from riskweave.operators import text_match as TM
+from riskweave.plans.analytics import _FEATURE_LIST, _FUZZY, _KEV_WALK, _PAIRS, _edges, _fuzzy_terms, _pairs, _rounded, _seeds, _training, _walk_sql
 from riskweave.plans.base import query
 from riskweave.plans.landing import _folder, _stream
 from riskweave.session import stage
@@ -118,3 +119,9 @@ def str_01_bucketed(spark, sf):
     r.where("key % 700 = 0").select("cve_id", "published", F.lit(9.9).alias("cvss")).write.mode("append").json(f"{root}/landing")
     jobs.ingest_buckets(stream(), table, f"{root}/checkpoint").awaitTermination()
     return table.read()
+
+
+@query(_FUZZY + " SELECT cve_id, term, round(cosine, 6) AS cosine FROM (SELECT dv.k AS cve_id, tw.k AS term, sum(v * w) / any_value(l) AS cosine FROM dv JOIN tw USING (g) JOIN dl ON dl.k = dv.k GROUP BY 1, 2) WHERE round(cosine, 9) >= 0.3")
+def txt_07_matches(spark, sf):
+    """The similarity join by prefixes."""
+    return _rounded(TM.fuzzy_matches(P.records(spark, sf).select("cve_id", "description"), "cve_id", "description", _fuzzy_terms(spark), 0.3), "cve_id", "term")
