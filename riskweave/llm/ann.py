@@ -87,6 +87,8 @@ class Quantiser:
         return a.argmin(1) * len(self.second) + b.argmin(1)
 
 
+#: A walk holds at least 2 * OWN * k entries; rows of a query's own id count as candidates in this only up to OWN * k.
+OWN = 10
 #: Numbers of components, the most frequent, that get centroids; vectors of others are in one cell, which every walk visits.
 KINDS = 1000
 
@@ -151,13 +153,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id"
     quantisers = fit(sound, n, centroids)
     _counted(sound, quantisers)
     shared = vectors.sparkSession.sparkContext.broadcast(quantisers)
+    # own rows are no candidates, so a walk goes on past them; ids of few rows need no count, as half of what any walk holds is more. One pair for each OWN * k rows at most
+    repeated = sound.where(is_query).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > OWN * k)
+    own = {r["vec_id"]: r["n"] for r in repeated.collect()}
 
     def query(ids: np.ndarray, matrix: np.ndarray) -> Iterator[dict]:
         quantiser = shared.value.get(matrix.shape[1])
         total = int(quantiser.sizes.sum()) if quantiser else 0
         asked = np.zeros((len(ids), quantiser.sizes.size), np.uint8) if quantiser else np.ones((len(ids), 1), np.uint8)
         for i, (a, b) in enumerate(zip(*quantiser.both(matrix, query=True)) if quantiser else ()):
-            asked[i, walk(a, b, quantiser.sizes, min(total, max(20 * k, int(np.ceil(share * total)))))] = 1
+            asked[i, walk(a, b, quantiser.sizes, min(total, own.get(int(ids[i]), 0) + max(2 * OWN * k, int(np.ceil(share * total)))))] = 1
         yield {"dims": matrix.shape[1], "ids": ids.tobytes(), "v": matrix.tobytes(), "asked": np.packbits(asked, axis=1).tobytes()}
 
     def lists(ids: np.ndarray, matrix: np.ndarray) -> Iterator[dict]:

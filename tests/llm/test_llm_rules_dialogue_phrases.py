@@ -1,4 +1,4 @@
-"""Quality rules, conversation repair and phrases against brute force: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
+"""Quality rules, conversation repair, phrases, and searches of often repeated ids against brute force: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import collections
 import hashlib
@@ -11,7 +11,7 @@ from functools import lru_cache
 import pytest
 
 from riskweave.functions.tails import binomial_at_most
-from riskweave.llm import dialogue, phrases, rules
+from riskweave.llm import ann, dialogue, phrases, rules
 
 DOCS = "doc_id long, text string, lang string, n_words string, kept string, stratum string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -242,3 +242,11 @@ def _all(corpus):
                 for i in range(len(words) - k + 1):
                     f["en", tuple(words[i : i + k])] += 1
     return f
+
+
+def test_own_rows_do_not_end_a_walk(spark):
+    r = random.Random(1)
+    rows = [(0, [1.0, 0.01 * i, 0.0, 0.5]) for i in range(2000)] + [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(1, 39)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), dialogue.F.col("vec_id") == 0, 20).collect()
+    assert len(got) in (20, 20 * 2000) and {x["vec_id"] for x in got} <= set(range(1, 39))
+    assert all(sum(x["rank"] == k for x in got) == len(got) // 20 for k in range(1, 21))
