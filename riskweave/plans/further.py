@@ -125,3 +125,15 @@ def str_01_bucketed(spark, sf):
 def txt_07_matches(spark, sf):
     """The similarity join by prefixes."""
     return _rounded(TM.fuzzy_matches(P.records(spark, sf).select("cve_id", "description"), "cve_id", "description", _fuzzy_terms(spark), 0.3), "cve_id", "term")
+
+
+@query("SELECT count(*) AS rows, count(*) FILTER (WHERE cve_id IS NULL) AS differing, count(*) AS n_train, 'cvss_norm,epss_score,has_attack,is_healthcare,kev_flag,recency' AS features FROM records")
+def snk_10_saved_model(spark, sf):
+    """A model and its card, saved, loaded and scored again: rows, rows whose score differs, and what the card says."""
+    rows = stage(_training(spark, sf), "training-rows")
+    model, root = M.fit_trees(rows, _FEATURE_LIST, depth=2, rounds=2), _folder(spark, "model")
+    M.save(model, root, _FEATURE_LIST, {"ndcg_10": M.quality(M.scored(model, rows))}, rows.count())
+    first, again = (M.scored(m, rows).select("cve_id", F.col("score").alias(n)) for m, n in ((model, "a"), (M.load(root), "b")))
+    card = spark.read.schema("features array<string>, metrics map<string,double>, n_train bigint").json(f"{root}/card").first()
+    out = first.join(again, "cve_id", "full_outer").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differing"))
+    return out.select("rows", "differing", F.lit(card["n_train"]).cast("bigint").alias("n_train"), F.lit(",".join(sorted(card["features"]))).alias("features"))
