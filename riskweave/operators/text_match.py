@@ -86,6 +86,8 @@ def catalogue_match(texts: DataFrame, key: str, column: str, vendors: DataFrame,
     return rows.select(key).join(found, key, "left").select(key, flag(F.col("names").isNotNull()).alias("flag"), F.coalesce(marked, F.array().cast("array<string>")).alias("matched"))
 
 
+#: Wanted runs, of a few characters each, up to which they are broadcast themselves; beyond, a filter of them is.
+BROADCAST_RUNS = 200_000
 #: Bits of the filter of anchors that is broadcast: 64 KB, whatever the number of terms.
 FILTER_BITS = 1 << 19
 
@@ -99,7 +101,10 @@ def _bit(place: Column) -> Column:
 
 
 def _passing(texts: DataFrame, key: str, column: str, wanted: DataFrame, least: int) -> DataFrame:
-    """(key, _g): the distinct runs of ``least`` characters of each text that a filter of the wanted runs (_g) lets through. The filter is one row of 2^19 bits."""
+    """(key, _g): the distinct runs of ``least`` characters of each text that are wanted (_g); where these are many, that a filter of them lets through, which is one row of 2^19 bits."""
+    if wanted.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS:
+        every = texts.select(key, F.explode(_grams(F.lower(F.coalesce(F.col(column), F.lit(""))), least)).alias("_g"))
+        return every.join(F.broadcast(wanted.select("_g")), "_g", "left_semi").select(key, "_g")
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
     words = wanted.select(place("_g").alias("_h")).groupBy(F.floor(F.col("_h") / 64).cast("int").alias("_w")).agg(F.bit_or(_bit(F.col("_h"))).alias("_b"))
     filled = words.agg(F.map_from_entries(F.collect_list(F.struct("_w", "_b"))).alias("_m"))
@@ -117,7 +122,7 @@ def anchored(texts: DataFrame, key: str, column: str, terms: DataFrame, least: i
     """terms of ``least`` characters or more with _t, the lower-case term, and _g, its anchor: of its runs of ``least`` characters the one in the fewest texts (the first of equals)."""
     wanted = terms.where(F.length("term") >= least).withColumn("_t", F.lower("term"))
     runs = wanted.select("_t").distinct().select("_t", F.posexplode(_grams(F.col("_t"), least)).alias("_at", "_g"))
-    counts = _passing(texts, key, column, runs.select("_g").distinct(), least).groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    counts = _passing(texts, key, column, stage(runs.select("_g").distinct(), "term-runs"), least).groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
     rarest = runs.join(counts, "_g", "left").groupBy("_t").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_at", "_g"))["_g"].alias("_g"))
     return wanted.join(rarest, "_t")
 

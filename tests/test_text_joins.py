@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskweave.operators import text_match as TM
@@ -25,7 +26,9 @@ def corpus(n=400, seed=3):
     return [*texts, (1000, None), (1001, ""), (1002, "x" * 50_000 + terms[0])], terms
 
 
-def test_anchors_find_what_stands_anywhere(spark):
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_anchors_find_what_stands_anywhere(spark, monkeypatch, most):
+    monkeypatch.setattr(TM, "BROADCAST_RUNS", most)
     texts, terms = corpus()
     terms = [*terms, "abc", "System", terms[0]]
     df, t = spark.createDataFrame(texts, "k int, d string"), spark.createDataFrame([(x,) for x in terms], "term string")
