@@ -5,7 +5,7 @@ character (the byte-to-character table), every token of several bytes becomes th
 word that is a token as a whole is taken at once. Decoding reverses the character table; characters whose bytes are split over tokens
 come together again because bytes are joined before they are read as UTF-8.
 
-Defined results: a null text counts as empty (no ids, empty bytes); null ids decode to null; an id
+Defined results: a null text counts as empty (no ids, empty bytes); ids that are null, or of which one is, decode to null; an id
 outside the vocabulary raises ValueError; rows keep all their other columns, but a result replaces a column of its name; repeated rows and empty tables stay. Long texts are cut
 only where white space follows another character, where no match of the pattern can span.
 """
@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +26,10 @@ from pyspark.sql import types as T
 from riskweave.llm._columns import without
 from riskweave.llm._memory import lean
 
-#: Characters split into words at once, and distinct words kept encoded in a process; both bound memory only.
+#: Characters split into words at once, and bytes of the words kept encoded in a process (with WORD_BYTES for what Python adds to each); both bound memory only.
 CHUNK_CHARS = 1 << 20
-KEPT_WORDS = 100_000
+KEPT_BYTES = 32 << 20
+WORD_BYTES = 200
 _MODELS: dict[tuple[str, str], BytePairCodec] = {}
 
 
@@ -62,7 +63,6 @@ class BytePairCodec:
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers.models import BPE
 
         with open(path, "rb") as lines:
@@ -73,6 +73,7 @@ class BytePairCodec:
         self.words = regex.compile(pattern).findall
         self.shown = dict(enumerate(shown))
         self.kept: dict[str, bytes] = {}
+        self.held = 0
         self.missing = [b for b in range(256) if bytes([b]) not in ranks]
         reverse = {c: b for b, c in enumerate(shown)}
         tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
@@ -90,11 +91,13 @@ class BytePairCodec:
         out = []
         for part in _parts(text):
             words = self.words(part)
-            if len(self.kept) > KEPT_WORDS:
+            if self.held > KEPT_BYTES:
                 self.kept.clear()
+                self.held = 0
             for word in set(words).difference(self.kept):
                 mapped = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.shown)
-                self.kept[word] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped))
+                ids = self.kept[word] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped))
+                self.held += len(mapped) + len(ids) + WORD_BYTES
             out += map(self.kept.__getitem__, words)
         return b"".join(out)
 
@@ -124,7 +127,7 @@ class BytePairCodec:
         return self.bytes[at].tobytes()
 
 
-_CUT = re.compile(r"(?<=\S)(?=\s)")
+_CUT = regex.compile(r"(?<=\S)(?=\s)")
 
 
 def _parts(text: str) -> Iterator[str]:
@@ -193,7 +196,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFram
 
     def make(column: pa.Array) -> list[pa.Array]:
         model = codec(path, pattern)
-        out = [None if x is None else model.decode(np.array(x, np.int64)) for x in column.to_pylist()]
+        out = [None if x is None or None in x else model.decode(np.array(x, np.int64)) for x in column.to_pylist()]
         return [pa.array(out, pa.binary()), pa.array([None if x is None else x.decode("utf-8", "replace") for x in out], pa.string())]
 
     return _add(df, ids, {"decoded": "binary", "decoded_text": "string"}, make)

@@ -3,7 +3,7 @@
 A linear one-versus-rest support vector machine on hashed byte n-grams first names the language family; within the family, one-versus-one linear machines
 decide between each pair of its languages by votes, ties by the sum of margins. Families with one language need no second step.
 
-Training takes a bounded sample: of each language the ``per_language`` rows with the least hash of their id and text (SAMPLE rows in all, the LANGUAGES most frequent), whole texts. Only text and lang
+Training takes a bounded sample: of each language the ``per_language`` rows with the least hash of their id and text (SAMPLE rows in all), whole texts. Only text and lang
 of rows outside the held-out fold are read for it. Prediction sees the text alone.
 
 Defined results: a null text, or one without any letter, is ``und`` with score 0; so is everything if no row can be learned from;
@@ -28,10 +28,9 @@ from riskweave.llm._memory import lean
 from riskweave.llm.lm import held_out
 from riskweave.session import stage
 
-#: Rows that a classifier is fitted on at most: of each language, of all, and languages (the most frequent).
+#: Rows that a classifier is fitted on at most: of each language, and of all. Where there are more languages than rows, the most frequent have one each.
 PER_LANGUAGE = 600
 SAMPLE = 6000
-LANGUAGES = 1000
 DIMENSIONS = 1 << 12
 ORDERS = (1, 2, 3, 4)
 EPOCHS = 12
@@ -173,7 +172,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     # rows by language and leading digits of the hash: what lies beyond the digits that hold enough rows is left out before rows are ranked
     digits = F.conv(F.substring("_order", 1, 3), 16, 10).cast("int").alias("_digits")
     sizes = stage(rows.groupBy("lang", digits).agg(F.count(F.lit(1)).alias("_n")), "langid-sizes")
-    counts = sizes.groupBy("lang").agg(F.sum("_n").alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGUAGES).collect()
+    counts = sizes.groupBy("lang").agg(F.sum("_n").alias("_n")).orderBy(F.desc("_n"), "lang").limit(SAMPLE).collect()
     if not counts:
         return None
     per_language = max(1, min(per_language, SAMPLE // len(counts)))

@@ -13,7 +13,7 @@ in large ones block by block within tasks, where a block of one component is not
 The rule for a pair is the same in both. Classes are the connected components.
 
 Defined results: texts without words, null ones too, are alone in their class; texts of any length are read whole; repeated rows and ids each count; a class is
-named by its least doc_id (null if all are null); an empty table gives an empty result; further columns are ignored by
+named by its least doc_id (null if all are null), and by class_key, which differs between classes also where ids repeat or are null; an empty table gives an empty result; further columns are ignored by
 :func:`classes` and kept by :func:`deduplicate`.
 """
 
@@ -387,7 +387,7 @@ def _joining(x: list[dict], y: list[dict] | None, similarity: float) -> pa.Recor
 
 
 def _linked(docs: DataFrame, doc_id: str, text: str, similarity: float, floor: float) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of all documents, and (node, class_id, class_size) of all nodes."""
+    """(doc_id, node) of all documents, and (node, class_id, class_key, class_size) of all nodes."""
     spark = docs.sparkSession
     weights = spark.sparkContext.broadcast(_frequent(docs, text, floor)[0])
     signed = stage(_signed(docs, doc_id, text, weights), "neardup-signed")
@@ -423,16 +423,16 @@ def _linked(docs: DataFrame, doc_id: str, text: str, similarity: float, floor: f
 
     linked = nodes.select("node", F.struct(F.col("rep").isNull().alias("none"), "rep", "node").alias("name"), "copies").join(found, "node", "left")
     grouped = linked.where("component IS NOT NULL").groupBy("component").agg(F.min("name").alias("least"), F.sum("copies").alias("class_size"))
-    in_class = linked.where("component IS NOT NULL").join(grouped, "component").select("node", F.col("least.rep").alias("class_id"), "class_size", (F.col("least.node") == F.col("node")).alias("names"))
-    alone = linked.where("component IS NULL").select("node", F.col("name.rep").alias("class_id"), F.col("copies").alias("class_size"), F.lit(True).alias("names"))
+    in_class = linked.where("component IS NOT NULL").join(grouped, "component").select("node", F.col("least.rep").alias("class_id"), F.hex("least.node").alias("class_key"), "class_size", (F.col("least.node") == F.col("node")).alias("names"))
+    alone = linked.where("component IS NULL").select("node", F.col("name.rep").alias("class_id"), F.hex("node").alias("class_key"), F.col("copies").alias("class_size"), F.lit(True).alias("names"))
     return signed.select("doc_id", "node"), stage(in_class.unionByName(alone), "neardup-classes")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, floor: float = FLOOR) -> DataFrame:
-    """One row for each document: doc_id, class_id, class_size (documents of the class), kept (it names its class)."""
+    """One row for each document: doc_id, class_id, class_key (null for a text without words, alone in its class), class_size (documents of the class), kept (it names its class)."""
     signed, named = _linked(docs, doc_id, text, similarity, floor)
-    some = signed.where("node IS NOT NULL").join(named, "node").select("doc_id", "class_id", "class_size", (F.col("names") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
-    none = signed.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(True).alias("kept"))
+    some = signed.where("node IS NOT NULL").join(named, "node").select("doc_id", "class_id", "class_key", "class_size", (F.col("names") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+    none = signed.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(None).cast("string").alias("class_key"), F.lit(1).cast("bigint").alias("class_size"), F.lit(True).alias("kept"))
     return some.unionByName(none)
 
 

@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from riskweave.llm._columns import guarded
 from riskweave.session import stage
 
-#: Blocks up to which the filter (80 bytes a block) is broadcast; beyond, it is joined by block. Listed URLs up to which the list is too; beyond, it is
+#: Blocks up to which the filter (80 bytes a block) is broadcast; beyond, it is joined by block. Listed URLs, and bytes of them, up to which the list is too; beyond, it is
 #: joined by shuffling, and only what the filter lets pass is shuffled.
 BROADCAST_BLOCKS = 1_000_000
 BROADCAST_URLS = 200_000
+BROADCAST_BYTES = 32 << 20
 BITS_PER_URL = 16
 #: Query parameters that name no page.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "ref", "fbclid", "gclid"]
@@ -79,7 +80,7 @@ def bloom(listed: DataFrame, n_blocks: int, url: str = "canonical") -> DataFrame
 def flag_listed(df: DataFrame, listed: DataFrame, key: str = "canonical") -> DataFrame:
     """df with ``maybe`` (the filter lets the key pass) and ``listed`` (the key is in the list, exactly)."""
     urls = stage(listed.where(F.col(key).isNotNull() & (F.col(key) != "")).select(key).distinct(), "url-list")
-    n_urls = urls.count()
+    n_urls, n_bytes = urls.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(key)), F.lit(0))).first()
     n_blocks = max(1, -(-n_urls * BITS_PER_URL // 512))
     blocks = bloom(urls, n_blocks, key)
     probed = df.withColumn("_block", _block(F.col(key), n_blocks)).join(F.broadcast(blocks) if n_blocks <= BROADCAST_BLOCKS else blocks, "_block", "left")
@@ -87,7 +88,7 @@ def flag_listed(df: DataFrame, listed: DataFrame, key: str = "canonical") -> Dat
     for i in range(8):
         hit &= F.call_function("shiftrightunsigned", F.col(f"_w{i}"), _bit(F.col(key), i)).bitwiseAND(F.lit(1)) == 1
     probed = probed.withColumn("maybe", F.coalesce(hit, F.lit(False))).select(*df.columns, "maybe")
-    if n_urls <= BROADCAST_URLS:  # one pass: the key that meets the list is null where the filter says no
+    if n_urls <= BROADCAST_URLS and n_bytes <= BROADCAST_BYTES:  # one pass: the key that meets the list is null where the filter says no
         known = F.broadcast(urls.select(F.col(key).alias("_key")))
         met = probed.join(known, F.when(F.col("maybe"), F.col(key)) == F.col("_key"), "left")
         return met.withColumn("listed", F.col("_key").isNotNull()).drop("_key")

@@ -81,6 +81,40 @@ def test_bpe_on_odd_strings():
         model.decode(np.array([10**6]))
 
 
+def test_bpe_cuts_where_the_pattern_does(monkeypatch):
+    """U+001C to U+001F are white space to Python's re, not to the pattern."""
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 50)
+    model, r = bpe.codec(PATH, public_tokenizers.PATTERN), random.Random(6)
+    for _ in range(300):
+        text = "".join(r.choice(["!!", "\x1c", "\x1f", "ab", " ", "\n", "7", "\u2003"]) for _ in range(200))
+        assert [w for part in bpe._parts(text) for w in model.words(part)] == model.words(text)
+
+
+def test_bpe_keeps_bounded_bytes_of_words(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 50_000)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 1000)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    model, r = bpe.BytePairCodec(PATH, public_tokenizers.PATTERN), random.Random(7)
+    for _ in range(20):
+        text = " ".join("".join(r.choice("漢字語文天地") for _ in range(400)) for _ in range(20))
+        assert model.encode(text).tolist() == own.encode_ordinary(text)
+        held = sum(len(w.encode()) + len(x) for w, x in model.kept.items())
+        assert held < 100_000 and sum(map(len, model.kept.values())) <= model.held
+
+
+def test_bpe_null_ids(spark):
+    table = spark.createDataFrame([(1, [5, None]), (2, None), (3, []), (4, [5])], "doc_id long, ids array<int>")
+    got = {r["doc_id"]: r["decoded"] for r in bpe.decode(table, PATH, public_tokenizers.PATTERN).collect()}
+    assert got[1] is None and got[2] is None and bytes(got[3]) == b"" and len(got[4]) > 0
+
+
+def test_columns_of_any_name(spark):
+    table = spark.createDataFrame([(1, "one `two` three", "x", 7)], "doc_id long, text string, `a``b` string, `c.d` int")
+    kept = neardup.deduplicate(table)
+    assert kept.columns == table.columns and kept.collect() == table.collect()
+
+
 def brute_classes(records, similarity=0.8, floor=neardup.FLOOR):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -131,6 +165,19 @@ def test_near_duplicates_equal_all_pairs(spark, docs, none, small, monkeypatch):
         assert neardup.classes(none).count() == 0 and neardup.deduplicate(none).count() == 0
 
 
+def test_near_duplicate_classes_of_repeated_ids(spark):
+    """Two classes whose least id is the same have different keys."""
+    one, two = sentence(70, 60), sentence(71, 60)
+    data = [(1, one), (1, two), (2, one), (3, two), (None, one + " end"), (None, ""), (1, None)]
+    got = neardup.classes(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    keys = {}
+    for r in got:
+        keys.setdefault(r["class_key"], []).append((r["doc_id"], r["class_id"], r["class_size"]))
+    assert sorted(len(x) for k, x in keys.items() if k is not None) == [2, 3] and len(keys[None]) == 2
+    assert all(size == len(rows) for k, rows in keys.items() if k is not None for _, _, size in rows)
+    assert {c for rows in keys.values() for _, c, _ in rows} == {1, None}
+
+
 def test_consistent_samples_agree_as_often_as_texts_are_similar():
     r = np.random.default_rng(3)
     a = np.sort(r.integers(0, 1 << 63, 400).astype(np.uint64))
@@ -198,6 +245,68 @@ def test_language_equals_a_direct_fit(spark, monkeypatch):
     assert np.allclose(np.concatenate(whole), np.concatenate([x for _, _, x in langid.features(pa.array([t for _, t, _ in data]))]), atol=1e-6)
 
 
+def plain_svm(x, y):
+    """Averaged subgradient steps on the balanced hinge loss, component by component in double precision."""
+    x = [[*map(float, row), 1.0] for row in x]
+    positive = sum(v > 0 for v in y)
+    share = {1: len(y) / 2 / max(1, positive), -1: len(y) / 2 / max(1, len(y) - positive)}
+    r, w, total, t = np.random.default_rng(1), [0.0] * len(x[0]), [0.0] * len(x[0]), 0
+    for epoch in range(langid.EPOCHS):
+        order = r.permutation(len(y))
+        for a in range(0, len(y), 32):
+            batch, t = order[a : a + 32], t + 1
+            rate = 1 / (langid.REGULAR * (t + 100))
+            step = [0.0] * len(w)
+            for i in batch:
+                if y[i] * sum(p * q for p, q in zip(x[i], w)) < 1:
+                    step = [s + share[y[i]] * y[i] * p for s, p in zip(step, x[i])]
+            w = [(1 - rate * langid.REGULAR) * p + rate / len(batch) * s for p, s in zip(w, step)]
+            norm = math.sqrt(sum(p * p for p in w) * langid.REGULAR)
+            w = [p / max(1.0, norm) for p in w]
+            if epoch >= langid.EPOCHS // 2:
+                total = [p + q for p, q in zip(total, w)]
+    size = math.sqrt(sum(p * p for p in total))
+    return [p / size for p in total]
+
+
+def test_language_machines_and_votes_equal_plain_ones():
+    """Machines, families, votes and scores computed here without the model's code."""
+    r, langs = np.random.default_rng(5), ["en", "de", "nl", "fr", "es", "xx"]
+    centre = r.normal(size=(len(langs), 12))
+    own = [langs[i % len(langs)] for i in range(90)]
+    x = np.stack([centre[langs.index(z)] + r.normal(size=12) * 0.6 for z in own]).astype(np.float32)
+    model = langid.Model(x, own)
+    family = {"en": "g", "de": "g", "nl": "g", "fr": "r", "es": "r", "xx": "x"}
+    first = {f: plain_svm(x, [1 if family[z] == f else -1 for z in own]) for f in "grx"}
+    pairs = {}
+    for a, b in (("de", "en"), ("de", "nl"), ("en", "nl"), ("es", "fr")):
+        rows = [i for i, z in enumerate(own) if z in (a, b)]
+        pairs[a, b] = plain_svm(x[rows], [1 if own[i] == a else -1 for i in rows])
+    def margin(w, v):
+        return sum(p * float(q) for p, q in zip(w, v)) + w[-1]
+
+    sizes = [abs(margin(w, v)) for w in [*first.values(), *pairs.values()] for v in x]
+    sure = lambda m: 1 / (1 + math.exp(-2 / float(np.median(sizes)) * m))
+    names, scores = model.predict(x)
+    for v, name, score in zip(x, names, scores):
+        best = max(first, key=lambda f: margin(first[f], v))
+        votes = {z: (0, 0.0, 1.0) for z in langs if family[z] == best}
+        for (a, b), w in pairs.items():
+            if a in votes:
+                m = margin(w, v)
+                for z, s in ((a, m), (b, -m)):
+                    n, total, least = votes[z]
+                    votes[z] = (n + (s > 0), total + s, min(least, sure(s)))
+        want = max(votes, key=lambda z: votes[z][:2])
+        assert name == want and score == pytest.approx(sure(margin(first[best], v)) * votes[want][2], rel=1e-3)
+
+
+def test_no_language_is_left_out_of_a_small_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 4)
+    data = [(str(i), lang * 5, lang) for i, lang in enumerate(["en"] * 9 + ["de"] * 3 + ["fr"])]
+    assert langid.fit(spark.createDataFrame(data, "_key string, text string, lang string")).langs == ["de", "en", "fr"]
+
+
 def test_long_texts_take_bounded_memory():
     table = _text.WordTable(_text.SPACES)
     run = pa.array(["a" * 50_000_000])
@@ -564,3 +673,11 @@ def test_filter_passes_all_listed(spark):
     out = urls.flag_listed(asked, listed)
     row = out.agg(F.count_if("listed"), F.count_if("maybe"), F.count(F.lit(1))).first()
     assert row[0] == 1000 and 1000 <= row[1] < 1100 and row[2] == 6000
+
+
+def test_long_listed_urls_are_not_broadcast(spark, monkeypatch):
+    listed = spark.range(50).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("canonical"))
+    asked = spark.range(20, 90).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("canonical"))
+    want = sorted(map(tuple, urls.flag_listed(asked, listed).collect()))
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", 10)
+    assert sorted(map(tuple, urls.flag_listed(asked, listed).collect())) == want and sum(x[2] for x in want) == 30
