@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from riskweave.functions import vocabulary as V
 from riskweave.functions.expressions import contains_any, days_between, flag, number, sunday_week
 from riskweave.operators.filters import one_row
+from riskweave.operators.joins import checked
 
 #: Letters and weights of the parts of a severity vector.
 # fixed values: codes, levels and weights of the vector's parts
@@ -151,7 +152,7 @@ def common_columns(df: DataFrame, reference: date | str, categories: tuple[str,
         from riskweave.operators.ranking import dense_codes
 
         named = out.withColumn(c, F.coalesce(F.col(c).cast("string"), F.lit("nan")))
-        out = named.join(F.broadcast(dense_codes(named.select(c), c)), c).withColumn(c, F.col("code") - 1).drop("code")
+        out = named.join(checked(dense_codes(named.select(c), c)), c).withColumn(c, F.col("code") - 1).drop("code")
     return out.drop("_age", "_oldest")
 
 

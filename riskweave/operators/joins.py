@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.expressions import flag
+from riskweave.session import stage
 
 
 def membership(df: DataFrame, keys: DataFrame, name: str, key: str = "cve_id") -> DataFrame:
@@ -68,26 +69,26 @@ def _word_runs(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _OUTSIDE), lambda w: w != "")
 
 
-def matches(texts: DataFrame, key: str, text: Column, vocabulary: DataFrame, first_words: int = 2000) -> DataFrame:
+def checked(small: DataFrame, most_rows: int = 200_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """small, staged, to be broadcast where its rows and their bytes as JSON stay within the bounds; beyond, a join with it shuffles."""
+    kept = stage(small, "small-side")
+    n, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(kept) if n <= most_rows and size <= most_bytes else kept
+
+
+def matches(texts: DataFrame, key: str, text: Column, vocabulary: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     """(key, term, ...) of the vocabulary terms that stand in a text as whole words, whatever signs and blanks stand between these.
 
-    Runs of words, of the lengths that the vocabulary has, are dealt out as rows and met with the vocabulary by equality: no test of every term on every text.
-    Only runs that begin with a term's first word are dealt out, where the terms have at most ``first_words`` of these.
+    Runs of words, of the lengths that the vocabulary has, are dealt out as rows and met with the vocabulary by equality: no test of every term on every text, and
+    time in proportion to a text's length. A vocabulary of a checked size is broadcast, so that runs are met where they arise.
     """
     words = _word_runs(F.col("term"))
-    known = vocabulary.withColumn("_run", F.array_join(words, " ")).where(F.col("_run") != "")
-    lengths = [r[0] for r in known.select(F.size(words).alias("n")).distinct().orderBy("n").collect()]  # one row for each length of a term
+    known = checked(vocabulary.withColumn("_run", F.array_join(words, " ")).where(F.col("_run") != ""), broadcast_rows)
+    lengths = [r[0] for r in known.select(F.size(F.split("_run", " ")).alias("n")).distinct().orderBy("n").collect()]  # one row for each length of a term
     if not lengths:
         return texts.select(key).join(vocabulary.limit(0))
-    firsts = [r[0] for r in known.select(words[0]).distinct().limit(first_words + 1).collect()]
-    tokens = texts.select(key, _word_runs(text).alias("_w"))
-    at = F.sequence(F.lit(1), F.greatest(F.size("_w"), F.lit(1)))
-    if len(firsts) <= first_words:
-        at = F.filter(at, lambda i: F.get(F.col("_w"), i - 1).isin(firsts))
-    tokens = tokens.select(key, "_w", at.alias("_at")).where(F.size("_at") > 0)
-
-    def of_length(n: int) -> Column:
-        return F.transform(F.filter("_at", lambda i: i + n - 1 <= F.size("_w")), lambda i: F.array_join(F.slice("_w", i, F.lit(n)), " "))
-
-    runs = F.flatten(F.array(*map(of_length, lengths)))
-    return tokens.select(key, F.explode(F.array_distinct(runs)).alias("_run")).join(known, "_run").drop("_run")
+    # the words as one string: no function of an array is evaluated again for each of its elements, wherever the optimizer puts it
+    joined = texts.select(key, F.array_join(_word_runs(text), " ").alias("_x"))
+    runs = F.concat(*[F.regexp_extract_all("_x", F.lit(rf"(?<![^ ])(?=((?:[^ ]+ ){{{n - 1}}}[^ ]+))"), 1) for n in lengths])
+    # the outer form, as the other one repeats its argument in a filter before
+    return joined.select(key, F.explode_outer(F.array_distinct(runs)).alias("_run")).join(known, "_run").drop("_run")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from riskweave.operators import analyst
-from riskweave.plans import analytics, further, landing, relational, upkeep  # noqa: F401  registration
+from riskweave.plans import analytics, further, landing, relational, texts, upkeep  # noqa: F401  registration
 from riskweave.plans.base import QUERIES, REFERENCE, SQL, Query
 from riskweave.sources import projection
 

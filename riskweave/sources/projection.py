@@ -90,6 +90,19 @@ records AS (SELECT 'CVE-' || year(o_orderdate) || '-' || lpad(k::VARCHAR, 7, '0'
   FROM (SELECT o_orderkey::BIGINT AS k, o_orderdate FROM orders))"""
 
 
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, description): whole documents, of which most have a description before, after or within their text."""
+    k = F.col("doc_id").cast("bigint")
+    said = _pick(DESCRIPTIONS, k * 7)
+    within = F.concat(F.substring("text", 1, 200), F.lit(", "), said, F.lit(". "), F.expr("substring(text, 201)"))
+    text = F.when(k % 5 == 4, F.col("text")).when(k % 3 == 0, F.concat(said, F.lit(" "), F.col("text"))).when(k % 3 == 1, F.concat(F.col("text"), F.lit(" "), said)).otherwise(within)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.alias("description"))
+
+
+REPORTS_SQL = f"""reports AS (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN text WHEN doc_id % 3 = 0 THEN said || ' ' || text WHEN doc_id % 3 = 1 THEN text || ' ' || said
+  ELSE substr(text, 1, 200) || ', ' || said || '. ' || substr(text, 201) END AS description FROM (SELECT doc_id, text, ({_list(DESCRIPTIONS)})[doc_id * 7 % 16 + 1] AS said FROM documents))"""
+
+
 def signal_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dated scores of records: cve_id, epss_date, epss_score; one row for each line item."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").cast("bigint").alias("key"), "l_shipdate", "l_discount")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,12 +208,28 @@ def test_trees_are_saved_with_their_card(spark, tmp_path):
 def test_terms_of_any_length_and_signs_match_whole_words(spark):
     texts = frame(spark, [(1, "A flaw: remote code execution in the wild over HTTP/2."), (2, "remote, code; execution"), (3, "remote-code execution"), (4, None), (5, "C++ parser")], "k int, t string")
     terms = ["remote code execution in the wild over http 2", "remote code execution", "c++ parser", "http/2", "()"]
-    for first_words in (2000, 0):
-        got = {(r["k"], r["term"]) for r in J.matches(texts, "k", F.col("t"), frame(spark, [(t,) for t in terms], "term string"), first_words).collect()}
+    for broadcast_rows in (2000, 0):
+        got = {(r["k"], r["term"]) for r in J.matches(texts, "k", F.col("t"), frame(spark, [(t,) for t in terms], "term string"), broadcast_rows).collect()}
         assert got == {(1, terms[0]), (1, terms[1]), (1, terms[3]), (2, terms[1]), (5, terms[2])}
     assert J.matches(texts, "k", F.col("t"), frame(spark, [], "term string")).count() == 0
 
 
+def test_terms_in_texts_of_many_words_take_linear_time(spark):
+    """100,000 words of which a term's first word is every second: minutes where a text is split again for each of them."""
+    text = "flaw in " * 50_000 + "remote code execution"
+    texts, terms = frame(spark, [(1, text), (2, "none")], "k int, t string"), frame(spark, [("flaw here",), ("in flaw",), ("remote code execution",)], "term string")
+    start = time.perf_counter()
+    assert {(r["k"], r["term"]) for r in J.matches(texts, "k", F.col("t"), terms).collect()} == {(1, "in flaw"), (1, "remote code execution")}
+    assert time.perf_counter() - start < 60
+
+
+def test_codes_of_a_large_category_are_joined_without_broadcast(spark):
+    table = frame(spark, [(f"{i:04d}", 1) for i in range(300)], "c string, n int")
+    plan = lambda small: table.join(small, "c")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(J.checked(table.select("c"))) and "broadcast" not in plan(J.checked(table.select("c"), most_rows=299))
+    assert "broadcast" not in plan(J.checked(table.select("c"), most_bytes=100))
+
+
 def test_sums_before_cross_ranges_and_groups(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"), (F.col("id") % 5).alias("n"))
     want, upto = {}, {}

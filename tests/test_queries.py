@@ -19,6 +19,7 @@ NAMES = [
     "joi_12_two_stages", "txt_07_flag", "txt_08_term_list", "txt_09_technique_info", "spl_04_by_cutoff", "spl_10_interval", "eva_12_slices", "eva_16_long_table", "sig_04_all_pairs", "mod_03_preference_pairs",
     "gra_06_08_filled", "gra_09_vendor_edges", "dq_03_combined", "qry_01_recommendations", "qry_03_recent", "src_01_record_pages", "src_08_snapshots", "src_14_newest_file", "snk_05_scored_output", "str_01_04_ingest",
     "str_02_budget_stream", "str_05_enriched_stream", "str_06_horizon_stream", "str_07_trace_stream", "fn_07_numeric", "fn_09_arrays", "fn_10_map", "fn_11_printed_names", "fea_15_common", "fea_17_fitted_codes", "dq_04_contract", "txt_05_coverage",
+    "fea_05_reports", "fea_06_reports", "txt_01_04_reports", "txt_11_reports", "fn_05_reports", "joi_11_reports", "joi_11_passages", "joi_12_reports", "txt_07_reports",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
