@@ -88,9 +88,9 @@ def expanding_folds(df: DataFrame, k: int, when: str = "published", key: str = "
     return folds.withColumn("role", F.when(F.col("_block") == F.col("fold"), "test").otherwise("train")).withColumn("fold", F.col("fold").cast("bigint")).drop("_rank", "_rows", "_block")
 
 
-def bootstrap(df: DataFrame, replicas: int, key: str = "cve_id") -> DataFrame:
-    """(replica, times, ...): each row's Poisson(1) number of draws in each replica, from a hash; rows with none are left out."""
-    u = hash_bucket(F.concat_ws("#", F.col(key), F.col("replica")), 1_000_000) / F.lit(1_000_000.0)
+def draws(key: Column) -> Column:
+    """A Poisson(1) number of draws, 8 at most, from a hash of the key."""
+    u = hash_bucket(key, 1_000_000) / F.lit(1_000_000.0)
     steps, total, p = [], 0.0, 0.36787944117144233
     for n in range(8):
         total += p
@@ -99,7 +99,13 @@ def bootstrap(df: DataFrame, replicas: int, key: str = "cve_id") -> DataFrame:
     times = F.when(u < steps[0][0], 0)
     for limit, n in steps[1:]:
         times = times.when(u < limit, n)
-    return df.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1)))).withColumn("times", times.otherwise(8).cast("bigint")).where("times > 0")
+    return times.otherwise(8).cast("bigint")
+
+
+def bootstrap(df: DataFrame, replicas: int, key: str = "cve_id") -> DataFrame:
+    """(replica, times, ...): each row's Poisson(1) number of draws in each replica, from a hash; rows with none are left out."""
+    every = df.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
+    return every.withColumn("times", draws(F.concat_ws("#", F.col(key), F.col("replica")))).where("times > 0")
 
 
 def hash_sample(df: DataFrame, share: float, key: str = "cve_id", salt: str = "sample") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from riskweave.operators import graph as G
 from riskweave.operators import listwise
 from riskweave.operators import models as M
-from riskweave.operators import similarity
+from riskweave.operators import searches, similarity
 from riskweave.operators import sinks as K
 from riskweave.operators import stats as T
 from riskweave.operators import text_match as TM
@@ -137,3 +137,27 @@ def snk_10_saved_model(spark, sf):
     card = spark.read.schema("features array<string>, metrics map<string,double>, n_train bigint").json(f"{root}/card").first()
     out = first.join(again, "cve_id", "full_outer").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("differing"))
     return out.select("rows", "differing", F.lit(card["n_train"]).cast("bigint").alias("n_train"), F.lit(",".join(sorted(card["features"]))).alias("features"))
+
+
+# fixed values: three values for each of three options, three folds and the first 20 rows; ten replicas; four sizes
+_OPTIONS = {"step": [0.1, 0.3, 1.0], "regular": [0.001, 0.01, 0.1], "decay": [1.0, 0.9, 0.7]}
+
+
+@query()
+def mod_05_grid_27(spark, sf):
+    """All 27 combinations on three folds, fitted together."""
+    return searches.grid(_training(spark, sf), _FEATURE_LIST, _OPTIONS)
+
+
+@query()
+def mod_07_replicas(spark, sf):
+    """Every record under ten rankers, fitted together on draws of whole weeks."""
+    rows = stage(_training(spark, sf), "training-rows")
+    return _rounded(searches.ensemble(rows, rows, _FEATURE_LIST, 10), "cve_id")
+
+
+@query()
+def mod_10_runs(spark, sf):
+    """Four sizes by five seeds."""
+    runs = searches.importance_runs(_training(spark, sf), _FEATURE_LIST, (0.1, 0.3, 0.5, 1.0), ("one", "two", "three", "four", "five"))
+    return T.stability(runs, "run", "feature", "importance", 3)
