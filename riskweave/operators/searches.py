@@ -116,9 +116,9 @@ def ensemble(train: DataFrame, test: DataFrame, features: list[str], replicas: i
 
     A group's draws come from a hash of group and replica, so they need no join; a pair counts as often as its group is drawn. A row of test is scored where it is read.
     """
-    pairs = stage(preference_pairs(train, features, per_row), "ensemble-pairs")
     drawn = F.transform(_each(replicas), lambda r: _member(r, draws(F.concat_ws("#", F.col("group"), r))))
-    weights = fit_many(pairs, features, F.filter(drawn, lambda m: m["times"] > 0), [setting or PLAIN] * replicas, rounds)
+    pairs = stage(preference_pairs(train, features, per_row).withColumn("_members", F.filter(drawn, lambda m: m["times"] > 0)), "ensemble-pairs")
+    weights = fit_many(pairs, features, F.col("_members"), [setting or PLAIN] * replicas, rounds)
     unstage(pairs)
     every = F.array(*[F.array(*map(F.lit, w)) for w in weights])
     add = lambda a, b: a + b
@@ -135,11 +135,11 @@ def importance_runs(rows: DataFrame, features: list[str], shares: tuple[float, .
     A run is named ``share/seed``. A sample without rows has importances of 0.
     """
     runs = [(share, seed) for share in shares for seed in seeds]
-    held = stage(rows, "runs-rows")
-    pairs = stage(preference_pairs(held, features, per_row), "runs-pairs")
     chosen = F.filter(F.array(*[F.when(hash_bucket("group", 1_000_000, seed) < int(share * 1_000_000), F.lit(i)) for i, (share, seed) in enumerate(runs)]), lambda m: m.isNotNull())
-    weights = fit_many(pairs, features, F.transform(chosen, lambda m: _member(m, F.lit(1.0))), [setting or PLAIN] * len(runs), rounds)
-    joined = held.select(*features, F.explode(chosen).alias("model")).join(F.broadcast(weight_table(rows.sparkSession, weights)), "model")
+    held = stage(rows.withColumn("_runs", chosen), "runs-rows")
+    pairs = stage(preference_pairs(held, features, per_row).withColumn("_members", F.transform(chosen, lambda m: _member(m, F.lit(1.0)))), "runs-pairs")
+    weights = fit_many(pairs, features, F.col("_members"), [setting or PLAIN] * len(runs), rounds)
+    joined = held.select(*features, F.explode("_runs").alias("model")).join(F.broadcast(weight_table(rows.sparkSession, weights)), "model")
     means = {r["model"]: r["v"] for r in joined.groupBy("model").agg(F.array(*[F.avg(F.abs(F.col(c) * F.col("_w")[i])) for i, c in enumerate(features)]).alias("v")).collect()}
     unstage(held), unstage(pairs)
     out = [(f"{share}/{seed}", c, float(means[m][i] or 0.0) if m in means else 0.0) for m, (share, seed) in enumerate(runs) for i, c in enumerate(features)]
