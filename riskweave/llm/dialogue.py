@@ -51,7 +51,7 @@ def damaged(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
 def faults(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, fault): blank, duplicate, truncated or null, the first that holds."""
-    worded = F.expr(f"rtrim('{SPACES.encode('unicode_escape').decode()}', text)")
+    worded = F.rtrim("text", F.lit(SPACES))
     place = F.row_number().over(Window.partitionBy("conv_id", "role", "text").orderBy(F.asc_nulls_first("turn")))
     fault: Column = F.when(worded == "", "blank").when(F.col("_nth") > 1, "duplicate").when(~F.right(worded, F.lit(1)).isin(".", "!", "?"), "truncated")
     return rows.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")]).withColumn("_nth", place).select("conv_id", "turn", "role", "text", fault.alias("fault"), "_nth")

@@ -169,6 +169,17 @@ def test_repair_equals_recursion(spark):
     assert dialogue.report(spark.createDataFrame([], CONV)).count() == 0
 
 
+def test_repair_faults_of_odd_endings(spark):
+    """Only the six white spaces are passed over at a text's end; x, 0, b, c, backslashes and other blanks are words."""
+    endings = ["", *" \t\n\x0b\x0c\r", "\x0b\x0c", "x", "0", "b", "c", "\\", "\\x0b", "\x1f", "\x85", "\xa0", "\u3000", "\u200b", "\x00"]
+    texts = [body + end for body in ("", "Yes.", "No", "12:3") for end in endings]
+    rows = spark.createDataFrame([(i, 1, "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = {x["conv_id"]: x["fault"] for x in dialogue.faults(rows).collect()}
+    for i, text in enumerate(texts):
+        bare = text.rstrip(" \t\n\x0b\x0c\r")
+        assert got[i] == ("blank" if not bare else None if bare[-1] in ".!?" else "truncated"), repr(text)
+
+
 def test_search_forgets_what_is_decided():
     """Of a conversation of 20,000 rows, the tree never holds more than a few edits."""
     most, edits = 0, []
