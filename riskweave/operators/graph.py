@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.expressions import number, vendor_of
@@ -39,8 +39,8 @@ HUB, BROADCAST_HUBS = 10_000, 100_000
 
 
 def _both(edges: DataFrame) -> DataFrame:
-    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    return both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), "weight")
+    return edges.select(F.inline(F.array(way("src", "dst"), way("dst", "src")))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -50,33 +50,68 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both.join(sums, "src").select("src", "dst", (F.col("weight") / F.col("_sum")).alias("share"))
 
 
+def _few(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_HUBS else table
+
+
+def _dealt(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Staged links (src, part, dst, weight), those of a node of several parts dealt to its replicas by a hash of the other end."""
+    hubs = _few(nodes.where("parts > 1").select(F.col("id").alias("src"), "parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int"), F.lit(0))
+    return stage(links.join(hubs, "src", "left").select("src", part.alias("part"), "dst", "weight").repartition("src", "part"), "walk-links")
+
+
+def _parts(hub: int | None = None) -> Column:
+    return F.ceil(F.count(F.lit(1)) / F.lit(hub or HUB)).cast("int").alias("parts")
+
+
 def cut(edges: DataFrame, hub: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Staged links (src, part, dst, weight) in both directions, and nodes (id, total, parts): the sum of a node's weights and the number of replicas that its links are dealt to, by a hash of the other end."""
     both = stage(_both(edges), "walk-both")
-    nodes = stage(both.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("total"), F.ceil(F.count(F.lit(1)) / F.lit(hub or HUB)).cast("int").alias("parts")), "walk-nodes")
-    hubs = nodes.where("parts > 1").select(F.col("id").alias("src"), "parts")
-    hubs = F.broadcast(hubs) if hubs.count() <= BROADCAST_HUBS else hubs
-    part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int"), F.lit(0))
-    links = stage(both.join(hubs, "src", "left").select("src", part.alias("part"), "dst", "weight").repartition("src", "part"), "walk-links")
+    nodes = stage(both.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("total"), _parts(hub)), "walk-nodes")
+    links = _dealt(both, nodes)
     unstage(both)
     return links, nodes
 
 
+def twins(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staged members (id, class), nodes (id, total, parts, size) and links (src, part, dst, weight) of the graph whose nodes are classes of twins: nodes of the same neighbours, weights and seeds.
+
+    Twins have the same score in every round, so a walk over the classes gives that of each member. A link into a class sums the weights of the links into one member, its least id. Neighbours and weights are compared
+    by two independent 64-bit sums of hashes, taken with the node's total in one aggregation of fixed size, whatever the number of neighbours. seeds: (id, ...), whose other columns tell twins apart too.
+    """
+    marks = lambda *of: [F.bit_xor(F.xxhash64(F.lit(n), *of)).alias(f"_{n}") for n in (1, 2)]
+    both = stage(_both(edges), "walk-both")
+    every = both.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("total"), *marks("dst", "weight"))
+    told = seeds.groupBy("id").agg(*[m.alias(f"_s{n}") for n, m in enumerate(marks(*[c for c in seeds.columns if c != "id"]), 1)])
+    name = F.concat_ws(":", *[F.coalesce(c, F.lit(0)) for c in ("_1", "_2", "_s1", "_s2")])
+    members = stage(every.join(told, "id", "left").select("id", "total", name.alias("class")), "walk-members")
+    classes = stage(members.groupBy("class").agg(F.min(F.struct("id", "total")).alias("_m"), F.count(F.lit(1)).alias("size")).select("class", F.col("_m.id").alias("src"), F.col("_m.total").alias("total"), "size"), "walk-classes")
+    into = both.join(_few(classes.select("src", F.col("class").alias("_to"))), "src").select(F.col("dst").alias("id"), "_to", "weight")
+    links = stage(into.join(members.select("id", "class"), "id").groupBy(F.col("class").alias("src"), F.col("_to").alias("dst")).agg(F.sum("weight").alias("weight")), "walk-classed")
+    nodes = stage(classes.select(F.col("class").alias("id"), "total", "size").join(links.groupBy(F.col("src").alias("id")).agg(_parts()), "id"), "walk-nodes")
+    dealt = _dealt(links, nodes)
+    unstage(both), unstage(classes), unstage(links)
+    return members.select("id", "class"), nodes, dealt
+
+
 def diffusion(edges: DataFrame, seeds: DataFrame, restart: float = 0.85, tolerance: float = 1e-6, rounds: int = 100, batch: str | None = None, every: int = 5) -> DataFrame:
     """(id, score) of a random walk with restart from the seeds (id, score); uniform where none is in the graph.
 
     With ``batch`` one walk for each of its values, side by side: (batch, id, score) of the nodes that a walk reaches; a walk without a seed in the graph has none.
-    Links are staged once and dealt out by source and replica: a node sends its score, over its sum of weights, to each of its replicas, which multiply and sum partly before messages meet at their ends. So a hub's links are no task's alone.
-    Ranks are staged every few rounds, when the change since the last time is measured too.
+    The walk goes over classes of :func:`twins`, and gives each member its class's score at the end: records that share their few neighbours cost their rounds once. Links are staged once and dealt out by source
+    and replica: a node sends its score, over its sum of weights, to each of its replicas, which multiply and sum partly before messages meet at their ends. So a hub's links are no task's alone.
+    Ranks are staged every few rounds, when the change since the last time is measured too, over all members.
     """
-    links, nodes = cut(edges)
     keys = [batch] if batch else []
-    inside = seeds.join(nodes, "id").groupBy(*keys, "id").agg(F.sum("score").cast("double").alias("_s"))
-    totals = inside.groupBy(*keys).agg(F.sum("_s").alias("_t"))
+    given = stage(seeds.groupBy(*keys, "id").agg(F.sum("score").cast("double").alias("_s")), "walk-given")
+    members, nodes, links = twins(edges, given)
+    inside = stage(given.join(members, "id").groupBy(*keys, F.col("class").alias("id")).agg(F.max("_s").alias("_s"), F.sum("_s").alias("_sum")), "walk-inside")
+    totals = inside.groupBy(*keys).agg(F.sum("_sum").alias("_t"))
     if batch:
         base = inside.join(totals, keys).where("_t > 0").select(*keys, "id", (F.col("_s") / F.col("_t")).alias("seed"))
     else:
-        n = one_row(nodes, F.count(F.lit(1)).alias("_n"))
+        n = one_row(nodes, F.sum("size").alias("_n"))
         start = nodes.join(inside, "id", "left").join(F.broadcast(totals)).join(n)
         seed = F.when(F.coalesce("_t", F.lit(0.0)) > 0, F.coalesce("_s", F.lit(0.0)) / F.col("_t")).otherwise(1.0 / F.col("_n"))
         base = start.select("id", seed.alias("seed"), "total", "parts")
@@ -93,13 +128,14 @@ def diffusion(edges: DataFrame, seeds: DataFrame, restart: float = 0.85, toleran
             continue
         new = stage(step, "walk-ranks")
         old = ranks if kept is None and every == 1 else kept
-        moved = None if old is None else new.join(old.select(*keys, "id", F.col("score").alias("_o")), [*keys, "id"], "left").agg(F.sum(F.abs(F.col("score") - F.coalesce("_o", F.lit(0.0))))).first()[0]
+        change = F.col("size") * F.abs(F.col("score") - F.coalesce("_o", F.lit(0.0)))
+        moved = None if old is None else new.join(old.select(*keys, "id", F.col("score").alias("_o")), [*keys, "id"], "left").join(nodes.select("id", "size"), "id").agg(F.sum(change)).first()[0]
         if kept is not None:
             unstage(kept)
         kept = ranks = new
         if moved is not None and moved < tolerance:
             break
-    return ranks.select(*keys, "id", "score")
+    return members.join(_few(ranks.select(*keys, F.col("id").alias("class"), "score")), "class").select(*keys, "id", "score")
 
 
 def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:

@@ -38,6 +38,26 @@ def test_walk_stops_at_the_solution(spark, monkeypatch, hub):
         assert all(abs(r["score"] - want[r["id"]]) < 1e-9 for r in rows if r["walk"] == walk)
 
 
+def test_twins_walk_as_one(spark):
+    """Nodes of the same neighbours, weights and seeds become one class, and the walk over classes is the walk over nodes."""
+    edges = [(f"r{i}", f"w{i % 3}", 1.0 + (i % 2)) for i in range(300)] + [(f"r{i}", "w0", 0.5) for i in range(0, 300, 5)] + [("w0", "w1", 1.0), ("r1", "r1", 2.0)]
+    table = spark.createDataFrame(edges, "src string, dst string, weight double")
+    seeds = {f"r{i}": 1.0 + i % 2 for i in range(0, 300, 7)}
+    given = spark.createDataFrame(list(seeds.items()), "id string, _s double")
+    members, nodes, links = G.twins(table, given)
+    assert members.count() == 303 and nodes.count() < 40 and links.count() < 120
+    assert nodes.agg(F.sum("size")).first()[0] == 303
+    got = {r["id"]: r["score"] for r in G.diffusion(table, given.withColumnRenamed("_s", "score"), restart=0.7, tolerance=1e-10).collect()}
+    want = solved(edges, seeds, 0.7)
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    walks = given.select(F.when(F.col("_s") > 1, "a").otherwise("b").alias("walk"), "id", F.col("_s").alias("score"))
+    rows = G.diffusion(table, walks, restart=0.7, tolerance=1e-10, batch="walk").collect()
+    for walk, size in (("a", 2.0), ("b", 1.0)):
+        want = solved(edges, {x: v for x, v in seeds.items() if v == size}, 0.7)
+        mine = {r["id"]: r["score"] for r in rows if r["walk"] == walk}
+        assert mine.keys() == want.keys() and all(abs(mine[x] - want[x]) < 1e-9 for x in want)
+
+
 def test_star_is_cut(spark):
     """A node of 200,000 edges is dealt to replicas: no source and replica holds more than about HUB of them."""
     star = spark.range(200_000).select(F.lit("hub").alias("src"), F.concat(F.lit("n"), "id").alias("dst"), F.lit(1.0).alias("weight"))
