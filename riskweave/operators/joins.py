@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from riskweave.functions.expressions import flag
 from riskweave.session import stage
@@ -69,21 +75,58 @@ def _word_runs(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _OUTSIDE), lambda w: w != "")
 
 
+def fits(kept: DataFrame, most_rows: int = 200_000, most_bytes: int = 32 << 20) -> bool:
+    """Whether the staged rows and their bytes as JSON stay within the bounds."""
+    n, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return n <= most_rows and size <= most_bytes
+
+
 def checked(small: DataFrame, most_rows: int = 200_000, most_bytes: int = 32 << 20) -> DataFrame:
     """small, staged, to be broadcast where its rows and their bytes as JSON stay within the bounds; beyond, a join with it shuffles."""
     kept = stage(small, "small-side")
-    n, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
-    return F.broadcast(kept) if n <= most_rows and size <= most_bytes else kept
+    return F.broadcast(kept) if fits(kept, most_rows, most_bytes) else kept
+
+
+def dealt_hits(texts: DataFrame, key: str, text: Column, found: Callable[[str], Iterable[str]], name: str) -> DataFrame:
+    """(key, name): what ``found`` gives for each text, as rows, where the texts are read; missing texts are left out."""
+    kind = texts.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1024):
+                part = batch.slice(low, 1024)
+                each = [list(found(t)) if t is not None else [] for t in part.column(1).to_pylist()]
+                at = np.repeat(np.arange(len(each)), [len(x) for x in each])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array([h for x in each for h in x], pa.string())], names=[key, name])
+
+    return texts.select(key, text.alias("_x")).mapInArrow(run, StructType([StructField(key, kind), StructField(name, StringType())]))
+
+
+def _runs_of(known: list[str]) -> Callable[[str], set[str]]:
+    """The known runs of words in a lower-case text: of each place only the lengths of the runs that begin with its word are tried."""
+    runs, lengths = set(known), {}
+    for run in known:
+        words = run.split(" ")
+        lengths.setdefault(words[0], set()).add(len(words))
+
+    def found(text: str) -> set[str]:
+        words = re.findall("[a-z0-9_-]+", text)
+        return {run for i, w in enumerate(words) if w in lengths for n in lengths[w] if i + n <= len(words) and (run := " ".join(words[i : i + n])) in runs}
+
+    return found
 
 
 def matches(texts: DataFrame, key: str, text: Column, vocabulary: DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
     """(key, term, ...) of the vocabulary terms that stand in a text as whole words, whatever signs and blanks stand between these.
 
-    Runs of words, of the lengths that the vocabulary has, are dealt out as rows and met with the vocabulary by equality: no test of every term on every text, and
-    time in proportion to a text's length. A vocabulary of a checked size is broadcast, so that runs are met where they arise.
+    Runs of words, of the lengths that the vocabulary has, are met with the vocabulary by equality: no test of every term on every text, and time in proportion to a text's length. A vocabulary of a checked
+    size goes to the tasks, which look runs up where they read the texts; a larger one stays a table, and a text's runs are dealt out as rows.
     """
     words = _word_runs(F.col("term"))
-    known = checked(vocabulary.withColumn("_run", F.array_join(words, " ")).where(F.col("_run") != ""), broadcast_rows)
+    known = stage(vocabulary.withColumn("_run", F.array_join(words, " ")).where(F.col("_run") != ""), "small-side")
+    if fits(known, broadcast_rows):
+        runs = [r[0] for r in known.select("_run").distinct().collect()]  # of checked size
+        return dealt_hits(texts, key, F.lower(text), _runs_of(runs), "_run").join(F.broadcast(known), "_run").drop("_run")
     lengths = [r[0] for r in known.select(F.size(F.split("_run", " ")).alias("n")).distinct().orderBy("n").collect()]  # one row for each length of a term
     if not lengths:
         return texts.select(key).join(vocabulary.limit(0))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from riskweave.functions import vocabulary as V
 from riskweave.functions.expressions import contains_any, contains_words, flag, phrases, short_or_long, word_pattern
-from riskweave.operators.joins import matches
+from riskweave.operators.joins import dealt_hits, fits, matches
 from riskweave.session import stage
 
 
@@ -127,13 +133,36 @@ def anchored(texts: DataFrame, key: str, column: str, terms: DataFrame, least: i
     return wanted.join(rarest, "_t")
 
 
+#: Terms up to which each is tested on each text, without anchors.
+FEW_TERMS = 32
+
+
+def _terms_of(terms: list[str], least: int) -> Callable[[str], list[str]]:
+    """The terms, of ``least`` characters or more, that stand in a text."""
+    runs = {t: list(dict.fromkeys(t[i : i + least] for i in range(max(1, len(t) - least + 1)))) for t in terms}
+    shared = Counter(r for of in runs.values() for r in of)
+    anchored: dict[str, list[str]] = {}
+    for t, of in runs.items():
+        anchored.setdefault(min(of, key=shared.__getitem__), []).append(t)
+    if len(terms) <= FEW_TERMS:
+        return lambda text: [t for t in terms if t in text]
+    # a term whose lower case is shorter than ``least`` is its own anchor
+    lengths = sorted({len(a) for a in anchored})
+    return lambda text: [t for n in lengths for a in anchored.keys() & {text[i : i + n] for i in range(len(text) - n + 1)} for t in anchored[a] if t in text]
+
+
 def contained(texts: DataFrame, key: str, column: str, terms: DataFrame, least: int = 4) -> DataFrame:
     """(key, ...) of the terms (term, ...) of ``least`` characters or more that stand anywhere in a lower-case text, within words too; keys are taken to be unique.
 
-    A term is looked for by its anchor, the run of ``least`` characters of it that the fewest texts have. Texts give only runs that a filter of all anchors lets through, as rows without the text, and the few
-    pairs that meet are tested on the text.
+    A term is looked for by an anchor, a run of ``least`` characters of it. Terms of a checked size go to the tasks, which test those whose anchor a text has where they read it; an anchor is then the run
+    that the fewest terms have. More terms stay a table, and an anchor is the run that the fewest texts have: texts give only runs that a filter of all anchors lets through, as rows without the text,
+    and the few pairs that meet are tested on the text.
     """
     lowered = F.lower(F.coalesce(F.col(column), F.lit("")))
+    named = stage(terms.where(F.length("term") >= least).withColumn("_t", F.lower("term")), "contained-terms")
+    if fits(named, BROADCAST_RUNS):
+        each = [r[0] for r in named.select("_t").distinct().collect()]  # of checked size
+        return dealt_hits(texts, key, lowered, _terms_of(each, least), "_t").join(F.broadcast(named), "_t").drop("_t")
     wanted = stage(anchored(texts, key, column, terms, least), "term-anchors")
     pairs = _passing(texts, key, column, wanted.select("_g").distinct(), least).join(wanted, "_g").drop("_g")
     return texts.select(key, lowered.alias("_x")).join(pairs, key).where(F.col("_x").contains(F.col("_t"))).drop("_x", "_t")
@@ -216,8 +245,93 @@ def fuzzy_candidates(texts: DataFrame, key: str, column: str, terms: DataFrame,
     return _prefix(d, key, "v", threshold).join(_prefix(t, "term", "w", threshold), "g").select(key, "term").distinct(), t, d
 
 
+#: Weights, zeros included, up to which the vectors of all terms go to the tasks as one matrix.
+MATRIX = 4_000_000
+
+
+def _matrix(texts: DataFrame, key: str, column: str, terms: DataFrame) -> tuple[list[str], list[tuple[str, float]], np.ndarray] | None:
+    """Terms, runs with their idf, and unit vectors of the terms (terms x runs), if they have at most MATRIX weights."""
+    units = stage(_weighted(texts, key, column, terms)[0], "fuzzy-terms")
+    rows, columns = units.agg(F.count_distinct("term"), F.count_distinct("g")).first()
+    if not 0 < rows * columns <= MATRIX:
+        return None
+    each = units.collect()  # of checked size
+    named, runs = sorted({r["term"] for r in each}), sorted({(r["g"], r["idf"]) for r in each})
+    row, at = {t: i for i, t in enumerate(named)}, {g: i for i, (g, _) in enumerate(runs)}
+    out = np.zeros((len(named), len(runs)))
+    for r in each:
+        out[row[r["term"]], at[r["g"]]] = r["w"]
+    return named, runs, out
+
+
+def _cosines(texts: DataFrame, key: str, column: str, matrix: tuple[list[str], list[tuple[str, float]], np.ndarray], least: float | None) -> DataFrame:
+    """(key, term, cosine): of each text with a run of the terms the best term, or all of cosine ``least`` or more. The texts of one key count as one.
+
+    Texts come in order of key, and a task counts runs for a block of keys at a time; a word's runs are looked up once while it is remembered.
+    """
+    named, runs, units = matrix
+    idf, at = np.array([x for _, x in runs]), {g: i for i, (g, _) in enumerate(runs)}
+    most, schema = max(1, min(1024, (1 << 21) // max(1, len(runs)))), StructType([StructField(key, texts.schema[key].dataType), StructField("term", StringType()), StructField("cosine", DoubleType())])
+
+    def of(word: str) -> list[int]:
+        padded = f" {word} "
+        return [at[g] for n in (3, 4, 5) for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, keys, flat, owner, kind = {}, [], [], [], None
+        counts = np.zeros(most * len(runs))
+
+        def fold() -> None:
+            nonlocal flat, owner
+            if flat:
+                counts[:] += np.bincount(np.array(flat) + np.repeat([o for o, _ in owner], [n for _, n in owner]) * len(runs), minlength=len(counts))
+            flat, owner = [], []
+
+        def block() -> pa.RecordBatch:
+            fold()
+            v = counts.reshape(most, -1)[: len(keys)] * idf
+            dots, length = v @ units.T, np.sqrt((v * v).sum(1, keepdims=True))
+            cosine = dots / np.where(length > 0, length, 1.0)
+            if least is None:
+                who = np.flatnonzero(length[:, 0] > 0)
+                what = cosine[who].argmax(1)
+            else:
+                who, what = np.nonzero((dots > 0) & (cosine >= least - 1e-6))
+            out = [pa.array([keys[i] for i in who], kind), pa.array([named[j] for j in what], pa.string()), pa.array(cosine[who, what])]
+            keys.clear()
+            counts[:] = 0
+            return pa.RecordBatch.from_arrays(out, names=schema.names)
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not keys or keys[-1] != name:
+                    if len(keys) == most:
+                        yield block()
+                    keys.append(name)
+                before = len(flat)
+                for word in text.split(" "):
+                    if word:
+                        if word not in known:
+                            if len(known) >= 50_000:
+                                known.clear()
+                            known[word] = of(word)
+                        flat += known[word]
+                owner.append((len(keys) - 1, len(flat) - before))
+                if len(flat) > 1_000_000:
+                    fold()
+        if keys:
+            yield block()
+
+    plain = F.trim(F.regexp_replace(F.lower(F.col(column)), r"\s+", " "))
+    rows = texts.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(key, plain.alias("_x"))
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
 def fuzzy_matches(texts: DataFrame, key: str, column: str, terms: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(key, term, cosine) of all texts and terms whose cosine is ``threshold`` or more: a similarity join by prefixes, verified on the whole vectors."""
+    """(key, term, cosine) of all texts and terms whose cosine is ``threshold`` or more: by the matrix of the terms where it is small, else a similarity join by prefixes, verified on the whole vectors."""
+    if (matrix := _matrix(texts, key, column, terms)) is not None:
+        return _cosines(texts, key, column, matrix, threshold).where(F.round("cosine", 9) >= threshold)
     pairs, t, d = fuzzy_candidates(texts, key, column, terms, threshold)
     dots = pairs.join(t, "term").join(d.select(key, "g", "v"), [key, "g"]).groupBy(key, "term").agg(F.sum(F.col("v") * F.col("w")).alias("cosine"))
     return dots.where(F.round("cosine", 9) >= threshold)
@@ -226,8 +340,10 @@ def fuzzy_matches(texts: DataFrame, key: str, column: str, terms: DataFrame, thr
 def fuzzy_scores(texts: DataFrame, key: str, column: str, terms: DataFrame) -> DataFrame:
     """(key, best): largest cosine of a text with a term, over character runs weighted by count and ``ln((1 + N) / (1 + df)) + 1``, both fitted on the terms.
 
-    Term weights stay a table; text runs outside of them have no weight and go before rows meet.
+    The terms' vectors are one matrix where it is small; else their weights stay a table. Text runs outside of them have no weight and go before rows meet.
     """
+    if (matrix := _matrix(texts, key, column, terms)) is not None:
+        return _cosines(texts, key, column, matrix, None).select(key, F.col("cosine").alias("best"))
     t = terms.select(F.col("term"), F.explode(char_grams(F.col("term"))).alias("g")).groupBy("term", "g").agg(F.count(F.lit(1)).alias("tf"))
     n = F.broadcast(terms.agg(F.count(F.lit(1)).alias("_n")))
     idf = t.groupBy("g").agg(F.count(F.lit(1)).alias("df")).join(n).select("g", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.operators import text_match as TM
+from riskweave.operators.joins import matches
 
 
 def corpus(n=400, seed=3):
@@ -42,6 +43,35 @@ def test_anchors_find_what_stands_anywhere(spark, monkeypatch, most):
     assert TM.contained(df, "k", "d", t.limit(0)).count() == 0 and TM.contained(df.limit(0), "k", "d", t).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 4_000_000])
+def test_texts_of_one_key_count_as_one(spark, monkeypatch, most):
+    """Scores and matches by matrix and by joins agree: repeated, missing and empty keys and texts, odd blanks, blocks of few keys."""
+    texts, terms = corpus()
+    rows = [(k if k % 9 else 0, d) for k, d in texts if k < 100 or k in (1000, 1001)] + [(None, terms[0]), (7, "\t" + terms[1] + "\u00a0x\n"), (8, "İstanbul ΣΑΣ"), (5000, terms[2] * 50)]
+    df, t = spark.createDataFrame(rows, "k int, d string"), spark.createDataFrame([(x,) for x in terms], "term string")
+    monkeypatch.setattr(TM, "MATRIX", 0)
+    want = {(r["k"], r["term"]): r["cosine"] for r in TM.fuzzy_matches(df, "k", "d", t, 0.4).collect()}
+    best = {r["k"]: r["best"] for r in TM.fuzzy_scores(df, "k", "d", t).collect()}
+    monkeypatch.setattr(TM, "MATRIX", most)
+    plan = TM.fuzzy_scores(df, "k", "d", t)
+    assert ("Generate" not in plan._jdf.queryExecution().toString()) == bool(most)  # no text is dealt out in runs
+    got, mine = {(r["k"], r["term"]): r["cosine"] for r in TM.fuzzy_matches(df, "k", "d", t, 0.4).collect()}, {r["k"]: r["best"] for r in plan.collect()}
+    assert got.keys() == want.keys() and mine.keys() == best.keys()
+    assert all(abs(got[p] - c) < 1e-9 for p, c in want.items()) and all(abs(mine[k] - b) < 1e-9 for k, b in best.items())
+    assert TM.fuzzy_scores(df, "k", "d", t.limit(0)).count() == 0 and TM.fuzzy_scores(df.limit(0), "k", "d", t).count() == 0
+
+
+def test_runs_are_looked_up_where_texts_are_read(spark):
+    texts, terms = corpus()
+    texts = [*texts[:150], (2000, terms[3].upper().replace(" ", " ,\n") + "; " + terms[4] + "s")]
+    df = spark.createDataFrame(texts, "k int, d string")
+    t = spark.createDataFrame([*[(x, i) for i, x in enumerate(terms)], ("version", 900), ("VERSION", 901), ("--", 902), ("?!", 903)], "term string, n int")
+    hits = lambda most: sorted((r["k"], r["term"], r["n"]) for r in matches(df, "k", F.col("d"), t, most).collect())
+    assert hits(200_000) == hits(0) and len(hits(0)) > 50
+    assert "Generate" not in matches(df, "k", F.col("d"), t)._jdf.queryExecution().toString()
+    assert "Generate" not in TM.contained(df, "k", "d", t)._jdf.queryExecution().toString()
+
+
 def test_similarity_join_meets_few_pairs(spark):
     texts, terms = corpus()
     df, t = spark.createDataFrame(texts, "k int, d string"), spark.createDataFrame([(x,) for x in terms], "term string")
