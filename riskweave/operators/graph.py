@@ -157,10 +157,13 @@ def filled(df: DataFrame, ranks: DataFrame, key: str, default: float) -> DataFra
 def neighbour_means(edges: DataFrame, features: DataFrame, columns: list[str], relation: str = "relation", hops: int = 1) -> DataFrame:
     """features with, for each hop and relation, the means over the neighbours of what they had before that hop, over edges in both directions; 0 without neighbours.
 
-    The first hop has ``{relation}_1_{column}``; hop h has ``{relation}_{h}_`` before each name of hop h - 1, so every order of relations along the way is there. A hop is one exchange: the
-    neighbours' values travel as one array, and the sums of all relations are taken in one aggregation.
+    The first hop has ``{relation}_1_{column}``; hop h has ``{relation}_{h}_`` before each name of hop h - 1, so every order of relations along the way is there. The neighbours' values travel as one
+    array, and the sums of all relations are taken in one aggregation. Edges are staged once and each hop's means too; nodes of more than HUB edges send theirs by broadcast, so that no task sorts a hub's edges.
     """
-    both = edges.select("src", "dst", relation).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), relation)).distinct()
+    way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), relation)
+    both = stage(edges.select(F.inline(F.array(way("src", "dst"), way("dst", "src")))).distinct(), "neighbour-edges")
+    hubs = stage(both.groupBy("src").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HUB).select("src"), "neighbour-hubs")
+    cuts = 0 < hubs.count() <= BROADCAST_HUBS
     names = [r[0] for r in both.select(relation).distinct().orderBy(relation).collect()]  # the few kinds of edges
     out, current = features, list(columns)
     for hop in range(1, hops + 1):
@@ -169,8 +172,13 @@ def neighbour_means(edges: DataFrame, features: DataFrame, columns: list[str], r
         if not added:
             break
         means = [F.avg(F.when(F.col(relation) == name, F.get("_x", F.lit(i)))).alias(f"{name}_{hop}_{c}") for name in names for i, c in enumerate(current)]
-        met = both.join(packed, "src").groupBy(F.col("dst").alias("id")).agg(*means)
+        if cuts:
+            sent = both.join(F.broadcast(hubs), "src", "left_anti").join(packed, "src").unionByName(both.join(F.broadcast(packed.join(F.broadcast(hubs), "src", "left_semi")), "src"))
+        else:
+            sent = both.join(packed, "src")
+        met = sent.groupBy(F.col("dst").alias("id")).agg(*means)
         out = out.join(met, "id", "left").fillna(0.0, added)
+        out = stage(out, "neighbour-means") if hop < hops else out
         current = added
     return out
 

@@ -68,6 +68,16 @@ def test_star_is_cut(spark):
     assert largest < 0.35 * 400_000
 
 
+def test_means_over_hubs(spark, monkeypatch):
+    """A hub sends its values by broadcast, not through one task's join; the means are those without hubs."""
+    edges = spark.createDataFrame([(f"n{i}", f"h{i % 2}", "of") for i in range(60)] + [("n1", "n2", "near"), ("n1", "h0", "near")], "src string, dst string, relation string")
+    nodes = spark.createDataFrame([*[(f"n{i}", float(i)) for i in range(60)], ("h0", 5.0), ("h1", None)], "id string, x double")
+    plain = sorted(map(tuple, G.neighbour_means(edges, nodes, ["x"], hops=2).collect()))
+    monkeypatch.setattr(G, "HUB", 20)
+    cut = G.neighbour_means(edges, nodes, ["x"], hops=2)
+    assert "Union" in cut._jdf.queryExecution().toString() and sorted(map(tuple, cut.collect())) == plain
+
+
 def test_upsert_rewrites_only_touched_buckets(spark, tmp_path):
     table = BucketedTable(spark, f"file://{tmp_path}/t", "cve_id", 64)
     assert table.read() is None
