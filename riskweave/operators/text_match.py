@@ -24,9 +24,9 @@ def health_vendor(text: Column) -> Column:
 
 def health_score(df: DataFrame, column: str = "description") -> DataFrame:
     """df with matched_vendor, has_product, has_keyword, health_score (0.5, 0.3, 0.2) and health_flag (over 0.3)."""
-    text = F.lower(F.coalesce(F.col(column), F.lit("")))
+    text = F.col("_lowered")  # a column of its own, lowered once for all terms
     products = [t for terms in V.HEALTH_PRODUCT_TERMS.values() for t in terms]
-    out = df.withColumns({"matched_vendor": health_vendor(text), "has_product": flag(short_or_long(text, products)), "has_keyword": flag(short_or_long(text, V.HEALTH_KEYWORDS))})
+    out = df.withColumn("_lowered", F.lower(F.coalesce(F.col(column), F.lit("")))).withColumns({"matched_vendor": health_vendor(text), "has_product": flag(short_or_long(text, products)), "has_keyword": flag(short_or_long(text, V.HEALTH_KEYWORDS))}).drop("_lowered")
     score = F.when(F.col("matched_vendor").isNotNull(), 0.5).otherwise(0.0) + F.col("has_product") * 0.3 + F.col("has_keyword") * 0.2
     return out.withColumn("health_score", F.round(F.least(F.lit(1.0), score), 6)).withColumn("health_flag", flag(F.col("health_score") > 0.3))
 

@@ -1,10 +1,12 @@
 """Substring and similarity joins: equal to all pairs, and how many rows they meet."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from riskweave.functions import expressions as X
 from riskweave.operators import text_match as TM
 from riskweave.operators.joins import matches
 
@@ -72,6 +74,18 @@ def test_runs_are_looked_up_where_texts_are_read(spark):
     assert "Generate" not in TM.contained(df, "k", "d", t)._jdf.queryExecution().toString()
 
 
+def test_terms_are_searched_before_patterns(spark):
+    """Tests of several terms agree with one pattern of all, and terms are searched for plainly first."""
+    terms = ["ge healthcare", "c++", "pump", "a.b", "x-ray"]
+    texts = ["", None, "ge  healthcare", "ge\nhealthcare x", "gehealthcare", "pumps", "a pump.", "axb", "a.b", "c++ x", "xc++x", "x-rays x-ray", "healthcare"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, d string")
+    d, words, anywhere = F.col("d"), "|".join(X.word_pattern(t) for t in terms), "|".join(map(re.escape, terms))
+    out = df.select("k", X.contains_words(d, terms).alias("w"), d.rlike(words).alias("w2"), X.contains_any(d, terms).alias("a"), d.rlike(anywhere).alias("a2"), X.contains_any(d, []).alias("e"))
+    assert all(r["w"] == r["w2"] and r["a"] == r["a2"] and r["e"] in (True, None) for r in out.collect())
+    plan = df.select(X.contains_any(d, terms))._jdf.queryExecution().toString()
+    assert "RLIKE" not in plan.upper() and "Contains" in plan
+
+
 def test_similarity_join_meets_few_pairs(spark):
     texts, terms = corpus()
     df, t = spark.createDataFrame(texts, "k int, d string"), spark.createDataFrame([(x,) for x in terms], "term string")
