@@ -123,3 +123,22 @@ def test_models_add_no_shuffle_of_pairs(spark, planted_rows):
     dealt = searches._weighed(pairs.select("first", *FEATURES, F.explode(members).alias("m")).select("first", *FEATURES, "m.model"), FEATURES, weights, "_margin").groupBy("model").agg(F.sum("_margin"))
     plan = dealt._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(model") == 1 and "SortMergeJoin" not in plan
+
+
+def test_models_meet_pairs_as_matrices_and_judges_see_first_rows(spark, planted_rows):
+    """A round deals no pair out to models one by one, and a look at the grid sorts at most k rows for each group, model and batch."""
+    rows, df = planted_rows
+    packs = searches.packed(M.preference_pairs(df, FEATURES, 4), FEATURES, F.transform(searches._each(3), lambda m: searches._member(m, F.lit(1.0))), 3)
+    found = searches.sums(packs, [[0.1, 0.2, -0.3]] * 27, 3)
+    _, pairs = pairs_of(df)
+    assert sorted(found) == list(range(27)) and found[5][0] == pytest.approx(sum(p for _, p, _ in pairs), rel=1e-12)
+    g = sum(p * (1 / (1 + np.exp(-np.dot(x, [0.1, 0.2, -0.3]))) - f) * np.array(x) for f, p, x in pairs)
+    assert np.allclose(found[26][1], g, rtol=1e-9)
+    one = df.withColumn("_fold", F.lit(0)).coalesce(1).sortWithinPartitions("group")
+    got = searches.firsts(one, FEATURES, [[1.0, 0.0, 0.0], [0.0, 0.0, 0.0]], 1, 5).collect()
+    groups = {r[1] for r in rows}
+    assert len(got) == 2 * 5 * len(groups)
+    for group in groups:
+        inside = [r for r in rows if r[1] == group]
+        assert {r["cve_id"] for r in got if r["week"] == group and r["model"] == 0} == {r[0] for r in sorted(inside, key=lambda r: (-r[4], r[0]))[:5]}
+        assert {r["cve_id"] for r in got if r["week"] == group and r["model"] == 1} == {r[0] for r in sorted(inside)[:5]}  # all scores are equal
