@@ -99,10 +99,12 @@ def src_07_exploit_scores(spark, sf):
 def src_08_snapshots(spark, sf):
     """Half of the snapshots list entries, half map ids to numbers."""
     r = P.records(spark, sf).where("epss_score IS NOT NULL")
-    listed = _documents(r.where("key % 2 = 0"), F.struct(F.col("cve_id").alias("cve"), F.col("epss_score").cast("string").alias("epss"), F.col("epss_date").cast("string").alias("date")), "data")
-    mapped = r.where("key % 2 = 1").groupBy(F.floor(F.col("key") / PAGE).alias("_page")).agg(F.map_from_entries(F.collect_list(F.struct("cve_id", "epss_score"))).alias("m"))
+    paged = lambda rest: r.where(f"key % 2 = {rest}").groupBy(F.floor(F.col("key") / PAGE).alias("_page"))
+    entry = F.struct(F.col("cve_id").alias("cve"), F.col("epss_score").cast("string").alias("epss"), F.col("epss_date").cast("string").alias("date"))
+    listed = paged(0).agg(F.to_json(F.struct(F.collect_list(entry).alias("data"))).alias("value")).select("value")
+    mapped = paged(1).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("cve_id", "epss_score")))).alias("value")).select("value")
     path = _folder(spark, "snapshots")
-    every = spark.read.text(listed).select("value").unionByName(mapped.select(F.to_json("m").alias("value")))
+    every = listed.unionByName(mapped)
     every.write.option("maxRecordsPerFile", 1).text(path)  # a snapshot is a file
     return feeds.exploit_score_snapshots(spark, path).withColumn("epss_date", F.col("epss_date").cast("string"))
 

@@ -83,11 +83,14 @@ def exploit_scores(spark: SparkSession, path: str) -> DataFrame:
 
 def exploit_score_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """The same of a folder of snapshots in two shapes: a ``data`` list, or a map of id to number or to (epss_score, date)."""
-    text = spark.read.text(path, wholetext=True)
-    listed = text.select(F.explode(F.from_json(F.get_json_object("value", "$.data"), "array<struct<cve:string,epss:string,date:string>>")).alias("d")).select(F.col("d.cve").alias("cve_id"), F.col("d.epss").try_cast("double").alias("epss_score"), F.col("d.date").try_cast("date").alias("epss_date"))
-    mapped = text.where(F.get_json_object("value", "$.data").isNull()).select(F.explode(F.from_json("value", "map<string,string>")).alias("cve_id", "v")).where("cve_id LIKE 'CVE-%'")
-    flat = mapped.select("cve_id", F.coalesce(F.col("v").try_cast("double"), F.get_json_object("v", "$.epss_score").try_cast("double")).alias("epss_score"), F.get_json_object("v", "$.date").try_cast("date").alias("epss_date"))
-    return listed.unionByName(flat)
+    text = spark.read.text(path, wholetext=True).select("value", F.get_json_object("value", "$.data").alias("_data"))
+    entry = lambda k, score, date: F.struct(k.alias("cve_id"), score.alias("epss_score"), date.try_cast("date").alias("epss_date"))
+    listed = F.transform(F.from_json("_data", "array<struct<cve:string,epss:string,date:string>>"), lambda d: entry(d["cve"], d["epss"].try_cast("double"), d["date"]))
+    pairs = F.filter(F.map_entries(F.from_json("value", "map<string,string>")), lambda e: e["key"].like("CVE-%"))
+    score = lambda v: F.coalesce(v.try_cast("double"), F.get_json_object(v, "$.epss_score").try_cast("double"))
+    mapped = F.transform(pairs, lambda e: entry(e["key"], score(e["value"]), F.get_json_object(e["value"], "$.date")))
+    # both shapes in one pass: each file is opened once
+    return text.select(F.inline(F.when(F.col("_data").isNotNull(), listed).otherwise(mapped)))
 
 
 def flattened(df: DataFrame, separator: str = ".") -> DataFrame:

@@ -105,3 +105,21 @@ def test_streams_equal_batches(spark, tmp_path):
     joined = jobs.within_horizon(jobs.events(spark, str(tmp_path / "p"), p.schema), jobs.events(spark, str(tmp_path / "s"), s.schema))
     out = jobs.drained(joined, "horizon", str(tmp_path / "c3"), sink=str(tmp_path / "out"))
     assert out.count() == jobs.within_horizon(spark.read.parquet(str(tmp_path / "p")), spark.read.parquet(str(tmp_path / "s"))).count()
+
+
+def test_records_of_one_printed_id_stay_one_row_each(spark, tmp_path):
+    """Keys of eight digits are cut to seven in the id; their training rows don't meet each other's labels."""
+    from riskweave.plans.upkeep import _legacy_rows
+
+    spark.sql("SELECT 10000000L + id AS o_orderkey, TIMESTAMP '1995-03-01' AS o_orderdate FROM range(10)").write.parquet(f"{tmp_path}/orders.parquet")
+    assert _legacy_rows(spark, str(tmp_path)).count() == 10
+
+
+def test_snapshots_are_opened_once(spark, tmp_path):
+    texts = ['{"data": [{"cve": "CVE-1-1", "epss": "0.5", "date": "2001-02-03"}, {"cve": "CVE-1-2", "epss": "x"}]}', '{"CVE-2-1": 0.25, "other": 1, "CVE-2-2": {"epss_score": 0.75, "date": "2002-01-01"}}', "no json", "{}"]
+    for i, text in enumerate(texts):
+        (tmp_path / f"{i}.json").write_text(text)
+    out = feeds.exploit_score_snapshots(spark, str(tmp_path))
+    got = sorted((r["cve_id"], r["epss_score"], str(r["epss_date"])) for r in out.collect())
+    assert got == [("CVE-1-1", 0.5, "2001-02-03"), ("CVE-1-2", None, "None"), ("CVE-2-1", 0.25, "None"), ("CVE-2-2", 0.75, "2002-01-01")]
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
