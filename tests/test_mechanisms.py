@@ -35,6 +35,22 @@ def test_approximate_graph_finds_nearly_all_neighbours(spark):
     assert similarity.approximate(df.limit(0), "id", "e").count() == 0
 
 
+def test_rows_look_only_where_their_balls_reach(spark):
+    r = np.random.default_rng(4)
+    x = np.round(np.column_stack([r.standard_normal((4000, 3)), 3.0 * (r.random(4000) < 0.1), np.ones(4000)]), 3)  # few dimensions, one of them with two values
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, e array<double>")
+    got = {(q["src"], q["dst"]): q["weight"] for q in similarity.approximate(df, "id", "e", per_bucket=64).collect()}
+    assert got == {(q["src"], q["dst"]): q["weight"] for q in G.similar(df, "id", "e").collect()}  # all of them, as all balls are small
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    tree = similarity.grown(unit, 6, 7, 0)
+    cosine = unit @ unit.T
+    tenth = np.sort(cosine, axis=1)[:, -11]
+    row, leaf, more = similarity.reached(tree, unit, 2 - 2 * tenth + similarity.SLACK, 24)
+    touched, own = set(zip(row.tolist(), leaf.tolist())), similarity.leaves(tree, unit)
+    assert len(row) < 12 * 4000 and more.mean() < 0.05  # where each row was sent 72 times
+    assert all((int(i), int(own[j])) in touched for i, j in zip(*np.nonzero(cosine >= tenth[:, None])) if not more[i])
+
+
 def test_large_buckets_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 50)
     r = np.random.default_rng(2)
