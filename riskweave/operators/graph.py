@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.functions.expressions import number, vendor_of
+from riskweave.operators import similarity
 from riskweave.operators.filters import one_row
 from riskweave.session import stage, unstage
 
@@ -193,36 +194,71 @@ def two_hops(edges: DataFrame, start: DataFrame) -> DataFrame:
     return every.groupBy("id").agg(F.min("hop").cast("bigint").alias("hop"))
 
 
-def similar(vectors: DataFrame, key: str, vector: str, k: int = 10, least: float = 0.7, block: int = 512) -> DataFrame:
+def similar(vectors: DataFrame, key: str, vector: str, k: int = 10, least: float = 0.7, block: int = 16384, parts: int = 24) -> DataFrame:
     """(src, dst, weight): the k most cosine-similar other rows of each row, of those at ``least`` or more; ties to the smaller key. Exact: every two rows of
     the same number of components are compared; vectors that are null, empty, or hold null or non-finite components take no part.
 
-    Blocks of rows meet as pairs of blocks, dealt out by pair; a task holds two blocks, and what comes out is at most k rows for each row and block.
+    Rows are dealt to blocks of about ``block`` rows (fewer, if these hold more than a million numbers, or if that gives fewer than ``parts`` blocks), and each two blocks meet once, for both directions. A task holds one block and
+    reads the other; a row is sent once for each block, and what comes out is at most k rows for each row and pair of blocks.
     """
     v = F.col(vector).cast("array<double>")
     sound = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
     rows = vectors.where(sound).select(F.col(key).cast("bigint").alias("id"), v.alias("v"))
-    blocks = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    packed = stage(dealt.groupBy("_b", F.size("v").alias("_d")).agg(F.collect_list(F.struct("id", "v")).alias("rows")), "similar-blocks")  # about ``block`` rows each
-    x, y = packed.select(F.col("_b").alias("p"), "_d", F.col("rows").alias("x")), packed.select(F.col("_b").alias("q"), "_d", F.col("rows").alias("y"))
-    pairs = x.withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(y, ["q", "_d"])
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    block = max(1, min(block, 2**20 // (size["d"] or 1)))
+    blocks = max(1, -(-size["n"] // block), min(parts, -(-size["n"] // 512)))
+    pairs = blocks * (blocks + 1) // 2
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_b")
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("_o")
+    met = rows.select("id", "v", F.size("v").cast("bigint").alias("_d"), own, each).select("_d", F.least("_b", "_o").alias("p"), F.greatest("_b", "_o").alias("q"), (F.col("_b") > F.col("_o")).alias("_reads"), "id", "v")
+    by = ["_d", "p", "q"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, ready, found, count = None, [], None, [], 0
+
+        def gathered() -> tuple:
+            ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            order = np.argsort(ids, kind="stable")
+            return ids[order], x[order]
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            if held and current[1] == current[2]:
+                found.extend(similarity.all_pairs(*gathered(), *gathered(), k, least))
+            if found:
+                a, b, weight = (np.concatenate([f[i] for f in found]) for i in range(3))
+                if current[1] != current[2]:
+                    a, b, weight = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([weight, weight])
+                at = similarity.firsts(a, b, weight, k)
+                yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in (a, b, weight)], names=["src", "dst", "weight"])
+
         for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                a, b = a.as_py(), b.as_py()
-                ids, others = np.array([r["id"] for r in a]), np.array([r["id"] for r in b])
-                u, v = (np.array([r["v"] for r in rows]) for rows in (a, b))
-                u, v = (m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12) for m in (u, v))
-                cosine = np.round(u @ v.T, 9)
-                cosine[ids[:, None] == others[None]] = -2
-                out = []
-                for i in range(len(ids)):
-                    near = np.flatnonzero(cosine[i] >= least)
-                    out += [(int(ids[i]), int(others[j]), float(cosine[i, j])) for j in near[np.lexsort((others[near], -cosine[i, near]))[:k]]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], names=["src", "dst", "weight"])
-
-    found = pairs.select("x", "y").mapInArrow(run, "src bigint, dst bigint, weight double")
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            begins = np.flatnonzero(np.any(np.diff(keys, axis=0, prepend=keys[:1] - 1) != 0, axis=1)) if len(keys) else []
+            for begin, end in zip(begins, [*begins[1:], len(keys)]):
+                if current is None or not np.array_equal(current, keys[begin]):
+                    if current is not None:
+                        yield from closed()
+                    current, held, ready, found, count = keys[begin], [], None, [], 0
+                part = batch.slice(int(begin), int(end - begin))
+                reads, ids = part.column(3).to_numpy(zero_copy_only=False), part.column(4).to_numpy()
+                x = part.column(5).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), int(current[0]))
+                x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+                if (~reads).any():
+                    held.append((ids[~reads], x[~reads]))
+                if reads.any() and held:
+                    ready = ready or gathered()
+                    for f in similarity.all_pairs(ids[reads], x[reads], *ready, k, least):
+                        found.append(f)
+                        count += len(f[0])
+                        if count > 2_000_000:  # what may still be among the first of either side stays
+                            a, b, weight = (np.concatenate([f[i] for f in found]) for i in range(3))
+                            at = np.union1d(similarity.firsts(a, b, weight, k), similarity.firsts(b, a, weight, k))
+                            found = [(a[at], b[at], weight[at])]
+                            count = len(found[0][0]) // 2
+        if current is not None:
+            yield from closed()
+
+    dealt = met.repartition(min(pairs, 512), *by).sortWithinPartitions(*by, "_reads")
+    found = dealt.mapInArrow(run, "src bigint, dst bigint, weight double")
     place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
     return found.withColumn("_p", place).where(F.col("_p") <= k).drop("_p")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.session import stage, unstage
+from riskweave.session import stage
 
 #: Rows of a leaf that a task holds, and rows that it scores at once.
 BLOCK, PROBED = 2048, 512
@@ -22,11 +22,11 @@ Tree = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def nearest(asked: np.ndarray, x: np.ndarray, others: np.ndarray, index: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of x, other, weight) of the ``k`` most cosine-similar others of each unit vector, of those at the row's ``least`` or more; by row, weight and then key. ``others`` is sorted; a row's own key is none."""
+    """(row of x, place in others, weight) of the ``k`` most cosine-similar others of each unit vector, of those at the row's ``least`` or more; by row, weight and then key. ``others`` is sorted; a row's own key is none."""
     cosine = x @ index.T
-    at = np.minimum(np.searchsorted(others, asked), len(others) - 1)
-    own = np.flatnonzero(others[at] == asked)
-    cosine[own, at[own]] = -2
+    begin, end = np.searchsorted(others, asked), np.searchsorted(others, asked, "right")
+    for i in np.flatnonzero(begin < end):
+        cosine[i, begin[i] : end[i]] = -2
     low = least - 1e-9
     hits = cosine >= low[:, None]
     if len(others) > k and np.count_nonzero(hits) > 4 * k * len(x):
@@ -36,11 +36,41 @@ def nearest(asked: np.ndarray, x: np.ndarray, others: np.ndarray, index: np.ndar
     weight = np.round(cosine[row, col], 9)
     kept = weight >= least[row]
     row, col, weight = row[kept], col[kept], weight[kept]
-    order = np.lexsort((others[col], -weight, row))
-    row = row[order]
-    first = np.arange(len(row)) - np.searchsorted(row, row) < k
-    order = order[first]
-    return row[first], others[col[order]], weight[order]
+    at = firsts(row, col, weight, k)
+    return row[at], col[at], weight[at]
+
+
+def firsts(a: np.ndarray, b: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    """Where, in order, the ``k`` of each ``a`` are that come first by weight, largest first, and then by ``b``."""
+    order = np.lexsort((b, -weight, a))
+    a = a[order]
+    return order[np.arange(len(a)) - np.searchsorted(a, a) < k]
+
+
+def all_pairs(asked: np.ndarray, x: np.ndarray, others: np.ndarray, index: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, weight) of pairs of asked and others (sorted) at ``least`` or more, among them the k most similar others of each asked and, by their own parts of at most PROBED asked, the k most similar asked of each other.
+
+    Single precision says which pairs may reach ``least``; the weights of these are computed in double precision. Where many do, the k of each side are taken at once.
+    """
+    rough, dims = index.astype(np.float32), x.shape[1]
+    for low in range(0, len(x), PROBED):
+        ids, part = asked[low : low + PROBED], x[low : low + PROBED]
+        for at in range(0, len(index), 4096):
+            keys, held = others[at : at + 4096], index[at : at + 4096]
+            hits = np.flatnonzero(part.astype(np.float32) @ rough[at : at + 4096].T >= np.float32(least - 1e-6 - 2e-7 * dims))
+            if len(hits) > 4 * k * len(part):
+                order = np.argsort(ids, kind="stable")
+                row, col, weight = nearest(ids, part, keys, held, k, np.full(len(part), float(least)))
+                col_too, row_too, weight_too = nearest(keys, held, ids[order], part[order], k, np.full(len(held), float(least)))
+                row, col, weight = np.concatenate([row, order[row_too]]), np.concatenate([col, col_too]), np.concatenate([weight, weight_too])
+                once = np.unique(row * len(held) + col, return_index=True)[1]
+                yield ids[row[once]], keys[col[once]], weight[once]
+                continue
+            for begin in range(0, len(hits), max(1, 1_000_000 // dims)):
+                row, col = np.divmod(hits[begin : begin + max(1, 1_000_000 // dims)], len(held))
+                weight = np.round(np.einsum("ij,ij->i", part[row], held[col]), 9)
+                kept = (weight >= least) & (ids[row] != keys[col])
+                yield ids[row[kept]], keys[col[kept]], weight[kept]
 
 
 def grown(sample: np.ndarray, depth: int, seed: int, tree: int) -> Tree:
@@ -158,11 +188,11 @@ def approximate(vectors: DataFrame, key: str, vector: str, k: int = 10, least: f
         def answered(asks: list[tuple], ready: tuple) -> Iterator[pa.RecordBatch]:
             for who, x, floor in asks:
                 for low in range(0, len(who), PROBED):
-                    row, other, weight = nearest(who[low : low + PROBED], x[low : low + PROBED], *ready, k, floor[low : low + PROBED])
+                    row, col, weight = nearest(who[low : low + PROBED], x[low : low + PROBED], *ready, k, floor[low : low + PROBED])
                     if len(row):
                         n = np.bincount(row)
                         some = np.flatnonzero(n)
-                        near = pa.StructArray.from_arrays([pa.array(-weight), pa.array(other)], names=["w", "b"])
+                        near = pa.StructArray.from_arrays([pa.array(-weight), pa.array(ready[0][col])], names=["w", "b"])
                         yield pa.RecordBatch.from_arrays([pa.array(who[low : low + PROBED][some]), _lists(n[some], near)], names=["a", "near"])
 
         def gathered() -> tuple:

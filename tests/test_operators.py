@@ -1,9 +1,11 @@
 """Operators on tiny frames with expected values worked out by hand."""
 
 import datetime as dt
+import inspect
 import math
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -288,3 +290,27 @@ def test_bootstrap_ensemble_flags_a_tenth(spark):
 def test_similar_leaves_out_what_is_no_vector(spark):
     v = frame(spark, [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [])], "id int, v array<double>")
     assert {(r["src"], r["dst"]) for r in G.similar(v, "id", "v", 3, 0.5).collect()} == {(1, 2), (2, 1)}
+
+
+def test_similar_compares_all_pairs_of_few_and_of_many_hits(spark, monkeypatch):
+    from riskweave.operators import similarity
+
+    monkeypatch.setattr(similarity, "PROBED", 64)
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.standard_normal((500, 16)), np.ones((300, 16)) + 0.1 * r.standard_normal((300, 16))])  # in one part hardly a pair is similar, in the other all are
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    cosine = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(cosine, -2)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), -cosine[i]))[:5] if cosine[i, j] >= 0.5}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, e array<double>")
+    for block, parts in ((200, 24), (16384, 24), (16384, 1)):
+        got = G.similar(df, "id", "e", 5, 0.5, block, parts).collect()
+        assert len(got) == len(want) and {(q["src"], q["dst"]) for q in got} == want
+    assert inspect.signature(G.similar).parameters["block"].default >= 16384  # rows are sent once for each block, so that blocks are large
+
+
+def test_similar_sends_a_row_once_for_each_block(spark):
+    df = spark.range(4000).select("id", F.array(F.sin("id"), F.cos("id")).alias("e"))
+    assert G.similar(df.where("id < 0"), "id", "e").count() == 0
+    dealt = G.similar(df, "id", "e", 3, 0.9, 1000)._jdf.queryExecution().toString()
+    assert "collect_list" not in dealt  # no block is one row of the shuffle
