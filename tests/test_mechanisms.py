@@ -265,6 +265,24 @@ def test_ablation_and_scales(halves):
         assert value == pytest.approx(ndcg(test, linear(test, w)), abs=2e-3)
 
 
+def test_scales_share_their_pairs(halves, monkeypatch):
+    _, _, a, b = halves
+    made, plain = [], M.preference_pairs
+    monkeypatch.setattr(M, "preference_pairs", lambda *x, **more: made.append(1) or plain(*x, **more))
+    assert M.confidence_scales(a, b, FEATURES, (0.5, 1.0, 4.0), rounds=3).count() == 3 and len(made) == 1
+    assert {r["ndcg"] for r in M.confidence_scales(a, b.limit(0), FEATURES, (1.0,), rounds=2).collect()} == {0.0}
+
+
+def test_pairs_sort_by_a_stored_hash_and_read_rows_once(halves):
+    _, _, a, _ = halves
+    pairs = M.preference_pairs(a, FEATURES)
+    plan = pairs._jdf.queryExecution().sparkPlan().toString()
+    assert not [line for line in plan.splitlines() if " Sort [" in line and "md5" in line]  # a sort takes an expression anew at each comparison
+    assert "Union" not in plan
+    sides = {r["x"] for r in a.select("cve_id").withColumn("x", (M.hash_bucket("cve_id", 2) == 0) == F.substring(F.md5("cve_id"), 8, 1).isin(*"02468ace")).collect()}
+    assert sides == {True}
+
+
 def test_grid_uses_whole_groups_and_all_combinations(spark, halves):
     train, _, a, _ = halves
     grid = {"depth": [1, 3], "rounds": [2], "step": [0.1, 0.3]}
