@@ -399,7 +399,7 @@ def fn_06_dates(spark, sf):
 p AS (SELECT doc_id, unnest(list_filter(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), lambda x: length(x) >= 8)) AS p FROM w UNION SELECT doc_id, trim(t) FROM w WHERE length(trim(t)) BETWEEN 1 AND 80)
 SELECT p AS phrase, count(DISTINCT doc_id) AS n FROM p GROUP BY p HAVING count(DISTINCT doc_id) >= 20""", views=())
 def fn_04_phrases(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = X.dealt_by_size(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "doc_id", "text")
     found = docs.select(F.explode(X.phrases(F.col("text"), ["that", "this", "with", "from"])).alias("phrase"))
     return found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
 

@@ -314,3 +314,10 @@ def test_similar_sends_a_row_once_for_each_block(spark):
     assert G.similar(df.where("id < 0"), "id", "e").count() == 0
     dealt = G.similar(df, "id", "e", 3, 0.9, 1000)._jdf.queryExecution().toString()
     assert "collect_list" not in dealt  # no block is one row of the shuffle
+
+
+def test_texts_are_dealt_by_size(spark):
+    texts = spark.createDataFrame([(i, "é" * 50) for i in range(100)] + [(100, None)], "doc_id long, text string")
+    dealt = X.dealt_by_size(texts, "doc_id", "text", 1000)
+    assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 101
+    assert X.dealt_by_size(texts.limit(0), "doc_id", "text").count() == 0
