@@ -83,12 +83,15 @@ def packed(vectors: DataFrame, n: int, make: Callable[[np.ndarray, np.ndarray],
 
 
 def paired(queries: DataFrame, index: DataFrame, n_queries: int, n_index: int) -> DataFrame:
-    """(qb, q, x): every block of queries with every block of the index of the same dimensions, from what :func:`packed` gives."""
+    """(qb, q, x): every block of queries with every block of the index of the same dimensions, from what :func:`packed` gives.
+
+    Sizes of files say nothing of what explode makes of them (a copy of each query for each shard), so the join is told not to broadcast a side.
+    """
     n_shards = max(1, -(-n_index // (BLOCK * SHARD_BLOCKS)))
     n_groups = max(1, -(-n_queries // BLOCK))
     x = index.select("dims", "x", F.pmod(F.xxhash64("block"), F.lit(n_shards)).alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("_g"))
     q = queries.select("dims", F.col("block").alias("qb"), "q", F.pmod(F.xxhash64("block"), F.lit(n_groups)).alias("_g"), F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("_s"))
-    return q.join(x, ["_g", "_s", "dims"]).select("qb", "q", "x")
+    return q.hint("merge").join(x, ["_g", "_s", "dims"]).select("qb", "q", "x")
 
 
 class Best:

@@ -91,7 +91,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: float, id_col: st
     sound = stage(valid(vectors, id_col, vector), "topk-vectors")
     n, n_queries = sound.count(), sound.where(is_query).count()
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    longest = sound.orderBy(length.desc(), "vec_id").limit(SEEDS).collect()  # SEEDS rows, whatever the table
+    first = sound.select("vec_id", length.alias("length")).orderBy(F.desc("length"), "vec_id").limit(SEEDS).collect()  # of each partition these come to the driver, so without vectors
+    least = first[-1]["length"] if first else 0.0
+    longest = sound.where(F.col("vec_id").isin([r["vec_id"] for r in first]) & (length >= least)).limit(SEEDS).collect()  # any rows may give thresholds
     seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for d in {len(r["v"]) for r in longest}:
         mine = [r for r in longest if len(r["v"]) == d]

@@ -582,6 +582,23 @@ def vectors(spark, n=260, d=8, seed=2):
     return spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").repartition(3), data
 
 
+@pytest.mark.parametrize("found", [lambda t: topk.top_k(t, F.col("vec_id") % 50 == 0, 5, 256.0), lambda t: ann.nearest(t, F.col("vec_id") % 20 == 0, 5)])
+def test_blocks_meet_without_broadcast(spark, found):
+    r = random.Random(5)
+    table = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(200)], "vec_id long, embedding array<double>")
+    out = found(table)  # small files, of which explode makes many rows: their size must not lead to a broadcast
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert out.count() == 5 * out.select("query_id").distinct().count() > 0
+
+
+def test_top_k_seeds_of_repeated_ids(spark):
+    rows = [(7, [float(i), 1.0]) for i in range(1500)] + [(50, [1.0, 0.0]), (50, [0.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    got = [(r["score"], r["vec_id"]) for r in topk.top_k(table, F.col("vec_id") % 50 == 0, 2, 256.0).collect()]
+    assert sorted(got) == sorted([(256 * 256 * 1499, 7), (256 * 256 * 1498, 7), (65536, 7), (65536, 7)])
+
+
 def test_exact_top_k(spark):
     table, data = vectors(spark)
     sound = [(i, np.floor(np.array(v, np.float64) * 256)) for i, v, _ in data if v and all(a is not None and math.isfinite(a) for a in v)]
