@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from riskweave.functions import tails
 from riskweave.operators import evaluate as E
 from riskweave.operators import graph as G
-from riskweave.operators import listwise, quantiles, similarity
+from riskweave.operators import listwise, pairwise, quantiles, similarity
 from riskweave.operators import models as M
 from riskweave.operators import stats as T
 from riskweave.streaming import jobs
@@ -265,6 +265,47 @@ def test_ablation_and_scales(halves):
         assert value == pytest.approx(ndcg(test, linear(test, w)), abs=2e-3)
 
 
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_rankers_fitted_together_equal_those_fitted_one_by_one(spark, halves, parts):
+    train, _, a, _ = halves
+    more = [(f"{r[0]}'{n}", r[1] if n else None, *r[2:]) for r in train for n in (0, 1)] + [(None, *train[0][1:]), (train[1][0], train[1][1], None, *train[1][3:])]
+    for rows in (a, spark.createDataFrame(more, a.schema)):
+        pairs, variants = M.preference_pairs(rows, FEATURES, 8), [["x"], ["y"], FEATURES, FEATURES[::-1]]
+        hashed, order = M.by_hash(rows, FEATURES, "cve_id")
+        cut = hashed.repartitionByRange  # some parts hold fewer rows than a row meets
+        hashed.repartitionByRange = lambda *by: cut(parts, *by)
+        frames = pairwise.packed(hashed, order, FEATURES, 8)
+        for rounds in (2, 10):
+            for columns, got in zip(variants, pairwise.fitted(frames, FEATURES, variants, 8, rounds=rounds)):
+                assert got == pytest.approx(weights_of(M.fit_pairs(pairs, columns, rounds=rounds)), rel=1e-6, abs=1e-9)
+
+
+def test_packed_rows_hold_each_pair_once(spark):
+    rows = spark.createDataFrame([(f"k{i}", f"g{i % 3}", float(i * i % 4), 1.0 + i % 2, float(i), float(i % 5)) for i in range(190)], "cve_id string, group string, label double, weight double, x double, y double")
+    for parts in (1, 3, 60):
+        hashed, order = M.by_hash(rows, ["x", "y"], "cve_id")
+        cut = hashed.repartitionByRange
+        hashed.repartitionByRange = lambda *by: cut(parts, *by)
+        got = np.zeros(6)
+        for frame in pairwise.packed(hashed, order, ["x", "y"], 8):
+            got += sum((np.array(r["s"]) for r in frame.where("s IS NOT NULL").collect()), np.zeros(6))
+        w, x, y = (F.col(c) for c in ("pair_weight", "x", "y"))
+        want = M.preference_pairs(rows, ["x", "y"], 8).agg(*[F.sum(c) for c in (w, w * w, w * x, w * y, w * x * x, w * y * y)]).first()
+        assert list(got) == pytest.approx(list(want), rel=1e-9)
+
+
+def test_ablation_reads_rows_once_a_round_for_all_variants(halves, monkeypatch):
+    _, _, a, b = halves
+    fitted, rounds, losses = [], [], pairwise.losses
+    monkeypatch.setattr(M, "LogisticRegression", lambda **x: fitted.append(1))
+    monkeypatch.setattr(pairwise, "losses", lambda packs, weights, n: rounds.append(len(weights)) or losses(packs, weights, n))
+    assert M.ablation(a, b, {f"v{i}": FEATURES for i in range(20)}, rounds=4).count() == 20
+    assert not fitted and rounds[0] == 20 and len(rounds) < 12
+    got = M.ablation(a.limit(0), b, {"x": ["x"], "all": FEATURES}, rounds=2).collect()  # without pairs all weights are 0
+    assert [(r["variant"], r["features"]) for r in got] == [("x", 1), ("all", len(FEATURES))] and len({r["ndcg"] for r in got}) == 1
+    assert {r["ndcg"] for r in M.ablation(a, b.limit(0), {"x": ["x"]}, rounds=2).collect()} == {0.0}
+
+
 def test_scales_share_their_pairs(halves, monkeypatch):
     _, _, a, b = halves
     made, plain = [], M.preference_pairs
